@@ -41,3 +41,13 @@ def packed(df: DataFrame) -> Column:
 def buckets(rows: int, each: int) -> int:
     """How many buckets hold `rows` rows at about `each` rows."""
     return max(1, -(-rows // each))
+
+
+#: Working column that tells rows apart.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with a number for each row. Reading the same files gives the same numbers each time; pass the result of
+    a shuffle through `written` first, since a task that is run again may see its rows in another order."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, neighbours, packing, sharding
+from . import chat, language, lines, neighbours, packing, sharding, simhash
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduped_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -31,6 +39,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op6_nearest, op7_chat, op8_language, op10_sharding)
+    f.__name__: f for f in (op2_packing, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op10_sharding)
 }
 SQL: dict[str, str] = {"op7_chat": chat.ROTATE_SQL}
