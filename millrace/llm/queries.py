@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lines, neighbours, packing, sharding, simhash
+from . import chat, decontaminate, language, lines, neighbours, packing, sharding, simhash, spans
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduped_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op10_sharding)
+    f.__name__: f
+    for f in (op2_packing, op3_spans, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op9_decontaminate, op10_sharding)
 }
 SQL: dict[str, str] = {"op7_chat": chat.ROTATE_SQL}
