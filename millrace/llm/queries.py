@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, lines, neighbours, packing, sharding, simhash, spans
+from . import chat, decontaminate, language, lines, neighbours, packing, pii, sharding, simhash, spans
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -48,6 +52,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_packing, op3_spans, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op9_decontaminate, op10_sharding)
+    for f in (op1_pii, op2_packing, op3_spans, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op9_decontaminate, op10_sharding)
 }
 SQL: dict[str, str] = {"op7_chat": chat.ROTATE_SQL}
