@@ -10,12 +10,12 @@ from .base import SAMPLES, Registry, r6, samples, table
 
 R = Registry()
 
-CURVE = "curve AS (SELECT o_orderpriority AS run, (year(o_orderdate)*12+month(o_orderdate)) AS step, avg(o_totalprice) AS score FROM orders GROUP BY ALL)"
+CURVE = "curve AS (SELECT o_orderpriority AS run, (year(o_orderdate)*12+month(o_orderdate)) AS step, max(o_totalprice) AS score FROM orders GROUP BY ALL)"
 
 
 def curve(spark, sf):
     step = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run"), step.alias("step")).agg(F.avg("o_totalprice").alias("score"))
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run"), step.alias("step")).agg(F.max("o_totalprice").alias("score"))
 
 
 @R.add(f"WITH {CURVE}, d AS (SELECT run, step-lag(step) OVER w AS dx, (score+lag(score) OVER w)/2 AS my FROM curve WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, round(sum(dx*my),3) AS auc, round(sum(dx*my)/sum(dx),3) AS normalized_auc FROM d GROUP BY 1")
@@ -23,9 +23,9 @@ def wn1_curve_area(spark, sf):
     return O.curve_area(curve(spark, sf), ["run"], "step", "score").select("run", F.round("auc", 3).alias("auc"), F.round("normalized_auc", 3).alias("normalized_auc"))
 
 
-@R.add(f"WITH {CURVE}, m AS (SELECT run, least(score, lead(score) OVER w, lead(score,2) OVER w) AS low, lead(score,2) OVER w AS third FROM curve WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, coalesce(bool_or(low > 130000 AND third IS NOT NULL), false) AS unstable FROM m GROUP BY 1")
+@R.add(f"WITH {CURVE}, m AS (SELECT run, least(score, lead(score) OVER w, lead(score,2) OVER w) AS low, lead(score,2) OVER w AS third FROM curve WINDOW w AS (PARTITION BY run ORDER BY step)) SELECT run, coalesce(bool_or(low > 400000 AND third IS NOT NULL), false) AS unstable FROM m GROUP BY 1")
 def wn3_three_in_a_row(spark, sf):
-    return O.three_in_a_row(curve(spark, sf), ["run"], "step", "score", 130000)
+    return O.three_in_a_row(curve(spark, sf), ["run"], "step", "score", 400000)
 
 
 @R.add(f"WITH {CURVE}, l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM curve) SELECT run, round(regr_slope(score, step),3) AS slope, round(max(score) FILTER (k=1) - max(score) FILTER (k=3),3) AS gain FROM l WHERE k<=3 GROUP BY 1")
