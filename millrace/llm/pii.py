@@ -285,7 +285,8 @@ def reconciled(text: str, base: list[tuple[int, int, int]], found: list[tuple[in
     """Spans of all windows as one set: those of a kind that overlap or meet are one, blanks and stops at their ends
     don't belong to them, and where spans (those of the rules first, then longer ones) overlap, the first stays."""
     joined: list[list[int]] = []
-    for start, stop, kind in sorted(found, key=lambda s: (s[2], s[0], s[1])):
+    inside = [(a, min(b, len(text)), k) for a, b, k in found if a < len(text)]  # the padding of a window is no text
+    for start, stop, kind in sorted(inside, key=lambda s: (s[2], s[0], s[1])):
         if joined and joined[-1][2] == kind and start <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], stop)
         else:
