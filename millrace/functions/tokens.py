@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Z = F.lit(0.0)
-
 
 def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     return F.greatest(F.least(x, F.lit(high) if isinstance(high, float) else high), F.lit(low) if isinstance(low, float) else low)
@@ -37,11 +35,11 @@ def kept(xs: Column, mask: Column) -> Column:
 
 
 def masked_min(xs: Column, mask: Column) -> Column:
-    return F.coalesce(F.array_min(kept(xs, mask)), Z)
+    return F.coalesce(F.array_min(kept(xs, mask)), F.lit(0.0))
 
 
 def masked_max(xs: Column, mask: Column) -> Column:
-    return F.coalesce(F.array_max(kept(xs, mask)), Z)
+    return F.coalesce(F.array_max(kept(xs, mask)), F.lit(0.0))
 
 
 def effective_length(mask: Column, response_length: Column) -> Column:
@@ -104,13 +102,13 @@ def broadcast_reward(reward: Column, like: Column) -> Column:
 
 def discounted(rewards: Column, gamma: float) -> Column:
     """Return of each token: its reward and the discounted rest, folded from the end."""
-    fold = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.try_element_at(acc, F.lit(1)), Z)), acc))
+    fold = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.try_element_at(acc, F.lit(1)), F.lit(0.0))), acc))
     return fold
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages; nothing follows the last token."""
-    ahead = F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(Z))
+    ahead = F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(rewards, ahead, lambda r, v: r + gamma * v), values, lambda x, v: x - v)
     return discounted(delta, gamma * lam)
 

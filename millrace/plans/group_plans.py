@@ -9,17 +9,20 @@ from ..operators import groups as G
 from .base import SAMPLES, Registry, r6, samples, table
 
 R = Registry()
-GROUP = Window.partitionBy("group_index")
 KS = [1, 2, 4, 5, 8, 10]
 
 
+def by_group():
+    return Window.partitionBy("group_index")
+
+
 @R.add(
     f"""WITH {SAMPLES}, k AS (SELECT group_index FROM samples GROUP BY 1 HAVING coalesce(stddev_samp(score) > 1e-6, false)),
 n AS (SELECT *, (score - avg(score) OVER w) / (stddev_samp(score) OVER w + 1e-6) AS v FROM samples SEMI JOIN k USING (group_index) WINDOW w AS (PARTITION BY group_index))
 SELECT source_name, count(*) AS "count", round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, round(min(v),6) AS min, round(max(v),6) AS max FROM n GROUP BY 1"""
 )
 def group_norm_reward(spark, sf):
-    df = G.varied_groups(samples(spark, sf), "group_index", "score").withColumn("v", G.normalised(F.col("score"), GROUP))
+    df = G.varied_groups(samples(spark, sf), "group_index", "score").withColumn("v", G.normalised(F.col("score"), by_group()))
     return df.groupBy("source_name").agg(F.count("*").alias("count"), r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "std"), r6(F.min("v"), "min"), r6(F.max("v"), "max"))
 
 
@@ -47,7 +50,7 @@ def ag5_status_fractions(spark, sf):
 
 @R.add(f"WITH {SAMPLES} SELECT group_index, index, round(score, 1) AS score, round((score - avg(score) OVER w)/(stddev_samp(score) OVER w + 1e-6),6) AS advantage FROM samples WINDOW w AS (PARTITION BY group_index)")
 def td4_normalised_by_group(spark, sf):
-    return samples(spark, sf).select("group_index", "index", F.round("score", 1).alias("score"), r6(G.normalised(F.col("score"), GROUP), "advantage"))
+    return samples(spark, sf).select("group_index", "index", F.round("score", 1).alias("score"), r6(G.normalised(F.col("score"), by_group()), "advantage"))
 
 
 @R.add(
@@ -56,7 +59,7 @@ w AS (SELECT *, avg(ok) OVER g AS m, stddev_pop(ok) OVER g AS s, max(ok) OVER g
 SELECT group_index, round(sum(CASE WHEN t=0 THEN score WHEN s=0 THEN 0 ELSE (score-m)/s END),6) AS total, count(*) AS n FROM w GROUP BY 1"""
 )
 def td3_buffer_normalised(spark, sf):
-    df = samples(spark, sf).withColumn("v", G.buffer_normalised(F.col("score"), GROUP))
+    df = samples(spark, sf).withColumn("v", G.buffer_normalised(F.col("score"), by_group()))
     return df.groupBy("group_index").agg(r6(F.sum("v"), "total"), F.count("*").alias("n"))
 
 
@@ -153,7 +156,7 @@ def ag26_position_bins(spark, sf):
 @R.add(f"WITH {SAMPLES} SELECT group_index, index, sum(response_length) OVER (PARTITION BY group_index) AS rollout_tokens, sum(response_length) OVER (PARTITION BY group_index ORDER BY index RANGE UNBOUNDED PRECEDING) AS so_far FROM samples")
 def ag36_rollout_sums(spark, sf):
     n = F.sum("response_length")
-    return samples(spark, sf).select("group_index", "index", n.over(GROUP).alias("rollout_tokens"), n.over(GROUP.orderBy("index").rangeBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    return samples(spark, sf).select("group_index", "index", n.over(by_group()).alias("rollout_tokens"), n.over(by_group().orderBy("index").rangeBetween(Window.unboundedPreceding, 0)).alias("so_far"))
 
 
 @R.add("SELECT o_orderpriority AS task, round(avg(o_totalprice),4) AS median_mean, round(quantile_cont(o_totalprice,0.5),4) AS median, round(quantile_cont(o_totalprice,0.75)-quantile_cont(o_totalprice,0.25),4) AS iqr, count(*) AS n FROM orders GROUP BY 1")

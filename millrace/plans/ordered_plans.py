@@ -35,9 +35,9 @@ def wn4_slope_of_last_three(spark, sf):
     return last.groupBy("run").agg(F.round(F.regr_slope("score", "step"), 3).alias("slope"), F.round(F.max(F.when(F.col("k") == 1, F.col("score"))) - F.max(F.when(F.col("k") == 3, F.col("score"))), 3).alias("gain"))
 
 
-@R.add(f"WITH {CURVE} SELECT run, step, round(first_value(score) OVER w,1) AS first, round(max(score) OVER w,1) AS best, round(max(score) OVER w - score,1) AS forgetting, round(score-first_value(score) OVER w,1) AS backward_transfer FROM curve WINDOW w AS (PARTITION BY run ORDER BY step)")
+@R.add(f"WITH {CURVE} SELECT run, step, round(first_value(score) OVER w,3) AS first, round(max(score) OVER w,3) AS best, round(max(score) OVER w - score,3) AS forgetting, round(score-first_value(score) OVER w,3) AS backward_transfer FROM curve WINDOW w AS (PARTITION BY run ORDER BY step)")
 def wn5_forgetting(spark, sf):
-    return O.forgetting(curve(spark, sf), "run", "step", "score").select("run", "step", *[F.round(c, 1).alias(c) for c in ("first", "best", "forgetting", "backward_transfer")])
+    return O.forgetting(curve(spark, sf), "run", "step", "score").select("run", "step", *[F.round(c, 3).alias(c) for c in ("first", "best", "forgetting", "backward_transfer")])
 
 
 SPANS = "spans AS (SELECT user_id, epoch_us(ts)/1e6 AS start, epoch_us(ts)/1e6 + greatest(value,0)*60 AS stop FROM events)"
