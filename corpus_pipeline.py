@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, and so few differing bits of two
-    fingerprints (10 of the first, 19 of both) as a similarity of 0.8 or more makes likely."""
+    fingerprints (10 in the first, 19 in the second) as a similarity of 0.8 or more makes likely."""
     return simhash.without_near_duplicates(docs, width=5, budget=10, walks=4, seeds=(42, 43), check_budget=19).select(*COLUMNS)
 
 
