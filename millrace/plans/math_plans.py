@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import math_answers as M
+from ..functions import math_rewards as W
 from .base import Registry, table
 
 R = Registry()
@@ -22,3 +23,79 @@ def tx17_exact_equality(spark, sf):
     gold = F.format_string(r"\frac{%d}{2}", k)
     given = F.when(k % 4 == 0, F.format_string("%d/4", k * 2)).when(k % 4 == 1, F.format_string("%d", k + 1)).when(k % 4 == 2, F.format_string("%d.0", (k / 2).cast("bigint"))).otherwise(F.lit("x+1"))
     return table(spark, sf, "orders").select("o_orderkey", M.same_answer_column(given, gold).alias("correct"))
+
+
+def orders(spark, sf):
+    return table(spark, sf, "orders").withColumn("k", F.col("o_orderkey"))
+
+
+@R.add(
+    """SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN '\\frac{'||o_orderkey||'}{7}' WHEN o_orderkey%3=1 THEN '\\sqrt{2}x' ELSE '0.25' END AS bare FROM orders"""
+)
+def tx14_bare_latex(spark, sf):
+    text = F.when(F.col("k") % 3 == 0, F.format_string("x = %d/7", "k")).when(F.col("k") % 3 == 1, F.lit("\\left\\sqrt2 x^\\circ")).otherwise(F.lit(".25\\text{ cm}"))
+    return orders(spark, sf).select("o_orderkey", W.bare_latex(text).alias("bare"))
+
+
+@R.add("""SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN o_orderkey::VARCHAR WHEN o_orderkey%3=1 THEN o_orderkey||'+1/2' ELSE '3*10^6' END AS plain FROM orders""")
+def tx15_plain_expression(spark, sf):
+    text = F.when(F.col("k") % 3 == 0, F.format_string("\\$%,d.0", "k")).when(F.col("k") % 3 == 1, F.format_string("%d \\frac{1}{2} hours", "k")).otherwise(F.lit("3 million"))
+    return orders(spark, sf).select("o_orderkey", W.plain_expression(text).alias("plain"))
+
+
+@R.add("SELECT o_orderkey, o_orderkey%5<>0 AS same FROM orders")
+def tx16_same_bare_latex(spark, sf):
+    return orders(spark, sf).select("o_orderkey", W.same_bare_latex(F.format_string("\\dfrac{%d}{9}", "k"), F.format_string("%d/9", F.col("k") + (F.col("k") % 5 == 0).cast("int"))).alias("same"))
+
+
+@R.add("SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS correct FROM orders")
+def tx18_boxed_grade(spark, sf):
+    k = F.col("k")
+    answer = F.when(k % 4 == 0, F.format_string("\\boxed{%d.0}", k)).when(k % 4 == 1, F.format_string("\\boxed{%d/2}", k * 2)).when(k % 4 == 2, F.format_string("\\boxed{(%d, 0.5)}", k)).otherwise(F.lit("none"))
+    gold = F.when(k % 4 == 2, F.format_string("\\boxed{(%d,1/2)}", k)).otherwise(k.cast("string"))
+    return orders(spark, sf).select("o_orderkey", W.boxed_grade(answer, gold).alias("correct"))
+
+
+@R.add("SELECT o_orderkey, (o_orderkey%3<>1)::INT AS reward FROM orders")
+def tx19_reasoned_reward(spark, sf):
+    k = F.col("k")
+    text = F.when(k % 3 == 0, F.format_string("\\boxed{0}</think>\\boxed{%d}", k)).when(k % 3 == 1, F.format_string("\\boxed{%d}</think> I can't say", k)).otherwise(F.format_string("###Response \\boxed{%d}", k))
+    return orders(spark, sf).select("o_orderkey", W.reasoned_reward(text, k.cast("string")).alias("reward"))
+
+
+@R.add("SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN o_orderkey::VARCHAR ELSE '\\frac{1}{2}' END AS answer FROM orders")
+def tx20_final_answer(spark, sf):
+    text = F.when(F.col("k") % 2 == 0, F.format_string("n = $%,d$ dollars", "k")).otherwise(F.lit("an x = \\frac12"))
+    return orders(spark, sf).select("o_orderkey", W.final_answer(text).alias("answer"))
+
+
+@R.add("SELECT o_orderkey, o_orderkey%3<>0 AS correct FROM orders")
+def tx21_line_grade(spark, sf):
+    text = F.format_string("Answer: 0\nso answer : $%d$ units", F.col("k") + (F.col("k") % 3 == 0).cast("int"))
+    return orders(spark, sf).select("o_orderkey", W.line_grade(text, F.format_string("%d.0", "k")).alias("correct"))
+
+
+@R.add("SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN 1 ELSE -1 END AS score FROM orders")
+def tx22_box_grade(spark, sf):
+    text = F.concat(F.format_string("\\boxed{%d}", "k"), F.repeat(F.lit("."), F.when(F.col("k") % 2 == 0, 20).otherwise(120)))
+    return orders(spark, sf).select("o_orderkey", W.box_grade(text, F.col("k").cast("string")).alias("score"))
+
+
+@R.add("SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN -1.0 ELSE 1.0 END::DOUBLE AS score, o_orderkey%3<>0 AS acc, CASE WHEN o_orderkey%3=0 THEN '[INVALID]' ELSE o_orderkey::VARCHAR END AS pred FROM orders")
+def tx23_answer_score(spark, sf):
+    text = F.concat(F.format_string("Answer: %d\n", "k"), F.repeat(F.lit("."), F.when(F.col("k") % 3 == 0, 400).otherwise(50)))
+    return orders(spark, sf).select("o_orderkey", W.answer_score(text, F.col("k").cast("string")).alias("s")).select("o_orderkey", "s.*")
+
+
+@R.add("SELECT o_orderkey, o_orderkey%4<2 AS valid FROM orders")
+def tx4_tag_sequence(spark, sf):
+    think, more = "<think>a</think>", "<search>b</search> <information>c</information>\n<think>d</think>"
+    bodies = [think + "<answer>e</answer> ", think + more * 3 + "<answer>e</answer>", think + "loose" + more + "<answer>e</answer>", think + more]
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("k") % 4 + 1).cast("int"))
+    return orders(spark, sf).select("o_orderkey", W.valid_tag_sequence(F.concat(F.lit("<|im_start|>assistant\n"), body)).alias("valid"))
+
+
+@R.add("SELECT o_orderkey, round(CASE WHEN o_orderkey%2=0 THEN 1.0::DOUBLE ELSE least(-0.6::DOUBLE, -1.0::DOUBLE+(o_orderkey%20-2)/2.0::DOUBLE*0.1::DOUBLE) END,6) AS reward FROM orders")
+def ex13_tool_use_reward(spark, sf):
+    reward = W.tool_use_reward(F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0), F.col("k") % 20)
+    return orders(spark, sf).select("o_orderkey", F.round(reward, 6).alias("reward"))
