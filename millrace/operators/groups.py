@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import numbered_by, running_max
+
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom; 1.96 beyond.
 T95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.16, 2.145, 2.131, 2.12, 2.11, 2.101, 2.093, 2.086, 2.08, 2.074, 2.069, 2.064, 2.06, 2.056, 2.052, 2.048, 2.045]
 
@@ -76,14 +78,13 @@ def estimates(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def filled_ids(df: DataFrame, order: str, wanted: str) -> DataFrame:
     """Missing values of `wanted` become the smallest unused non-negative integers, in `order`.
 
-    The k-th missing row takes the k-th free number. Free numbers are gaps between used ones, so ranges of
-    them are joined to ranges of ranks; only gaps, never single numbers, are laid out."""
-    used = df.filter(F.col(wanted).isNotNull()).select(F.col(wanted).alias("u")).distinct()
-    edges = used.unionByName(df.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("u")))
-    by = Window.orderBy("u")
-    gaps = edges.withColumn("next", F.lead("u").over(by)).withColumn("size", F.coalesce(F.col("next") - F.col("u") - 1, F.lit(1 << 62)))
-    gaps = gaps.filter("size > 0").withColumn("from_rank", F.coalesce(F.sum(F.when(F.col("next").isNotNull(), F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gaps = gaps.select((F.col("u") + 1).alias("first"), "from_rank", F.lead("from_rank", 1, (1 << 62)).over(Window.orderBy("from_rank")).alias("to_rank"))
-    missing = df.filter(F.col(wanted).isNull()).withColumn("__rank", F.row_number().over(Window.orderBy(order)) - 1)
-    filled = missing.join(gaps, (F.col("__rank") >= F.col("from_rank")) & (F.col("__rank") < F.col("to_rank"))).withColumn(wanted, F.col("first") + F.col("__rank") - F.col("from_rank"))
+    Below the r-th used number u lie u - r free ones, so the k-th missing row takes k plus the count of used numbers
+    with u - r <= k: a running maximum over the missing rows and one row for each run of used numbers."""
+    rows = df.withColumn("__wanted", F.col(wanted).cast("bigint"))
+    used = numbered_by(rows.filter("__wanted >= 0").select("__wanted").distinct(), "__r", "__wanted")
+    runs = used.groupBy((F.col("__wanted") - F.col("__r")).alias("__k")).agg((F.max("__r") + 1).alias("__skip"))
+    missing = numbered_by(rows.filter(F.col(wanted).isNull()), "__k", order)
+    both = missing.withColumn("__run", F.lit(1)).unionByName(runs.withColumn("__run", F.lit(0)), allowMissingColumns=True)
+    filled = running_max(both, F.col("__skip"), "__skipped", "__k", ["__run"]).filter("__run = 1")
+    filled = filled.withColumn(wanted, (F.col("__k") + F.coalesce("__skipped", F.lit(0))).cast(df.schema[wanted].dataType))
     return df.filter(F.col(wanted).isNotNull()).unionByName(filled.select(*df.columns))

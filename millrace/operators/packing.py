@@ -11,7 +11,8 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import numbered_by
 
 
 def first_fit(lengths: list[int], most: int) -> list[list[int]]:
@@ -110,16 +111,9 @@ def packed_steps(df: DataFrame, step: str, order: str, length: str, ranks: int,
 def steps(df: DataFrame, rollout: str, position: str, rollouts_a_step: int) -> DataFrame:
     """Steps by the first occurrence of each rollout; a trailing incomplete step is dropped."""
     first = df.groupBy(rollout).agg(F.min(position).alias("__first"))
-    # Rollouts, not samples, are numbered: within 32 value ranges, whose bounds are fixed numbers, then shifted by what
-    # lies before. Partition numbers wouldn't do, since each plan may coalesce partitions in its own way.
-    bounds = first.agg(F.percentile_approx("__first", [k / 32 for k in range(1, 32)], 1000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda x: x < F.col("__first")))
-    ordered = Window.partitionBy("__part").orderBy("__first", rollout)
-    within = first.withColumn("__part", part).withColumn("__n", F.row_number().over(ordered) - 1)
-    before = within.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = numbered_by(first, "__n", "__first", [rollout])
     total = first.count() // rollouts_a_step
-    numbered = within.join(F.broadcast(before.select("__part", "__before")), "__part")  # at most 32 rows
-    numbered = numbered.select(rollout, F.floor((F.col("__n") + F.col("__before")) / rollouts_a_step).alias("step")).filter(F.col("step") < total)
+    numbered = numbered.select(rollout, F.floor(F.col("__n") / rollouts_a_step).alias("step")).filter(F.col("step") < total)
     return df.join(numbered, rollout)
 
 

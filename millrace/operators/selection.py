@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import PART, numbered_by
+
 
 def draw(*key: Column | str, seed: int) -> Column:
     """In [0, 1)."""
@@ -15,8 +17,9 @@ def draw(*key: Column | str, seed: int) -> Column:
 
 def epoch_order(df: DataFrame, position: str, seed: int, epoch: int) -> DataFrame:
     """`df` in the order of one epoch, with `epoch_pos` from 0."""
-    key = F.xxhash64(F.lit(seed + epoch), position)
-    return df.withColumn("epoch_pos", F.row_number().over(Window.orderBy(key, position)) - 1)
+    keyed = df.withColumn("__key", F.xxhash64(F.lit(seed + epoch), position))
+    keyed = keyed.withColumn(PART, F.shiftright("__key", 52))  # hashes are even, so their leading bits are ranges of equal counts
+    return numbered_by(keyed, "epoch_pos", "__key", [position]).drop("__key")
 
 
 def fanned_out(df: DataFrame, position: str, copies: int) -> DataFrame:
@@ -63,15 +66,15 @@ def curriculum(phases: list[tuple[str, int]], position: Column, repeat: bool = F
 
 def source_cursor(requests: DataFrame, source: str, order: str, lengths: dict[str, int]) -> DataFrame:
     """Each request's epoch and position within its source."""
-    n = F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1
     size = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col(source))
-    return requests.withColumn("__n", n).withColumn("epoch", F.floor(F.col("__n") / size)).withColumn("position", F.pmod("__n", size)).drop("__n")
+    return numbered_by(requests, "__n", order, within=[source]).withColumn("epoch", F.floor(F.col("__n") / size)).withColumn("position", F.pmod("__n", size)).drop("__n")
 
 
 def balanced_subset(df: DataFrame, stratum: str, key: str, count: int, seed: int) -> DataFrame:
     """`count` rows, taken in turn from each stratum in hash order."""
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("__turn", turn).orderBy("__turn", stratum).limit(count).drop("__turn")
+    first = df.withColumn("__turn", turn).filter(F.col("__turn") <= count)  # limits each stratum before the shuffle
+    return first.orderBy("__turn", stratum).limit(count).drop("__turn")
 
 
 def holdout(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
