@@ -88,6 +88,52 @@ def compares(n: Column, relation: str, target: int) -> Column:
     return n < target if relation == "less than" else n >= target
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def filled(parts: Column) -> Column:
+    return F.filter(parts, lambda p: trimmed(p) != "")
+
+
+def sentences(text: Column) -> Column:
+    """What ends with full stops, question or exclamation marks, and a last part without any; blanks around are cut."""
+    return F.transform(filled(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), 0)), trimmed)
+
+
+def plain_words(text: Column) -> Column:
+    """Runs of letters, digits and underscores, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
+def enclosed_parts(text: Column, separator: str) -> Column:
+    """Parts between separators, where blank ones may stand at the ends; null if one stands in the middle."""
+    parts = F.transform(F.split(text, separator, -1), trimmed)
+    inner = F.filter(parts, lambda p, i: (p != "") | ((i != 0) & (i != F.size(parts) - 1)))
+    return F.when(~F.array_contains(inner, ""), inner)
+
+
+def every(parts: Column, holds) -> Column:
+    """All of them, and there is one."""
+    return (F.size(parts) > 0) & F.forall(parts, holds)
+
+
+def wrapped_pairs(ws: Column) -> Column:
+    pair = lambda i: F.get(ws, i).like("<<%") & F.get(ws, i + 1).like("%>>")
+    return (F.size(ws) > 1) & F.forall(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 2, F.lit(0))), lambda i: i % 2 == 0), pair)
+
+
+def apart_letters(ws: Column) -> Column:
+    """No two neighbours begin with neighbouring letters of the alphabet."""
+    first = F.transform(ws, lambda w: F.ascii(F.lower(w)))
+    return ~F.exists(F.sequence(F.lit(0), F.greatest(F.size(ws) - 2, F.lit(0))), lambda i: F.coalesce(F.get(first, i + 1) - F.get(first, i) == 1, F.lit(False)))
+
+
+def first_of_paragraph(text: Column, paragraphs: int, nth: int, word: str) -> Column:
+    ps = filled(F.split(text, r"\n\n"))
+    return (F.size(ps) == paragraphs) & F.coalesce(F.get(plain_words(F.get(ps, F.lit(nth - 1))), F.lit(0)) == word.lower(), F.lit(False))
+
+
 #: Instruction predicates by id: from the response and their parameters to a boolean.
 PREDICATES = {
     "keywords:existence": lambda t, keywords: F.forall(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(t), F.lower(k))),
@@ -95,7 +141,7 @@ PREDICATES = {
     "keywords:forbidden_words": lambda t, words: ~t.rlike(r"(?i)\b(" + "|".join(words) + r")\b"),
     "keywords:letter_frequency": lambda t, letter, relation, n: compares(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), relation, n),
     "length_constraints:number_words": lambda t, relation, n: compares(count(t, r"[\p{L}\p{N}_]+"), relation, n),
-    "length_constraints:number_paragraphs": lambda t, n: F.size(F.filter(F.split(t, r"\s?\*\*\*\s?"), lambda p: F.trim(p) != "")) == n,
+    "length_constraints:number_paragraphs": lambda t, n: F.coalesce(F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == n, F.lit(False)),
     "detectable_content:number_placeholders": lambda t, n: count(t, r"\[.*?\]") >= n,
     "detectable_content:postscript": lambda t: F.lower(t).rlike(r"p\.\s?s\."),
     "detectable_format:number_bullet_lists": lambda t, n: count(t, r"(?m)^\s*\*[^\*].*$") + count(t, r"(?m)^\s*-.*$") == n,
@@ -118,6 +164,31 @@ PREDICATES = {
     "count:lowercase_counting": lambda t, n: count(t, r"\b[a-z]+\b") <= n,
     "letters:letter_counting": lambda t, relation, n: compares(count(t, "[a-zA-Z]"), relation, n),
     "keywords:palindrome": lambda t: F.exists(words(t), lambda w: w == F.reverse(w)),
+    "length_constraints:number_sentences": lambda t, relation, n: compares(F.size(sentences(t)), relation, n),
+    "length_constraints:nth_paragraph_first_word": first_of_paragraph,
+    "detectable_format:multiple_sections": lambda t, splitter, n: count(t, rf"\s?{splitter}\s?[0-9]+\s?") >= n,
+    "detectable_format:json_format": lambda t: F.try_parse_json(trimmed(F.regexp_replace(trimmed(t), r"(?i)^```(json)?|```$", ""))).isNotNull(),
+    "combination:two_responses": lambda t: F.coalesce((F.size(enclosed_parts(t, r"\*{6}")) == 2) & (F.size(F.array_distinct(enclosed_parts(t, r"\*{6}"))) == 2), F.lit(False)),
+    "change_case:capital_word_frequency": lambda t, relation, n: compares(F.size(F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, n),
+    "change_case:english_capital": lambda t: (t == F.upper(t)) & (t != F.lower(t)),
+    "change_case:english_lowercase": lambda t: (t == F.lower(t)) & (t != F.upper(t)),
+    "new:copy_span_idx": lambda t, prompt, start, end: F.lower(trimmed(t)) == F.lit(prompt[start : end + 1].strip().lower()),
+    "detectable_format:sentence_hyphens": lambda t: F.forall(F.filter(sentences(t), lambda s, i: i > 0), lambda s: s.like("-%")) & ~t.rlike(r"[.!?]\s+-|-\s"),
+    "keywords:no_adjacent_consecutive": lambda t: apart_letters(words(t)),
+    "keywords:word_count_different_numbers": lambda t, keyword, relation, n: compares(count(F.lower(t), keyword.lower()), relation, n),
+    "paragraphs:paragraphs": lambda t: F.coalesce(F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == 2, F.lit(False)),
+    "first_word:first_word_sent": lambda t, word: every(sentences(t), lambda s: F.coalesce(F.get(plain_words(s), F.lit(0)) == word.lower(), F.lit(False))),
+    "last_word:last_word_sent": lambda t, word: every(sentences(t), lambda s: F.coalesce(F.try_element_at(plain_words(s), F.lit(-1)) == word.lower(), F.lit(False))),
+    "detectable_format:bigram_wrapping": lambda t: wrapped_pairs(words(t)),
+    "copy:copying_simple": lambda t, prompt: F.lower(trimmed(t)) == F.lower(trimmed(prompt)),
+    "copy:copying_multiple": lambda t, prompt, n: (F.size(F.split(t, r"\*{6}", -1)) == n) & F.forall(F.split(t, r"\*{6}", -1), lambda p: F.lower(trimmed(p)) == F.lower(trimmed(prompt))),
+    "letters:letter_counting2": lambda t, letter, relation, n: compares(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), relation, n),
+    "count:counting_composition": lambda t, n_sent, n_words: F.coalesce((F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == 3) & F.forall(
+        enclosed_parts(t, r"\s?\*\*\*\s?"), lambda p: (F.size(sentences(p)) == n_sent) & F.forall(sentences(p), lambda s: F.size(plain_words(s)) == n_words)), F.lit(False)),
+    "count:count_unique": lambda t: F.size(plain_words(t)) == F.size(F.array_distinct(plain_words(t))),
+    "count:count_increment_word": lambda t, keyword1, keyword2: (count(F.lower(t), keyword1.lower()) == 1) & (count(F.lower(t), keyword2.lower()) == 2),
+    "keywords:keyword_specific_position": lambda t, keyword, n, m: F.coalesce(F.get(plain_words(F.get(sentences(t), F.lit(n - 1))), F.lit(m - 1)) == keyword.lower(), F.lit(False)),
+    "keywords:start_end": lambda t: F.coalesce(F.get(plain_words(t), F.lit(0)) == F.try_element_at(plain_words(t), F.lit(-1)), F.lit(False)),
 }
 
 
@@ -138,3 +209,17 @@ def follows_loosely(text: Column, instructions: list[tuple[str, dict]]) -> Colum
     for t in [*plain, *[F.replace(p, F.lit("*"), F.lit("")) for p in plain]]:
         ok = ok | follows_strictly(t, instructions)
     return ok
+
+
+def retrieved(text: Column, golds: Column) -> Column:
+    """Whether an information block holds a gold answer, both normalised."""
+    blocks = F.transform(information_blocks(text), normalize_answer)
+    return F.exists(blocks, lambda b: F.exists(golds, lambda g: F.contains(b, normalize_answer(g))))
+
+
+def structured_score(correct: Column, valid: Column, found: Column, answered: Column, structure: float, final: float, retrieval: float) -> Column:
+    """A right answer scores 1, or less by `structure` in a wrong form. A wrong or missing one scores for its form, with
+    `retrieval` more if the answer was retrieved; in a wrong form, `final` for having answered."""
+    right, formed, seen, given = (F.coalesce(c, F.lit(False)) for c in (correct, valid, found, answered))
+    shaped = F.when(seen, structure + retrieval).otherwise(structure)
+    return F.when(right & formed, 1.0).when(right, 1.0 - structure).when(formed, shaped).when(given, final).otherwise(0.0)
