@@ -34,6 +34,11 @@ def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def occurrences(text: Column, part: str) -> Column:
     return F.regexp_count(text, F.lit(re.escape(part)))
 
@@ -46,10 +51,17 @@ def unwrapped_text(text: Column) -> Column:
 def bare_latex(text: Column) -> Column:
     """The MATH style of writing an answer: no spaces, units on the right, degrees or size commands; braces around the
     parts of fractions and roots; a/b and 0.5 as fractions. Where a command lacks its argument, the answer stays as it is."""
-    start = F.trim(unwrapped_text(F.trim(text)))
+    return let(F.trim(unwrapped_text(F.trim(text))), _bare)
+
+
+def _bare(start: Column) -> Column:
     t = replaced(
         start, ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")
     )
+    return let(t, lambda u: _with_arguments(start, u))
+
+
+def _with_arguments(start: Column, t: Column) -> Column:
     broken = occurrences(t, "\\text{ ") > 1
     t = replaced(F.substring_index(t, "\\text{ ", 1), ("\\%", ""), (" .", " 0."), ("{.", "{0."))
     t = F.regexp_replace(t, r"^\.", "0.")
@@ -57,11 +69,14 @@ def bare_latex(text: Column) -> Column:
     broken = broken | t.rlike(r"\\sqrt($|\\sqrt)")
     t = replaced(F.regexp_replace(t, r"\\sqrt([^{])", r"\\sqrt{$1}"), (" ", ""))
     broken = broken | t.rlike(r"\\frac($|\\frac)")
+    return F.when(broken, start).otherwise(let(t, _with_braces))
+
+
+def _with_braces(t: Column) -> Column:
     full = F.regexp_replace(F.regexp_replace(t, r"\\frac([^{])\{", r"\\frac{$1}{"), r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
     t = F.when(t.rlike(r"\\frac[^{]($|\\frac)"), t).otherwise(full)
-    t = F.when(t == "0.5", F.lit("\\frac{1}{2}")).otherwise(t)
     t = F.regexp_replace(t, r"^(-?[1-9][0-9]*|0)/(-?[1-9][0-9]*|0)$", r"\\frac{$1}{$2}")
-    return F.when(broken, start).otherwise(t)
+    return F.regexp_replace(t, r"^0\.5$", r"\\frac{1}{2}")
 
 
 def same_bare_latex(given: Column, gold: Column) -> Column:
@@ -83,13 +98,16 @@ def plain_expression(text: Column) -> Column:
     t = F.regexp_replace(t, r"\^ *\\circ", "")
     t = F.regexp_replace(t, r"^\{([\s\S]*)\}$", "$1")
     t = F.regexp_replace(t, r",\\! *", "")
-    t = F.when(~F.contains(t, F.lit(",")), F.coalesce(whole(t), t)).otherwise(t)
+    return let(let(t, lambda u: F.when(~F.contains(u, F.lit(",")), F.coalesce(whole(u), u)).otherwise(u)), _read)
+
+
+def _read(t: Column) -> Column:
     read = F.regexp_replace(F.regexp_replace(t, r"\\[td]?frac *\{([^{}]*)\} *\{([^{}]*)\}", " $1/$2"), r"\\sqrt *\{([^{}]*)\}", "sqrt($1)")
     read = F.trim(F.regexp_replace(replaced(read, *SYMBOLS), r"\\(left|right|text|mathrm|mathbf|[,;! ])", ""))
     t = F.when(F.contains(t, F.lit("\\")), read).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, "- *", "-"), "([0-9]) +(?=[0-9])", "$1+")
     t = F.lower(replaced(t, (" ", ""), ("{", ""), ("}", "")))
-    return F.coalesce(whole(t), t)
+    return let(t, lambda u: F.coalesce(whole(u), u))
 
 
 def graded(given: str | None, gold: str | None) -> bool | None:
