@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, lines, packing, simhash
+from millrace.llm import decontaminate, language, lines, packing, similar
 from millrace.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,9 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, and so few differing bits of two
-    fingerprints (10 in the first, 19 in the second) as a similarity of 0.8 or more makes likely."""
-    return simhash.without_near_duplicates(docs, width=5, budget=10, walks=4, seeds=(42, 43), check_budget=19).select(*COLUMNS)
+    """One document of each group of near-duplicates stays. Linked are texts whose sets of five-word shingles have a
+    similarity of 0.8 or more, computed for each pair that min-hashes propose."""
+    return similar.without_similar(docs, width=5, least=0.8).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
