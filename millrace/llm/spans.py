@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of consecutive sentences that is just long enough (at least two, and at least 20 words) is hashed; the
-hashes meet in one global aggregate, and sentences that lie in a run which occurred earlier are removed. Longer
-repeated passages are the union of such runs.
+Hashed are the runs of consecutive sentences that are just long enough (at least two, and at least 20 words): the shortest
+that begins at each sentence and the shortest that ends at each. The hashes meet in one global aggregate, and sentences
+that lie in a run which occurred earlier are removed. Each sentence of a longer repeated passage is the first or the
+last of such a run within it, so the passage is the union of them. A text in which no run is long enough is one run.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: str, least: int, words: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Shortest runs from each sentence: first, count, 64 and 32 bits of hash. Compared are the words alone, in lower
-    case; sentences without a word belong to the run around them but don't count."""
+def runs(text: str, least: int, words: int, ends: bool = True) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Shortest runs from each sentence, and with `ends` those to each sentence and a whole text that is shorter: first, count,
+    64 and 32 bits of hash. Compared are the words alone, in lower case; sentences without a word belong to the run
+    around them but don't count."""
     import xxhash
 
     said = []
@@ -45,7 +47,7 @@ def runs(text: str, least: int, words: int) -> tuple[list[int], list[int], list[
         found = WORD.findall(text[a:b].lower())
         if found:
             said.append((k, len(found), " ".join(found)))
-    first, count, high, low = [], [], [], []
+    spans = []
     stop = total = 0
     for i in range(len(said)):
         if stop < i:
@@ -55,16 +57,29 @@ def runs(text: str, least: int, words: int) -> tuple[list[int], list[int], list[
             stop += 1
         if stop - i < least or total < words:
             break
+        spans.append((i, stop))
+        total -= said[i][1]
+    if ends:
+        i = total = 0
+        for stop in range(1, len(said) + 1):
+            total += said[stop - 1][1]
+            while i < stop and stop - i - 1 >= least and total - said[i][1] >= words:
+                total -= said[i][1]
+                i += 1
+            if stop - i >= least and total >= words:
+                spans.append((i, stop))
+        spans = sorted(set(spans)) or [(0, len(said))] * bool(said)
+    first, count, high, low = [], [], [], []
+    for i, stop in spans:
         digest = xxhash.xxh3_128_intdigest("\n".join(s for _, _, s in said[i:stop]).encode())
         first.append(said[i][0])
         count.append(said[stop - 1][0] - said[i][0] + 1)
         high.append((digest >> 64) - (1 << 63))
         low.append((digest & 0xFFFFFFFF) - (1 << 31))
-        total -= said[i][1]
     return first, count, high, low
 
 
-def repeated_sentences(rows: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
+def repeated_sentences(rows: DataFrame, least: int = 2, words: int = 20, ends: bool = True) -> DataFrame:
     """From doc_id, text and the row number: __row and `cover`, merged (first sentence, sentences) that an earlier run
     repeats. Earlier is a smaller (doc_id, row, sentence), null ids first."""
 
@@ -73,7 +88,7 @@ def repeated_sentences(rows: DataFrame, least: int = 2, words: int = 20) -> Data
             parts, size = [], 0
             for doc, row, text in zip(frame["doc_id"], frame[ROW], frame["text"], strict=True):
                 if text:
-                    parts.append((doc, row, *runs(text, least, words)))
+                    parts.append((doc, row, *runs(text, least, words, ends)))
                     size += len(parts[-1][2])
                 if size > 100_000:
                     yield pack(parts)
@@ -90,26 +105,28 @@ def repeated_sentences(rows: DataFrame, least: int = 2, words: int = 20) -> Data
 
     spans = rows.select("doc_id", ROW, "text").mapInPandas(hashed, f"doc_id bigint, {ROW} bigint, first int, n int, h1 bigint, h2 int")
     here = F.struct("doc_id", ROW, "first")
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(here).alias("source")).filter("times > 1").drop("times")
-    later = spans.join(firsts, ["h1", "h2"]).filter(here != F.col("source")).select(ROW, "first", (F.col("first") + F.col("n")).alias("stop"))
-    along = Window.partitionBy(ROW).orderBy("first")
+    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(here).alias("source")).filter("times > 1")
+    firsts = firsts.select("h1", "h2", F.col("source").getField(ROW).alias("in"), F.col("source.first").alias("at"))
+    later = spans.drop("doc_id").join(firsts, ["h1", "h2"]).filter((F.col(ROW) != F.col("in")) | (F.col("first") != F.col("at"))).select(ROW, "first", (F.col("first") + F.col("n")).alias("stop"))
+    along = Window.partitionBy(ROW).orderBy("first", "stop")
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("reach", reach).withColumn("piece", F.sum(F.when(F.col("first") <= F.col("reach"), 0).otherwise(1)).over(along))
     merged = later.groupBy(ROW, "piece").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
     return merged.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("cover"))
 
 
-def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
+def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20, ends: bool = False) -> DataFrame:
     """All columns of `docs`, text without the sentences that an earlier run covers, with n_removed (sentences) and
     removed (from, to in code points of the given text, in order).
 
-    The first occurrence stays, also within one document. Case, punctuation and spacing don't count. Runs of
-    under `words` words or `least` sentences never repeat anything. Null texts stay null; a document made of
+    Without `ends` only the shortest run from each sentence is looked up, so that the last sentences of a repeated passage
+    may stay. The first occurrence stays, also within one document. Case, punctuation and spacing don't count. Runs of
+    under `words` words or `least` sentences never repeat anything, unless they are the whole of both texts. Null texts stay null; a document made of
     repeats alone is left with an empty text. Repeated rows are repeats like any other; null ids come first. An
     empty table gives an empty result; columns named n_removed or removed are replaced.
     """
     rows = numbered(docs.drop("n_removed", "removed"))
-    cover = repeated_sentences(rows.select("doc_id", ROW, "text"), least, words)
+    cover = repeated_sentences(rows.select("doc_id", ROW, "text"), least, words, ends)
 
     @F.pandas_udf("text string, n_removed int, removed array<struct<start:int,stop:int>>")
     def cut(text: pd.Series, cover: pd.Series) -> pd.DataFrame:
@@ -133,4 +150,4 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    return dedup_spans(docs.select("doc_id", "text"))
+    return dedup_spans(docs.select("doc_id", "text"), ends=True)

@@ -1,11 +1,12 @@
 """Results that an earlier state of the code left incomplete, against hand-made cases and brute force."""
 
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
-from millrace.llm import similar
+from millrace.llm import similar, spans
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -68,3 +69,34 @@ def test_similar_components_equal_brute_force(spark):
     got = similar.without_similar(documents(spark, enumerate(texts)).coalesce(1)).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(root)) and 8 < len(set(root)) < 100
     assert similar.without_similar(documents(spark, enumerate(texts)).limit(0)).count() == 0
+
+
+# sentence spans
+
+
+def every_run(docs, least, words):
+    """All runs of consecutive sentences that are long enough, or a whole shorter text."""
+    seen, out = {}, []
+    for doc, text in docs:
+        parts = spans.sentences(text)
+        w = [re.findall(r"\w+", text[a:b].lower()) for a, b in parts]
+        said, gone = [k for k in range(len(parts)) if w[k]], set()
+        ranges = [(x, y) for x in range(len(said)) for y in range(x + least, len(said) + 1) if sum(len(w[k]) for k in said[x:y]) >= words]
+        for x, y in ranges or [(0, len(said))] * bool(said):
+            key = tuple(tuple(w[k]) for k in said[x:y])
+            if seen.setdefault(key, (doc, x)) != (doc, x):
+                gone |= set(range(said[x], said[y - 1] + 1))
+        out.append((doc, "".join(text[a:b] for k, (a, b) in enumerate(parts) if k not in gone)))
+    return out
+
+
+def test_spans_cover_every_repeated_run(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 5, 9, 15, 30]))) + ". " for _ in range(12)]
+    tail = " ".join(["long"] * 30) + ". five more words are here. and five others end it."
+    texts = ["Start. " + tail, "Other. " + tail, "Short text.", "short TEXT", "", "$$$"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    got = spans.deduped_documents(documents(spark, enumerate(texts))).collect()
+    want = dict(every_run(enumerate(texts), 2, 20))
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert want[1] == "Other. " and want[3] == ""
