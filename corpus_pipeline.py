@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated lines go, and documents of which nothing is left."""
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, min_chars=None)
     changed = F.col("n_removed") > 0
     found = found.filter(~changed | (F.trim("text") != ""))
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)

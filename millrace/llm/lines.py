@@ -72,25 +72,29 @@ def repeated_runs(rows: DataFrame, min_chars: int = 20) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     """All columns of `docs`, text without its later copies, with n_lines, n_removed (lines) and removed, the
     deleted stretches as (first_line, lines) in order.
 
     The first copy of a run stays, also within one document. Lines are compared without surrounding blanks; runs of
-    fewer than `min_chars` characters stay, so short lines go only inside a longer run. A null text stays null with
+    fewer than `min_chars` characters stay, so short lines go only inside a longer run. Without `min_chars` every run
+    goes, however short; blank lines go only where overlapping copies hold another line too. A null text stays null with
     n_lines 0; an empty text is one empty line. A document that consists of copies alone is left with an empty
     text. Repeated rows are copies like any other, null ids come first. An empty table gives an empty result. Columns
     named n_lines, n_removed or removed are replaced.
     """
     rows = numbered(docs.drop("n_lines", "n_removed", "removed"))
-    runs = repeated_runs(rows.select("doc_id", "text", ROW), min_chars)
+    runs = repeated_runs(rows.select("doc_id", "text", ROW), min_chars or 0)
     along = Window.partitionBy("doc").orderBy("first_line", "lines")
+    joins = F.col("first_line") < F.col("reach") if min_chars is None else F.col("first_line") <= F.col("reach")
     cover = runs.select("doc", "first_line", "lines", F.max(F.col("first_line") + F.col("lines")).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
-    cover = cover.withColumn("piece", F.sum(F.when(F.col("first_line") <= F.col("reach"), 0).otherwise(1)).over(along))
+    cover = cover.withColumn("piece", F.sum(F.when(joins, 0).otherwise(1)).over(along))
     cover = cover.groupBy("doc", "piece").agg(F.min("first_line").alias("first_line"), F.max(F.col("first_line") + F.col("lines")).alias("end"))
     gone = cover.groupBy(F.col("doc.row").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("first_line", (F.col("end") - F.col("first_line")).alias("lines")))).alias("removed"))
     joined = rows.join(gone, ROW, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<first_line:int,lines:int>>")))
     cut, zero = F.split("text", "\n", -1), F.array(F.lit(0))
+    if min_chars is None:
+        joined = joined.withColumn("removed", F.filter("removed", lambda r: F.exists(F.slice(cut, r["first_line"] + 1, r["lines"]), lambda line: F.trim(line) != "")))
     begins = F.concat(zero, F.transform("removed", lambda r: r["first_line"] + r["lines"]))
     ends = F.concat(F.transform("removed", lambda r: r["first_line"]), F.array(F.size(cut)))
     left = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(cut, b + 1, e - b)))
@@ -103,4 +107,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text"))
+    return dedup_lines(docs.select("doc_id", "text"), min_chars=None)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from millrace.llm import similar, spans
+from millrace.llm import lines, similar, spans
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -100,3 +100,14 @@ def test_spans_cover_every_repeated_run(spark):
     want = dict(every_run(enumerate(texts), 2, 20))
     assert {r["doc_id"]: r["text"] for r in got} == want
     assert want[1] == "Other. " and want[3] == ""
+
+
+# lines
+
+
+def test_short_repeated_lines_go(spark):
+    texts = ["And ornd.\n\nfirst", "second\n\nAnd ornd.", "}\nthird\n\n}", "\n\n", "\n\n", "a\n\nb\n\nc", "x\n\nb\n\nc\ny"]
+    got = {r["doc_id"]: r["text"] for r in lines.deduped_documents(documents(spark, enumerate(texts))).collect()}
+    assert got == {0: "And ornd.\n\nfirst", 1: "second\n", 2: "}\nthird\n", 3: "\n\n", 4: "\n\n", 5: "a\n\nb\n\nc", 6: "x\ny"}
+    kept = corpus_pipeline.line_dedup(spark, documents(spark, [(1, "And ornd.\none"), (2, "two\nAnd ornd.")]), "").collect()
+    assert sorted(r["text"] for r in kept) == ["And ornd.\none", "two"]
