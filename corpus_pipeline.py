@@ -12,8 +12,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents keep the language that is found in their text; those without one (`und`: no letter at all) go."""
-    found = language.identify(docs, language.fit(docs))
+    """Documents get the language that is found in their text; those without a letter go. Where no language could be
+    learned, the others keep the one they have."""
+    model = language.fit(docs)
+    if not model.families:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.identify(docs, model)
     return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

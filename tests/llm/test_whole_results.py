@@ -111,3 +111,11 @@ def test_short_repeated_lines_go(spark):
     assert got == {0: "And ornd.\n\nfirst", 1: "second\n", 2: "}\nthird\n", 3: "\n\n", 4: "\n\n", 5: "a\n\nb\n\nc", 6: "x\ny"}
     kept = corpus_pipeline.line_dedup(spark, documents(spark, [(1, "And ornd.\none"), (2, "two\nAnd ornd.")]), "").collect()
     assert sorted(r["text"] for r in kept) == ["And ornd.\none", "two"]
+
+
+# pipeline
+
+
+def test_language_stage_keeps_documents_when_nothing_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "Some clean text.", None, "s", 16), (2, "1 2 3", None, "s", 5), (3, None, None, "s", 0)], COLUMNS)
+    assert [(r["doc_id"], r["lang"]) for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [(1, None)]
