@@ -1,11 +1,16 @@
 """Line deduplication by a suffix array over line ids, in DataFrame functions only.
 
-Every line is a symbol, every position of a document a suffix. Prefix doubling names the blocks of 1, 2, 4, ...
-lines that begin at each suffix: the name of a block is made of the names of its two halves. A suffix whose block
-occurs nowhere else leaves the race, so each round works on fewer rows. Suffixes that share a name of 2^j lines are
-an interval of the suffix array whose longest common prefix is 2^j lines or more; its first suffix is the
-source, and all others are copies. Overlapping copies on the same diagonal (same document, same source document,
-same displacement) are one maximal repeated run.
+Every line is a symbol, every position of a document a suffix. Distributed prefix doubling ranks the blocks of 1, 2, 4, ...
+lines that begin at each suffix: the rank of a block is the place of the ranks of its two halves among all such
+pairs. A suffix whose block occurs nowhere else is alone and leaves, and the rounds end when all are alone, so the ranks
+that a suffix had, one after the other, are its place in the suffix array.
+
+An interval of the array whose longest common prefix is B lines or more is the set of suffixes that begin with the same B
+lines. Its first suffix in reading order is the source, all others begin a copy of B lines. The rounds give the intervals
+at powers of two; those between are found by descending: within the interval of 2^k lines, suffixes that part before
+2^(k+1) lines are compared by the ranks of what follows, which are the intervals at 2^k + 2^j lines, j < k, and so on
+with ever smaller powers. The deepest interval in which a suffix isn't the source is its longest earlier copy, and the
+copies that no other holds are the maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -16,60 +21,108 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, numbered, written
+from .common import ROW, joined_to_counted, numbered, release, written
 
-NAME = ["n1", "n2"]
+def here() -> Column:
+    return F.struct("doc", "at")
 
 
-def named(*of: str | Column) -> list[Column]:
-    """96 bits, in two columns."""
-    return [F.xxhash64(*of).alias("n1"), F.hash(*of).alias("n2")]
-
-
-def lines_of(rows: DataFrame) -> DataFrame:
-    """doc, at (line number from 0), name, start and stop (offsets in the text, counted in code points)."""
+def lines_of(rows: DataFrame, offsets: bool) -> DataFrame:
+    """doc, at (line number from 0), two hashes of the line; with `offsets` also where it starts and stops in the text."""
     cut = rows.filter(F.col("text").isNotNull()).select(F.struct(F.col("doc_id").alias("by"), F.col(ROW).alias("row")).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    slim = cut.select("doc", "at", *named(F.trim("line")), (F.length("line") + 1).cast("bigint").alias("n"))
-    upto = Window.partitionBy("doc").orderBy("at")
-    return slim.withColumn("stop", F.sum("n").over(upto)).select("doc", "at", *NAME, (F.col("stop") - F.col("n")).alias("start"), "stop")
-
-
-def shared(blocks: DataFrame) -> DataFrame:
-    """Blocks whose name occurs more than once, each with the first block of that name. Counts and minima are
-    made before the shuffle; the join back can be split where one name is common."""
-    here = F.struct("doc", "at")
-    firsts = blocks.groupBy(*NAME).agg(F.count("*").alias("times"), F.min(here).alias("source")).filter("times > 1").drop("times")
-    return blocks.join(firsts, NAME)
-
-
-def repeated_runs(rows: DataFrame, min_chars: int = 20) -> DataFrame:
-    """Maximal repeated runs with an earlier source: doc, first_line, lines, source, source_line, chars.
-
-    `rows` has doc_id, text and the row number. A run has at least `min_chars` characters, line ends between its
+    line = F.trim("line")
+    slim = cut.select("doc", "at", F.xxhash64(line).alias("left"), F.xxhash64(line, F.lit(1)).alias("right"), (F.length("line") + 1).cast("bigint").alias("n"))
+    if not offsets:
+        return slim.drop("n")
+    return slim.withColumn("stop", F.sum("n").over(Window.partitionBy("doc").orderBy("at"))).withColumn("start", F.col("stop") - F.col("n")).drop("n")
+
+
+def ranked(blocks: DataFrame, label: str) -> DataFrame:
+    """The suffixes whose block (`left`, `right`) occurs more than once: doc, at, `rank` in the order of (left, right) and
+    `first`, the earliest of them. Counts and minima are made before the shuffle, blocks that are common are split."""
+    names = blocks.groupBy("left", "right").agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1")
+    names = names.repartitionByRange("left", "right").sortWithinPartitions("left", "right").withColumn("rank", F.monotonically_increasing_id())
+    names = written(names, f"ranks-{label}")
+    found = written(joined_to_counted(blocks, names, ["left", "right"], blocks.rows).drop("left", "right", "times"), f"suffixes-{label}")
+    release(names)
+    return found
+
+
+def doubled(level: DataFrame, size: int) -> DataFrame:
+    """Blocks of twice `size` lines as pairs of the ranks of their halves, where both halves occur elsewhere."""
+    ahead = Window.partitionBy("doc").orderBy("at").rangeBetween(size, size)
+    return level.select("doc", "at", F.col("rank").alias("left"), F.first("rank").over(ahead).alias("right")).filter(F.col("right").isNotNull())
+
+
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines: the suffixes whose block isn't alone, with `rank` and `first`."""
+    levels = [ranked(lines, "1")]
+    while levels[-1].rows:
+        size = 1 << (len(levels) - 1)
+        blocks = written(doubled(levels[-1], size), "blocks")
+        levels.append(ranked(blocks, str(2 * size)))
+        release(blocks)
+    return levels
+
+
+def copies_between(levels: list[DataFrame]) -> list[DataFrame]:
+    """Copies (doc, at, lines, source) in the intervals at depths between powers of two, as written tables.
+
+    A node is an interval; its members are the earliest suffix of each of its parts that go on differently. What follows
+    the `shared` lines of a member has ranks in `below` levels that still may agree with those of another."""
+    members = []
+    for k in range(1, len(levels) - 1):
+        deeper = levels[k + 1].select("doc", "at", (here() != F.col("first")).alias("later"))
+        part = levels[k].join(deeper, ["doc", "at"], "left").filter(~F.coalesce("later", F.lit(False)))
+        node = F.struct(F.lit(k).cast("bigint").alias("a"), F.col("rank").alias("b"))
+        members.append(part.select("doc", "at", F.lit(k).alias("below"), F.lit(1 << k).alias("shared"), node.alias("node")))
+    if not members:
+        return []
+    ranks = reduce(DataFrame.unionAll, [x.select("doc", "at", F.struct(F.lit(k).alias("k"), "rank").alias("r")) for k, x in enumerate(levels)])
+    history = written(ranks.groupBy("doc", "at").agg(F.array_sort(F.collect_list("r")).alias("r")).select("doc", "at", F.col("r.rank").alias("ranks")), "histories")
+    work, found = written(reduce(DataFrame.unionAll, members), "members"), []
+    key = ["node", "shared", "j", "rank"]
+    while work.rows:
+        wanted = work.select("doc", (F.col("at") + F.col("shared")).alias("at"), F.col("at").alias("start"), "below", "shared", "node")
+        follow = wanted.join(history, ["doc", "at"]).select("doc", F.col("start").alias("at"), "shared", "node", F.slice("ranks", 1, F.col("below")).alias("ranks"))
+        after = F.get("ranks", F.col("j") + 1).alias("after")
+        placed = written(follow.select("*", F.posexplode("ranks").alias("j", "rank")).select("doc", "at", *key, after), "members-placed")
+        nodes = written(placed.groupBy(*key).agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1"), "nodes")
+        inside = written(joined_to_counted(placed, nodes, key, placed.rows), "members-inside")
+        depth = F.col("shared") + F.expr("shiftleft(1, j)")
+        found.append(inside.filter(here() != F.col("first")).select("doc", "at", depth.alias("lines"), F.col("first").alias("source")))
+        # Of members that share the next power of two as well only the earliest goes on: they part in a deeper interval.
+        going = inside.filter("j > 0 and after is not null").groupBy(*key, "after").agg(F.min(here()).alias("one")).select(*key, "one.*")
+        going = going.unionByName(inside.filter("j > 0 and after is null").select(*key, "doc", "at"))
+        node = F.struct(F.xxhash64("node", "j", "rank").alias("a"), F.xxhash64(F.lit(1), "node", "j", "rank").alias("b"))
+        release(work, placed, nodes)
+        work = written(going.select("doc", "at", F.col("j").alias("below"), depth.alias("shared"), node.alias("node")), "members")
+    release(work, history)
+    return found
+
+
+def repeated_runs(rows: DataFrame, min_chars: int = 0) -> DataFrame:
+    """Maximal repeated runs with an earlier source: doc, first_line, lines, source, source_line and, if `min_chars` is
+    given, chars. Runs that lie within another run aren't listed.
+
+    `rows` has doc_id, text and the row's identity. A run has at least `min_chars` characters, line ends between its
     lines included. Earlier means a smaller (doc_id, row, line), null ids first."""
-    level, size, found = written(shared(lines_of(rows)), "suffixes-1"), 1, []
-    while not level.isEmpty():
-        copies = level.filter(F.struct("doc", "at") != F.col("source"))
-        found.append(copies.select("doc", "at", F.lit(size).alias("lines"), "source", "start", "stop"))
-        ahead = Window.partitionBy("doc").orderBy("at").rangeBetween(size, size)
-        half = F.first(F.struct("n1", "n2", "stop")).over(ahead)
-        double = level.select("doc", "at", *NAME, "start", half.alias("half")).filter(F.col("half").isNotNull())
-        double = double.select("doc", "at", *named("n1", "n2", "half.n1", "half.n2"), "start", F.col("half.stop").alias("stop"))
-        size *= 2
-        level = written(shared(double), f"suffixes-{size}")
-    if not found:
-        found = [level.select("doc", "at", F.lit(0).alias("lines"), "source", "start", "stop")]
-    deepest = reduce(DataFrame.unionAll, found).groupBy("doc", "at").agg(F.max(F.struct("lines", "source", "start", "stop")).alias("b")).select("doc", "at", "b.*")
-    diagonal = Window.partitionBy("doc", "source_doc", "shift").orderBy("at")
-    runs = deepest.select("doc", "at", "lines", "start", "stop", F.col("source.doc").alias("source_doc"), (F.col("at") - F.col("source.at")).alias("shift"))
-    runs = runs.withColumn("reach", F.max(F.col("at") + F.col("lines")).over(diagonal.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = runs.withColumn("run", F.sum(F.when(F.col("at") <= F.col("reach"), 0).otherwise(1)).over(diagonal))
-    runs = runs.groupBy("doc", "source_doc", "shift", "run").agg(
-        F.min("at").alias("first_line"), F.max(F.col("at") + F.col("lines")).alias("end"), (F.max("stop") - F.min("start") - 1).alias("chars")
-    )
-    return runs.filter(F.col("chars") >= min_chars).select(
-        "doc", "first_line", (F.col("end") - F.col("first_line")).alias("lines"), F.col("source_doc").alias("source"), (F.col("first_line") - F.col("shift")).alias("source_line"), "chars"
-    )
+    lines = written(lines_of(rows, offsets=min_chars > 0), "lines")
+    levels = suffix_levels(lines)
+    between = copies_between(levels)
+    doubles = [x.filter(here() != F.col("first")).select("doc", "at", F.lit(1 << k).alias("lines"), F.col("first").alias("source")) for k, x in enumerate(levels)]
+    deepest = reduce(DataFrame.unionAll, doubles + between).groupBy("doc", "at").agg(F.max_by(F.struct("lines", "source"), "lines").alias("b"))
+    deepest = deepest.select("doc", F.col("at").alias("first_line"), F.col("b.lines").alias("lines"), F.col("b.source.doc").alias("source"), F.col("b.source.at").alias("source_line"))
+    stop = F.col("first_line") + F.col("lines")
+    before = F.max(stop).over(Window.partitionBy("doc").orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1))
+    runs = deepest.withColumn("before", before).filter(F.col("before").isNull() | (stop > F.col("before"))).drop("before")
+    if min_chars > 0:
+        runs = runs.join(lines.select("doc", F.col("at").alias("first_line"), "start"), ["doc", "first_line"]).withColumn("last", stop - 1)
+        runs = runs.join(lines.select("doc", F.col("at").alias("last"), "stop"), ["doc", "last"]).withColumn("chars", F.col("stop") - F.col("start") - 1).drop("last", "start", "stop")
+        runs = runs.filter(F.col("chars") >= min_chars)
+    runs = written(runs, "runs")
+    release(lines, *levels, *[x for x in between if hasattr(x, "written_to")])
+    return runs
 
 
 def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
@@ -81,9 +134,9 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     goes, however short; blank lines go only where overlapping copies hold another line too. A null text stays null with
     n_lines 0; an empty text is one empty line. A document that consists of copies alone is left with an empty
     text. Repeated rows are copies like any other, null ids come first. An empty table gives an empty result. Columns
-    named n_lines, n_removed or removed are replaced.
+    named n_lines, n_removed or removed are replaced, one named __row is left out.
     """
-    rows = numbered(docs.drop("n_lines", "n_removed", "removed"))
+    rows = numbered(docs).drop("n_lines", "n_removed", "removed")
     runs = repeated_runs(rows.select("doc_id", "text", ROW), min_chars or 0)
     along = Window.partitionBy("doc").orderBy("first_line", "lines")
     joins = F.col("first_line") < F.col("reach") if min_chars is None else F.col("first_line") <= F.col("reach")
@@ -100,11 +153,11 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     left = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(cut, b + 1, e - b)))
     n_removed = F.aggregate("removed", F.lit(0), lambda total, r: total + r["lines"])
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
-    out = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed")}
+    out = {c: F.col(f"`{c}`") for c in rows.columns if c != ROW}
     return joined.select(
         *[text if c == "text" else x for c, x in out.items()], F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).alias("n_lines"), n_removed.alias("n_removed"), "removed"
     )
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs.select("doc_id", "text"), min_chars=None)
+    return dedup_lines(docs, min_chars=None).select("doc_id", "text", "n_lines", "n_removed", "removed")

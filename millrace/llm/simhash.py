@@ -13,18 +13,19 @@ prune at that many within the block that it starts with and at `budget` in all;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, written
+from .common import joined_to_counted, release, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Subtrees are told apart by this many leading bits at most; it must not exceed the width of a block.
+#: Subtrees are told apart by this many leading bits at most; it must not exceed the width of a block, 64 // walks.
 PREFIX_BITS = 16
 
 
@@ -49,12 +50,12 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprinted(docs: DataFrame, width: int = 4, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """All columns of `docs` and a `fp` array with a signed 64-bit fingerprint for each seed. A null text is empty."""
+def fingerprinted(docs: DataFrame, width: int = 4) -> DataFrame:
+    """All columns of `docs` and `fp`, the signed 64-bit fingerprint. A null text is empty."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("bigint")
     def fp(text: pd.Series) -> pd.Series:
-        return pd.Series([np.array([fingerprint(t, width, s) for s in seeds], dtype=np.uint64).view(np.int64) for t in text])
+        return pd.Series(np.array([fingerprint(t, width) for t in text], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn("fp", fp("text"))
 
@@ -78,11 +79,11 @@ def components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
 
 
 class Walk:
-    """Pairs of trie nodes over sorted keys; a node is a range of them that agree in their first bits."""
+    """Pairs of trie nodes over sorted distinct keys; a node is a range of them that agree in their first bits. Pairs whose
+    members are all in one component already have nothing to add and aren't followed."""
 
-    def __init__(self, keys: np.ndarray, check: np.ndarray | None, budget: int, block: int, block_budget: int, check_budget: int):
-        self.keys, self.check = keys, check
-        self.budget, self.block, self.block_budget, self.check_budget = budget, block, block_budget, check_budget
+    def __init__(self, keys: np.ndarray, budget: int, block: int, block_budget: int):
+        self.keys, self.budget, self.block, self.block_budget = keys, budget, block, block_budget
         self.label = np.arange(len(keys))
 
     def run(self, depth: int, spans: np.ndarray, leaf: int = 8, chunk: int = 1 << 18) -> np.ndarray:
@@ -93,12 +94,20 @@ class Walk:
             if len(s) > chunk:
                 todo += [(depth, s[at : at + chunk]) for at in range(0, len(s), chunk)]
                 continue
+            s = self.open(s)
             small = ((s[:, 1] - s[:, 0] <= leaf) & (s[:, 3] - s[:, 2] <= leaf)) | (depth == 64)
             self.compare(s[small])
             if not small.all():
                 todo.append((depth + 1, self.children(s[~small], depth)))
         return self.label
 
+    def open(self, s: np.ndarray) -> np.ndarray:
+        """The pairs whose members aren't all in one component."""
+        changes = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        uniform = (changes[s[:, 0]] == changes[s[:, 1] - 1]) & (changes[s[:, 2]] == changes[s[:, 3] - 1])
+        alone = (s[:, 0] == s[:, 2]) & (s[:, 1] - s[:, 0] == 1)
+        return s[~(alone | uniform & (self.label[s[:, 0]] == self.label[s[:, 2]]))]
+
     def children(self, s: np.ndarray, depth: int) -> np.ndarray:
         """Child pairs whose prefixes of depth + 1 bits may still be within budget."""
         one = np.uint64(1) << np.uint64(63 - depth)
@@ -120,86 +129,95 @@ class Walk:
         """Links among all members of small nodes."""
         if not len(s):
             return
-        n, m = s[:, 1] - s[:, 0], s[:, 3] - s[:, 2]
-        sizes = np.cumsum(n * m)
+        sizes = np.cumsum((s[:, 1] - s[:, 0]) * (s[:, 3] - s[:, 2]))
         cuts = [0, *np.unique(np.searchsorted(sizes, np.arange(most, sizes[-1] + most, most), side="right")).tolist(), len(s)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            for a, b in self.members(s[lo:hi], most):
-                d = np.bitwise_count(self.keys[a] ^ self.keys[b]) <= self.budget
-                if self.check is not None:
-                    a, b = a[d], b[d]
-                    d = np.bitwise_count(self.check[a] ^ self.check[b]) <= self.check_budget
-                self.label = components(len(self.label), a[d], b[d], self.label)
+            if lo < hi:
+                a, b = self.members(s[lo:hi])
+                near = np.bitwise_count(self.keys[a] ^ self.keys[b]) <= self.budget
+                self.label = components(len(self.label), a[near], b[near], self.label)
 
     @staticmethod
-    def members(s: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(s) == 1 and (s[0, 1] - s[0, 0]) * (s[0, 3] - s[0, 2]) > most:  # equal keys with different checks
-            right = np.arange(s[0, 2], s[0, 3])
-            for a in range(s[0, 0], s[0, 1]):
-                yield np.full(len(right), a), right
-            return
-        n, m = s[:, 1] - s[:, 0], s[:, 3] - s[:, 2]
-        size = n * m
+    def members(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = s[:, 3] - s[:, 2]
+        size = (s[:, 1] - s[:, 0]) * m
         k = np.repeat(np.arange(len(s)), size)
         at = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
         a, b = s[k, 0] + at // m[k], s[k, 2] + at % m[k]
-        yield a[a != b], b[a != b]
+        return a[a != b], b[a != b]
 
 
 def turned(keys: np.ndarray, by: int) -> np.ndarray:
     return keys if by == 0 else (keys << np.uint64(by)) | (keys >> np.uint64(64 - by))
 
 
-def linked_nodes(nodes: DataFrame, budget: int = 4, walks: int = 3, check_budget: int = 0, block_rows: int = 1 << 15) -> DataFrame:
-    """Edges (a, b) between `nodes` (node, fp) that connect what is within `budget` bits of the first
-    fingerprint (and `check_budget` of the second, if there is one): forests, not all pairs. `nodes` is
-    read several times, so it should be a written table."""
-    width = 64 // walks
-    within = budget // walks
-    top = F.col("fp")[0]
-    turned_top = F.when(F.col("walk") == 0, top).otherwise(F.expr(f"shiftleft(fp[0], walk * {width}) | shiftrightunsigned(fp[0], 64 - walk * {width})"))
-    placed = nodes.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("prefix", F.shiftrightunsigned(turned_top, 64 - PREFIX_BITS).cast("int"))
-    counts = written(placed.groupBy("walk", "prefix").count(), "trie-counts")
-    bits = PREFIX_BITS
-    for b in range(0, PREFIX_BITS, 2):  # the shallowest depth at which no subtree is too large
-        most = counts.groupBy("walk", F.shiftright("prefix", PREFIX_BITS - b)).agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
-        if (most or 0) <= block_rows:
-            bits = b
-            break
-    near = [0, *[sum(1 << k for k in ks) for r in range(1, within + 1) for ks in _choose(bits, r)]]
-    own = F.shiftright("prefix", PREFIX_BITS - bits)
-    partner = F.transform(F.array(*[F.lit(x) for x in near]), lambda x: own.bitwiseXOR(x))
-    pairs = placed.withColumn("other", F.explode(partner)).select(
-        "node", "fp", "walk", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"), own.alias("own")
-    )
+def subtrees(counts: np.ndarray, block_rows: int) -> np.ndarray:
+    """For each prefix of PREFIX_BITS bits the depth of its subtree: the shallowest that holds at most `block_rows`."""
+    depth = np.full(len(counts), PREFIX_BITS)
+    for d in range(PREFIX_BITS, -1, -1):
+        held = counts.reshape(1 << d, -1).sum(axis=1)
+        depth[np.repeat(held <= block_rows, len(counts) >> d)] = d
+    return depth
+
+
+def partners(depth: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (low, high) of subtrees, given by their first prefix, that differ in at most `within` of the bits that both fix."""
+    first = np.arange(len(depth)) >> (PREFIX_BITS - depth) << (PREFIX_BITS - depth)
+    flips = [0, *[sum(1 << k for k in ks) for r in range(1, within + 1) for ks in combinations(range(PREFIX_BITS), r)]]
+    pairs = []
+    for flip in flips:  # any two prefixes of theirs that differ in so few bits show that a pair is near
+        other = first[np.arange(len(depth)) ^ flip]
+        pairs.append(np.unique(np.minimum(first, other) << PREFIX_BITS | np.maximum(first, other)))
+    code = np.unique(np.concatenate(pairs))
+    return code >> PREFIX_BITS, code & ((1 << PREFIX_BITS) - 1)
+
+
+def linked_nodes(nodes: DataFrame, budget: int = 4, walks: int = 3, block_rows: int = 1 << 17) -> DataFrame:
+    """Edges (a, b) between `nodes` (node, fp: distinct fingerprints) that connect what is within `budget` bits: forests,
+    not all pairs. `nodes` is read several times, so it should be a written table.
+
+    Each walk cuts its trie into subtrees of at most `block_rows` fingerprints, deeper only where it is dense, and a task
+    gets a pair of subtrees. The driver sees 2^16 counts for each walk, whatever the input."""
+    width, within, bits = 64 // walks, budget // walks, PREFIX_BITS
+    turned_fp = F.when(F.col("walk") == 0, F.col("fp")).otherwise(F.expr(f"shiftleft(fp, walk * {width}) | shiftrightunsigned(fp, 64 - walk * {width})"))
+    placed = nodes.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("prefix", F.shiftrightunsigned(turned_fp, 64 - bits).cast("int"))
+    counts = np.zeros((walks, 1 << bits), dtype=np.int64)
+    seen = placed.groupBy("walk", "prefix").count().toArrow().to_pandas()
+    counts[seen["walk"], seen["prefix"]] = seen["count"]
+    trees, meets = [], []
+    for walk in range(walks):
+        depth = subtrees(counts[walk], block_rows)
+        used = np.flatnonzero(counts[walk])
+        first = used >> (bits - depth[used]) << (bits - depth[used])
+        trees.append(pd.DataFrame({"walk": walk, "prefix": used, "own": first, "depth": depth[used]}))
+        low, high = partners(depth, within)
+        some = np.isin(low, first) & np.isin(high, first)
+        low, high = low[some], high[some]
+        meets += [pd.DataFrame({"walk": walk, "own": x, "low": low, "high": high}) for x in (low, high)]
+    spark = nodes.sparkSession
+    trees = spark.createDataFrame(pa.Table.from_pandas(pd.concat(trees).astype("int32"), preserve_index=False))
+    meets = spark.createDataFrame(pa.Table.from_pandas(pd.concat(meets).drop_duplicates().astype("int32"), preserve_index=False))
+    own = placed.join(F.broadcast(trees), ["walk", "prefix"])  # both have at most walks * 2^16 prefixes
+    pairs = own.join(F.broadcast(meets), ["walk", "own"]).select("node", "fp", "walk", "low", "high", "own", "depth")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         turn, low, high = (int(group[c].iloc[0]) for c in ("walk", "low", "high"))
-        fps = np.stack(group["fp"].to_numpy()).astype(np.int64).view(np.uint64)
-        keys = turned(fps[:, 0], turn * width)
+        keys = turned(group["fp"].to_numpy().astype(np.int64).view(np.uint64), turn * width)
         order = np.argsort(keys, kind="stable")
-        keys, node = keys[order], group["node"].to_numpy()[order]
-        check = fps[order, 1] if fps.shape[1] > 1 else None
-        cut = int(np.searchsorted(group["own"].to_numpy()[order], low, side="right")) if low != high else len(keys)
+        keys, node, mine, depth = keys[order], group["node"].to_numpy()[order], group["own"].to_numpy()[order], group["depth"].to_numpy()[order]
         none = pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
+        cut = int(np.searchsorted(mine, low, side="right")) if low != high else len(keys)
         if low != high and cut in (0, len(keys)):
             return none
         start = np.array([[0, cut, 0, cut]] if low == high else [[0, cut, cut, len(keys)]])
-        label = Walk(keys, check, budget, width, within, check_budget).run(bits, start)
+        # A deeper subtree is one node at the depth of the shallower one, too.
+        label = Walk(keys, budget, width, within).run(int(depth.min()), start)
         child = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": node[child], "b": node[label[child]]}) if len(child) else none
 
     return pairs.groupBy("walk", "low", "high").applyInPandas(walk, "a bigint, b bigint")
 
 
-def _choose(n: int, r: int):
-    from itertools import combinations
-
-    return combinations(range(n), r)
-
-
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: root is the smallest of its component. Large-star and
     small-star rounds, each written, until nothing changes; joins on hot centres can be split by AQE."""
@@ -207,54 +225,43 @@ def star_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.count("*").alias("times"), F.least(F.min("b"), F.first("a")).alias("m")), "star-least")
+        large = joined_to_counted(both, least, ["a"], 2 * e.rows).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.filter("a <> b").distinct(), "star-large")
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lows.select("a", F.col("m").alias("b")))
-        e = written(small.filter("a <> b").distinct(), "star")
+        last, e = e, written(small.filter("a <> b").distinct(), "star")
+        release(last, least, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
-def near_duplicates(
-    docs: DataFrame,
-    width: int = 4,
-    budget: int = 4,
-    walks: int = 3,
-    seeds: tuple[int, ...] = (42,),
-    check_budget: int = 0,
-    label: str = "doc_id",
-    keep: tuple[str, ...] | None = None,
-) -> DataFrame:
+def named_components(nodes: DataFrame, roots: DataFrame, least: str) -> DataFrame:
+    """`nodes` (node, ...) with `component`, the smallest `least` of all nodes that share a root. A root of many nodes is split."""
+    placed = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-nodes")
+    names = written(placed.groupBy("root").agg(F.count("*").alias("times"), F.min(least).alias("component")), "components")
+    return joined_to_counted(placed, names, ["root"], placed.rows).drop("times", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, walks: int = 3, label: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all, if not given), with `fp` and `component_id`, the smallest `label` in the
     component.
 
-    Documents are linked if their fingerprints differ in at most `budget` bits; with a second seed, those must
-    also differ in at most `check_budget` bits. A null or blank text has fingerprint zero and is linked like any
-    other. Null ids take part; a component without any id has a null component_id. Repeated rows and ties share a
-    component. An empty table gives an empty result; columns named fp or component_id are replaced.
+    Documents are linked if their fingerprints differ in at most `budget` bits. A null or blank text has fingerprint zero
+    and is linked like any other. Null ids take part; a component without any id has a null component_id. Repeated rows and
+    ties share a component. An empty table gives an empty result; columns named fp or component_id are replaced.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("fp", "component_id")]
-    rows = fingerprinted(docs.drop("fp", "component_id"), width, seeds).select(*[F.col(f"`{c}`") for c in kept], "fp")
+    rows = fingerprinted(docs.drop("fp", "component_id"), width).select(*[F.col(f"`{c}`") for c in kept], "fp")
     rows = written(rows, "fingerprints")
-    name = F.col("fp")[0] if len(seeds) == 1 else F.xxhash64("fp")
-    nodes = written(rows.groupBy("fp").agg(F.min(f"`{label}`").alias("least_id")).withColumn("node", name), "fingerprint-nodes")
-    roots = star_components(linked_nodes(nodes.select("node", "fp"), budget, walks, check_budget))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(*[F.col(f"`{c}`") for c in kept], "fp", "component_id")
-
-
-def without_near_duplicates(docs: DataFrame, order: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` of which no earlier one (by `order`, nulls first, then as read) is in the same component."""
-    rows = numbered(docs)
-    found = near_duplicates(rows.withColumn("__order", F.struct(F.col(f"`{order}`").alias("by"), F.col(ROW).alias("row"))), label="__order", keep=("__order",), **how)
-    return rows.join(found.filter(F.col("__order") != F.col("component_id")).select(F.col("__order.row").alias(ROW)), ROW, "left_anti").drop(ROW)
+    nodes = written(rows.groupBy("fp").agg(F.min(f"`{label}`").alias("least_id"), F.count("*").alias("copies")).withColumn("node", F.col("fp")), "fingerprint-nodes")
+    roots = star_components(linked_nodes(nodes.select("node", "fp"), budget, walks))
+    named = named_components(nodes, roots, "least_id").select("fp", F.col("copies").alias("times"), F.col("component").alias("component_id"))
+    return joined_to_counted(rows, written(named, "named-fingerprints"), ["fp"], rows.rows).select(*[F.col(f"`{c}`") for c in kept], "fp", "component_id")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), keep=("doc_id",))
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,8 +1,11 @@
-"""Near-duplicates by shingle similarity: candidates by min-hashes, every link verified exactly.
+"""Near-duplicates by shingle similarity: candidates by SimHash tries and min-hashes, every link verified exactly.
 
-Texts with the same set of shingles are one node. Two nodes are candidates if they agree in one band of min-hashes; with
-30 bands of five, a pair of similarity 0.8 is missed once in about 150,000 times and a closer one more rarely. No candidate is
-a link before the similarity of the two whole sets has been computed.
+Texts with the same set of shingles are one node. The tries of operator 4 propose the nodes whose fingerprints are near; at a
+similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, with a deviation of 2.9, so a budget that misses
+few such pairs would be 18 bits, where the tries no longer prune and one in 4000 unrelated pairs is a candidate. So pairs in
+different components that agree in one band of min-hashes are candidates, too; with 30 bands of five, a pair of similarity
+0.8 is missed once in about 150,000 times and a closer one more rarely. No candidate is a link before the similarity of
+the two whole sets has been computed.
 
 Pairs within one component need no check. So the members of a bucket are first compared with one of them, which joins
 most of a group of near copies, and then all pairs of a bucket that still lie in different components follow.
@@ -15,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, written
-from .simhash import LOWER, WORD, star_components
+from .common import ROW, joined_to_counted, numbered, release, written
+from .simhash import LOWER, WORD, linked_nodes, named_components, star_components
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -39,11 +42,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int, bands: int, each: int) -> DataFrame:
-    """`docs` with `sketch`: 128 bits of the set of shingles (h1, h2), its size n and a key for each band."""
+    """`docs` with `sketch`: 128 bits of the set of shingles (h1, h2), its size n, its fingerprint fp (each bit decided by
+    over half of the shingles) and a key for each band."""
     rng = np.random.default_rng(8)
     turn, times, mix = (rng.integers(0, 1 << 63, bands * each, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(3))
 
-    @F.pandas_udf("h1 bigint, h2 bigint, n int, keys array<bigint>")
+    @F.pandas_udf("h1 bigint, h2 bigint, n int, fp bigint, keys array<bigint>")
     def sketch(text: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -51,71 +55,85 @@ def sketched(docs: DataFrame, width: int, bands: int, each: int) -> DataFrame:
         for t in text:
             h = shingles(t, width)
             d = xxhash.xxh3_128_intdigest(h.tobytes())
-            least = np.full(len(times), ~np.uint64(0))
+            least, votes = np.full(len(times), ~np.uint64(0)), np.zeros(64, dtype=np.int64)
             for at in range(0, len(h), 2048):
                 x = (h[at : at + 2048] ^ (h[at : at + 2048] >> np.uint64(29)))[:, None]
                 least = np.minimum(least, ((x ^ turn) * times).min(axis=0))
+                votes += np.unpackbits(h[at : at + 2048].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             keys = ((least ^ least >> np.uint64(31)) * mix).reshape(bands, each).sum(axis=1, dtype=np.uint64).view(np.int64)
-            out.append(((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), len(h), keys))
-        return pd.DataFrame(out, columns=["h1", "h2", "n", "keys"])
+            fp = int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
+            out.append(((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), len(h), fp, keys))
+        return pd.DataFrame(out, columns=["h1", "h2", "n", "fp", "keys"])
 
     return docs.withColumn("sketch", sketch("text"))
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The `pairs` (a, b) of row numbers whose sets of shingles have a similarity of `least` or more."""
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The `pairs` (a, b) of nodes whose sets of shingles have a similarity of `least` or more. A node's text is that of its
+    row `at.row`."""
 
     @F.pandas_udf("array<bigint>")
     def hashes(text: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, width).view(np.int64) for t in text])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias(ROW)).distinct()
-    sets = written(rows.select(ROW, "text").join(needed, ROW).select(ROW, hashes("text").alias("h")), "shingle-sets")
-    both = pairs.join(sets.select(F.col(ROW).alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col(ROW).alias("b"), F.col("h").alias("y")), "b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("at.row").alias(ROW)), "node")
+    sets = written(rows.select(ROW, "text").join(needed, ROW).select("node", hashes("text").alias("h")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
-    return both.filter(F.col("same") / (F.col("n") - F.col("same")) >= least).select("a", "b")
-
-
-def linked(nodes: DataFrame, rows: DataFrame, width: int, least: float, rounds: int = 2) -> DataFrame:
-    """(node, root) for every one of `nodes` (node, n, keys) that is similar to another, root being the smallest of its
-    component. `nodes` and `rows` are read several times."""
-    placed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").count().filter("count > 1").select("key")
-    at = written(placed.join(shared, "key").withColumn("part", F.col("node")), "buckets")
-    tried = links = roots = None
+    found = written(both.filter(F.col("same") / (F.col("n") - F.col("same")) >= least).select("a", "b"), "links")
+    release(sets)
+    return found
+
+
+def linked(nodes: DataFrame, rows: DataFrame, width: int, least: float, budget: int, walks: int, rounds: int = 2) -> DataFrame:
+    """(node, root) for every one of `nodes` (node, at, n, fp, keys) that is similar to another, root being the smallest of
+    its component. `nodes` and `rows` are read several times."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    near = linked_nodes(prints.select("node", "fp"), budget, walks)
+    same = nodes.select("fp", F.col("node").alias("a")).join(prints.withColumnRenamed("node", "b"), "fp").filter("a <> b").select("a", "b")
+    pairs = near.unionByName(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tried = written(pairs, "candidates")
+    links = similar_pairs(tried, nodes, rows, width, least)
+    roots = written(star_components(links), "parts")
+    at = nodes.select("node", "n", F.explode("keys").alias("key"))
     for turn in range(rounds + 1):
+        # Only buckets that hold several components have pairs left.
+        at = at.join(roots.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        mixed = at.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+        at = written(at.join(mixed, "key", "left_semi"), "buckets")
+        if not at.rows:
+            break
         there = at.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
         if turn < rounds:
             first = F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("by"), "b", "m", "other")).alias("f")
-            there = there.groupBy("key").agg(first).select("key", "f.b", "f.m", "f.other")
-        pairs = at.join(there, "key").filter("part <> other").filter(F.least("n", "m") >= F.greatest("n", "m") * least)
+            there = there.groupBy("key").agg(F.count("*").alias("times"), first).select("key", "times", "f.b", "f.m", "f.other")
+            pairs = joined_to_counted(at, written(there, "bucket-firsts"), ["key"], at.rows)
+        else:
+            pairs = at.join(there, "key")
+        pairs = pairs.filter("part <> other").filter(F.least("n", "m") >= F.greatest("n", "m") * least)
         pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        found = written(similar_pairs(pairs, rows, width, least), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if roots is None or not found.isEmpty():
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        found = similar_pairs(pairs, nodes, rows, width, least)
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if found.rows:
             roots = written(star_components(links), "parts")
-        if turn < rounds:
-            at = at.drop("part").join(roots.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-            mixed = at.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-            at = written(at.join(mixed, "key", "left_semi"), "buckets")
-            if at.isEmpty():
-                break
+        at = at.drop("part")
     return roots
 
 
-def without_similar(docs: DataFrame, order: str = "doc_id", width: int = 5, least: float = 0.8, bands: int = 30, each: int = 5) -> DataFrame:
+def without_similar(
+    docs: DataFrame, order: str = "doc_id", width: int = 5, least: float = 0.8, budget: int = 8, walks: int = 4, bands: int = 30, each: int = 5
+) -> DataFrame:
     """The rows of `docs` of which no earlier one (by `order`, nulls first, then as read) is in the same component of texts
-    with a shingle similarity of `least` or more. Texts without a word are equal."""
+    with a shingle similarity of `least` or more. Texts without a word are equal, null texts are such. Repeated rows are
+    copies, of which one stays. An empty table gives an empty result. A column named __row is left out, others may have any name."""
     rows = numbered(docs)
     here = F.struct(F.col(f"`{order}`").alias("by"), F.col(ROW).alias("row")).alias("at")
     marks = written(sketched(rows.select(here, "text"), width, bands, each).select("at", "sketch.*"), "sketches")
-    nodes = marks.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(nodes.withColumn("node", F.col("at.row")), "sketch-nodes")
-    roots = linked(nodes.select("node", "n", "keys"), rows, width, least)
-    placed = nodes.select("h1", "h2", "at", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.groupBy("root").agg(F.min("at").alias("first"))
-    firsts = placed.select("h1", "h2", "root").join(named, "root").select("h1", "h2", "first")
-    gone = marks.select("at", "h1", "h2").join(firsts, ["h1", "h2"]).filter(F.col("at") != F.col("first")).select(F.col("at.row").alias(ROW))
+    nodes = marks.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    roots = linked(nodes, rows, width, least, budget, walks)
+    named = named_components(nodes.select("h1", "h2", "copies", "at", "node"), roots, "at").select("h1", "h2", F.col("copies").alias("times"), F.col("component").alias("first"))
+    firsts = joined_to_counted(marks.select("at", "h1", "h2"), written(named, "named-sketches"), ["h1", "h2"], marks.rows)
+    gone = written(firsts.filter(F.col("at") != F.col("first")).select(F.col("at.row").alias(ROW)), "later-copies")
     return rows.join(gone, ROW, "left_anti").drop(ROW)

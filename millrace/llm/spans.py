@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, numbered
+from .common import ROW, joined_to_counted, numbered, release, written
 
 #: A sentence ends with its stops and quotes before white space, at a line end, or at a row of three or more marks.
 BREAK = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+|[。！？]|\n\s*|\s*[-#$%&*=~_|<>]{3,}\s*")
@@ -80,39 +80,43 @@ def runs(text: str, least: int, words: int, ends: bool = True) -> tuple[list[int
 
 
 def repeated_sentences(rows: DataFrame, least: int = 2, words: int = 20, ends: bool = True) -> DataFrame:
-    """From doc_id, text and the row number: __row and `cover`, merged (first sentence, sentences) that an earlier run
-    repeats. Earlier is a smaller (doc_id, row, sentence), null ids first."""
+    """From doc_id, text and the row's identity: __row and `cover`, merged (first sentence, sentences) that an earlier run
+    repeats. Earlier is a smaller (doc_id, row, sentence), null ids first. The texts are hashed once; the spans are a
+    written table, of which hashes that are common are joined without a shuffle."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts, size = [], 0
-            for doc, row, text in zip(frame["doc_id"], frame[ROW], frame["text"], strict=True):
+            for doc, file, at, text in zip(frame["doc_id"], frame["file"], frame["at"], frame["text"], strict=True):
                 if text:
-                    parts.append((doc, row, *runs(text, least, words, ends)))
-                    size += len(parts[-1][2])
+                    parts.append((doc, file, at, *runs(text, least, words, ends)))
+                    size += len(parts[-1][3])
                 if size > 100_000:
                     yield pack(parts)
                     parts, size = [], 0
             yield pack(parts)
 
     def pack(parts: list[tuple]) -> pd.DataFrame:
-        n = [len(p[2]) for p in parts]
+        n = [len(p[3]) for p in parts]
         docs = pd.array([None if pd.isna(p[0]) else int(p[0]) for p in parts], dtype="Int64")
+        each = lambda k: np.repeat(np.array([p[k] for p in parts], dtype=np.int64), n)
         cat = lambda k, kind: np.concatenate([np.zeros(0, dtype=kind), *[np.array(p[k], dtype=kind) for p in parts]])
-        return pd.DataFrame(
-            {"doc_id": docs.repeat(n), ROW: np.repeat(np.array([p[1] for p in parts], dtype=np.int64), n), "first": cat(2, "i4"), "n": cat(3, "i4"), "h1": cat(4, "i8"), "h2": cat(5, "i4")}
-        )
-
-    spans = rows.select("doc_id", ROW, "text").mapInPandas(hashed, f"doc_id bigint, {ROW} bigint, first int, n int, h1 bigint, h2 int")
-    here = F.struct("doc_id", ROW, "first")
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(here).alias("source")).filter("times > 1")
-    firsts = firsts.select("h1", "h2", F.col("source").getField(ROW).alias("in"), F.col("source.first").alias("at"))
-    later = spans.drop("doc_id").join(firsts, ["h1", "h2"]).filter((F.col(ROW) != F.col("in")) | (F.col("first") != F.col("at"))).select(ROW, "first", (F.col("first") + F.col("n")).alias("stop"))
+        return pd.DataFrame({"doc_id": docs.repeat(n), "file": each(1), "at": each(2), "first": cat(3, "i4"), "n": cat(4, "i4"), "h1": cat(5, "i8"), "h2": cat(6, "i4")})
+
+    texts = rows.select("doc_id", f"{ROW}.file", f"{ROW}.at", "text")
+    spans = written(texts.mapInPandas(hashed, "doc_id bigint, file bigint, at bigint, first int, n int, h1 bigint, h2 int"), "spans")
+    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "file", "at", "first")).alias("source")).filter("times > 1")
+    firsts = written(firsts.select("h1", "h2", "times", *[F.col(f"source.{c}").alias(f"source_{c}") for c in ("file", "at", "first")]), "first-spans")
+    same = (F.col("file") == F.col("source_file")) & (F.col("at") == F.col("source_at")) & (F.col("first") == F.col("source_first"))
+    later = joined_to_counted(spans.drop("doc_id"), firsts, ["h1", "h2"], spans.rows).filter(~same)
+    later = later.select(F.struct("file", "at").alias(ROW), "first", (F.col("first") + F.col("n")).alias("stop"))
     along = Window.partitionBy(ROW).orderBy("first", "stop")
     reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("reach", reach).withColumn("piece", F.sum(F.when(F.col("first") <= F.col("reach"), 0).otherwise(1)).over(along))
     merged = later.groupBy(ROW, "piece").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
-    return merged.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("cover"))
+    cover = written(merged.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("cover")), "covers")
+    release(spans, firsts)
+    return cover
 
 
 def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20, ends: bool = False) -> DataFrame:
@@ -123,9 +127,10 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20, ends: bool = F
     may stay. The first occurrence stays, also within one document. Case, punctuation and spacing don't count. Runs of
     under `words` words or `least` sentences never repeat anything, unless they are the whole of both texts. Null texts stay null; a document made of
     repeats alone is left with an empty text. Repeated rows are repeats like any other; null ids come first. An
-    empty table gives an empty result; columns named n_removed or removed are replaced.
+    empty table gives an empty result; columns named n_removed or removed are replaced,
+    one named __row is left out.
     """
-    rows = numbered(docs.drop("n_removed", "removed"))
+    rows = numbered(docs).drop("n_removed", "removed")
     cover = repeated_sentences(rows.select("doc_id", ROW, "text"), least, words, ends)
 
     @F.pandas_udf("text string, n_removed int, removed array<struct<start:int,stop:int>>")
@@ -150,4 +155,4 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20, ends: bool = F
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    return dedup_spans(docs.select("doc_id", "text"), ends=True)
+    return dedup_spans(docs, ends=True).select("doc_id", "text", "n_removed", "removed")

@@ -158,7 +158,7 @@ def test_trie_join_misses_no_link(spark, budget, walks):
             fps.append(f)
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(f, [f]) for f in signed], "node bigint, fp array<bigint>")
+    nodes = spark.createDataFrame([(f, f) for f in signed], "node bigint, fp bigint")
     edges = simhash.linked_nodes(nodes, budget, walks, block_rows=40)
     pairs = edges.collect()
     assert all((p["a"] ^ p["b"]) != 0 for p in pairs)
@@ -205,35 +205,32 @@ def test_one_of_each_group_stays(spark):
 
 
 def brute_lines(docs, least):
+    """Every run of every length is looked up; the longest with an earlier copy goes if it has `least` characters."""
     raw = [[] if t is None else t.split("\n") for _, t in docs]
     trimmed = [[x.strip(" ") for x in r] for r in raw]
-    deepest, size = {}, 1
-    while True:
-        seen, found = {}, False
-        for k, ls in enumerate(trimmed):
-            for p in range(len(ls) - size + 1):
-                key = tuple(ls[p : p + size])
-                if key in seen:
-                    deepest[k, p], found = (size, seen[key]), True
-                else:
-                    seen[key] = (k, p)
-        if not found:
-            break
-        size *= 2
-    along, gone = collections.defaultdict(list), collections.defaultdict(set)
-    for (k, p), (n, (sk, sp)) in sorted(deepest.items()):
-        runs = along[k, sk, p - sp]
-        if runs and p <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], p + n)
-        else:
-            runs.append([p, p + n])
-    for (k, _, _), runs in along.items():
-        for a, b in runs:
-            if len("\n".join(raw[k][a:b])) >= least:
-                gone[k] |= set(range(a, b))
+    deepest, size, starts = {}, 1, [(k, p) for k, r in enumerate(raw) for p in range(len(r))]
+    while starts:
+        seen, met = set(), collections.Counter(tuple(trimmed[k][p : p + size]) for k, p in starts)
+        for k, p in starts:
+            key = tuple(trimmed[k][p : p + size])
+            if key in seen:
+                deepest[k, p] = size
+            seen.add(key)
+        starts = [(k, p) for k, p in starts if met[tuple(trimmed[k][p : p + size])] > 1 and p + size < len(raw[k])]
+        size += 1
+    gone = collections.defaultdict(set)
+    for (k, p), n in deepest.items():
+        if len("\n".join(raw[k][p : p + n])) >= least:
+            gone[k] |= set(range(p, p + n))
     return sorted((str(d), str(None if t is None else "\n".join(x for i, x in enumerate(raw[k]) if i not in gone[k]))) for k, (d, t) in enumerate(docs))
 
 
+def test_a_run_pieced_together_from_two_sources(spark):
+    rows = [(1, "xxxxxxx\nyyyyyyy\nq"), (2, "yyyyyyy\nzzzzzzz\nr"), (3, "xxxxxxx\nyyyyyyy\nzzzzzzz\ns"), (4, "t\nxxxxxxx\nyyyyyyy\nzzzzzzz")]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), 20).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 3}
+
+
 def test_lines_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
