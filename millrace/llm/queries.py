@@ -31,7 +31,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), factor=2.0)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
