@@ -9,12 +9,15 @@ in overlapping bands of diagonals; only bands that reach this bound are aligned,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ROW, numbered, written
+
 Q = 10
 #: Hash of a q-gram: powers 1, 2 and 4 of an odd multiplier, modulo 2^64.
 BASES = [np.uint64(pow(0x9E3779B97F4A7C15, e, 1 << 64)) for e in (1, 2, 4)]
@@ -183,21 +186,17 @@ def banded(c: np.ndarray, parts: list[np.ndarray], first: np.ndarray, width: int
 
 
 def blocks_of(items: DataFrame, block_chars: int) -> list[DataFrame]:
-    """`items` in parts of about `block_chars` characters, so that what one broadcast holds is bounded."""
+    """`items` in parts of about `block_chars` characters, so that what one broadcast holds is bounded. Repeated items count once."""
+    items = items.select("item_id", "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def matches(text: Column, items: DataFrame, segment: int = 100, rate: float = 0.06, block_chars: int = 8_000_000) -> Column:
-    """A column with the items that occur in `text`: item_id, start and stop in code points, edits.
-
-    Only one block of items (about `block_chars` characters, a few times that as an index) is broadcast at a time."""
-    found = []
-    for block in blocks_of(items, block_chars):
-        rows = [(r["item_id"], r["text"]) for r in block.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
-        found.append(finder(items.sparkSession.sparkContext.broadcast(Index(rows, segment, rate)))(text))
-    return F.concat(*found) if len(found) > 1 else found[0]
+def indexed(block: DataFrame, segment: int, rate: float):
+    """The broadcast index of one block; a few times its characters."""
+    rows = [(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").toLocalIterator()]
+    return block.sparkSession.sparkContext.broadcast(Index(rows, segment, rate))
 
 
 def finder(sent):
@@ -217,17 +216,30 @@ def finder(sent):
     return find
 
 
-def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """All columns of `docs` and `leaks`, an array of (item_id, start, stop, edits): the best region of each item.
+def contaminated(docs: DataFrame, items: DataFrame, segment: int = 100, rate: float = 0.06, block_chars: int = 8_000_000) -> DataFrame:
+    """All columns of `docs` and `leaks`, an array of (item_id, start, stop, edits): the best region of each item, start
+    and stop in code points.
 
     A null or empty text has no leaks, nor has any text when `items` is empty. Items of fewer than 20
     letters, digits and single spaces can't be told from chance and match nothing; null item texts neither. An item with
     a null id is reported with it. Repeated items report as one id. Rows of `docs` are kept whatever repeats in them;
-    a column named leaks is replaced. No row is shuffled.
+    a column named leaks is replaced. Items that fit in one block of `block_chars` characters are broadcast and no row is
+    shuffled; more are searched block by block: the hits of one are written before the next is built, so one index lives at
+    a time, and the hits meet their rows in the end (a column named __row is then left out).
     """
-    return docs.drop("leaks").withColumn("leaks", matches(F.col("text"), items, **how))
+    blocks = blocks_of(items, block_chars)
+    if len(blocks) == 1:
+        return docs.drop("leaks").withColumn("leaks", finder(indexed(blocks[0], segment, rate))("text"))
+    rows, found = numbered(docs).drop("leaks"), []
+    for block in blocks:
+        sent = indexed(block, segment, rate)
+        hits = rows.select(ROW, finder(sent)("text").alias("leaks")).filter(F.size("leaks") > 0)
+        found.append(written(hits, "leaks"))
+        sent.destroy()
+    leaks = reduce(DataFrame.unionAll, found).groupBy(ROW).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return rows.join(leaks, ROW, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(HIT))).drop(ROW)
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    found = contaminated(docs.select("doc_id", "text"), items)
+    found = contaminated(docs, items).select("doc_id", "leaks")
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
