@@ -12,30 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: What the two marks become inside of a text, so that no message can end early.
+SAFE_START, SAFE_END = "<| im_start |>", "<| im_end |>"
+#: Of the conversation's frame, not of a participant.
+FRAME = "system"
 
 
 def rotate_perspectives(turns: DataFrame) -> DataFrame:
     """From conv_id, turn, role, text: a row for each (participant, message).
 
-    conv_id, perspective, turn, speaker, chat_role (assistant or user), name (users' only), content,
+    conv_id, perspective, turn, speaker, chat_role (assistant, user or system), name (users' only), content,
     segment (the rendered message), mask_start and mask_end (code points of the segment that are trained,
     end exclusive; equal for other speakers).
 
-    A null role is the speaker `unknown`, a null text is empty, null conversation ids form one
-    conversation, a null turn is kept. Repeated rows and equal turns are kept as they are. An empty table
-    gives an empty result; further columns are ignored. Names hold only letters, digits, `_` and `-`.
+    `system` is no participant: its turns are in every perspective, as they are and untrained, and a conversation of
+    nothing else has no perspective. A null role is a speaker of its own, whose perspective is null. A null text is empty,
+    null conversation ids form one conversation, a null turn is kept. Repeated rows and equal turns are kept as they are. An
+    empty table gives an empty result; further columns are ignored. Names hold only letters, digits, `_` and `-`; a speaker
+    with other characters has them replaced and a hash added, so no two speakers share a name. The marks of the format are
+    broken up inside of texts.
     """
-    said = turns.select(
-        "conv_id",
-        "turn",
-        F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("content"),
-    )
-    people = said.select(F.col("conv_id").alias("in_conv"), F.col("speaker").alias("perspective")).distinct()
-    own = F.col("speaker") == F.col("perspective")
-    name = F.when(~own, F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
-    role = F.when(own, F.lit("assistant")).otherwise(F.lit("user"))
+    said = turns.select("conv_id", "turn", F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
+    framed = F.col("speaker").eqNullSafe(F.lit(FRAME))
+    people = said.filter(~framed).select(F.col("conv_id").alias("in_conv"), F.col("speaker").alias("perspective")).distinct()
+    own = F.col("speaker").eqNullSafe(F.col("perspective"))
+    plain = F.coalesce(F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"), F.lit("unknown"))
+    marked = F.concat(plain, F.lit("_"), F.substring(F.md5(F.coalesce("speaker", F.lit(""))), 1, 8))
+    name = F.when(~own & ~framed, F.when(F.col("speaker").eqNullSafe(plain), plain).otherwise(marked))
+    role = F.when(framed, F.lit(FRAME)).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    safe = F.replace(F.replace("content", F.lit(START), F.lit(SAFE_START)), F.lit(END), F.lit(SAFE_END))
     return said.join(people, F.col("conv_id").eqNullSafe(F.col("in_conv"))).select(
         "conv_id",
         "perspective",
@@ -44,9 +50,9 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
         role.alias("chat_role"),
         name.alias("name"),
         "content",
-        F.concat(head, "content", F.lit(END + "\n")).alias("segment"),
+        F.concat(head, safe, F.lit(END + "\n")).alias("segment"),
         F.length(head).alias("mask_start"),
-        (F.length(head) + F.when(own, F.length("content") + len(END)).otherwise(0)).alias("mask_end"),
+        (F.length(head) + F.when(own, F.length(safe) + len(END)).otherwise(0)).alias("mask_end"),
     )
 
 
@@ -61,20 +67,25 @@ def assembled(rendered: DataFrame) -> DataFrame:
 
 ROTATE_SQL = f"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations
-), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said),
+  SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS content FROM conversations
+), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker IS DISTINCT FROM '{FRAME}'),
 seen AS (
-  SELECT s.conv_id, p.perspective, s.turn, s.speaker, s.content, s.speaker = p.perspective AS own,
-         CASE WHEN s.speaker <> p.perspective THEN regexp_replace(s.speaker, '[^A-Za-z0-9_-]', '_', 'g') END AS name
+  SELECT s.conv_id, p.perspective, s.turn, s.speaker, s.content, s.speaker IS NOT DISTINCT FROM p.perspective AS own,
+         s.speaker IS NOT DISTINCT FROM '{FRAME}' AS framed,
+         coalesce(regexp_replace(s.speaker, '[^A-Za-z0-9_-]', '_', 'g'), 'unknown') AS plain,
+         replace(replace(s.content, '{START}', '{SAFE_START}'), '{END}', '{SAFE_END}') AS safe
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
-), headed AS (
-  SELECT *, CASE WHEN own THEN 'assistant' ELSE 'user' END AS chat_role,
-         '{START}' || CASE WHEN own THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head
+), named AS (
+  SELECT *, CASE WHEN own OR framed THEN NULL WHEN speaker IS NOT DISTINCT FROM plain THEN plain
+                 ELSE plain || '_' || substr(md5(coalesce(speaker, '')), 1, 8) END AS name,
+         CASE WHEN framed THEN '{FRAME}' WHEN own THEN 'assistant' ELSE 'user' END AS chat_role
   FROM seen
+), headed AS (
+  SELECT *, '{START}' || chat_role || coalesce(' name=' || name, '') || chr(10) AS head FROM named
 )
 SELECT conv_id, perspective, turn, speaker, chat_role, name, content,
-       head || content || '{END}' || chr(10) AS segment,
+       head || safe || '{END}' || chr(10) AS segment,
        length(head)::INT AS mask_start,
-       (length(head) + CASE WHEN own THEN length(content) + {len(END)} ELSE 0 END)::INT AS mask_end
+       (length(head) + CASE WHEN own THEN length(safe) + {len(END)} ELSE 0 END)::INT AS mask_end
 FROM headed
 """
