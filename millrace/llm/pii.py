@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,15 +70,25 @@ def characters(text: str) -> np.ndarray:
     return np.where(c < 128, c, np.where(c < 0x2000, 128, 129)).astype(np.int16)
 
 
-def windows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and padded characters of the windows that hold a digit or an at-sign."""
+def starts_of(c: np.ndarray) -> np.ndarray:
+    """Where the windows start that hold a digit or an at-sign."""
     at = np.flatnonzero(((c >= 48) & (c <= 57)) | (c == 64)) // STRIDE
+    if len(c) <= WINDOW and len(at):
+        return np.zeros(1, dtype=np.int64)
     k = np.unique(np.concatenate([at, at - 1]))
-    starts = k[k >= 0] * STRIDE if len(k) else k
-    if len(c) <= WINDOW and len(starts):
-        starts = np.zeros(1, dtype=np.int64)
-    padded = np.concatenate([c, np.full(WINDOW, PAD, dtype=np.int16)])
-    return starts, padded[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.zeros((0, WINDOW), dtype=np.int16)
+    return k[k >= 0] * STRIDE if len(k) else k
+
+
+def cut_windows(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The windows of a text at `starts`, padded beyond its end."""
+    at = starts[:, None] + np.arange(WINDOW)
+    return np.where(at < len(c), c[np.minimum(at, max(len(c) - 1, 0))], np.int16(PAD)).astype(np.int16) if len(starts) else np.zeros((0, WINDOW), dtype=np.int16)
+
+
+def windows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and padded characters of the windows that hold a digit or an at-sign."""
+    starts = starts_of(c)
+    return starts, cut_windows(c, starts)
 
 
 def tagged(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -291,18 +302,40 @@ def reconciled(text: str, base: list[tuple[int, int, int]], found: list[tuple[in
             joined[-1][1] = max(joined[-1][1], stop)
         else:
             joined.append([start, stop, kind])
-    out, taken = list(base), sorted((s, e) for s, e, _ in base)
+    out, taken = list(base), Taken((s, e) for s, e, _ in base)
     for start, stop, kind in sorted(joined, key=lambda s: (s[0] - s[1], s[0])):
         while stop > start and text[stop - 1] in " .,;:!?\n\t":
             stop -= 1
         while stop > start and text[start] in " .,;:!?\n\t":
             start += 1
-        if stop > start and not any(s < stop and start < e for s, e in taken) and valid(text[start:stop], kind):
+        if stop > start and not taken.meets(start, stop) and valid(text[start:stop], kind):
             out.append((start, stop, kind))
-            taken.append((start, stop))
+            taken.add(start, stop)
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+class Taken:
+    """Stretches of a text as sorted ones that don't overlap, found by bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.stops = [], []
+        for start, stop in sorted(spans):
+            if self.stops and start < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop)
+            else:
+                self.starts.append(start)
+                self.stops.append(stop)
+
+    def meets(self, start: int, stop: int) -> bool:
+        at = bisect_right(self.stops, start)
+        return at < len(self.starts) and self.starts[at] < stop
+
+    def add(self, start: int, stop: int) -> None:
+        at = bisect_right(self.stops, start)
+        self.starts.insert(at, start)
+        self.stops.insert(at, stop)
+
+
 def spans_of(paths: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, stop, kind) in the text from the tag paths of its windows."""
     out = []
@@ -351,12 +384,12 @@ def row(base: list[tuple[int, int, int]], spans: list[tuple[int, int, int]]) ->
 
 
 def answers(texts, model: Tagger, most: int = 2048) -> Iterator[tuple[list, list]]:
-    """Base and all spans of each text, decoding the windows of several texts at once."""
+    """Base and all spans of each text. Windows of several texts are decoded at once, those of a long text in slices."""
     held, size = [], 0
 
     def flush() -> Iterator[tuple[list, list]]:
         x = [w for _, _, _, w in held if len(w)]
-        paths = np.concatenate([model.decode(w[at : at + most]) for w in [np.concatenate(x)] for at in range(0, len(w), most)]) if x else np.zeros((0, WINDOW), np.int8)
+        paths = model.decode(np.concatenate(x)) if x else np.zeros((0, WINDOW), np.int8)
         at = 0
         for text, base, starts, w in held:
             found = spans_of(paths[at : at + len(w)], starts)
@@ -364,15 +397,20 @@ def answers(texts, model: Tagger, most: int = 2048) -> Iterator[tuple[list, list
             yield base, reconciled(text, base, found) if found else base
 
     for text in texts:
-        if not text:
-            held.append(("", [], np.zeros(0, dtype=np.int64), np.zeros((0, WINDOW), np.int16)))
-        else:
-            starts, x = windows(characters(text))
-            held.append((text, base_spans(text), starts, x))
-            size += len(x)
-        if size >= most:
+        c = characters(text or "")
+        starts = starts_of(c)
+        if size + len(starts) > most:
             yield from flush()
             held, size = [], 0
+        if len(starts) > most:
+            base, found = base_spans(text), []
+            for at in range(0, len(starts), most):
+                part = starts[at : at + most]
+                found += spans_of(model.decode(cut_windows(c, part)), part)
+            yield base, reconciled(text, base, found)
+            continue
+        held.append((text or "", base_spans(text) if text else [], starts, cut_windows(c, starts)))
+        size += len(starts)
     yield from flush()
 
 
