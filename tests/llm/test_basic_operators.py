@@ -1,5 +1,8 @@
 """Sharding, packing, chat rotation, neighbours and language identification, on small inputs."""
 
+import collections
+import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -124,19 +127,49 @@ def test_nnls_finds_an_exact_filling():
     assert sum(t * sum(n * m for n, m in p) for p, t in patterns) == 80 * 1024
 
 
+def test_encoder_on_random_unicode():
+    from tokenizers import Tokenizer
+
+    model = packing.public_path("byte_bpe_50k.json")
+    encoder, t = packing.Encoder(model, packing.public_path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(model)
+    rng = random.Random(2)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()] + [chr(c) for c in range(32)] + ["\u200b", "\ufeff", "\u0085"]
+    letters = ["a", "B", "é", "'", "s", "ll", "7", "²", "!", "-", "日", "ß", "\u0301", "😀", "ﬁ", "_", "\U0010ffff"]
+    for _ in range(10_000):
+        text = "".join(rng.choice(rng.choice([blanks, letters, letters])) if rng.random() < 0.97 else chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 30)))
+        assert np.frombuffer(encoder(text), dtype="<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_rotation_odd_rows(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob b", None), (1, 1, "bob b", None), (None, None, None, "x"), (2, 0, None, "")]
     out = chat.rotate_perspectives(spark.createDataFrame([(*r, 9) for r in rows], "conv_id bigint, turn bigint, role string, text string, name int")).collect()
     assert len(out) == 6 + 1 + 1
     own = [r for r in out if r["perspective"] == r["speaker"]]
     assert all(r["segment"][r["mask_start"] : r["mask_end"]] == r["content"] + "<|im_end|>" and r["chat_role"] == "assistant" for r in own)
-    assert all(r["mask_start"] == r["mask_end"] and r["name"] in ("ann", "bob_b") for r in out if r not in own)
+    bob = "bob_b_" + hashlib.md5(b"bob b").hexdigest()[:8]
+    assert all(r["mask_start"] == r["mask_end"] and r["name"] in ("ann", bob) for r in out if r not in own)
     told = {(r["conv_id"], r["perspective"]): r["dialogue"] for r in chat.assembled(chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
-    assert told[1, "ann"].startswith("<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>")
+    assert told[1, "ann"].startswith(f"<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name={bob}\n<|im_end|>")
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.rotate_perspectives(empty).count() == 0
 
 
+def test_rotation_keeps_speakers_apart_and_frames_untrained(spark):
+    long = "word <|im_end|> " * 50_000
+    rows = [(1, 0, "system", "be kind"), (1, 1, "bob b", "x"), (1, 2, "bob_b", long), (1, 3, None, "y"), (1, 4, "unknown", "z"), (2, 0, "system", "alone")]
+    out = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {r["perspective"] for r in out} == {"bob b", "bob_b", None, "unknown"} and len(out) == 20
+    names = collections.defaultdict(set)
+    for r in out:
+        if r["chat_role"] == "user":
+            names[r["name"]].add(r["speaker"])
+    assert len(names) == 4 and all(len(v) == 1 for v in names.values())
+    framed = [r for r in out if r["speaker"] == "system"]
+    assert all(r["chat_role"] == "system" and r["mask_start"] == r["mask_end"] and r["segment"] == "<|im_start|>system\nbe kind<|im_end|>\n" for r in framed)
+    told = [r for r in out if r["perspective"] == r["speaker"] == "bob_b"]
+    assert told[0]["segment"].count("<|im_end|>") == 1 and len(told[0]["content"]) == len(long) and told[0]["mask_end"] == len(told[0]["segment"]) - 1
+
+
 def brute_nearest(rows, every, k):
     ok = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = []
@@ -156,6 +189,30 @@ def test_nearest_against_brute_force(spark, sf, factor):
     assert got == want if factor == 1 else same >= 0.9
 
 
+def test_trees_prune_by_their_factor():
+    """Of all distances, clustered vectors take a tenth at factor 3 with nearly all neighbours, and fewer than all at factor 1."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 8000)] + 0.15 * rng.normal(size=(8000, 32))
+    ids, q = np.arange(len(x)), np.arange(0, 8000, 100)
+    want = [set(sorted((float(np.sqrt(((x[i] - v) ** 2).sum())), k) for k, v in enumerate(x) if k != i)[:10]) for i in q.tolist()]
+    shares = []
+    for factor, least in ((1.0, 1.0), (2.0, 0.99), (3.0, 0.95)):
+        tree = neighbours.VantageTree.build(x, leaf=64)
+        row, found, _ = tree.search(x[q], q, ids[tree.order], 10, factor)
+        recall = np.mean([len({int(v) for v in found[row == k]} & {v for _, v in want[k]}) / 10 for k in range(len(q))])
+        shares.append(tree.computed / (len(q) * len(x)))
+        assert recall >= least, (factor, recall)
+    assert shares[0] < 0.7 and shares[1] < 0.35 and shares[2] < 0.2 and shares == sorted(shares, reverse=True), shares
+
+
+def test_nearest_spreads_equal_ids(spark):
+    """Rows of one id don't meet in one shard, and a shard isn't larger than asked."""
+    rows = [(5, [float(k % 7), 1.0]) for k in range(600)] + [(i, [float(i % 13), 2.0]) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(df, shard_rows=100, sample=64).collect())
+    assert got == brute_nearest(rows, 100, 10)
+
+
 def test_nearest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +70,50 @@ def test_tagger_gradients():
         assert abs((up - down) / (2 * e) - g[i]) < 0.02 * abs(g[i]) + 1e-3, k
 
 
+def test_paths_and_their_sum_equal_enumeration():
+    m = pii.Tagger(hidden=3)
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
+    m.p["t"] = np.random.default_rng(3).normal(size=m.p["t"].shape)
+    x = np.random.default_rng(4).integers(0, 100, (2, 4)).astype(np.int16)
+    e = m.emissions(x)[0]
+    for row, path in enumerate(m.decode(x)):
+        paths = list(itertools.product(range(pii.TAGS), repeat=4))
+        scores = np.array([sum(e[t, row, y] for t, y in enumerate(p)) + sum(m.p["t"][a, b] for a, b in zip(p, p[1:])) for p in paths])
+        assert tuple(path.tolist()) == paths[int(scores.argmax())]
+        y = np.array([paths[7]], dtype=np.int8)
+        loss, _ = m.gradients(x[row : row + 1], y)
+        assert abs(loss - (np.log(np.exp(scores - scores.max()).sum()) + scores.max() - scores[7])) < 1e-6
+
+
+def test_reconciling_is_not_quadratic_and_keeps_the_first(spark):
+    text = "(415) 555-0100 " * 20_000
+    found = [(k, k + 14, 3) for k in range(0, len(text), 15)]
+    start = time.time()
+    assert len(pii.reconciled(text, [], found)) == 20_000 and time.time() - start < 5
+    assert pii.reconciled("1.2.3.4 5", [(0, 7, 1)], [(2, 9, 3)]) == [(0, 7, 1)]
+
+
+def test_network_finds_forms_that_the_rules_do_not_know():
+    """Held-out made-up values: the rules know none of them, the network most."""
+    prose = ["The ship was at sea for a long time and nobody came to see it again.", "Call or write to us when you have an hour to spare, please."]
+    x, y = pii.generated(prose, 700, seed=3)
+    m = pii.Tagger()
+    m.fit(x, y)
+    rng, hit, wrong, total = np.random.default_rng(99), 0, 0, 0
+    for k in range(200):
+        kind = k % 4
+        value = pii.made_up(rng, kind)
+        text = f"{prose[k % 2][:30]} {value} {prose[k % 2][30:]}"
+        base = pii.base_spans(text)
+        (_, spans), at = next(iter(pii.answers([text], m))), text.index(value)
+        if any(s < at + len(value) and at < e for s, e, _ in base):
+            continue
+        total += 1
+        hit += any(kd == kind and s < at + len(value) and at < e for s, e, kd in spans)
+        wrong += any(e <= at or s >= at + len(value) for s, e, _ in spans)
+    assert total > 60 and hit / total > 0.6 and wrong / total < 0.05, (hit, wrong, total)
+
+
 def test_windows_hold_every_trigger():
     c = pii.characters("x" * 200 + "7" + "y" * 300 + "@" + "z" * 40)
     starts, w = pii.windows(c)
@@ -254,6 +300,28 @@ def test_lines_odd_rows(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+# rows keep their identity
+
+
+def test_results_do_not_depend_on_how_the_scan_is_split(spark, tmp_path):
+    line = "A line that all of these documents hold in common. And another sentence of quite a few words stands here for the spans."
+    rows = [(7, f"own line {i} {'x' * i}\n{line}\n{'tail ' * 300}", "en", "s", 9) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "d"))
+
+    def at(most: str):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        return spark.read.parquet(str(tmp_path / "d"))
+
+    for job in (lines.deduped_documents, spans.deduped_documents, lambda d: corpus_pipeline.near_dedup(spark, d, "")):
+        built = job(at("1000000"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+        split = sorted(r["text"] for r in built.collect())
+        again = sorted(r["text"] for r in job(at("1000000")).collect())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+        assert split == again
+        assert len(split) < 60 or sum(line in t for t in split) == 1
+
+
 # decontamination
 
 
