@@ -100,8 +100,9 @@ def joined_to_counted(rows: DataFrame, names: DataFrame, keys: list[str], total:
     """The inner join of `rows` with `names`, which has one row for each key and how many `rows` it meets (`times`).
 
     Keys that meet over a `share`th of the `total` rows, of which there are fewer than `share`, are broadcast, so no task
-    gets all rows of one; the others are shuffled. Both are read twice, so they should be written tables."""
+    gets all rows of one; the others are shuffled at every size, since both sides grow with the data. Both are read twice, so
+    they should be written tables."""
     often = F.col("times") > F.lit(total / share)
     hot = F.broadcast(names.filter(often))
     rest = rows.join(F.broadcast(names.filter(often).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(names.filter(~often), keys))
+    return rows.join(hot, keys).unionByName(rest.join(names.filter(~often).hint("merge"), keys))

@@ -65,26 +65,26 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def copies_between(levels: list[DataFrame]) -> list[DataFrame]:
+def histories(levels: list[DataFrame]) -> DataFrame:
+    """doc, at and `steps`: for each level in which the suffix isn't alone its rank and the first suffix of the same rank."""
+    steps = reduce(DataFrame.unionAll, [x.select("doc", "at", F.struct(F.lit(k).alias("k"), "rank", "first").alias("s")) for k, x in enumerate(levels)])
+    return written(steps.groupBy("doc", "at").agg(F.array_sort(F.collect_list("s")).alias("steps")), "histories")
+
+
+def copies_between(history: DataFrame) -> list[DataFrame]:
     """Copies (doc, at, lines, source) in the intervals at depths between powers of two, as written tables.
 
     A node is an interval; its members are the earliest suffix of each of its parts that go on differently. What follows
     the `shared` lines of a member has ranks in `below` levels that still may agree with those of another."""
-    members = []
-    for k in range(1, len(levels) - 1):
-        deeper = levels[k + 1].select("doc", "at", (here() != F.col("first")).alias("later"))
-        part = levels[k].join(deeper, ["doc", "at"], "left").filter(~F.coalesce("later", F.lit(False)))
-        node = F.struct(F.lit(k).cast("bigint").alias("a"), F.col("rank").alias("b"))
-        members.append(part.select("doc", "at", F.lit(k).alias("below"), F.lit(1 << k).alias("shared"), node.alias("node")))
-    if not members:
-        return []
-    ranks = reduce(DataFrame.unionAll, [x.select("doc", "at", F.struct(F.lit(k).alias("k"), "rank").alias("r")) for k, x in enumerate(levels)])
-    history = written(ranks.groupBy("doc", "at").agg(F.array_sort(F.collect_list("r")).alias("r")).select("doc", "at", F.col("r.rank").alias("ranks")), "histories")
-    work, found = written(reduce(DataFrame.unionAll, members), "members"), []
+    parting = F.filter(F.sequence(F.lit(1), F.size("steps") - 1), lambda k: F.coalesce(F.get("steps", k + 1)["first"] == here(), F.lit(True)))
+    members = history.filter(F.size("steps") > 1).select("doc", "at", "steps", F.explode(parting).alias("below"))
+    node = F.struct(F.col("below").cast("bigint").alias("a"), F.get("steps", F.col("below"))["rank"].alias("b"))
+    work, found = written(members.select("doc", "at", "below", F.expr("shiftleft(1, below)").alias("shared"), node.alias("node")), "members"), []
+    ranks = history.select("doc", "at", F.col("steps.rank").alias("ranks"))
     key = ["node", "shared", "j", "rank"]
     while work.rows:
         wanted = work.select("doc", (F.col("at") + F.col("shared")).alias("at"), F.col("at").alias("start"), "below", "shared", "node")
-        follow = wanted.join(history, ["doc", "at"]).select("doc", F.col("start").alias("at"), "shared", "node", F.slice("ranks", 1, F.col("below")).alias("ranks"))
+        follow = wanted.hint("merge").join(ranks, ["doc", "at"]).select("doc", F.col("start").alias("at"), "shared", "node", F.slice("ranks", 1, F.col("below")).alias("ranks"))
         after = F.get("ranks", F.col("j") + 1).alias("after")
         placed = written(follow.select("*", F.posexplode("ranks").alias("j", "rank")).select("doc", "at", *key, after), "members-placed")
         nodes = written(placed.groupBy(*key).agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1"), "nodes")
@@ -97,7 +97,7 @@ def copies_between(levels: list[DataFrame]) -> list[DataFrame]:
         node = F.struct(F.xxhash64("node", "j", "rank").alias("a"), F.xxhash64(F.lit(1), "node", "j", "rank").alias("b"))
         release(work, placed, nodes)
         work = written(going.select("doc", "at", F.col("j").alias("below"), depth.alias("shared"), node.alias("node")), "members")
-    release(work, history)
+    release(work)
     return found
 
 
@@ -109,9 +109,12 @@ def repeated_runs(rows: DataFrame, min_chars: int = 0) -> DataFrame:
     lines included. Earlier means a smaller (doc_id, row, line), null ids first."""
     lines = written(lines_of(rows, offsets=min_chars > 0), "lines")
     levels = suffix_levels(lines)
-    between = copies_between(levels)
-    doubles = [x.filter(here() != F.col("first")).select("doc", "at", F.lit(1 << k).alias("lines"), F.col("first").alias("source")) for k, x in enumerate(levels)]
-    deepest = reduce(DataFrame.unionAll, doubles + between).groupBy("doc", "at").agg(F.max_by(F.struct("lines", "source"), "lines").alias("b"))
+    history = histories(levels)
+    release(*levels)
+    between = copies_between(history)
+    later = F.filter(F.transform("steps", lambda x, k: F.struct(F.pow(F.lit(2), k).cast("int").alias("lines"), x["first"].alias("source"))), lambda x: x["source"] != here())
+    doubles = history.select("doc", "at", F.try_element_at(later, F.lit(-1)).alias("b")).filter(F.col("b").isNotNull()).select("doc", "at", "b.*")
+    deepest = reduce(DataFrame.unionAll, [doubles, *between]).groupBy("doc", "at").agg(F.max_by(F.struct("lines", "source"), "lines").alias("b"))
     deepest = deepest.select("doc", F.col("at").alias("first_line"), F.col("b.lines").alias("lines"), F.col("b.source.doc").alias("source"), F.col("b.source.at").alias("source_line"))
     stop = F.col("first_line") + F.col("lines")
     before = F.max(stop).over(Window.partitionBy("doc").orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,7 +124,7 @@ def repeated_runs(rows: DataFrame, min_chars: int = 0) -> DataFrame:
         runs = runs.join(lines.select("doc", F.col("at").alias("last"), "stop"), ["doc", "last"]).withColumn("chars", F.col("stop") - F.col("start") - 1).drop("last", "start", "stop")
         runs = runs.filter(F.col("chars") >= min_chars)
     runs = written(runs, "runs")
-    release(lines, *levels, *[x for x in between if hasattr(x, "written_to")])
+    release(lines, history)
     return runs
 
 
@@ -144,7 +147,7 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     cover = cover.withColumn("piece", F.sum(F.when(joins, 0).otherwise(1)).over(along))
     cover = cover.groupBy("doc", "piece").agg(F.min("first_line").alias("first_line"), F.max(F.col("first_line") + F.col("lines")).alias("end"))
     gone = cover.groupBy(F.col("doc.row").alias(ROW)).agg(F.array_sort(F.collect_list(F.struct("first_line", (F.col("end") - F.col("first_line")).alias("lines")))).alias("removed"))
-    joined = rows.join(gone, ROW, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<first_line:int,lines:int>>")))
+    joined = rows.join(gone.hint("merge"), ROW, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<first_line:int,lines:int>>")))
     cut, zero = F.split("text", "\n", -1), F.array(F.lit(0))
     if min_chars is None:
         joined = joined.withColumn("removed", F.filter("removed", lambda r: F.exists(F.slice(cut, r["first_line"] + 1, r["lines"]), lambda line: F.trim(line) != "")))
