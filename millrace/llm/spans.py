@@ -149,7 +149,7 @@ def dedup_spans(docs: DataFrame, least: int = 2, words: int = 20, ends: bool = F
             out.append(("".join([*kept, t[at:]]), n, gone))
         return pd.DataFrame(out, columns=["text", "n_removed", "removed"])
 
-    joined = rows.join(cover, ROW, "left").withColumn("__cut", cut("text", "cover"))
+    joined = rows.join(cover.hint("merge"), ROW, "left").withColumn("__cut", cut("text", "cover"))
     columns = [F.col("__cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in rows.columns if c != ROW]
     return joined.select(*columns, *[F.col(f"__cut.{c}").alias(c) for c in ("n_removed", "removed")])
 
