@@ -4,6 +4,7 @@ what can't be decided that way is null, never false."""
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
@@ -23,16 +24,21 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
+def whole(digits: str) -> int:
+    """Of any length; `int` refuses thousands of digits."""
+    return int(Decimal(digits))
+
+
 def rational(text: str | None) -> Fraction | None:
     """Integers, decimals, fractions, LaTeX fractions and mixed numbers; thousands may be marked."""
     t = re.sub(r"\\(?:left|right|!|,|;|\$|%)|[$%\s]", lambda m: " " if m[0].isspace() else "", text or "").strip()
     t = re.sub(r"\\[dt]?frac\s*\{\s*(-?\d+)\s*\}\s*\{\s*(\d+)\s*\}", r" \1/\2", t).strip()
     t = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", t)
     if m := re.fullmatch(r"(-?)(\d+)\s+(\d+)\s*/\s*(\d+)", t):
-        return None if int(m[4]) == 0 else (Fraction(int(m[2])) + Fraction(int(m[3]), int(m[4]))) * (-1 if m[1] else 1)
+        return None if whole(m[4]) == 0 else (Fraction(whole(m[2])) + Fraction(whole(m[3]), whole(m[4]))) * (-1 if m[1] else 1)
     if m := re.fullmatch(r"(-?\s*\d+)\s*/\s*(\d+)", t):
-        return None if int(m[2]) == 0 else Fraction(int(m[1].replace(" ", "")), int(m[2]))
-    return Fraction(t) if re.fullmatch(r"[-+]?(?:\d+\.?\d*|\.\d+)", t) and len(t) < 400 else None
+        return None if whole(m[2]) == 0 else Fraction(whole(m[1].replace(" ", "")), whole(m[2]))
+    return Fraction(Decimal(t)) if re.fullmatch(r"[-+]?(?:\d+\.?\d*|\.\d+)", t) else None
 
 
 def bare(text: str | None) -> str:

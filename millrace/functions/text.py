@@ -21,7 +21,8 @@ def normalize_answer(text: Column) -> Column:
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    """Multiset overlap of normalised words; yes, no and noanswer must agree exactly. 0 without overlap."""
+    """Multiset overlap of normalised words; yes, no and noanswer must agree exactly. 0 without overlap. For short answers: the
+    cost grows with the product of the lengths; `operators.scores.token_f1_rows` takes texts of any length."""
     p, g = normalize_answer(prediction), normalize_answer(gold)
     ps, gs = words(p), words(g)
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
@@ -46,7 +47,7 @@ def information_blocks(text: Column) -> Column:
 
 
 def without_reasoning(text: Column) -> Column:
-    return F.trim(F.substring_index(text, "</think>", -1))
+    return trimmed(F.substring_index(text, "</think>", -1))
 
 
 def choice_letter(text: Column, valid: str = "ABCD") -> Column:
@@ -134,6 +135,42 @@ def first_of_paragraph(text: Column, paragraphs: int, nth: int, word: str) -> Co
     return (F.size(ps) == paragraphs) & F.coalesce(F.get(plain_words(F.get(ps, F.lit(nth - 1))), F.lit(0)) == word.lower(), F.lit(False))
 
 
+def tokens(text: Column) -> Column:
+    """Words and single marks, as written."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), 0)
+
+
+def detected_language(text: Column, known: dict[str, list[str]]) -> Column:
+    """The language whose common words are the most of all words, the first in order of `known` at a tie; null without any."""
+
+    def met(common: list[str]) -> Column:
+        return F.size(F.filter(plain_words(text), lambda w: w.isin(*common)))
+
+    hits = [F.struct(met(common).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, common) in enumerate(known.items())]
+    best = F.array_max(F.array(*hits))
+    return F.when(best["n"] > 0, best["name"])
+
+
+def repeated_phrase(text: Column, phrase: str, n: int) -> Column:
+    """`n` passages run from the phrase's first to its last word, each as long as the phrase and with one other word at most;
+    the last of them has one."""
+    said = phrase.split()
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"{said[0]} .*? {said[-1]}"), 0), words)
+    other = lambda ws: F.size(F.filter(F.zip_with(ws, F.array(*map(F.lit, said)), lambda a, b: ~a.eqNullSafe(b)), lambda d: d))
+    fits = lambda ws: (F.size(ws) == len(said)) & (other(ws) <= 1)
+    return F.coalesce((F.size(found) == n) & F.forall(found, fits) & (other(F.try_element_at(found, F.lit(-1))) == 1), F.lit(False))
+
+
+#: How the known postscript markers are spelt.
+POSTSCRIPTS = {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}
+#: Common words by language, enough to tell these apart; more languages are a parameter.
+COMMON_WORDS = {
+    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "with", "as", "on", "are"],
+    "fr": ["le", "la", "les", "de", "des", "et", "un", "une", "est", "que", "dans", "pour", "qui", "pas"],
+    "de": ["der", "die", "das", "und", "ist", "ein", "eine", "nicht", "mit", "den", "von", "zu", "auf", "dem"],
+    "es": ["el", "los", "las", "de", "y", "un", "una", "es", "que", "en", "por", "con", "para", "del"],
+}
+
 #: Instruction predicates by id: from the response and their parameters to a boolean.
 PREDICATES = {
     "keywords:existence": lambda t, keywords: F.forall(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(t), F.lower(k))),
@@ -143,22 +180,22 @@ PREDICATES = {
     "length_constraints:number_words": lambda t, relation, n: compares(count(t, r"[\p{L}\p{N}_]+"), relation, n),
     "length_constraints:number_paragraphs": lambda t, n: F.coalesce(F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == n, F.lit(False)),
     "detectable_content:number_placeholders": lambda t, n: count(t, r"\[.*?\]") >= n,
-    "detectable_content:postscript": lambda t: F.lower(t).rlike(r"p\.\s?s\."),
+    "detectable_content:postscript": lambda t, marker="P.S.": F.lower(t).rlike(POSTSCRIPTS.get(marker, marker.lower())),
     "detectable_format:number_bullet_lists": lambda t, n: count(t, r"(?m)^\s*\*[^\*].*$") + count(t, r"(?m)^\s*-.*$") == n,
     "detectable_format:constrained_response": lambda t, options: F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(t, o)),
     "detectable_format:number_highlighted_sections": lambda t, n: count(t, r"\*[^\n\*]+\*") >= n,
     "detectable_format:title": lambda t: t.rlike(r"<<[^\n]*[^\s<>][^\n]*>>"),
-    "combination:repeat_prompt": lambda t, prompt: F.startswith(F.lower(F.trim(t)), F.lower(F.trim(prompt))),
-    "startend:end_checker": lambda t, phrase: F.endswith(F.lower(F.trim(F.trim(t), F.lit('"'))), F.lit(phrase.strip().lower())),
-    "startend:quotation": lambda t: (F.length(F.trim(t)) > 1) & F.startswith(F.trim(t), F.lit('"')) & F.endswith(F.trim(t), F.lit('"')),
+    "combination:repeat_prompt": lambda t, prompt: F.startswith(F.lower(trimmed(t)), F.lower(trimmed(prompt))),
+    "startend:end_checker": lambda t, phrase: F.endswith(F.lower(F.trim(trimmed(t), F.lit('"'))), F.lit(phrase.strip().lower())),
+    "startend:quotation": lambda t: (F.length(trimmed(t)) > 1) & F.startswith(trimmed(t), F.lit('"')) & F.endswith(trimmed(t), F.lit('"')),
     "punctuation:no_comma": lambda t: ~F.contains(t, F.lit(",")),
     "punctuation:punctuation_dot": lambda t: ~F.contains(t, F.lit(".")),
     "punctuation:punctuation_exclamation": lambda t: ~F.contains(t, F.lit("!")),
-    "copy:copy": lambda t, prompt: F.lower(F.trim(t)) == F.lower(F.trim(prompt)),
+    "copy:copy": lambda t, prompt: F.lower(trimmed(t)) == F.lower(trimmed(prompt)),
     "detectable_format:square_brackets": lambda t: F.forall(words(t), lambda w: w.like("[%]")),
     "keywords:word_once": lambda t, keyword: count(F.lower(t), keyword.lower()) == 1,
     "keywords:exclude_word_harder": lambda t, keyword: ~F.contains(t, F.lit(f" {keyword} ")),
-    "paragraphs:paragraphs2": lambda t: F.size(F.filter(F.split(t, r"\n\n"), lambda p: F.trim(p) != "")) == 2,
+    "paragraphs:paragraphs2": lambda t: F.coalesce(F.size(enclosed_parts(t, r"\n\n")) == 2, F.lit(False)),
     "first_word:first_word_answer": lambda t, word: F.coalesce(F.lower(F.get(words(t), F.lit(0))) == word.lower(), F.lit(False)),
     "last_word:last_word_answer": lambda t, word: F.coalesce(F.regexp_replace(F.lower(F.try_element_at(words(t), F.lit(-1))), r"[^\p{L}\p{N}_\s]", "") == word.lower(), F.lit(False)),
     "count:lowercase_counting": lambda t, n: count(t, r"\b[a-z]+\b") <= n,
@@ -172,7 +209,7 @@ PREDICATES = {
     "change_case:capital_word_frequency": lambda t, relation, n: compares(F.size(F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, n),
     "change_case:english_capital": lambda t: (t == F.upper(t)) & (t != F.lower(t)),
     "change_case:english_lowercase": lambda t: (t == F.lower(t)) & (t != F.upper(t)),
-    "new:copy_span_idx": lambda t, prompt, start, end: F.lower(trimmed(t)) == F.lit(prompt[start : end + 1].strip().lower()),
+    "new:copy_span_idx": lambda t, prompt, start, end: F.lower(trimmed(t)) == F.lit(prompt[start:end].strip().lower()),
     "detectable_format:sentence_hyphens": lambda t: F.forall(F.filter(sentences(t), lambda s, i: i > 0), lambda s: s.like("-%")) & ~t.rlike(r"[.!?]\s+-|-\s"),
     "keywords:no_adjacent_consecutive": lambda t: apart_letters(words(t)),
     "keywords:word_count_different_numbers": lambda t, keyword, relation, n: compares(count(F.lower(t), keyword.lower()), relation, n),
@@ -185,16 +222,18 @@ PREDICATES = {
     "letters:letter_counting2": lambda t, letter, relation, n: compares(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), relation, n),
     "count:counting_composition": lambda t, n_sent, n_words: F.coalesce((F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == 3) & F.forall(
         enclosed_parts(t, r"\s?\*\*\*\s?"), lambda p: (F.size(sentences(p)) == n_sent) & F.forall(sentences(p), lambda s: F.size(plain_words(s)) == n_words)), F.lit(False)),
-    "count:count_unique": lambda t: F.size(plain_words(t)) == F.size(F.array_distinct(plain_words(t))),
+    "count:count_unique": lambda t: F.size(tokens(t)) == F.size(F.array_distinct(tokens(t))),
     "count:count_increment_word": lambda t, keyword1, keyword2: (count(F.lower(t), keyword1.lower()) == 1) & (count(F.lower(t), keyword2.lower()) == 2),
-    "keywords:keyword_specific_position": lambda t, keyword, n, m: F.coalesce(F.get(plain_words(F.get(sentences(t), F.lit(n - 1))), F.lit(m - 1)) == keyword.lower(), F.lit(False)),
-    "keywords:start_end": lambda t: F.coalesce(F.get(plain_words(t), F.lit(0)) == F.try_element_at(plain_words(t), F.lit(-1)), F.lit(False)),
+    "keywords:keyword_specific_position": lambda t, keyword, n, m: F.coalesce(F.get(tokens(F.get(sentences(t), F.lit(n - 1))), F.lit(m - 1)) == keyword, F.lit(False)),
+    "keywords:start_end": lambda t: F.coalesce((F.size(tokens(t)) > 1) & (F.lower(F.get(tokens(t), F.lit(0))) == F.lower(F.try_element_at(tokens(t), F.lit(-1)))), F.lit(False)),
+    "language:response_language": lambda t, language, known=None: F.coalesce(detected_language(t, known or COMMON_WORDS) == language, F.lit(True)),
+    "copy:repeat_phrase": repeated_phrase,
 }
 
 
 def follows_strictly(text: Column, instructions: list[tuple[str, dict]]) -> Column:
     """Every instruction holds and the response isn't blank."""
-    ok = F.trim(text) != ""
+    ok = trimmed(text) != ""
     for name, how in instructions:
         ok = ok & PREDICATES[name](text, **how)
     return F.coalesce(ok, F.lit(False))
@@ -203,7 +242,7 @@ def follows_strictly(text: Column, instructions: list[tuple[str, dict]]) -> Colu
 def follows_loosely(text: Column, instructions: list[tuple[str, dict]]) -> Column:
     """Any of eight variants does: without the first, last or both lines, each also without asterisks."""
     lines = F.split(text, "\n")
-    cut = lambda a, b: F.trim(F.array_join(F.slice(lines, 1 + a, F.greatest(F.size(lines) - a - b, F.lit(0))), "\n"))
+    cut = lambda a, b: trimmed(F.array_join(F.slice(lines, 1 + a, F.greatest(F.size(lines) - a - b, F.lit(0))), "\n"))
     plain = [text, cut(1, 0), cut(0, 1), cut(1, 1)]
     ok = F.lit(False)
     for t in [*plain, *[F.replace(p, F.lit("*"), F.lit("")) for p in plain]]:

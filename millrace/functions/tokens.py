@@ -63,7 +63,9 @@ def approx_kl(logp: Column, base: Column, kind: str, ratio: Column | None = None
 
 
 def policy_loss(kl: Column, advantage: Column, eps_low: float, eps_high: float, dual: float | None = None) -> tuple[Column, Column]:
-    """Clipped loss of each token and whether clipping won; `dual` bounds the loss where the advantage is negative."""
+    """Clipped loss of each token and whether clipping won; `dual`, over 1, bounds the loss where the advantage is negative."""
+    if dual is not None and dual <= 1:
+        raise ValueError("the dual bound must exceed 1")
 
     def loss(k: Column, a: Column) -> Column:
         r = F.exp(-k)
@@ -100,10 +102,23 @@ def broadcast_reward(reward: Column, like: Column) -> Column:
     return F.array_repeat(reward, F.size(like))
 
 
-def discounted(rewards: Column, gamma: float) -> Column:
-    """Return of each token: its reward and the discounted rest, folded from the end."""
-    fold = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.try_element_at(acc, F.lit(1)), F.lit(0.0))), acc))
-    return fold
+def discounted(rewards: Column, gamma: float, chunk: int = 128) -> Column:
+    """Return of each token: its reward and the discounted rest.
+
+    Folded from the end within chunks, one number carried between them, so the cost grows with the length and not with its
+    square."""
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(F.reverse(part), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
+
+    def joined(local: Column) -> Column:
+        carried = F.aggregate(F.reverse(local), F.array(F.lit(0.0)), lambda acc, x: F.concat(F.array(F.coalesce(F.get(x, F.lit(0)), F.lit(0.0)) + F.pow(F.lit(gamma), F.size(x)) * acc[0]), acc))
+        after = F.slice(carried, F.lit(2), F.size(local))
+        return F.flatten(F.zip_with(local, after, lambda x, c: F.transform(x, lambda r, i: r + F.pow(F.lit(gamma), F.size(x) - i) * c)))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(rewards) - 1, F.lit(0)), F.lit(chunk))
+    local = F.transform(starts, lambda at: folded(F.slice(rewards, at + 1, F.lit(chunk))))
+    return F.when(rewards.isNotNull(), F.transform(F.array(local), joined)[0])  # bound once
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
@@ -197,11 +212,21 @@ def pad_spans(offsets: Column, tokens: Column) -> Column:
 
 def sublist_positions(xs: Column, part: Column) -> Column:
     """Where (from 0) `part` occurs in `xs`."""
-    starts = F.when(F.size(xs) >= F.size(part), F.sequence(F.lit(0), F.size(xs) - F.size(part))).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(xs, i + 1, F.size(part)) == part)
+
+    def found(both: Column) -> Column:
+        x, p = both["x"], both["p"]
+        starts = F.when(F.size(x) >= F.size(p), F.sequence(F.lit(0), F.size(x) - F.size(p))).otherwise(F.array().cast("array<int>"))
+        return F.filter(starts, lambda i: (F.get(x, i) == F.get(p, F.lit(0))) & (F.slice(x, i + 1, F.size(p)) == p))
+
+    return F.transform(F.array(F.struct(xs.alias("x"), part.alias("p"))), found)[0]  # bound once
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    n = F.least(F.size(a), F.size(b))
-    differs = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.element_at(a, i).eqNullSafe(F.element_at(b, i)))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n))
+    def shared(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        same = F.zip_with(x, y, lambda p, q: p.eqNullSafe(q))  # the shorter one is filled up with nulls
+        n = F.least(F.size(x), F.size(y))
+        at = F.array_position(F.slice(same, F.lit(1), n), False)
+        return F.when(at == 0, n).otherwise(at.cast("int") - 1)
+
+    return F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), shared)[0]  # bound once

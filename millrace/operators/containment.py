@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 def contained_items(docs: DataFrame, items: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, item_id) where the item's text lies in the document's. The first `size` words of an item, its first and
     last word apart since those may be cut, meet the document's word runs in an equal join; `contains` then decides.
-    Items of fewer than `size` + 2 words are compared by a broadcast of at most a thousand of them."""
-    inner = F.slice(F.split("text", " "), 2, size)
-    long = items.filter(F.size(F.split("text", " ")) >= size + 2)
-    keyed = long.select("item_id", F.col("text").alias("item"), F.array_join(inner, " ").alias("key"))
+    Items of fewer than `size` + 2 words have one key: their longest inner word or, without one, a piece of a word. Keys of
+    documents are kept only if an item has them."""
     w = F.split("text", " ")
+    long = items.filter(F.size(w) >= size + 2)
+    keyed = long.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(w, 2, size), " ").alias("key"))
     starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
     runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))).alias("key"))
-    near = runs.join(keyed, "key").select("doc_id", "item_id", "item").distinct()
+    short = items.filter(F.size(w) < size + 2)
+    inner = short.filter(F.size(w) >= 3).select("item_id", F.col("text").alias("item"), F.element_at(F.array_sort(F.slice(w, 2, F.size(w) - 2), lambda a, b: F.length(a) - F.length(b)), -1).alias("key"))
+    whole = docs.select("doc_id", F.explode(F.array_distinct(w)).alias("key"))
+    # One or two words may begin and end inside words of the document: their first three letters are looked up anywhere.
+    few = short.filter(F.size(w) < 3).select("item_id", F.col("text").alias("item"), F.substring("text", 1, 3).alias("key"))
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3)))
+    pieces = F.array_distinct(F.flatten(F.transform(letters, lambda p: F.array(p, F.substring(p, 1, 2), F.substring(p, 1, 1), F.lit("")))))
+    near = runs.join(keyed, "key").unionByName(whole.join(inner, "key")).select("doc_id", "item_id", "item").distinct()
     hits = near.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    short = items.filter(F.size(F.split("text", " ")) < size + 2)
-    if short.isEmpty():
+    if few.isEmpty():
         return hits
-    if short.count() > 1000:
-        raise ValueError("more than a thousand items are too short for a key")
-    few = F.broadcast(short.select("item_id", F.col("text").alias("item")))
-    return hits.unionByName(docs.join(few, F.contains("text", "item")).select("doc_id", "item_id"))
+    met = docs.select("doc_id", F.explode(pieces).alias("key")).join(few, "key").select("doc_id", "item_id", "item").distinct()
+    return hits.unionByName(met.join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id"))

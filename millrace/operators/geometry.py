@@ -72,12 +72,13 @@ def _square(group: pd.DataFrame) -> np.ndarray:
     return m
 
 
-def matrix_diagnostics(df: DataFrame, key: str, row: str, most_columns: int = 1024, rank: int = 32, seed: int = 0) -> DataFrame:
+def matrix_diagnostics(df: DataFrame, key: str, row: str, method: str = "exact", rank: int = 32, seed: int = 0) -> DataFrame:
     """Of matrices given as rows: variation of row and column norms, spectral norm, stable rank, the rank that holds 99 %
-    of the energy, and spectral entropy. `method` is exact up to `most_columns` columns; beyond, the spectrum is that of
-    the rows projected on `rank` random signs, a sketch: a lower bound for the energy, with its tail as one part."""
-    wide = df.select(F.max(F.size(row)).alias("n")).first()["n"] or 0
-    exact, spec = wide <= most_columns, "rank_99 int, spectral_norm double, stable_rank double, entropy double, method string"
+    of the energy, and spectral entropy. The spectrum is exact at any width, of which one task holds the square in numbers,
+    unless `method` is "sketch": then it is that of the rows projected on `rank` random signs, a lower bound for the energy
+    with its tail as one part."""
+    wide = 0 if method == "exact" else df.select(F.max(F.size(row)).alias("n")).first()["n"] or 0
+    exact, spec = method == "exact", "rank_99 int, spectral_norm double, stable_rank double, entropy double, method string"
     kind = dict(df.dtypes)[key]
     norms = df.groupBy(key).agg(
         F.count("*").alias("rows"), F.max(F.size(row)).alias("columns"),

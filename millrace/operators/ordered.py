@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 
 def curve_area(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Trapezoid area under each curve and the same over its span; null below two points."""
@@ -84,15 +86,15 @@ def paired_spans(events: DataFrame, span: str, kind: str, time: str) -> DataFram
     return s.join(e, span, "full").select(span, "start", "stop", state.alias("state"))
 
 
-def span_depths(spans: DataFrame, rounds: int = 32) -> DataFrame:
-    """Depth by parent pointers: 0 for roots, missing parents and cycles. Pointers are doubled, so `rounds` joins
-    reach depths of 2 to that power; it stops when no pointer is left."""
-    at = spans.select("span", "parent").join(spans.select(F.col("span").alias("parent")), "parent", "left_semi").select("span", "parent", F.lit(1).cast("bigint").alias("hops"))
-    for _ in range(rounds):
-        up = at.select(F.col("span").alias("parent"), F.col("parent").alias("above"), F.col("hops").alias("more"))
-        at = at.join(up, "parent", "left").select("span", F.col("above").alias("parent"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")).checkpoint()
-        if at.filter("parent is not null and hops < 1000000").isEmpty():
+def span_depths(spans: DataFrame) -> DataFrame:
+    """Depth by parent pointers: 0 for roots, missing parents and what leads into a cycle. Pointers are doubled, so depths of
+    n take log n joins; a pointer that is left when it has jumped more often than there are spans runs in a cycle."""
+    at = cut(spans.select("span", "parent").join(spans.select(F.col("span").alias("parent")), "parent", "left_semi").select("span", "parent", F.lit(1).cast("bigint").alias("hops")))
+    for _ in range(at.count().bit_length() + 1):
+        if at.filter("parent is not null").isEmpty():
             break
+        up = at.select(F.col("span").alias("parent"), F.col("parent").alias("above"), F.col("hops").alias("more"))
+        at = cut(at.join(up, "parent", "left").select("span", F.col("above").alias("parent"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
     ended = at.filter("parent is null").drop("parent")
     return spans.select("span").join(ended, "span", "left").select("span", F.coalesce("hops", F.lit(0)).alias("depth"))
 

@@ -16,16 +16,27 @@ from .ranking import numbered_by
 
 
 def first_fit(lengths: list[int], most: int) -> list[list[int]]:
-    """Each item into the first bin with room; an item beyond `most` has a bin of its own."""
-    bins, room = [], []
+    """Each item into the first bin with room; an item beyond `most` has a bin of its own. The first bin with room is found in
+    a tree of the most room in each half."""
+    size = 1 << max(0, len(lengths) - 1).bit_length()
+    room = [most] * (2 * size)  # bins not opened yet are empty
+    bins: list[list[int]] = []
     for i, n in enumerate(lengths):
-        at = next((k for k, r in enumerate(room) if n <= r), None)
-        if at is None:
-            bins.append([i])
-            room.append(most - n)
+        if n > most:
+            at, n = len(bins), most + 1  # nothing fits beside it, not even an empty item
         else:
-            bins[at].append(i)
-            room[at] -= n
+            node = 1
+            while node < size:
+                node = 2 * node if room[2 * node] >= n else 2 * node + 1
+            at = node - size
+        if at == len(bins):
+            bins.append([])
+        bins[at].append(i)
+        node = size + at
+        room[node] -= n
+        while node > 1:
+            node //= 2
+            room[node] = max(room[2 * node], room[2 * node + 1])
     return bins
 
 
@@ -84,28 +95,87 @@ def expanded(bins: list[list[int]], count: int, lengths: list[int]) -> list[list
     return bins
 
 
-def packed_steps(df: DataFrame, step: str, order: str, length: str, ranks: int, most: int) -> DataFrame:
-    """(step, order, micro_batch, rank) of each sample: first fit, as many bins as a multiple of `ranks`, and bins dealt
-    to ranks by differencing with equal counts of bins."""
+def balanced(lengths: list[int], k: int) -> list[list[int]]:
+    """k parts by differencing, checked: all items once, no part empty, each part sorted."""
+    parts = differencing(lengths, k)
+    if sorted(i for p in parts for i in p) != list(range(len(lengths))) or not all(parts):
+        raise ValueError("the parts don't hold every item once")
+    return parts
+
+
+def chunked(sizes: list[int], limit: int) -> list[list[int]]:
+    """Neighbouring items; a chunk ends before the item with which it would reach `limit`."""
+    chunks: list[list[int]] = []
+    total = 0
+    for i, n in enumerate(sizes):
+        if not chunks or total + n >= limit:
+            chunks.append([])
+            total = 0
+        chunks[-1].append(i)
+        total += n
+    return chunks
+
+
+def dealt_bins(lengths: list[int], bins: list[list[int]], ranks: int) -> list[int]:
+    """The rank of each bin: as many bins for each, by differencing their weights over rounds of one bin a rank."""
+    weight = sorted(range(len(bins)), key=lambda b: (-sum(lengths[i] for i in bins[b]), b))
+    totals, rank = [0] * ranks, [0] * len(bins)
+    for at in range(0, len(weight), ranks):  # the heaviest bin of a round goes to the lightest rank so far
+        for b, r in zip(weight[at : at + ranks], sorted(range(ranks), key=lambda r: (totals[r], r))):
+            rank[b] = r
+            totals[r] += sum(lengths[i] for i in bins[b])
+    return rank
+
+
+def micro_batches(lengths: list[int], weights: list[float], ranks: int, most: int, mode: str, size: int) -> list[list[int]]:
+    """dynamic: first fit by length, split until the bins are a multiple of the ranks; balanced: as many bins as that, with
+    their weights (operations) evened by differencing; fixed: `size` neighbours each."""
+    if mode == "fixed":
+        return [list(range(at, min(at + size, len(lengths)))) for at in range(0, len(lengths), size)]
+    bins = first_fit(lengths, most)
+    want = -(-len(bins) // ranks) * ranks
+    if want > len(lengths):
+        return bins
+    return expanded(bins, want, lengths) if mode == "dynamic" else balanced([round(w) for w in weights], want)
+
+
+def packed_steps(df: DataFrame, step: str, order: str, length: str, ranks: int, most: int, mode: str = "dynamic", size: int = 8, weight: str | None = None) -> DataFrame:
+    """(step, order, micro_batch, rank, place) of each sample by `micro_batches`; every rank gets as many bins, the heaviest
+    bin of each round the lightest rank, and `place` counts the samples of a rank."""
+
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        lengths, weights = group[length].astype(int).tolist(), group[weight or length].astype(float).tolist()
+        bins = micro_batches(lengths, weights, ranks, most, mode, size)
+        rank, bin_of = dealt_bins(lengths, bins, ranks), {i: b for b, items in enumerate(bins) for i in items}
+        out = pd.DataFrame({step: group[step].to_numpy(), order: group[order].to_numpy(), "micro_batch": [bin_of[i] for i in range(len(lengths))]})
+        out["rank"] = [rank[b] for b in out["micro_batch"]]
+        out["place"] = out.groupby("rank").cumcount()
+        return out
+
+    kinds = dict(df.dtypes)
+    columns = [step, order, *dict.fromkeys([length, weight or length])]
+    return df.select(*columns).groupBy(step).applyInPandas(plan, f"{step} {kinds[step]}, {order} {kinds[order]}, micro_batch int, rank int, place int")
+
+
+def grouped_plan(df: DataFrame, step: str, order: str, length: str, make, name: str = "part") -> DataFrame:
+    """(step, order, `name`) by a plan over the lengths of each step, such as `first_fit`, `balanced`, `greedy` or `chunked`."""
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        lengths = group[length].astype(int).tolist()
-        bins = first_fit(lengths, most)
-        want = -(-len(bins) // ranks) * ranks
-        bins = expanded(bins, want, lengths) if want <= len(lengths) else bins
-        weight = sorted(range(len(bins)), key=lambda b: (-sum(lengths[i] for i in bins[b]), b))
-        rank_of, bin_of = {}, {}
-        for at, b in enumerate(weight):  # back and forth, so counts are equal and weights are near
-            turn = at % (2 * ranks)
-            rank_of[b] = turn if turn < ranks else 2 * ranks - 1 - turn
-        for b, items in enumerate(bins):
-            bin_of.update(dict.fromkeys(items, b))
-        rows = range(len(lengths))
-        return pd.DataFrame({step: group[step].to_numpy(), order: group[order].to_numpy(), "micro_batch": [bin_of[i] for i in rows], "rank": [rank_of[bin_of[i]] for i in rows]})
+        part = {i: k for k, items in enumerate(make(group[length].astype(int).tolist())) for i in items}
+        return pd.DataFrame({step: group[step].to_numpy(), order: group[order].to_numpy(), name: [part[i] for i in range(len(group))]})
 
     kinds = dict(df.dtypes)
-    return df.select(step, order, length).groupBy(step).applyInPandas(plan, f"{step} {kinds[step]}, {order} {kinds[order]}, micro_batch int, rank int")
+    return df.select(step, order, length).groupBy(step).applyInPandas(plan, f"{step} {kinds[step]}, {order} {kinds[order]}, {name} int")
+
+
+def per_rank(assigned: DataFrame, rows: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
+    """What each rank of a step is sent: its rows in order of place, as arrays of one row for (step, rank)."""
+    columns = [c for c in rows.columns if c not in keys]
+    both = assigned.join(rows, keys)
+    g = both.groupBy(step, "rank").agg(F.array_sort(F.collect_list(F.struct("place", "micro_batch", *columns))).alias("s"))
+    return g.select(step, "rank", *[F.col(f"s.{c}").alias(c) for c in ("micro_batch", *columns)])
 
 
 def steps(df: DataFrame, rollout: str, position: str, rollouts_a_step: int) -> DataFrame:

@@ -3,22 +3,32 @@ made without a driver; they keep the contract of a seeded shuffle, not its order
 
 from __future__ import annotations
 
+from functools import reduce
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
 from .ranking import PART, numbered_by
 
 
+def keyed_hash(*key: Column | str, seed: int) -> Column:
+    """60 bits of the MD5 of seed and key, joined by colons, as a number."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def draw(*key: Column | str, seed: int) -> Column:
     """In [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40)
+    return keyed_hash(*key, seed=seed) / float(1 << 60)
 
 
 def epoch_order(df: DataFrame, position: str, seed: int, epoch: int) -> DataFrame:
     """`df` in the order of one epoch, with `epoch_pos` from 0."""
-    keyed = df.withColumn("__key", F.xxhash64(F.lit(seed + epoch), position))
-    keyed = keyed.withColumn(PART, F.shiftright("__key", 52))  # hashes are even, so their leading bits are ranges of equal counts
+    keyed = df.withColumn("__key", keyed_hash(position, seed=seed + epoch))
+    keyed = keyed.withColumn(PART, F.shiftright("__key", 48))  # hashes are even, so their leading bits are ranges of equal counts
     return numbered_by(keyed, "epoch_pos", "__key", [position]).drop("__key")
 
 
@@ -38,20 +48,25 @@ def chosen_source(weights: dict[str, float], u: Column) -> Column:
     return F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))
 
 
-def stratified_quota(weights: dict[str, float], count: int, seed: int = 0) -> dict[str, int]:
-    """One slot for each positive source, then floors of the shares, then largest remainders; ties by keyed hash."""
-    import hashlib
+def stratified_slots(weights: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """(source, slots) from (source, weight): one slot for each source of positive weight, then floors of the shares, then
+    largest remainders, ties by keyed hash. Fewer slots than sources are an error. One row for each source."""
+    w = weights.filter("weight > 0")
+    total = w.agg(F.sum("weight").alias("total"), F.count("*").alias("sources"))
+    some = F.when(F.col("sources") <= count, count - F.col("sources")).otherwise(F.raise_error(F.lit("fewer slots than sources")).cast("bigint"))
+    w = w.join(F.broadcast(total)).withColumn("exact", some * F.col("weight") / F.col("total")).withColumn("sure", F.floor("exact"))
+    left = F.broadcast(w.agg((F.first("sources") + F.sum("sure")).alias("given")))
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("exact") - F.col("sure"), 12)), keyed_hash("source", seed=seed)))
+    return w.withColumn("turn", turn).join(left).select("source", (1 + F.col("sure") + (F.col("turn") <= count - F.col("given")).cast("int")).cast("int").alias("slots"))
 
-    names = [k for k, w in weights.items() if w > 0]
-    if count < len(names):
-        raise ValueError("fewer slots than sources")
-    total, rest = sum(weights[k] for k in names), count - len(names)
-    exact = {k: rest * weights[k] / total for k in names}
-    quota = {k: 1 + int(exact[k]) for k in names}
-    tie = {k: hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in names}
-    for k in sorted(names, key=lambda k: (-(exact[k] - int(exact[k])), tie[k]))[: count - sum(quota.values())]:
-        quota[k] += 1
-    return quota
+
+def stride_sample(df: DataFrame, position: str, rows: int, start: int, stride: int, count: int) -> DataFrame:
+    """`df` and `pick`, for the rows at the positions (start + i * stride) mod `rows`, i < `count`; the stride is raised
+    to the next that shares no factor with `rows`, so no position comes twice. A filter alone: i is solved for."""
+    while rows > 1 and gcd(stride, rows) != 1:
+        stride += 1
+    turn = F.pmod((F.col(position) - start) * pow(stride, -1, rows) if rows > 1 else F.lit(0), F.lit(max(rows, 1)))
+    return df.withColumn("pick", turn).filter(F.col("pick") < count)
 
 
 def curriculum(phases: list[tuple[str, int]], position: Column, repeat: bool = False) -> Column:
@@ -64,15 +79,15 @@ def curriculum(phases: list[tuple[str, int]], position: Column, repeat: bool = F
     return out.otherwise(F.raise_error(F.lit("the curriculum is exhausted")).cast("string"))
 
 
-def source_cursor(requests: DataFrame, source: str, order: str, lengths: dict[str, int]) -> DataFrame:
-    """Each request's epoch and position within its source."""
-    size = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col(source))
-    return numbered_by(requests, "__n", order, within=[source]).withColumn("epoch", F.floor(F.col("__n") / size)).withColumn("position", F.pmod("__n", size)).drop("__n")
+def source_cursor(requests: DataFrame, source: str, order: str, lengths: DataFrame) -> DataFrame:
+    """Each request's epoch and position within its source; `lengths` has (source, length)."""
+    numbered = numbered_by(requests, "__n", order, within=[source]).join(lengths.select(F.col("source").alias(source), F.col("length").alias("__size")), source)
+    return numbered.withColumn("epoch", F.floor(F.col("__n") / F.col("__size"))).withColumn("position", F.pmod("__n", "__size")).drop("__n", "__size")
 
 
 def balanced_subset(df: DataFrame, stratum: str, key: str, count: int, seed: int) -> DataFrame:
     """`count` rows, taken in turn from each stratum in hash order."""
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(keyed_hash(key, seed=seed), key))
     first = df.withColumn("__turn", turn).filter(F.col("__turn") <= count)  # limits each stratum before the shuffle
     return first.orderBy("__turn", stratum).limit(count).drop("__turn")
 
@@ -80,7 +95,7 @@ def balanced_subset(df: DataFrame, stratum: str, key: str, count: int, seed: int
 def holdout(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """`df` with `held_out`: the rows of the smallest hashes, min(count, rows - 1) of them, ties by key. The cut is
     found by a bounded top-k, so no total order of the table is made."""
-    h = F.xxhash64(F.lit(seed), key)
+    h = keyed_hash(key, seed=seed)
     n = df.count()
     k = max(0, min(count, n - 1))
     if k == 0:
@@ -114,23 +129,22 @@ def one_standard_error(df: DataFrame, value: str, mean: str, se: str) -> DataFra
     return near.agg(F.min(value).alias("selected"))
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """Exact inner-product top-k of a stated query set against all rows. Queries (query_id, vector) are sent in blocks
-    of a checked size; each block's best are found by a partial top-k before the shuffle."""
+def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """Exact inner-product top-k of a stated query set (query_id, vector) against all rows. One block of queries at a time is
+    sent, and its answers, at most k for each query and partition, are written before the next one is."""
     import numpy as np
     import pandas as pd
 
     spark, found = docs.sparkSession, []
     rows = queries.orderBy("query_id").toLocalIterator()
-    while block := [r for _, r in zip(range(1024), rows)]:
-        ids, matrix = np.array([r["query_id"] for r in block]), np.array([r["vector"] for r in block], dtype=float)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-        found.append(docs.select("doc_id", "vector").mapInPandas(_partial_top_k(sent, k, np, pd), "query_id bigint, doc_id bigint, score double"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    while some := [r for _, r in zip(range(block), rows)]:
+        ids, matrix = np.array([r["query_id"] for r in some]), np.array([r["vector"] for r in some], dtype=float)
+        sent = spark.sparkContext.broadcast((ids, matrix))
+        best = docs.select("doc_id", "vector").mapInPandas(_partial_top_k(sent, k, np, pd), "query_id bigint, doc_id bigint, score double")
+        found.append(cut(best.withColumn("rank", rank).filter(F.col("rank") <= k)))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def _partial_top_k(sent, k, np, pd):
@@ -138,11 +152,11 @@ def _partial_top_k(sent, k, np, pd):
         ids, matrix = sent.value
         for f in frames:
             if len(f):
-                score = matrix @ np.stack(f["vector"].to_numpy()).astype(float).T
-                doc = f["doc_id"].to_numpy()
-                for q, row in zip(ids, score, strict=True):
-                    top = np.lexsort((doc, -row))[:k]
-                    yield pd.DataFrame({"query_id": q, "doc_id": doc[top], "score": row[top]})
+                score, doc = matrix @ np.stack(f["vector"].to_numpy()).astype(float).T, f["doc_id"].to_numpy()
+                few = min(k, len(doc))
+                least = np.partition(score, len(doc) - few, axis=1)[:, len(doc) - few]  # ties at the k-th place stay
+                q, at = np.nonzero(score >= least[:, None])
+                yield pd.DataFrame({"query_id": ids[q], "doc_id": doc[at], "score": score[q, at]})
 
     return best
 

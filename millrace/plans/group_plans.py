@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import groups as G
+from ..operators import metrics as M
 from .base import SAMPLES, Registry, r6, samples, table
 
 R = Registry()
@@ -44,8 +45,7 @@ def ag8_zero_variance_groups(spark, sf):
 
 @R.add(f"WITH {SAMPLES} SELECT status, count(*) AS n, round(count(*)/sum(count(*)) OVER (),6) AS fraction FROM samples GROUP BY 1")
 def ag5_status_fractions(spark, sf):
-    g = samples(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
-    return g.select("status", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy()), "fraction"))
+    return M.status_shares(samples(spark, sf), "status").select("status", "n", r6(F.col("fraction"), "fraction"))
 
 
 @R.add(f"WITH {SAMPLES} SELECT group_index, index, round(score, 1) AS score, round((score - avg(score) OVER w)/(stddev_samp(score) OVER w + 1e-6),6) AS advantage FROM samples WINDOW w AS (PARTITION BY group_index)")
@@ -104,8 +104,7 @@ def ag29_confidence_intervals(spark, sf):
 
 @R.add(f"WITH {SAMPLES} SELECT source_name AS category, count(*) AS n, round(count(*)/sum(count(*)) OVER (),6) AS share FROM samples GROUP BY 1")
 def ag12_category_shares(spark, sf):
-    g = samples(spark, sf).groupBy(F.col("source_name").alias("category")).agg(F.count("*").alias("n"))
-    return g.select("category", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy()), "share"))
+    return M.status_shares(samples(spark, sf).withColumnRenamed("source_name", "category"), "category").select("category", "n", r6(F.col("fraction"), "share"))
 
 
 @R.add(f"WITH {SAMPLES}, m AS (SELECT max(response_length) AS m FROM samples) SELECT count(*) AS n, sum(response_length) AS tokens, round(sum(response_length)/60.0/8,6) AS tokens_per_gpu_per_sec, round(max(response_length)/60.0,6) AS longest_per_sec, round(avg(price) FILTER (response_length=m),4) AS longest_wait FROM samples, m")
@@ -140,17 +139,14 @@ round(max(abs(v)),6) AS max_abs, round(quantile_cont(v,0.1),6) AS p10, round(qua
 )
 def ag25_distribution(spark, sf):
     x = table(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    v = F.col("v")
-    return x.groupBy("label").agg(
-        F.count("*").alias("count"), r6(F.avg(v), "mean"), r6(F.stddev_pop(v), "std"), F.round(F.sqrt(F.sum(v * v)), 5).alias("l2"), r6(F.sqrt(F.avg(v * v)), "rms"), r6(F.max(F.abs(v)), "max_abs"),
-        *[r6(F.percentile(v, F.lit(q / 100)), f"p{q}") for q in (10, 50, 90, 99)], r6(F.avg((v < 0).cast("int")), "negative_fraction"),
-    )
+    g = x.groupBy("label").agg(*M.value_distribution(F.col("v")))
+    return g.select("label", "count", *[F.round(c, 5).alias(c) if c == "l2" else r6(F.col(c), c) for c in g.columns[2:]])
 
 
 @R.add("WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1)-1 AS i FROM embeddings) SELECT least(9, i*10//n)::INT AS bin, count(*) AS n, round(avg(v),6) AS mean FROM x GROUP BY 1")
 def ag26_position_bins(spark, sf):
     x = table(spark, sf, "embeddings").select(F.size("embedding").alias("len"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    return x.groupBy(F.least(F.lit(9), F.floor(F.col("i") * 10 / F.col("len"))).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("v"), "mean"))
+    return x.groupBy(M.position_bin(F.col("i"), F.col("len")).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("v"), "mean"))
 
 
 @R.add(f"WITH {SAMPLES} SELECT group_index, index, sum(response_length) OVER (PARTITION BY group_index) AS rollout_tokens, sum(response_length) OVER (PARTITION BY group_index ORDER BY index RANGE UNBOUNDED PRECEDING) AS so_far FROM samples")
@@ -161,9 +157,8 @@ def ag36_rollout_sums(spark, sf):
 
 @R.add("SELECT o_orderpriority AS task, round(avg(o_totalprice),4) AS median_mean, round(quantile_cont(o_totalprice,0.5),4) AS median, round(quantile_cont(o_totalprice,0.75)-quantile_cont(o_totalprice,0.25),4) AS iqr, count(*) AS n FROM orders GROUP BY 1")
 def ag35_median_and_iqr(spark, sf):
-    p = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.avg("o_totalprice").alias("m"), p.alias("p"), F.count("*").alias("n"))
-    return g.select("task", F.round("m", 4).alias("median_mean"), F.round(F.col("p")[1], 4).alias("median"), F.round(F.col("p")[2] - F.col("p")[0], 4).alias("iqr"), "n")
+    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.avg("o_totalprice").alias("median_mean"), *M.quartiles("o_totalprice"), F.count("*").alias("n"))
+    return g.select("task", *[F.round(c, 4).alias(c) for c in ("median_mean", "median", "iqr")], "n")
 
 
 @R.add("WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN NULL ELSE o_orderkey*2 END AS rollout_id FROM orders), u AS (SELECT DISTINCT rollout_id AS v FROM o WHERE rollout_id IS NOT NULL), f AS (SELECT r AS v, row_number() OVER (ORDER BY r) AS k FROM range((SELECT 4*max(o_orderkey) FROM orders)) t(r) WHERE r NOT IN (SELECT v FROM u)), m AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM o WHERE rollout_id IS NULL) SELECT o_orderkey, rollout_id FROM o WHERE rollout_id IS NOT NULL UNION ALL SELECT o_orderkey, v FROM m JOIN f USING (k)")

@@ -103,7 +103,6 @@ def jn8_paired_spans(spark, sf):
 
 @R.add("WITH RECURSIVE s AS (SELECT event_id AS span, CASE WHEN event_id%10=0 THEN NULL WHEN event_id%97=1 THEN -5 ELSE event_id-1-(event_id%3) END AS parent FROM events), d AS (SELECT span, 0 AS depth FROM s WHERE parent IS NULL OR parent NOT IN (SELECT span FROM s) UNION ALL SELECT s.span, d.depth+1 FROM s JOIN d ON s.parent=d.span) SELECT span, depth::BIGINT AS depth FROM d")
 def jn12_span_depths(spark, sf):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
     p = F.when(F.col("event_id") % 10 == 0, F.lit(None)).when(F.col("event_id") % 97 == 1, F.lit(-5)).otherwise(F.col("event_id") - 1 - F.col("event_id") % 3)
     return O.span_depths(table(spark, sf, "events").select(F.col("event_id").alias("span"), p.cast("bigint").alias("parent")))
 

@@ -10,58 +10,87 @@ from .base import Registry, table
 
 R = Registry()
 WORDS = "regexp_extract_all(lower({t}),'[\\p{{L}}\\p{{N}}_]+')"
-SENTENCES = "list_filter(regexp_extract_all({t},'[^.!?]+[.!?]*'), lambda p: trim(p, e' \\n\\t\\r')<>'')"
-ODD = "doc_id%2=1"
+TOKENS = "regexp_extract_all({t},'[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]')"
+BLANKS = "list_filter(regexp_split_to_array(trim({t}),'\\s+'), lambda w: w<>'')"
+SENTENCES = "list_transform(list_filter(regexp_extract_all({t},'[^.!?]+[.!?]*'), lambda p: regexp_matches(p,'\\S')), lambda p: regexp_replace(p,'^\\s+|\\s+$','','g'))"
 
 
-def either(a: Column, b: Column) -> Column:
-    return F.when(F.col("doc_id") % 2 == 1, a).otherwise(b)
+def either(a: Column | str, b: Column | None = None) -> Column:
+    """`a` before documents of odd ids, or another text; others are as they are."""
+    return F.when(F.col("doc_id") % 2 == 1, a).otherwise(F.col("text") if b is None else b)
 
 
+def before(start: str) -> Column:
+    return either(F.concat(F.lit(start), F.col("text")))
+
+
+def after(end: str) -> Column:
+    return either(F.concat(F.col("text"), F.lit(end)))
+
+
+
+def odd(sql: str) -> str:
+    return f"(CASE WHEN doc_id%2=1 THEN {sql} ELSE text END)"
+
+
+def parts_of(split: str, n: int) -> str:
+    """In SQL: `n` parts that aren't blank, blank ones at the ends only."""
+    filled = f"len(list_filter({split}, lambda p: regexp_matches(p,'\\S')))={n}"
+    return f"coalesce({filled} AND len(list_filter(({split})[2:len({split})-1], lambda p: NOT regexp_matches(p,'\\S')))=0, false)"
+
+
+STARS = "regexp_split_to_array({t},'\\s?\\*\\*\\*\\s?')"
+NEXT = "string_split({t},e'\\n\\n')"
+COUNTS = {k: f"len(list_filter({WORDS}, lambda w: w IN ({','.join(repr(w) for w in ws)})))" for k, ws in T.COMMON_WORDS.items()}
+MOST = f"greatest({', '.join(COUNTS.values())})"
 # key, predicate, parameters, the text that is checked, the same in SQL, and what follows from it in SQL
 CASES = [
-    ("if06_number_sentences", "length_constraints:number_sentences", lambda: {"relation": "at least", "n": 9}, lambda: F.col("text"), "text", f"len({SENTENCES})>=9"),
-    ("if07_number_paragraphs", "length_constraints:number_paragraphs", lambda: {"n": 2}, lambda: either(F.concat(F.lit("a *** "), F.col("text")), F.lit("a")), "", "doc_id%2=1 AND len(list_filter(regexp_split_to_array('a *** '||text,'\\s?\\*\\*\\*\\s?'), lambda p: regexp_matches(p,'\\S')))=2"),
-    ("if09_nth_paragraph_first_word", "length_constraints:nth_paragraph_first_word", lambda: {"paragraphs": 2, "nth": 2, "word": "Then"}, lambda: either(F.lit("a b\n\n'then, c"), F.lit("a\n\nb then")), "", ODD),
-    ("if11_postscript", "detectable_content:postscript", lambda: {}, lambda: either(F.concat(F.lit("P.S. "), F.col("source")), F.lit("ps")), "", ODD),
-    ("if12_bullets", "detectable_format:number_bullet_lists", lambda: {"n": 2}, lambda: either(F.lit("* a\n- b\nc"), F.lit("* a\nb")), "", ODD),
-    ("if14_highlights", "detectable_format:number_highlighted_sections", lambda: {"n": 2}, lambda: either(F.lit("*a* and *b*"), F.lit("*a* and b")), "", ODD),
-    ("if15_sections", "detectable_format:multiple_sections", lambda: {"splitter": "Section", "n": 2}, lambda: either(F.lit("Section 1 a Section 2 b"), F.lit("Section 1 a Section b")), "", ODD),
-    ("if16_json", "detectable_format:json_format", lambda: {}, lambda: either(F.concat(F.lit("```json\n"), F.to_json(F.struct("doc_id", "source")), F.lit("\n```")), F.lit("{no")), "", ODD),
-    ("if17_title", "detectable_format:title", lambda: {}, lambda: either(F.lit("<<a>> b"), F.lit("<< >> b")), "", ODD),
-    ("if18_two_responses", "combination:two_responses", lambda: {}, lambda: either(F.lit("a\n******\nb"), F.lit("a ****** a")), "", ODD),
-    ("if19_repeat_prompt", "combination:repeat_prompt", lambda: {"prompt": F.lit("Say it. ")}, lambda: either(F.concat(F.lit(" say IT. "), F.col("text")), F.col("text")), "", "doc_id%2=1 OR starts_with(lower(trim(text)),'say it.')"),
-    ("if21_capital_words", "change_case:capital_word_frequency", lambda: {"relation": "at least", "n": 2}, lambda: F.col("text"), "text", "len(list_filter(regexp_extract_all({t},'[\\p{{L}}\\p{{N}}_]+'), lambda w: w=upper(w) AND w<>lower(w)))>=2"),
-    ("if22_capital", "change_case:english_capital", lambda: {}, lambda: either(F.upper("lang"), F.col("lang")), "", "coalesce(doc_id%2=1 AND lang<>'', CASE WHEN lang IS NULL THEN NULL ELSE false END)"),
-    ("if23_lowercase", "change_case:english_lowercase", lambda: {}, lambda: either(F.lit("abc 1"), F.lit("Abc")), "", ODD),
-    ("if25_quotation", "startend:quotation", lambda: {}, lambda: either(F.concat(F.lit('"'), F.col("text"), F.lit('"')), F.lit('"')), "", "CASE WHEN doc_id%2=1 THEN text IS NOT NULL ELSE false END"),
-    ("if27_copy", "copy:copy", lambda: {"prompt": F.col("text")}, lambda: either(F.concat(F.lit(" "), F.col("text")), F.lit("\x01")), "", ODD),
-    ("if28_copy_span", "new:copy_span_idx", lambda: {"prompt": "one two three", "start": 4, "end": 6}, lambda: either(F.lit(" TWO\n"), F.lit("two t")), "", ODD),
-    ("if29_sentence_hyphens", "detectable_format:sentence_hyphens", lambda: {}, lambda: either(F.lit("One a.-Two b.-Three."), F.lit("One a. Two b.")), "", ODD),
-    ("if30_no_adjacent_letters", "keywords:no_adjacent_consecutive", lambda: {}, lambda: either(F.lit("alpha zeta beta"), F.lit("alpha Beta")), "", ODD),
-    ("if31_square_brackets", "detectable_format:square_brackets", lambda: {}, lambda: either(F.lit("[a] [b]"), F.lit("[a] b")), "", ODD),
-    ("if33_word_count", "keywords:word_count_different_numbers", lambda: {"keyword": "an", "relation": "less than", "n": 4}, lambda: F.col("text"), "text", "len(regexp_extract_all(lower({t}),'an'))<4"),
-    ("if35_paragraphs", "paragraphs:paragraphs", lambda: {}, lambda: either(F.lit("a *** b"), F.lit("a *** *** b")), "", ODD),
-    ("if36_paragraphs2", "paragraphs:paragraphs2", lambda: {}, lambda: either(F.lit("a\n\nb"), F.lit("a\nb")), "", ODD),
-    ("if37_first_word_sent", "first_word:first_word_sent", lambda: {"word": "so"}, lambda: either(F.lit("So a. so b!"), F.lit("So a. b so.")), "", ODD),
-    ("if39_last_word_sent", "last_word:last_word_sent", lambda: {"word": "so"}, lambda: either(F.lit("A so. b so"), F.lit("so a. b so.")), "", ODD),
-    ("if40_last_word", "last_word:last_word_answer", lambda: {"word": "End"}, lambda: either(F.lit("to the end!"), F.lit("end of it")), "", ODD),
-    ("if41_bigram_wrapping", "detectable_format:bigram_wrapping", lambda: {}, lambda: either(F.lit("<<a b>> <<c d>>"), F.lit("<<a b>> c d")), "", ODD),
-    ("if42_copying_simple", "copy:copying_simple", lambda: {"prompt": F.col("text")}, lambda: either(F.col("text"), F.lit("\x01")), "", ODD),
-    ("if43_copying_multiple", "copy:copying_multiple", lambda: {"prompt": F.lit("Go"), "n": 3}, lambda: either(F.lit("go ****** Go ******\ngo"), F.lit("go ****** go")), "", ODD),
-    ("if48_letter_counting", "letters:letter_counting2", lambda: {"letter": "a", "relation": "at least", "n": 30}, lambda: F.col("text"), "text", "length({t})-length(replace(lower({t}),'a',''))>=30"),
-    ("if49_composition", "count:counting_composition", lambda: {"n_sent": 2, "n_words": 2}, lambda: either(F.lit("a b. c d.***e f. g h.***i j. k l."), F.lit("a b. c d.***e f. g h.***i j.")), "", ODD),
-    ("if50_count_unique", "count:count_unique", lambda: {}, lambda: F.col("text"), "text", f"len({WORDS})=len(list_distinct({WORDS}))"),
-    ("if51_increment_word", "count:count_increment_word", lambda: {"keyword1": "x", "keyword2": "y"}, lambda: either(F.lit("X y Y"), F.lit("x x y y")), "", ODD),
-    ("if52_palindrome", "keywords:palindrome", lambda: {}, lambda: either(F.lit("the level is"), F.lit("the slope is")), "", ODD),
-    ("if53_keyword_position", "keywords:keyword_specific_position", lambda: {"keyword": "Key", "n": 2, "m": 3}, lambda: either(F.lit("a b. c d, key."), F.lit("key. c key.")), "", ODD),
-    ("if54_start_end", "keywords:start_end", lambda: {}, lambda: F.col("text"), "text", f"coalesce({WORDS}[1]={WORDS}[-1],false)"),
+    ("if05_response_language", "language:response_language", {"language": "fr"}, lambda: F.col("text"), "text", f"{MOST}=0 OR ({COUNTS['fr']}={MOST} AND {COUNTS['en']}<{MOST})"),
+    ("if06_number_sentences", "length_constraints:number_sentences", {"relation": "at least", "n": 9}, lambda: F.col("text"), "text", f"len({SENTENCES})>=9"),
+    ("if07_number_paragraphs", "length_constraints:number_paragraphs", {"n": 2}, lambda: before("a *** "), odd("'a *** '||text"), parts_of(STARS, 2)),
+    ("if09_nth_paragraph_first_word", "length_constraints:nth_paragraph_first_word", {"paragraphs": 2, "nth": 2, "word": "Then"}, lambda: either(F.concat(F.replace("text", F.lit("\n\n"), F.lit(" ")), F.lit("\n\n'then, c"))), odd("replace(text,e'\\n\\n',' ')||e'\\n\\n''then, c'"),
+     f"len(list_filter({NEXT}, lambda p: regexp_matches(p,'\\S')))=2 AND regexp_extract(lower(list_filter({NEXT}, lambda p: regexp_matches(p,'\\S'))[2]),'[\\p{{{{L}}}}\\p{{{{N}}}}_]+')='then'"),
+    ("if11_postscript", "detectable_content:postscript", {"marker": "P.P.S"}, lambda: after("\nP. P.S it"), odd("text||e'\\nP. P.S it'"), "regexp_matches(lower({t}),'p\\.\\s?p\\.\\s?s')"),
+    ("if12_bullets", "detectable_format:number_bullet_lists", {"n": 2}, lambda: before("* a\n- b\n"), odd("e'* a\\n- b\\n'||text"), "len(regexp_extract_all({t},'(?m)^\\s*\\*[^\\*].*$'))+len(regexp_extract_all({t},'(?m)^\\s*-.*$'))=2"),
+    ("if14_highlights", "detectable_format:number_highlighted_sections", {"n": 2}, lambda: before("*a* and *b* "), odd("'*a* and *b* '||text"), "len(regexp_extract_all({t},'\\*[^\\n\\*]+\\*'))>=2"),
+    ("if15_sections", "detectable_format:multiple_sections", {"splitter": "Section", "n": 2}, lambda: before("Section 1 a Section 2 b "), odd("'Section 1 a Section 2 b '||text"), "len(regexp_extract_all({t},'\\s?Section\\s?[0-9]+\\s?'))>=2"),
+    ("if16_json", "detectable_format:json_format", {}, lambda: either(F.concat(F.lit("```json\n"), F.to_json(F.struct("doc_id", "text")), F.lit("\n```")), F.concat(F.lit("{"), F.col("text"))), "text", "doc_id%2=1 OR ({t} IS NULL AND NULL)"),
+    ("if17_title", "detectable_format:title", {}, lambda: before("<<a>> "), odd("'<<a>> '||text"), "regexp_matches({t},'<<[^\\n]*[^\\s<>][^\\n]*>>')"),
+    ("if18_two_responses", "combination:two_responses", {}, lambda: after("******b"), odd("text||'******b'"), parts_of("string_split({t},'******')", 2) + " AND regexp_replace(string_split({t},'******')[1],'^\\s+|\\s+$','','g')<>'b'"),
+    ("if19_repeat_prompt", "combination:repeat_prompt", {"prompt": "Say it. "}, lambda: before("\n say IT. "), odd("e'\\n say IT. '||text"), "starts_with(lower(regexp_replace({t},'^\\s+','')),'say it.')"),
+    ("if21_capital_words", "change_case:capital_word_frequency", {"relation": "at least", "n": 2}, lambda: F.col("text"), "text", "len(list_filter(regexp_extract_all({t},'[\\p{{L}}\\p{{N}}_]+'), lambda w: w=upper(w) AND w<>lower(w)))>=2"),
+    ("if22_capital", "change_case:english_capital", {}, lambda: either(F.upper("text")), odd("upper(text)"), "{t}=upper({t}) AND {t}<>lower({t})"),
+    ("if23_lowercase", "change_case:english_lowercase", {}, lambda: either(F.lower("text")), odd("lower(text)"), "{t}=lower({t}) AND {t}<>upper({t})"),
+    ("if25_quotation", "startend:quotation", {}, lambda: either(F.concat(F.lit('"'), F.col("text"), F.lit('"\n'))), odd("'\"'||text||e'\"\\n'"), "regexp_matches({t},'(?s)^\\s*\".*\"\\s*$') AND length(regexp_replace({t},'^\\s+|\\s+$','','g'))>1"),
+    ("if26_repeat_phrase", "copy:repeat_phrase", {"phrase": "zzq left zzk", "n": 1}, lambda: after(" zzq right zzk"), odd("text||' zzq right zzk'"), "coalesce(len(regexp_extract_all({t},'zzq .*? zzk'))=1 AND len(string_split(regexp_extract_all({t},'zzq .*? zzk')[1],' '))=3 AND regexp_extract_all({t},'zzq .*? zzk')[1]<>'zzq left zzk',false)"),
+    ("if27_copy", "copy:copy", {"prompt": F.col}, lambda: either(F.concat(F.lit("\n"), F.col("text"), F.lit("\t")), F.concat(F.col("text"), F.lit("."))), "text", "{t} IS NOT NULL AND doc_id%2=1 OR ({t} IS NULL AND NULL)"),
+    ("if28_copy_span", "new:copy_span_idx", {"prompt": "one two three", "start": 4, "end": 7}, lambda: either(F.lit(" TWO\n")), odd("e' TWO\\n'"), "lower(regexp_replace({t},'^\\s+|\\s+$','','g'))='two'"),
+    ("if29_sentence_hyphens", "detectable_format:sentence_hyphens", {}, lambda: either(F.lit("One a.-Two b.-Three.")), odd("'One a.-Two b.-Three.'"), f"len(list_filter(({SENTENCES})[2:], lambda s: NOT starts_with(s,'-')))=0 AND NOT regexp_matches({{t}},'[.!?]\\s+-|-\\s')"),
+    ("if30_no_adjacent_letters", "keywords:no_adjacent_consecutive", {}, lambda: either(F.lit("alpha zeta beta")), odd("'alpha zeta beta'"), f"SELECT doc_id, len(list_filter(range(1,len(w)), lambda i: ascii(lower(w[i+1]))-ascii(lower(w[i]))=1))=0 AS follows FROM (SELECT doc_id, {BLANKS} AS w FROM documents)"),
+    ("if31_square_brackets", "detectable_format:square_brackets", {}, lambda: either(F.concat(F.lit("["), F.regexp_replace(T.trimmed(F.col("text")), r"\s+", "] ["), F.lit("]"))), odd("'['||regexp_replace(regexp_replace(text,'^\\s+|\\s+$','','g'),'\\s+','] [','g')||']'"), f"len(list_filter({BLANKS}, lambda w: NOT (w LIKE '[%]')))=0"),
+    ("if33_word_count", "keywords:word_count_different_numbers", {"keyword": "an", "relation": "less than", "n": 4}, lambda: F.col("text"), "text", "len(regexp_extract_all(lower({t}),'an'))<4"),
+    ("if35_paragraphs", "paragraphs:paragraphs", {}, lambda: after(" *** b"), odd("text||' *** b'"), parts_of(STARS, 2)),
+    ("if36_paragraphs2", "paragraphs:paragraphs2", {}, lambda: after("\n\nb\n\n"), odd("text||e'\\n\\nb\\n\\n'"), parts_of(NEXT, 2)),
+    ("if37_first_word_sent", "first_word:first_word_sent", {"word": "so"}, lambda: either(F.lit("So a. so b!")), odd("'So a. so b!'"), f"len({SENTENCES})>0 AND len(list_filter({SENTENCES}, lambda s: regexp_extract(lower(s),'[\\p{{{{L}}}}\\p{{{{N}}}}_]+')<>'so'))=0"),
+    ("if39_last_word_sent", "last_word:last_word_sent", {"word": "so"}, lambda: either(F.lit("A so. b so")), odd("'A so. b so'"), f"len({SENTENCES})>0 AND len(list_filter({SENTENCES}, lambda s: coalesce(regexp_extract_all(lower(s),'[\\p{{{{L}}}}\\p{{{{N}}}}_]+')[-1],'')<>'so'))=0"),
+    ("if40_last_word", "last_word:last_word_answer", {"word": "End"}, lambda: after(" to the end!"), odd("text||' to the end!'"), f"coalesce(regexp_replace(lower(({BLANKS})[-1]),'[^\\p{{{{L}}}}\\p{{{{N}}}}_\\s]','','g')='end',false)"),
+    ("if41_bigram_wrapping", "detectable_format:bigram_wrapping", {}, lambda: either(F.lit("<<a b>> <<c d>>")), odd("'<<a b>> <<c d>>'"), f"SELECT doc_id, len(w)>1 AND len(list_filter(range(1,len(w),2), lambda i: NOT (w[i] LIKE '<<%' AND w[i+1] LIKE '%>>')))=0 AS follows FROM (SELECT doc_id, {BLANKS} AS w FROM documents)"),
+    ("if42_copying_simple", "copy:copying_simple", {"prompt": F.col}, lambda: either(F.col("text"), F.concat(F.col("text"), F.lit("."))), "text", "{t} IS NOT NULL AND doc_id%2=1 OR ({t} IS NULL AND NULL)"),
+    ("if43_copying_multiple", "copy:copying_multiple", {"prompt": F.col, "n": 3}, lambda: either(F.concat(F.col("text"), F.lit(" ****** "), F.col("text"), F.lit(" ******\n"), F.col("text"))), "text", "{t} IS NOT NULL AND doc_id%2=1 OR ({t} IS NULL AND NULL)"),
+    ("if48_letter_counting", "letters:letter_counting2", {"letter": "a", "relation": "at least", "n": 30}, lambda: F.col("text"), "text", "length({t})-length(replace(lower({t}),'a',''))>=30"),
+    ("if49_composition", "count:counting_composition", {"n_sent": 2, "n_words": 2}, lambda: either(F.lit("a b. c d.***e f. g h.***i j. k l.")), odd("'a b. c d.***e f. g h.***i j. k l.'"), parts_of(STARS, 3) + f" AND len(list_filter({STARS}, lambda p: len(regexp_extract_all(p,'[^.!?]*[\\p{{{{L}}}}\\p{{{{N}}}}_][^.!?]*[.!?]*'))<>2))=0"),
+    ("if50_count_unique", "count:count_unique", {}, lambda: either(F.concat_ws(" ", F.array_distinct(T.tokens(F.col("text"))))), odd(f"array_to_string(list_distinct({TOKENS.format(t='text')}),' ')"), f"len({TOKENS})=len(list_distinct({TOKENS}))"),
+    ("if51_increment_word", "count:count_increment_word", {"keyword1": "zzq", "keyword2": "zzk"}, lambda: after(" zzq ZZK zzk"), odd("text||' zzq ZZK zzk'"), "len(regexp_extract_all(lower({t}),'zzq'))=1 AND len(regexp_extract_all(lower({t}),'zzk'))=2"),
+    ("if52_palindrome", "keywords:palindrome", {}, lambda: F.col("text"), "text", f"len(list_filter({BLANKS}, lambda w: w=reverse(w)))>0"),
+    ("if53_keyword_position", "keywords:keyword_specific_position", {"keyword": "Key", "n": 2, "m": 3}, lambda: before("a b. c d Key. "), odd("'a b. c d Key. '||text"), "coalesce(regexp_extract_all((" + SENTENCES + ")[2],'[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]')[3]='Key',false)"),
+    ("if54_start_end", "keywords:start_end", {}, lambda: either(F.concat(F.lit("so "), F.col("text"), F.lit(" So"))), odd("'so '||text||' So'"), f"coalesce(len({TOKENS})>1 AND lower(({TOKENS})[1])=lower(({TOKENS})[-1]),false)"),
 ]
 
 
 def predicate(name, how, checked):
     def query(spark, sf):
-        return table(spark, sf, "documents").select("doc_id", T.PREDICATES[name](checked(), **how()).alias("follows"))
+        given = {k: F.col("text") if v is F.col else F.lit(v) if k == "prompt" and name.startswith("combination") else v for k, v in how.items()}
+        return table(spark, sf, "documents").select("doc_id", T.PREDICATES[name](checked(), **given).alias("follows"))
 
     return query
 
@@ -69,7 +98,8 @@ def predicate(name, how, checked):
 for key, name, how, checked, shown, sql in CASES:
     query = predicate(name, how, checked)
     query.__name__ = key
-    R.add(f"SELECT doc_id, {sql.format(t=shown) if shown else sql} AS follows FROM documents")(query)
+    sql = sql.format(t=shown)
+    R.add(sql if sql.startswith("SELECT") else f"SELECT doc_id, {sql} AS follows FROM documents")(query)
 
 
 def docs(spark, sf):
@@ -106,9 +136,9 @@ def tx8_score_ladder(spark, sf):
     return docs(spark, sf).select("doc_id", F.round(score, 6).alias("score"))
 
 
-@R.add("SELECT doc_id, md5(trim(split_part(text, chr(10), 1))) AS rest FROM documents")
+@R.add("SELECT doc_id, md5(regexp_replace(text,'^\\s+|\\s+$','','g')) AS rest FROM documents")
 def tx9_without_reasoning(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(T.without_reasoning(F.concat(F.lit("a</think>b</think> "), F.substring_index("text", "\n", 1)))).alias("rest"))
+    return docs(spark, sf).select("doc_id", F.md5(T.without_reasoning(F.concat(F.lit("a</think>b</think> "), F.col("text")))).alias("rest"))
 
 
 @R.add("SELECT doc_id, substr('ABCD', (doc_id%4+1)::INT, 1) AS letter FROM documents")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import samples as P
 from ..functions import tokens as T
+from ..operators import metrics as M
 from ..operators.ranking import running_sum
 from .base import SAMPLES, TOKENS, Registry, r6, samples, table, tokens
 
@@ -56,18 +57,17 @@ def pf16_array_violations(spark, sf):
 
 @R.add("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus)<>1")
 def pf17_unequal_siblings(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("n")).filter("n <> 1").select("o_custkey")
+    return M.unequal_siblings(table(spark, sf, "orders"), "o_custkey", "o_orderstatus")
 
 
 @R.add(f"WITH {SAMPLES} SELECT group_index FROM samples GROUP BY 1 HAVING count(*)>=4")
 def pf18_full_groups(spark, sf):
-    return samples(spark, sf).groupBy("group_index").count().filter("count >= 4").select("group_index")
+    return M.full_groups(samples(spark, sf), "group_index", 4)
 
 
 @R.add("SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*)>=3 AND count(*) FILTER (WHERE trim(text)<>'')>=3")
 def pf19_answered_groups(spark, sf):
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.trim("text") != "").alias("said"))
-    return g.filter("n >= 3 AND said >= 3").select("conv_id")
+    return M.full_groups(table(spark, sf, "conversations"), "conv_id", 3, "text")
 
 
 @R.add("SELECT event_id, CASE WHEN event_id%2=0 THEN event_type ELSE 'math' END AS rm_type, 'x' AS kept FROM events")
@@ -91,8 +91,7 @@ def pf24_masked_partial(spark, sf):
 
 @R.add(f"WITH {SAMPLES} SELECT source_name, avg(response_length) AS mean, median(response_length) AS median, max(response_length) AS max, min(response_length) AS min FROM samples GROUP BY 1")
 def ag1_statistics(spark, sf):
-    x = "response_length"
-    return samples(spark, sf).groupBy("source_name").agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.max(x).alias("max"), F.min(x).alias("min"))
+    return samples(spark, sf).groupBy("source_name").agg(*M.statistics_of(F.col("response_length")))
 
 
 @R.add(f"WITH {SAMPLES} SELECT source_name, round(avg(reward),6) AS mean, round(stddev_pop(reward),6) AS std, quantile_cont(reward,0.5) AS p50, round(avg((reward=1)::INT),6) AS pass_rate FROM samples GROUP BY 1")

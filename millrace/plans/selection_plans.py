@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import metrics as M
 from ..operators import selection as S
 from .base import Registry, r6, table
 
@@ -16,10 +16,14 @@ def sl2_fan_out(spark, sf):
     return S.fanned_out(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 4).select("o_orderkey", "index")
 
 
-@R.add("SELECT count(*) AS n, count(DISTINCT k) AS distinct_positions, min(k)::INT AS low, max(k)::INT AS high FROM (SELECT row_number() OVER (ORDER BY doc_id)-1 AS k FROM documents)")
+def hashed(seed: int, key: str) -> str:
+    """The keyed hash in SQL."""
+    return f"('0x'||substr(md5('{seed}:'||{key}),1,15))::BIGINT"
+
+
+@R.add(f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(45, 'doc_id')}, doc_id)-1 AS epoch_pos FROM documents")
 def sl1_epoch_order(spark, sf):
-    p = S.epoch_order(table(spark, sf, "documents").select("doc_id"), "doc_id", 42, 3)
-    return p.agg(F.count("*").alias("n"), F.count_distinct("epoch_pos").alias("distinct_positions"), F.min("epoch_pos").alias("low"), F.max("epoch_pos").alias("high"))
+    return S.epoch_order(table(spark, sf, "documents").select("doc_id"), "doc_id", 42, 3).select("doc_id", "epoch_pos")
 
 
 @R.add("SELECT ['math','code','chat'][(event_id%3)+1] AS source, count(*) AS n FROM events GROUP BY 1")
@@ -34,30 +38,35 @@ def sl6_curriculum(spark, sf):
     return table(spark, sf, "events").groupBy(source.alias("source")).agg(F.count("*").alias("n"))
 
 
-@R.add("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS n FROM events) SELECT event_id, (n//7)::BIGINT AS epoch, (n%7)::INT AS position FROM r")
+@R.add("WITH l AS (SELECT event_type, count(*)%7+3 AS length FROM events GROUP BY 1), r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)-1 AS n FROM events) SELECT event_id, n//length AS epoch, n%length AS position FROM r JOIN l USING (event_type)")
 def sl10_source_cursor(spark, sf):
     e = table(spark, sf, "events").select("event_type", "event_id")
-    kinds = {r["event_type"]: 7 for r in e.select("event_type").distinct().limit(1000).collect()}
-    return S.source_cursor(e, "event_type", "event_id", kinds).select("event_id", "epoch", "position")
+    lengths = e.groupBy(F.col("event_type").alias("source")).agg((F.count("*") % 7 + 3).alias("length"))
+    return S.source_cursor(e, "event_type", "event_id", lengths).select("event_id", "epoch", "position")
 
 
-@R.add()
+@R.add(f"SELECT CASE WHEN {hashed(7, 'event_id')}/1152921504606846976.0 < 0.75 THEN 'math' ELSE 'code' END AS source, count(*) AS n FROM events GROUP BY 1")
 def sl4_weighted_mixture(spark, sf):
     source = S.chosen_source({"math": 3.0, "code": 1.0, "none": 0.0}, S.draw("event_id", seed=7))
     return table(spark, sf, "events").groupBy(source.alias("source")).agg(F.count("*").alias("n"))
 
 
-@R.add()
+@R.add(
+    f"""WITH w AS (SELECT source, count(*) AS weight FROM documents WHERE source IS NOT NULL GROUP BY 1), e AS (SELECT source, (97-(SELECT count(*) FROM w))*weight/(SELECT sum(weight) FROM w)::DOUBLE AS exact FROM w),
+r AS (SELECT source, floor(exact)::BIGINT AS sure, row_number() OVER (ORDER BY round(exact-floor(exact),12) DESC, {hashed(3, 'source')}) AS turn FROM e)
+SELECT source, (1+sure+(turn <= 97-(SELECT count(*)+sum(sure) FROM r))::INT)::INT AS slots FROM r"""
+)
 def sl7_stratified(spark, sf):
-    return spark.createDataFrame(sorted(S.stratified_quota({"math": 3.0, "code": 1.0, "chat": 0.5}, 32).items()), "source string, slots int")
+    w = table(spark, sf, "documents").filter("source is not null").groupBy("source").agg(F.count("*").alias("weight"))
+    return S.stratified_slots(w, 97, 3)
 
 
-@R.add()
+@R.add(f"WITH k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {hashed(5, 'doc_id')}, doc_id) AS turn FROM documents) SELECT lang, doc_id FROM k ORDER BY turn, lang NULLS FIRST LIMIT 100")
 def sl11_balanced_subset(spark, sf):
     return S.balanced_subset(table(spark, sf, "documents").select("lang", "doc_id"), "lang", "doc_id", 100, 5)
 
 
-@R.add()
+@R.add(f"SELECT doc_id, row_number() OVER (ORDER BY {hashed(11, 'doc_id')}, doc_id) <= least(50, (SELECT count(*) FROM documents)-1) AS held_out FROM documents")
 def sl12_holdout(spark, sf):
     return S.holdout(table(spark, sf, "documents").select("doc_id"), "doc_id", 50, 11)
 
@@ -97,13 +106,13 @@ def sl17_dense_top_k(spark, sf):
 
 
 @R.add(
-    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]+')) AS word FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]+')) AS word FROM benchmark WHERE item_id < 5),
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]+')) AS word FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]+')) AS word FROM benchmark),
 l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1), s AS (SELECT count(*) AS n, avg(len) AS mean FROM l), t AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN (SELECT word FROM q) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM t GROUP BY 1),
 c AS (SELECT query_id, doc_id, sum(ln(1+(n-df+0.5)/(df+0.5))*tf/(tf+0.9*(1-0.4+0.4*len/mean))) AS score FROM t JOIN f USING (word) JOIN l USING (doc_id), s, q WHERE q.word=t.word GROUP BY ALL)
 SELECT query_id, doc_id, round(score,6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, doc_id))::INT AS rank FROM c QUALIFY rank <= 10"""
 )
 def sl18_bm25_top_k(spark, sf):
-    q = table(spark, sf, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return _bm25(q, table(spark, sf, "documents"))
 
 
@@ -111,28 +120,30 @@ def _bm25(q, docs):
     return S.bm25_top_k(q, docs.select("doc_id", "text"), 10).select("query_id", "doc_id", r6(F.col("score"), "score"), "rank")
 
 
-@R.add("SELECT i AS i, (17 + 7*i) % 1000 AS pick FROM range(0,100) t(i)")
+@R.add("WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT i, (17+(SELECT min(k) FROM range(7,100) t(k), n WHERE gcd(k,n)=1)*i)%n AS pos FROM range(0,100) t(i), n WHERE i < n) SELECT doc_id, i AS pick FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS pos FROM documents) JOIN s USING (pos)")
 def sl20_stride_sample(spark, sf):
-    return spark.range(100).select(F.col("id").alias("i"), F.pmod(17 + 7 * F.col("id"), F.lit(1000)).alias("pick"))
+    from ..operators.ranking import numbered_by
+
+    d = table(spark, sf, "documents").select("doc_id")
+    return S.stride_sample(numbered_by(d, "at", "doc_id"), "at", d.count(), 17, 7, 100).select("doc_id", "pick")
 
 
 @R.add("SELECT DISTINCT seed FROM (SELECT o_custkey%40 AS seed FROM orders WHERE o_orderpriority='1-URGENT' INTERSECT SELECT o_custkey%40 FROM orders WHERE o_orderpriority='5-LOW')")
 def so1_common_seeds(spark, sf):
     o = table(spark, sf, "orders").withColumn("seed", F.col("o_custkey") % 40)
-    return o.filter("o_orderpriority = '1-URGENT'").select("seed").intersect(o.filter("o_orderpriority = '5-LOW'").select("seed"))
+    return M.common_keys(o, "seed", [F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"])
 
 
 @R.add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def so3_difference(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return M.without(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @R.add("SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
 def so5_duplicate_keys(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n")).filter("n > 1")
+    return M.repeated_keys(table(spark, sf, "orders"), ["o_custkey", "o_orderdate"])
 
 
 @R.add("WITH k AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id*7919%10007, event_id) AS r FROM events) SELECT event_type, event_id FROM k WHERE r<=5")
 def sl21_smallest_per_branch(spark, sf):
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("event_id") * 7919 % 10007, "event_id"))
-    return table(spark, sf, "events").withColumn("r", r).filter("r <= 5").select("event_type", "event_id")
+    return M.smallest_hashes(table(spark, sf, "events"), "event_type", F.col("event_id") * 7919 % 10007, "event_id", 5).select("event_type", "event_id")

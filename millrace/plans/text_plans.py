@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.scores import token_f1_rows
 from .base import Registry, r6, table
 
 R = Registry()
 NORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({0}),'[!-/:-@\\[-`{{-~]','','g'),'\\s+'), lambda w: w NOT IN ('','a','an','the')),' ')"
-HEAD = "split_part(text, chr(10), 1)"
 
 
 def docs(spark, sf):
@@ -22,14 +22,16 @@ def tx1_normalized_answer(spark, sf):
 
 
 @R.add(
-    f"""WITH h AS (SELECT doc_id, {NORM.format(HEAD)} AS p, {NORM.format('substr(text,1,120)')} AS g FROM documents),
+    f"""WITH h AS (SELECT d.doc_id, {NORM.format('d.text')} AS p, {NORM.format('e.text')} AS g FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1),
 a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(p,' ')) AS w FROM h) WHERE w<>'' GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(g,' ')) AS w FROM h) WHERE w<>'' GROUP BY ALL),
 s AS (SELECT a.doc_id, sum(least(a.n,b.n)) AS same FROM a JOIN b ON a.doc_id=b.doc_id AND a.w=b.w GROUP BY 1), na AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY 1), nb AS (SELECT doc_id, sum(n) AS n FROM b GROUP BY 1)
 SELECT h.doc_id, round(CASE WHEN p<>g AND (p IN ('yes','no','noanswer') OR g IN ('yes','no','noanswer')) OR same IS NULL THEN 0.0 ELSE 2.0*same/(na.n+nb.n) END,6) AS f1 FROM h LEFT JOIN s USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)"""
 )
 def tx2_token_f1(spark, sf):
-    head = F.split("text", "\n")[0]
-    return docs(spark, sf).select("doc_id", r6(T.token_f1(head, F.substring("text", 1, 120)), "f1"))
+    """Each document against the next one, whole texts."""
+    d = docs(spark, sf)
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("gold"))
+    return token_f1_rows(d.join(after, "doc_id"), "doc_id", "text", "gold").select("doc_id", r6(F.col("f1"), "f1"))
 
 
 @R.add("SELECT doc_id, sha256(lower(trim(regexp_replace(text,'\\s+',' ','g')))) AS hash FROM documents")
@@ -55,7 +57,7 @@ CASES = [
     ("if08_number_words", "length_constraints:number_words", {"relation": "less than", "n": 200}, "len(regexp_extract_all(text,'[\\p{L}\\p{N}_]+'))<200"),
     ("if10_placeholders", "detectable_content:number_placeholders", {"n": 1}, "len(regexp_extract_all(text,'\\[.*?\\]'))>=1"),
     ("if13_constrained", "detectable_format:constrained_response", {"options": ["License", "rights"]}, "contains(text,'License') OR contains(text,'rights')"),
-    ("if20_end", "startend:end_checker", {"phrase": "The."}, "ends_with(lower(trim(trim(text),'\"')),'the.')"),
+    ("if20_end", "startend:end_checker", {"phrase": "The."}, "ends_with(lower(trim(regexp_replace(text,'^\\s+|\\s+$','','g'),'\"')),'the.')"),
     ("if24_no_comma", "punctuation:no_comma", {}, "NOT contains(text,',')"),
     ("if44_no_dot", "punctuation:punctuation_dot", {}, "NOT contains(text,'.')"),
     ("if45_no_exclamation", "punctuation:punctuation_exclamation", {}, "NOT contains(text,'!')"),

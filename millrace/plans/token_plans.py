@@ -101,12 +101,9 @@ def ta10_distillation(spark, sf):
     + digested("v0", source="w")
 )
 def ta11_masked_whitening(spark, sf):
-    df = tokens(spark, sf)
-    square = F.transform("adv", lambda a: a * a)
-    n = F.sum(T.total(F.col("mask")))
-    g = df.agg(n.alias("n"), (F.sum(T.masked_sum(F.col("adv"), F.col("mask"))) / n).alias("mean"), (F.sum(T.masked_sum(square, F.col("mask"))) / n).alias("sq"))
-    var = (F.col("sq") - F.col("mean") * F.col("mean")) * F.col("n") / (F.col("n") - 1)
-    return digest(df.join(F.broadcast(g)), F.transform("adv", lambda a: (a - F.col("mean")) / F.sqrt(var + 1e-8)))  # one row is broadcast
+    from ..functions.advantages import whitened
+
+    return digest(whitened(tokens(spark, sf), "adv", "mask"), F.col("adv"))
 
 
 @R.add(f"WITH {TOKENS} " + digested("greatest(least(exp(logp-old),1.02),0.5)", ", round(avg(CASE WHEN exp(logp-old)>1.02 OR exp(logp-old)<0.5 THEN 1.0 ELSE 0.0 END),6) AS clip_fraction"))

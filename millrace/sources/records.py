@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lineage import cut
 from ..operators.selection import sliced
 
 SLICE = re.compile(r"^(.*)@\[(-?\d*):(-?\d*)\]$")
@@ -31,12 +33,20 @@ def read_records(spark: SparkSession, path: str, schema: str | None = None, stri
 
 
 def positioned(df: DataFrame) -> DataFrame:
-    """`row_pos` from 0 in reading order: numbers within partitions, shifted by the counts of those before."""
-    n = df.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__id", 33)
-    counts = n.groupBy(part.alias("__part")).count()  # one row for each partition of the scan
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return n.withColumn("__part", part).join(before, "__part").withColumn("row_pos", F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__before")
+    """`row_pos` from 0 in reading order, the same in every job however the scan is split.
+
+    Rows of Parquet files know their place in the file, which is shifted by the counts of the files before it (by path); other
+    rows are numbered once, in files of their own."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        rows = df.withColumn("__file", meta["file_path"]).withColumn("__at", meta["row_index"])
+        rows.schema
+    except AnalysisException:  # no files, or files of a format without row numbers
+        rows = cut(df.withColumn("__id", F.monotonically_increasing_id()))
+        rows = rows.withColumn("__file", F.shiftrightunsigned("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    counts = rows.groupBy("__file").count()  # one row for each file or part
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select("__file", before.alias("__before")), "__file").withColumn("row_pos", F.col("__before") + F.col("__at")).drop("__file", "__at", "__before")
 
 
 def json_safe(value: Column) -> Column:

@@ -13,7 +13,7 @@ from millrace.operators import groups as G
 from millrace.operators import ordered as O
 from millrace.operators import selection as S
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def plain(v):
@@ -67,7 +67,6 @@ def test_groups_of_one_have_no_deviation(spark):
 
 
 def test_cyclic_parents_have_depth_zero(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 6), (6, 5), (7, 99), (8, 5)], "span bigint, parent bigint")
     assert {r["span"]: r["depth"] for r in O.span_depths(df).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 0, 6: 0, 7: 0, 8: 0}
 
@@ -95,7 +94,10 @@ def test_samplers_keep_their_contracts(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     first, again, next_ = ([r["k"] for r in S.epoch_order(df.repartition(n), "k", 1, e).orderBy("epoch_pos").collect()] for n, e in ((1, 0), (7, 0), (7, 1)))
     assert first == again != next_ and sorted(first) == list(range(100))
-    assert sum(S.stratified_quota({"a": 5, "b": 1, "c": 0}, 10).values()) == 10
+    weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 0.0)], "source string, weight double")
+    assert {r["source"]: r["slots"] for r in S.stratified_slots(weights, 10).collect()} in ({"a": 8, "b": 2}, {"a": 7, "b": 3})
+    picks = {r["k"]: r["pick"] for r in S.stride_sample(df, "k", 100, 3, 4, 30).collect()}  # 4 is raised to 7
+    assert picks == {(3 + 7 * i) % 100: i for i in range(30)}
     assert S.holdout(df, "k", 10, 3).filter("held_out").count() == 10 and S.holdout(df.limit(1), "k", 10, 3).filter("held_out").count() == 0
     assert [r["k"] for r in S.head_and_tail(df, "k", 0.05).orderBy("k").collect()] == [0, 1, 97, 98, 99]
     assert S.sliced(df, "k", -1000, 3).count() == 3

@@ -42,5 +42,6 @@ def test_missing_ids_take_the_smallest_free_numbers(spark):
 
 def test_cursor_of_a_hot_source(spark):
     df = spark.range(300).select("id", F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("s"))
-    got = sorted((r["id"], r["epoch"], r["position"]) for r in S.source_cursor(df.repartition(4), "s", "id", {"hot": 7, "cold": 30}).filter("s = 'hot'").collect())
+    lengths = spark.createDataFrame([("hot", 7), ("cold", 30)], "source string, length int")
+    got = sorted((r["id"], r["epoch"], r["position"]) for r in S.source_cursor(df.repartition(4), "s", "id", lengths).filter("s = 'hot'").collect())
     assert [(e, p) for _, e, p in got] == [(i // 7, i % 7) for i in range(200)]

@@ -96,7 +96,7 @@ def test_spectra_equal_a_decomposition(spark):
     rows = [(k, r.tolist()) for k, m in mats.items() for r in m]
     df = spark.createDataFrame(rows, "k string, row array<double>").repartition(6)
     exact = {r["k"]: r for r in G.matrix_diagnostics(df, "k", "row").collect()}
-    sketch = {r["k"]: r for r in G.matrix_diagnostics(df, "k", "row", most_columns=4, rank=16).collect()}
+    sketch = {r["k"]: r for r in G.matrix_diagnostics(df, "k", "row", method="sketch", rank=16).collect()}
     for k, m in mats.items():
         s = np.linalg.svd(m, compute_uv=False)
         for found in (exact[k], sketch[k]):  # sixteen projections of eight columns lose nothing
