@@ -121,11 +121,11 @@ def discounted(rewards: Column, gamma: float, chunk: int = 128) -> Column:
     return F.when(rewards.isNotNull(), F.transform(F.array(local), joined)[0])  # bound once
 
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages; nothing follows the last token."""
+def gae(rewards: Column, values: Column, gamma: float, lam: float, chunk: int = 128) -> Column:
+    """Generalised advantages; nothing follows the last token. The size of the chunks changes the cost alone."""
     ahead = F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(rewards, ahead, lambda r, v: r + gamma * v), values, lambda x, v: x - v)
-    return discounted(delta, gamma * lam)
+    return discounted(delta, gamma * lam, chunk)
 
 
 def shaped_returns(reward: Column, kl: Column, mask: Column, beta: float, gamma: float) -> Column:

@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may leave it unset and gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` as reliable files in the folder of spark.checkpoint.dir. Only a local session may leave that unset."""
     spark = df.sparkSession
     if spark._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

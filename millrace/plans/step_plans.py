@@ -69,10 +69,3 @@ def sk7_vector_geometry(spark, sf):
 @R.add("SELECT doc_id, (row_number() OVER (ORDER BY doc_id)-1)::BIGINT AS row_pos FROM documents QUALIFY row_pos BETWEEN 5 AND 49")
 def sc1_records(spark, sf):
     return D.read_records(spark, f"{sf}/documents.parquet@[5:50]").select("doc_id", "row_pos")
-
-
-@R.add("SELECT event_type, count(*)//4 AS complete, count(*)%4 AS waiting FROM events GROUP BY 1")
-def st1_group_sizes(spark, sf):
-    """What the streaming buffer holds once the input has ended; the stream itself is tested against it."""
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return g.select("event_type", F.floor(F.col("n") / 4).alias("complete"), (F.col("n") % 4).alias("waiting"))

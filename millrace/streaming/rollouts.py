@@ -39,9 +39,14 @@ def take_groups(path: str, group: str, arrival: str, target: int, status: str |
     return write
 
 
-def folded_chunks(stream: DataFrame, key: str = "request_id") -> DataFrame:
+def waiting(wait_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def folded_chunks(stream: DataFrame, key: str = "request_id", wait_ms: int | None = None) -> DataFrame:
     """Chunks (key, seq, text, metadata as a map, finish_reason) of one answer become one row when the last has come: texts
-    in order of seq, metadata merged with later chunks winning. State is one answer a key, and is dropped then."""
+    in order of seq, metadata merged with later chunks winning. State is one answer a key, and is dropped then; with `wait_ms`
+    an answer to which nothing has come for so long leaves as it is, its reason `timeout`."""
     kind = dict(stream.dtypes)[key]
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,8 +55,12 @@ def folded_chunks(stream: DataFrame, key: str = "request_id") -> DataFrame:
             held += [[int(r.seq), r.text or "", dict(r.metadata) if r.metadata is not None else {}, r.finish_reason] for r in f.itertuples()]
         held.sort(key=lambda c: c[0])
         last = next((c for c in held if c[3] is not None), None)
-        if last is None or len(held) <= last[0]:  # chunks are counted from 0
+        if state.hasTimedOut:
+            last = [0, "", {}, "timeout"]
+        elif last is None or len(held) <= last[0]:  # chunks are counted from 0
             state.update(([json.dumps(c) for c in held],))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
             return
         if state.exists:
             state.remove()
@@ -61,7 +70,7 @@ def folded_chunks(stream: DataFrame, key: str = "request_id") -> DataFrame:
         yield pd.DataFrame({key: [k[0]], "text": ["".join(c[1] for c in held)], "metadata": [merged], "finish_reason": [last[3]], "chunks": [len(held)]})
 
     out = f"{key} {kind}, text string, metadata map<string,string>, finish_reason string, chunks int"
-    return stream.groupBy(key).applyInPandasWithState(fold, out, "held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(fold, out, "held array<string>", "append", waiting(wait_ms))
 
 
 def joined_spans(starts: DataFrame, ends: DataFrame, key: str, late: str = "10 minutes", longest: str = "1 hour") -> DataFrame:
@@ -94,8 +103,9 @@ def archive_uncommitted(spark: SparkSession, path: str, name: str) -> int:
     return spark.read.parquet(f"{path}/archive/{name}").count()
 
 
-def finished_sessions(stream: DataFrame, session: str, number: str, ended: str, threshold: int = 1024) -> DataFrame:
-    """Turns by session wait in state until one says that the session has ended; then its training rows leave."""
+def finished_sessions(stream: DataFrame, session: str, number: str, ended: str, threshold: int = 1024, wait_ms: int | None = None) -> DataFrame:
+    """Turns by session wait in state until one says that the session has ended; then its training rows leave. With `wait_ms`
+    a session to which nothing has come for so long leaves with the turns it has."""
     names = [c.split()[0] for c in TURN.split(", ")]
     kind = dict(stream.dtypes)[session]
 
@@ -108,7 +118,7 @@ def finished_sessions(stream: DataFrame, session: str, number: str, ended: str,
 
     def build(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        over = False
+        over = state.hasTimedOut
         for f in frames:
             for r in f.to_dict("records"):
                 turn = {n: plain(r[n]) for n in names}
@@ -118,6 +128,8 @@ def finished_sessions(stream: DataFrame, session: str, number: str, ended: str,
                 over = over or bool(r[ended])
         if not over:
             state.update((held,))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
             return
         if state.exists:
             state.remove()
@@ -126,4 +138,4 @@ def finished_sessions(stream: DataFrame, session: str, number: str, ended: str,
         yield pd.DataFrame([(k[0], r["row"], r["tokens"], r["response_length"], r["loss_mask"]) for r in rows], columns=[session, "row", "tokens", "response_length", "loss_mask"])
 
     out = f"{session} {kind}, row int, tokens array<int>, response_length int, loss_mask array<int>"
-    return stream.groupBy(session).applyInPandasWithState(build, out, "held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(session).applyInPandasWithState(build, out, "held array<string>", "append", waiting(wait_ms))
