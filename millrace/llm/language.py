@@ -127,8 +127,10 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
         for frame in frames:
             yield pd.DataFrame({"lang": frame["lang"], "f": [features(t).astype("<f4").tobytes() for t in frame["text"]]})
 
-    rows = known.filter(draw < share[F.col("lang")]).select("lang", "text").mapInPandas(featured, schema)
-    got = rows.orderBy(F.xxhash64("f"), "lang", "f").limit(int(1.5 * per_language * len(counts)) + 100).toPandas().sort_values(["lang", "f"])
+    # Repeated rows share their draw; one of them is enough, so what is drawn doesn't depend on the order of tasks.
+    drawn = known.filter(draw < share[F.col("lang")]).groupBy(draw.alias("draw"), "lang").agg(F.min("text").alias("text"))
+    rows = drawn.select("lang", "text").mapInPandas(featured, schema)
+    got = rows.limit(int(1.5 * per_language * len(counts)) + 100).toPandas().sort_values(["lang", "f"])
     x = np.array([np.frombuffer(f, dtype="<f4") for f in got["f"]], dtype=float).reshape(-1, 1 << BITS)
     return LanguageModel(x, got["lang"].to_numpy(dtype=object))
 
