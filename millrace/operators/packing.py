@@ -1,6 +1,6 @@
-"""Micro-batch packing of one training step: small plans over the lengths of a step, one step a group.
+"""Micro-batch packing of one training step: small plans over the lengths of a step, one step a row.
 
-A step holds a bounded number of samples (the global batch size), so a step is a group of `applyInPandas`; steps are
+A step holds a bounded number of samples (the global batch size), so its samples fit in the arrays of one row; steps are
 independent and spread over the cluster.
 """
 
@@ -143,31 +143,46 @@ def packed_steps(df: DataFrame, step: str, order: str, length: str, ranks: int,
     """(step, order, micro_batch, rank, place) of each sample by `micro_batches`; every rank gets as many bins, the heaviest
     bin of each round the lightest rank, and `place` counts the samples of a rank."""
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        lengths, weights = group[length].astype(int).tolist(), group[weight or length].astype(float).tolist()
-        bins = micro_batches(lengths, weights, ranks, most, mode, size)
-        rank, bin_of = dealt_bins(lengths, bins, ranks), {i: b for b, items in enumerate(bins) for i in items}
-        out = pd.DataFrame({step: group[step].to_numpy(), order: group[order].to_numpy(), "micro_batch": [bin_of[i] for i in range(len(lengths))]})
-        out["rank"] = [rank[b] for b in out["micro_batch"]]
-        out["place"] = out.groupby("rank").cumcount()
-        return out
+    @F.pandas_udf("array<struct<micro_batch:int,rank:int,place:int>>")
+    def plan(lengths: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for n, w in zip(lengths, weights):
+            n = [int(x) for x in n]
+            bins = micro_batches(n, [float(x) for x in w], ranks, most, mode, size)
+            rank, bin_of, place = dealt_bins(n, bins, ranks), {i: b for b, items in enumerate(bins) for i in items}, [0] * ranks
+            rows = []
+            for i in range(len(n)):
+                r = rank[bin_of[i]]
+                rows.append({"micro_batch": bin_of[i], "rank": r, "place": place[r]})
+                place[r] += 1
+            out.append(rows)
+        return pd.Series(out)
 
-    kinds = dict(df.dtypes)
-    columns = [step, order, *dict.fromkeys([length, weight or length])]
-    return df.select(*columns).groupBy(step).applyInPandas(plan, f"{step} {kinds[step]}, {order} {kinds[order]}, micro_batch int, rank int, place int")
+    g = _by_step(df, step, order, length, weight or length)
+    zipped = F.explode(F.arrays_zip(F.col("s.__order").alias("o"), plan("s.__length", "s.__weight").alias("p"))).alias("e")
+    return g.select(step, zipped).select(step, F.col("e.o").alias(order), "e.p.*")
+
+
+def _by_step(df: DataFrame, step: str, order: str, length: str, weight: str) -> DataFrame:
+    """One row a step, its samples in order; a step is a bounded batch."""
+    one = F.struct(F.col(order).alias("__order"), F.col(length).alias("__length"), F.col(weight).alias("__weight"))
+    return df.groupBy(step).agg(F.array_sort(F.collect_list(one)).alias("s"))
 
 
 def grouped_plan(df: DataFrame, step: str, order: str, length: str, make, name: str = "part") -> DataFrame:
     """(step, order, `name`) by a plan over the lengths of each step, such as `first_fit`, `balanced`, `greedy` or `chunked`."""
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        part = {i: k for k, items in enumerate(make(group[length].astype(int).tolist())) for i in items}
-        return pd.DataFrame({step: group[step].to_numpy(), order: group[order].to_numpy(), name: [part[i] for i in range(len(group))]})
-
-    kinds = dict(df.dtypes)
-    return df.select(step, order, length).groupBy(step).applyInPandas(plan, f"{step} {kinds[step]}, {order} {kinds[order]}, {name} int")
+    @F.pandas_udf("array<int>")
+    def plan(lengths: pd.Series) -> pd.Series:
+        out = []
+        for n in lengths:
+            part = {i: k for k, items in enumerate(make([int(x) for x in n])) for i in items}
+            out.append([part[i] for i in range(len(n))])
+        return pd.Series(out)
+
+    g = _by_step(df, step, order, length, length)
+    zipped = F.explode(F.arrays_zip(F.col("s.__order").alias("o"), plan("s.__length").alias("p"))).alias("e")
+    return g.select(step, zipped).select(step, F.col("e.o").alias(order), F.col("e.p").alias(name))
 
 
 def per_rank(assigned: DataFrame, rows: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
