@@ -119,3 +119,19 @@ def test_short_repeated_lines_go(spark):
 def test_language_stage_keeps_documents_when_nothing_can_be_learned(spark):
     docs = spark.createDataFrame([(1, "Some clean text.", None, "s", 16), (2, "1 2 3", None, "s", 5), (3, None, None, "s", 0)], COLUMNS)
     assert [(r["doc_id"], r["lang"]) for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [(1, None)]
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, repeats, empty tables and columns of other names in every stage; none but those of documents come out."""
+    columns = "doc_id bigint, text string, lang string, source string, removed string, fp int, component_id string, leaks int, node int, start int"
+    rows = [(1, "Some clean text of its own.\nAnd a line.", "en"), (1, "Some clean text of its own.\nAnd a line.", "en"), (2, None, None), (None, "", "fr"), (None, None, None), (3, "\n\n", None), (4, "word other " * 30_000, "en"), (5, "Quite another text.", "en")]
+    docs = spark.createDataFrame([(*r, "s", "x", 1, "c", 2, 3, 4) for r in rows], columns)
+    kept = {"language_id": 4, "line_dedup": 7, "near_dedup": 4, "decontamination": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name == "packing":
+            assert sum(r["start"] == 0 for r in got) == 8
+            continue
+        assert out.columns == ["doc_id", "text", "lang", "source"] and len(got) == kept[name], (name, got)
