@@ -11,6 +11,19 @@ def prompt_messages(prompt: Column) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
 
 
+def rendered_chat(messages: Column, generate: bool = True, start: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """Messages (role, content) in a chat template, with the head of the answer that is to be generated."""
+    said = F.transform(messages, lambda m: F.concat(F.lit(start), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(end + "\n")))
+    return F.concat(F.array_join(said, ""), F.lit(f"{start}assistant\n" if generate else ""))
+
+
+def dataset_row(prompt: Column, label: Column, metadata: Column, tools: Column | None = None) -> Column:
+    """prompt (rendered), messages, label, tools and metadata of one raw row; null metadata is empty."""
+    messages = prompt_messages(prompt)
+    empty = F.create_map().cast("map<string,string>")
+    return F.struct(rendered_chat(messages).alias("prompt"), messages.alias("messages"), label.cast("string").alias("label"), (tools if tools is not None else F.lit(None).cast("string")).alias("tools"), F.coalesce(metadata, empty).alias("metadata"))
+
+
 def task_reward(*candidates: Column) -> Column:
     """The first that is a number; NaN isn't one."""
     return F.coalesce(*[F.when(~F.isnan(c), c) for c in candidates])

@@ -284,3 +284,19 @@ def pf12_row_source(spark, sf):
     """The row's own attribute, then its metadata, else unknown; blanks become underscores in the label."""
     own, meta = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")), F.when(F.col("o_orderstatus") == "O", "meta")
     return table(spark, sf, "orders").groupBy(F.replace(X.source_label(own, meta), F.lit("_"), F.lit(" ")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@R.add("SELECT event_type AS source, count(*) AS at FROM events GROUP BY 1")
+def sl9_restored_sampler(spark, sf):
+    place, config = fresh_folder(spark, "sampler"), {"seed": 7, "mode": "weighted"}
+    counts = table(spark, sf, "events").groupBy("event_type").count().collect()  # one for each source
+    S.save_sampler(spark, place, config, {r["event_type"]: r["count"] for r in counts})
+    return spark.createDataFrame(sorted(S.restored_sampler(spark, place, config).items()), "source string, at bigint")
+
+
+@R.add("SELECT doc_id, md5('<|im_start|>user'||chr(10)||text||'<|im_end|>'||chr(10)||'<|im_start|>assistant'||chr(10)) AS prompt, lang AS label, source AS metadata FROM documents")
+def sc3_dataset_rows(spark, sf):
+    from ..functions.samples import dataset_row
+
+    row = dataset_row(F.col("text"), F.col("lang"), F.create_map(F.lit("source"), F.col("source"))).alias("r")
+    return table(spark, sf, "documents").select("doc_id", row).select("doc_id", F.md5("r.prompt").alias("prompt"), F.col("r.label").alias("label"), F.col("r.metadata")["source"].alias("metadata"))

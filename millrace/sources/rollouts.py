@@ -35,6 +35,21 @@ def restored_cursor(spark: SparkSession, path: str, rollout_id: int) -> dict[str
     return spark.read.parquet(f"{path}/rollout_id={rollout_id}").first().asDict()
 
 
+def save_sampler(spark: SparkSession, path: str, config: dict, state: dict[str, int]) -> None:
+    """The state of a sampler (a number for each source) beside the configuration that it belongs to; saving again replaces it."""
+    text = json.dumps(config, sort_keys=True)
+    rows = [(text, k, int(v)) for k, v in sorted(state.items())]
+    spark.createDataFrame(rows, "config string, source string, at bigint").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def restored_sampler(spark: SparkSession, path: str, config: dict) -> dict[str, int]:
+    """The saved state; an error if it belongs to another configuration."""
+    rows = spark.read.parquet(path).collect()  # one for each source
+    if {r["config"] for r in rows} != {json.dumps(config, sort_keys=True)}:
+        raise ValueError("the state belongs to another configuration")
+    return {r["source"]: r["at"] for r in rows}
+
+
 def buffer_first(buffer: DataFrame, source: DataFrame, arrival: str, count: int) -> DataFrame:
     """`count` rows: the buffer by arrival, then the source by its own order; `from_buffer` says which."""
     both = buffer.withColumn("from_buffer", F.lit(True)).unionByName(source.withColumn("from_buffer", F.lit(False)), allowMissingColumns=True)

@@ -130,3 +130,12 @@ def test_extensions_by_hand(spark):
     links = ["https://a.org/x/y.html", "https://a.org/x/.html", "https://a.org/x", "https://a.org/x.tar.gz", "https://a.org"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(links)], "i int, l string").orderBy("i")
     assert [r[0] for r in df.select(B.link_extension(F.col("l"))).collect()] == [".html", "", "", ".gz", ".org"]
+
+
+def test_sampler_state_belongs_to_its_configuration(spark, tmp_path):
+    place = str(tmp_path / "sampler")
+    L.save_sampler(spark, place, {"seed": 1, "mode": "a"}, {"x": 3})
+    L.save_sampler(spark, place, {"mode": "a", "seed": 1}, {"x": 4, "y": 0})
+    assert L.restored_sampler(spark, place, {"seed": 1, "mode": "a"}) == {"x": 4, "y": 0}
+    with pytest.raises(ValueError):
+        L.restored_sampler(spark, place, {"seed": 2, "mode": "a"})
