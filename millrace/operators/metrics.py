@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as T
 from .groups import estimates, pass_rates
+from .ranking import numbered_by
 
 FINITE = float("inf")
 
@@ -231,11 +232,14 @@ def status_shares(df: DataFrame, status: str) -> DataFrame:
     return g.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def value_distribution(v: Column, percents: tuple[int, ...] = (10, 50, 90, 99)) -> list[Column]:
-    return [
+def value_distribution(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (10, 50, 90, 99)) -> DataFrame:
+    """count, mean, std, l2, rms, max_abs, negative_fraction and exact percentiles of a value."""
+    v = F.col(value)
+    g = df.groupBy(*keys).agg(
         F.count("*").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.sqrt(F.sum(v * v)).alias("l2"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("max_abs"),
-        *[F.percentile(v, F.lit(q / 100)).alias(f"p{q}") for q in percents], F.avg((v < 0).cast("int")).alias("negative_fraction"),
-    ]
+        F.avg((v < 0).cast("int")).alias("negative_fraction"),
+    )
+    return g.join(exact_quantiles(df, keys, value, {f"p{q}": q / 100 for q in percents}), keys)
 
 
 def position_bin(i: Column, length: Column, bins: int = 10) -> Column:
@@ -272,8 +276,22 @@ def smallest_hashes(df: DataFrame, branch: str, hashed: Column, key: str, count:
     return df.withColumn("__r", r).filter(F.col("__r") <= count).drop("__r")
 
 
-def quartiles(x: str) -> list[Column]:
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [p[1].alias("median"), (p[2] - p[0]).alias("iqr")]
-
-
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of `qs`): exact quantiles, interpolated between neighbours. Rows are numbered within value
+    ranges, so no task holds a whole group, however many different values it has; nulls don't count."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("__size"))
+    placed = numbered_by(rows, "__at", "__v", within=keys).join(n, keys)
+    out = []
+    for name, q in qs.items():
+        want = (F.col("__size") - 1) * F.lit(q)
+        low = F.max(F.when(F.col("__at") == F.floor(want), F.col("__v")))
+        high = F.max(F.when(F.col("__at") == F.ceil(want), F.col("__v")))
+        part = F.max(want - F.floor(want))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
+def median_and_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.select(*keys, "median", (F.col("q3") - F.col("q1")).alias("iqr"))

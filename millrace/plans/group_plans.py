@@ -139,8 +139,8 @@ round(max(abs(v)),6) AS max_abs, round(quantile_cont(v,0.1),6) AS p10, round(qua
 )
 def ag25_distribution(spark, sf):
     x = table(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    g = x.groupBy("label").agg(*M.value_distribution(F.col("v")))
-    return g.select("label", "count", *[F.round(c, 5).alias(c) if c == "l2" else r6(F.col(c), c) for c in g.columns[2:]])
+    g = M.value_distribution(x, ["label"], "v")
+    return g.select("label", "count", *[F.round(c, 5).alias(c) if c == "l2" else r6(F.col(c), c) for c in g.columns if c not in ("label", "count")])
 
 
 @R.add("WITH x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1)-1 AS i FROM embeddings) SELECT least(9, i*10//n)::INT AS bin, count(*) AS n, round(avg(v),6) AS mean FROM x GROUP BY 1")
@@ -157,7 +157,8 @@ def ag36_rollout_sums(spark, sf):
 
 @R.add("SELECT o_orderpriority AS task, round(avg(o_totalprice),4) AS median_mean, round(quantile_cont(o_totalprice,0.5),4) AS median, round(quantile_cont(o_totalprice,0.75)-quantile_cont(o_totalprice,0.25),4) AS iqr, count(*) AS n FROM orders GROUP BY 1")
 def ag35_median_and_iqr(spark, sf):
-    g = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.avg("o_totalprice").alias("median_mean"), *M.quartiles("o_totalprice"), F.count("*").alias("n"))
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "task")
+    g = o.groupBy("task").agg(F.avg("o_totalprice").alias("median_mean"), F.count("*").alias("n")).join(M.median_and_iqr(o, ["task"], "o_totalprice"), "task")
     return g.select("task", *[F.round(c, 4).alias(c) for c in ("median_mean", "median", "iqr")], "n")
 
 

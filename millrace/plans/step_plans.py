@@ -60,6 +60,13 @@ def sk4_histogram_quantile(spark, sf):
     return q.select("label", F.round("quantile", 9).alias("quantile"))
 
 
+@R.add(f"WITH {HIST}, c AS (SELECT *, sum(energy) OVER (PARTITION BY label ORDER BY bin NULLS FIRST) AS upto, sum(energy) OVER (PARTITION BY label) AS total FROM hist), m AS (SELECT label, min(coalesce(bin,-1)) AS b FROM c WHERE upto>=0.5*total GROUP BY 1) SELECT label, round(CASE WHEN b<0 THEN 0 ELSE pow(2.0,(b+0.5)/4-149) END,9) AS quantile FROM m")
+def sk5_weighted_quantile(spark, sf):
+    """Where half of the energy lies below."""
+    q = K.histogram_quantile(K.histogram(entries(spark, sf), ["label"], "v"), ["label"], 0.5, weight="energy")
+    return q.select("label", F.round("quantile", 9).alias("quantile"))
+
+
 @R.add("WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda v: abs(v)) AS b FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(a,a)),6) AS norm_a, round(sqrt(list_dot_product(b,b)),6) AS norm_b, round(list_dot_product(a,b)/sqrt(list_dot_product(a,a))/sqrt(list_dot_product(b,b)),6) AS cosine, round(sqrt(list_dot_product(a,a))/sqrt(list_dot_product(b,b)),6) AS ratio FROM x")
 def sk7_vector_geometry(spark, sf):
     a = F.col("embedding").cast("array<double>")
