@@ -93,6 +93,14 @@ def test_reconciling_is_not_quadratic_and_keeps_the_first(spark):
     assert pii.reconciled("1.2.3.4 5", [(0, 7, 1)], [(2, 9, 3)]) == [(0, 7, 1)]
 
 
+def test_very_long_texts_are_read_in_slices():
+    text = "call +1 (415) 555-0100 or x@y.org now, please; " * 6000
+    got = list(pii.answers(["a@b.co", text, "", None, "1.2.3.4"], pii.Tagger()))
+    assert len(got) == 5 and len(pii.starts_of(pii.characters(text))) > 2048
+    for t, (base, spans) in zip(["a@b.co", text, "", "", "1.2.3.4"], got):
+        assert base == pii.base_spans(t) and set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (x[0], x[2]))
+
+
 def test_network_finds_forms_that_the_rules_do_not_know():
     """Held-out made-up values: the rules know none of them, the network most."""
     prose = ["The ship was at sea for a long time and nobody came to see it again.", "Call or write to us when you have an hour to spare, please."]
