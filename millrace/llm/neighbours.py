@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets, release, written
+from .common import release, written
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
