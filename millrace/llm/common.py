@@ -31,13 +31,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that one task and one file may well hold.
+ROWS_A_TASK = 50_000
+
+
+def written(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read back.
 
     This cuts the lineage: a later loss of executors re-reads files instead of repeating work, and
     values such as partition numbers stay what they were. `release` deletes one table, `clear` all of them. The result has
-    the number of its rows in `rows` (tasks that ran twice may count twice, so take it for a size)."""
+    the number of its rows in `rows` (tasks that ran twice may count twice, so take it for a size). Where it is known that a
+    narrow table has `at_most` so many rows, small ones take fewer tasks and files than there are shuffle partitions."""
     spark, seen = df.sparkSession, Observation()
+    if at_most is not None:
+        df = df.coalesce(buckets(at_most, ROWS_A_TASK))
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.observe(seen, F.count("*").alias("rows")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -42,8 +42,8 @@ def ranked(blocks: DataFrame, label: str) -> DataFrame:
     `first`, the earliest of them. Counts and minima are made before the shuffle, blocks that are common are split."""
     names = blocks.groupBy("left", "right").agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1")
     names = names.repartitionByRange("left", "right").sortWithinPartitions("left", "right").withColumn("rank", F.monotonically_increasing_id())
-    names = written(names, f"ranks-{label}")
-    found = written(joined_to_counted(blocks, names, ["left", "right"], blocks.rows).drop("left", "right", "times"), f"suffixes-{label}")
+    names = written(names, f"ranks-{label}", blocks.rows)
+    found = written(joined_to_counted(blocks, names, ["left", "right"], blocks.rows).drop("left", "right", "times"), f"suffixes-{label}", blocks.rows)
     release(names)
     return found
 
@@ -59,7 +59,7 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     levels = [ranked(lines, "1")]
     while levels[-1].rows:
         size = 1 << (len(levels) - 1)
-        blocks = written(doubled(levels[-1], size), "blocks")
+        blocks = written(doubled(levels[-1], size), "blocks", levels[-1].rows)
         levels.append(ranked(blocks, str(2 * size)))
         release(blocks)
     return levels
@@ -68,7 +68,7 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
 def histories(levels: list[DataFrame]) -> DataFrame:
     """doc, at and `steps`: for each level in which the suffix isn't alone its rank and the first suffix of the same rank."""
     steps = reduce(DataFrame.unionAll, [x.select("doc", "at", F.struct(F.lit(k).alias("k"), "rank", "first").alias("s")) for k, x in enumerate(levels)])
-    return written(steps.groupBy("doc", "at").agg(F.array_sort(F.collect_list("s")).alias("steps")), "histories")
+    return written(steps.groupBy("doc", "at").agg(F.array_sort(F.collect_list("s")).alias("steps")), "histories", sum(x.rows for x in levels))
 
 
 def copies_between(history: DataFrame) -> list[DataFrame]:
@@ -79,16 +79,16 @@ def copies_between(history: DataFrame) -> list[DataFrame]:
     parting = F.filter(F.sequence(F.lit(1), F.size("steps") - 1), lambda k: F.coalesce(F.get("steps", k + 1)["first"] == here(), F.lit(True)))
     members = history.filter(F.size("steps") > 1).select("doc", "at", "steps", F.explode(parting).alias("below"))
     node = F.struct(F.col("below").cast("bigint").alias("a"), F.get("steps", F.col("below"))["rank"].alias("b"))
-    work, found = written(members.select("doc", "at", "below", F.expr("shiftleft(1, below)").alias("shared"), node.alias("node")), "members"), []
+    work, found = written(members.select("doc", "at", "below", F.expr("shiftleft(1, below)").alias("shared"), node.alias("node")), "members", 4 * history.rows), []
     ranks = history.select("doc", "at", F.col("steps.rank").alias("ranks"))
     key = ["node", "shared", "j", "rank"]
     while work.rows:
         wanted = work.select("doc", (F.col("at") + F.col("shared")).alias("at"), F.col("at").alias("start"), "below", "shared", "node")
         follow = wanted.hint("merge").join(ranks, ["doc", "at"]).select("doc", F.col("start").alias("at"), "shared", "node", F.slice("ranks", 1, F.col("below")).alias("ranks"))
         after = F.get("ranks", F.col("j") + 1).alias("after")
-        placed = written(follow.select("*", F.posexplode("ranks").alias("j", "rank")).select("doc", "at", *key, after), "members-placed")
-        nodes = written(placed.groupBy(*key).agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1"), "nodes")
-        inside = written(joined_to_counted(placed, nodes, key, placed.rows), "members-inside")
+        placed = written(follow.select("*", F.posexplode("ranks").alias("j", "rank")).select("doc", "at", *key, after), "members-placed", 4 * work.rows)
+        nodes = written(placed.groupBy(*key).agg(F.count("*").alias("times"), F.min(here()).alias("first")).filter("times > 1"), "nodes", placed.rows)
+        inside = written(joined_to_counted(placed, nodes, key, placed.rows), "members-inside", placed.rows)
         depth = F.col("shared") + F.expr("shiftleft(1, j)")
         found.append(inside.filter(here() != F.col("first")).select("doc", "at", depth.alias("lines"), F.col("first").alias("source")))
         # Of members that share the next power of two as well only the earliest goes on: they part in a deeper interval.
@@ -96,7 +96,7 @@ def copies_between(history: DataFrame) -> list[DataFrame]:
         going = going.unionByName(inside.filter("j > 0 and after is null").select(*key, "doc", "at"))
         node = F.struct(F.xxhash64("node", "j", "rank").alias("a"), F.xxhash64(F.lit(1), "node", "j", "rank").alias("b"))
         release(work, placed, nodes)
-        work = written(going.select("doc", "at", F.col("j").alias("below"), depth.alias("shared"), node.alias("node")), "members")
+        work = written(going.select("doc", "at", F.col("j").alias("below"), depth.alias("shared"), node.alias("node")), "members", inside.rows)
     release(work)
     return found
 
@@ -123,7 +123,7 @@ def repeated_runs(rows: DataFrame, min_chars: int = 0) -> DataFrame:
         runs = runs.join(lines.select("doc", F.col("at").alias("first_line"), "start"), ["doc", "first_line"]).withColumn("last", stop - 1)
         runs = runs.join(lines.select("doc", F.col("at").alias("last"), "stop"), ["doc", "last"]).withColumn("chars", F.col("stop") - F.col("start") - 1).drop("last", "start", "stop")
         runs = runs.filter(F.col("chars") >= min_chars)
-    runs = written(runs, "runs")
+    runs = written(runs, "runs", lines.rows)
     release(lines, history)
     return runs
 

@@ -225,12 +225,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.count("*").alias("times"), F.least(F.min("b"), F.first("a")).alias("m")), "star-least")
+        least = written(both.groupBy("a").agg(F.count("*").alias("times"), F.least(F.min("b"), F.first("a")).alias("m")), "star-least", 2 * e.rows)
         large = joined_to_counted(both, least, ["a"], 2 * e.rows).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.filter("a <> b").distinct(), "star-large")
+        large = written(large.filter("a <> b").distinct(), "star-large", 2 * e.rows)
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lows.select("a", F.col("m").alias("b")))
-        last, e = e, written(small.filter("a <> b").distinct(), "star")
+        last, e = e, written(small.filter("a <> b").distinct(), "star", 4 * e.rows)
         release(last, least, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
@@ -240,8 +240,8 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 def named_components(nodes: DataFrame, roots: DataFrame, least: str) -> DataFrame:
     """`nodes` (node, ...) with `component`, the smallest `least` of all nodes that share a root. A root of many nodes is split."""
-    placed = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-nodes")
-    names = written(placed.groupBy("root").agg(F.count("*").alias("times"), F.min(least).alias("component")), "components")
+    placed = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-nodes", getattr(nodes, "rows", None))
+    names = written(placed.groupBy("root").agg(F.count("*").alias("times"), F.min(least).alias("component")), "components", placed.rows)
     return joined_to_counted(placed, names, ["root"], placed.rows).drop("times", "root")
 
 
