@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, infill, language, lines, neighbours, packing, pii, sharding, simhash, spans
+from . import chat, decontaminate, infill, language, lines, neighbours, packing, pii, quality, sharding, simhash, spans, trie
 from .common import table
 
 
@@ -50,12 +50,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infilled_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_packing, op3_spans, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op9_decontaminate, op10_sharding, op13_infill)
+    for f in (op1_pii, op2_packing, op3_spans, op4_simhash, op5_lines, op6_nearest, op7_chat, op8_language, op9_decontaminate, op10_sharding, op11_trie, op12_quality, op13_infill)
 }
-SQL: dict[str, str] = {"op7_chat": chat.ROTATE_SQL, "op13_infill": infill.INFILL_SQL}
+SQL: dict[str, str] = {"op7_chat": chat.ROTATE_SQL, "op11_trie": trie.TRIE_SQL, "op13_infill": infill.INFILL_SQL}
