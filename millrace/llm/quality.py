@@ -35,7 +35,8 @@ GRIDS = {
     "lines_per_word": (64, 64),
     "log2_words": (2, 60),
 }
-ALL = 2**31 - 1
+#: More than any array holds; one more would overflow.
+ALL = 2**30
 
 
 @dataclass(frozen=True)
@@ -205,7 +206,9 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **
     known = written(labelled(counts, labels), "labelled", counts.rows)
     rules = learned(known, **how)
     release(known)
-    because = F.element_at(F.array(*[F.lit(" and ".join(map(str, r))) for r in rules]), F.col("rule")) if rules else F.lit(None).cast("string")
+    because = F.lit(None).cast("string")
+    for k, r in enumerate(rules, 1):
+        because = F.when(F.col("rule") == k, " and ".join(map(str, r))).otherwise(because)
     own = counts.columns[2:]
     stepped = counts.select("row", "doc_id", *own, base_failed().alias("base_failed"), *steps().values())
     ruled = stepped.select("row", "doc_id", *own, "base_failed", F.when(~F.col("base_failed"), verdict(rules)).alias("rule"))

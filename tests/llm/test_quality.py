@@ -1,5 +1,7 @@
 """Quality rules: counts against a plain version, learning on planted conditions and on held-out documents."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -41,7 +43,7 @@ def plain_list(rules, r):
     """The first rule that holds, worked out from counts alone."""
     share = lambda a, b, name: min(quality.GRIDS[name][1], a * quality.GRIDS[name][0] // max(1, b))
     at = {"symbols_per_word": share(r.n_symbols, r.n_words, "symbols_per_word"), "capitals_per_char": share(r.n_capitals, r.word_chars, "capitals_per_char"), "digits_per_char": share(r.n_digits, r.word_chars, "digits_per_char"), "word_chars_per_word": share(r.word_chars, r.n_words, "word_chars_per_word"), "marks_per_word": share(r.n_marks, r.n_words, "marks_per_word"), "exclamations_per_word": share(r.n_exclamations, r.n_words, "exclamations_per_word"), "dup_lines_per_line": share(r.n_dup_lines, r.n_lines, "dup_lines_per_line"), "repeat_words_per_word": share(r.n_repeat_words, r.n_words, "repeat_words_per_word"), "distinct_words_per_word": share(r.n_distinct, r.n_words, "distinct_words_per_word"), "lines_per_word": share(r.n_lines, r.n_words, "lines_per_word")}
-    at["log2_words"] = min(60, max(0, 2 * r.n_words.bit_length() - 2)) if r.n_words and r.n_words & (r.n_words - 1) == 0 else int(2 * __import__("math").log2(max(1, r.n_words)))
+    at["log2_words"] = min(60, max(0, 2 * r.n_words.bit_length() - 2)) if r.n_words and r.n_words & (r.n_words - 1) == 0 else int(2 * math.log2(max(1, r.n_words)))
     for k, rule in enumerate(rules, 1):
         if all(at[c.ratio] > c.step if c.above else at[c.ratio] <= c.step for c in rule):
             return k
@@ -51,7 +53,9 @@ def plain_list(rules, r):
 def test_rules_find_planted_conditions(spark):
     """Bad are texts with many digits, and texts with many symbols and few capitals; a tenth of the labels contradict each other."""
     def text(k, digits, symbols, capitals):
-        return " ".join(f"w{'abcdefghij'[(k * 7 + i) % 10]}{'klmnopqrst'[(k + i * i) % 10]}{i if digits else ''}{'#' if symbols else ''}{'UVW' if capitals else ''}" for i in range(60 + k % 50))
+        rng = random.Random(k)
+        words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60 + k % 50)]
+        return " ".join(f"{w}{i if digits else ''}{'#' if symbols else ''}{'UVW' if capitals else ''}" for i, w in enumerate(words))
 
     rows, bad = [], {}
     for k in range(1200):
