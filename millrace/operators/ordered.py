@@ -78,14 +78,6 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def paired_spans(events: DataFrame, span: str, kind: str, time: str) -> DataFrame:
-    """Starts and ends joined on their span: span, start, stop, state (closed, open or orphan)."""
-    s = events.filter(F.col(kind) == "span_start").select(span, F.col(time).alias("start"))
-    e = events.filter(F.col(kind) == "span_end").select(span, F.col(time).alias("stop"))
-    state = F.when(F.col("start").isNull(), "orphan").when(F.col("stop").isNull(), "open").otherwise("closed")
-    return s.join(e, span, "full").select(span, "start", "stop", state.alias("state"))
-
-
 def span_depths(spans: DataFrame) -> DataFrame:
     """Depth by parent pointers: 0 for roots, missing parents and what leads into a cycle. Pointers are doubled, so depths of
     n take log n joins; a pointer that is left when it has jumped more often than there are spans runs in a cycle."""

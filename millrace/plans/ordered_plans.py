@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import ordered as O
+from ..operators.spans import clipped_spans
 from .base import SAMPLES, Registry, r6, samples, table
 
 R = Registry()
@@ -91,14 +92,29 @@ def jn13_transitions(spark, sf):
 
 
 @R.add(
-    """WITH e AS (SELECT event_id//2 AS span, CASE WHEN event_id%2=0 THEN 'span_start' ELSE 'span_end' END AS kind, event_id AS t FROM events WHERE event_id%7<>0),
-s AS (SELECT span, t AS start FROM e WHERE kind='span_start'), f AS (SELECT span, t AS stop FROM e WHERE kind='span_end')
-SELECT span, start, stop, CASE WHEN start IS NULL THEN 'orphan' WHEN stop IS NULL THEN 'open' ELSE 'closed' END AS state FROM s FULL JOIN f USING (span)"""
+    """WITH RECURSIVE numbered AS (SELECT user_id AS trace, epoch_us(ts) AS time, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS k FROM events),
+e AS (SELECT trace, k AS pos, name, time, CASE WHEN k%7=6 THEN 'point' WHEN k%2=0 THEN 'span_start' ELSE 'span_end' END AS kind, CASE WHEN k%2=0 THEN k ELSE k//6*2 END AS span,
+ CASE WHEN k%30=20 THEN k+2 WHEN k%30=22 THEN k-2 WHEN k%10=4 THEN -1 WHEN k%6<>0 THEN k//4*2 END AS parent FROM numbered),
+p AS (SELECT *, lag(kind) OVER w AS before, lead(kind) OVER w AS after, lead(time) OVER w AS stop, lead(pos) OVER w AS closed_at FROM e WHERE kind<>'point' WINDOW w AS (PARTITION BY trace, span ORDER BY pos)),
+s AS (SELECT trace, span, parent, CASE WHEN kind='span_start' THEN time END AS start, CASE WHEN kind='span_end' THEN time WHEN after='span_end' THEN stop END AS stop,
+ CASE WHEN kind='span_end' THEN 'orphan' WHEN after='span_end' THEN 'closed' ELSE 'open' END AS state FROM p WHERE (kind='span_end' AND before IS DISTINCT FROM 'span_start') OR (kind='span_start' AND after IS DISTINCT FROM 'span_start')),
+known AS (SELECT trace, span, parent, stop FROM s WHERE state<>'orphan'),
+up AS (SELECT trace, span, parent AS at, 0 AS n FROM s WHERE state='open' UNION ALL SELECT up.trace, up.span, known.parent, n+1 FROM up JOIN known ON known.trace=up.trace AND known.span=up.at WHERE known.stop IS NULL AND n<2000),
+c AS (SELECT s.*, (SELECT max(time) FROM e WHERE e.trace=s.trace) AS row_end, (SELECT min(o.start) FROM s o WHERE o.state<>'orphan' AND o.trace=s.trace AND o.parent IS NOT DISTINCT FROM s.parent AND o.start>s.start) AS next_start,
+ (SELECT max(k.stop) FROM up JOIN known k ON k.trace=up.trace AND k.span=up.at WHERE up.trace=s.trace AND up.span=s.span AND k.stop IS NOT NULL) AS up_stop FROM s),
+d AS (SELECT *, least(row_end, next_start, CASE WHEN up_stop>start THEN up_stop END) AS low FROM c)
+SELECT trace, span, start, stop, state, CASE state WHEN 'closed' THEN stop WHEN 'open' THEN greatest(low, start) END AS display_stop,
+ CASE WHEN state<>'open' THEN NULL WHEN low<=start THEN 'self' WHEN low=row_end THEN 'row_end' WHEN low=next_start THEN 'next_sibling_start' ELSE 'ancestor_end' END AS clipped_by FROM d"""
 )
 def jn8_paired_spans(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 7 <> 0")
-    kind = F.when(F.col("event_id") % 2 == 0, "span_start").otherwise("span_end")
-    return O.paired_spans(e.select(F.floor(F.col("event_id") / 2).alias("span"), kind.alias("kind"), F.col("event_id").alias("t")), "span", "kind", "t")
+    """Each user's events in order: points, starts with parents (some missing, some in a cycle) and ends, of which many have no start left."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint") - 1
+    e = table(spark, sf, "events").select(F.col("user_id").alias("trace"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), F.col("event_type").alias("name"), k.alias("pos"))
+    kind = F.expr("CASE WHEN pos % 7 = 6 THEN 'point' WHEN pos % 2 = 0 THEN 'span_start' ELSE 'span_end' END")
+    span = F.expr("CASE WHEN pos % 2 = 0 THEN pos ELSE pos div 6 * 2 END")
+    parent = F.expr("CASE WHEN pos % 30 = 20 THEN pos + 2 WHEN pos % 30 = 22 THEN pos - 2 WHEN pos % 10 = 4 THEN -1 WHEN pos % 6 <> 0 THEN pos div 4 * 2 END")
+    found = clipped_spans(e.select("*", kind.alias("kind"), span.alias("span"), parent.alias("parent")))
+    return found.select("trace", "span", "start", "stop", "state", "display_stop", "clipped_by")
 
 
 @R.add("WITH RECURSIVE s AS (SELECT event_id AS span, CASE WHEN event_id%10=0 THEN NULL WHEN event_id%97=1 THEN -5 ELSE event_id-1-(event_id%3) END AS parent FROM events), d AS (SELECT span, 0 AS depth FROM s WHERE parent IS NULL OR parent NOT IN (SELECT span FROM s) UNION ALL SELECT s.span, d.depth+1 FROM s JOIN d ON s.parent=d.span) SELECT span, depth::BIGINT AS depth FROM d")
