@@ -1,5 +1,5 @@
-"""Grading of mathematical answers: small string helpers inside Arrow functions. Equality is exact over rationals;
-what can't be decided that way is null, never false."""
+"""Grading of mathematical answers: small string helpers inside Arrow functions. Equality is exact; LaTeX beyond fractions
+and functions of which nothing is known leave it null, never false."""
 
 from __future__ import annotations
 
@@ -10,20 +10,27 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .algebra import same_expression
 
-def last_boxed(text: str | None) -> str | None:
-    """What the last \\boxed{} holds, braces balanced; null without one or if it doesn't close."""
-    at = (text or "").rfind("\\boxed{")
-    if at < 0:
-        return None
-    depth, start = 0, at + len("\\boxed{")
-    for k in range(start - 1, len(text)):
+
+def last_box(text: str | None) -> str | None:
+    """The last \\boxed command, or where there is none the last \\fbox, up to the brace that closes its first; null if none does."""
+    at = (text or "").rfind("\\boxed")
+    at = (text or "").rfind("\\fbox") if at < 0 else at
+    depth = 0
+    for k in range(at, len(text) if at >= 0 else -1):
         depth += (text[k] == "{") - (text[k] == "}")
-        if depth == 0:
-            return text[start:k]
+        if depth == 0 and text[k] == "}":
+            return text[at : k + 1]
     return None
 
 
+def last_boxed(text: str | None) -> str | None:
+    """What the last box holds, if it is a \\boxed with its brace right behind."""
+    box = last_box(text)
+    return box[len("\\boxed{") : -1] if box is not None and box.startswith("\\boxed{") else None
+
+
 def whole(digits: str) -> int:
     """Of any length; `int` refuses thousands of digits."""
     return int(Decimal(digits))
@@ -46,7 +53,7 @@ def bare(text: str | None) -> str:
 
 
 def same_answer(given: str | None, gold: str | None) -> bool | None:
-    """Equal strings or equal numbers, tuples part by part; null if neither can be told."""
+    """Equal strings, numbers or expressions, tuples part by part; null if none of these can be told."""
     if given is None or gold is None:
         return False
     if bare(given) == bare(gold):
@@ -59,7 +66,9 @@ def same_answer(given: str | None, gold: str | None) -> bool | None:
         parts = [same_answer(x, y) for x, y in zip(a, b, strict=True)]
         return False if False in parts else None if None in parts else True
     x, y = rational(given), rational(gold)
-    return x == y if x is not None and y is not None else None
+    if x is not None and y is not None:
+        return x == y
+    return None if "\\" in given + gold else same_expression(bare(given), bare(gold))
 
 
 def boxed_column(text):
@@ -70,6 +79,14 @@ def boxed_column(text):
     return box(text)
 
 
+def box_column(text):
+    @F.pandas_udf("string")
+    def box(texts: pd.Series) -> pd.Series:
+        return texts.map(last_box)
+
+    return box(text)
+
+
 def same_answer_column(given, gold):
     @F.pandas_udf("boolean")
     def same(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .math_answers import boxed_column, rational
+from . import algebra
+from .math_answers import boxed_column
 
 # What the final-answer normaliser replaces, in order, and what it then removes.
 REPLACED = [
@@ -22,7 +23,7 @@ REMOVED = [
     "\\;", ",\\!", "{,}", '"', "\\dots", "<|im_end|>", "<|endoftext|>",
 ]
 # Units that an answer may carry, in order; scale words and their powers.
-UNITS = "degree cm centimeter meter mile second minute hour day week month year foot feet inch yard".split()
+UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard"]
 SCALES = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
 # How LaTeX commands read as text.
 SYMBOLS = [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*")]
@@ -112,7 +113,7 @@ def _read(t: Column) -> Column:
 
 def graded(given: str | None, gold: str | None) -> bool | None:
     """Plain expressions part by part. Fractions must be reduced alike, whole numbers be written whole; other parts
-    are equal as exact rationals. Null, if a part is neither equal text nor a number."""
+    are equal if their difference is zero as an expression. Null only where that rests on a function of which nothing is known."""
     if gold is None or given is None or not given:
         return given == gold and gold is not None
     if given == gold:
@@ -131,11 +132,10 @@ def graded(given: str | None, gold: str | None) -> bool | None:
             continue
         if re.fullmatch(fraction, x) and re.fullmatch(fraction, y) or bool(re.fullmatch(integer, x)) or bool(re.fullmatch(integer, y)):
             return False
-        p, q = rational(x), rational(y)
-        if p is None or q is None:
-            known = False
-        elif p != q:
+        equal = algebra.same_expression(y, x)
+        if equal is False:
             return False
+        known = known and equal is not None
     return True if known else None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import algebra as A
 from ..functions import math_answers as M
 from ..functions import math_rewards as W
 from .base import Registry, table
@@ -11,18 +12,46 @@ from .base import Registry, table
 R = Registry()
 
 
-@R.add("SELECT o_orderkey, (o_orderkey%50)::VARCHAR AS boxed FROM orders")
+@R.add(
+    """SELECT o_orderkey, CASE o_orderkey%5 WHEN 0 THEN '\\boxed{'||o_custkey||'}' WHEN 1 THEN '\\fbox{\\frac{'||o_custkey||'}{2}}' WHEN 2 THEN '\\boxed '||o_custkey||' or {'||o_orderpriority||'}' END AS box,
+CASE o_orderkey%5 WHEN 0 THEN o_custkey::VARCHAR END AS boxed FROM orders"""
+)
 def tx12_last_boxed(spark, sf):
-    text = F.concat(F.lit(r"so \boxed{x} or \boxed{"), (F.col("o_orderkey") % 50).cast("string"), F.lit("} holds"))
-    return table(spark, sf, "orders").select("o_orderkey", M.boxed_column(text).alias("boxed"))
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    forms = [
+        F.concat(F.lit("first \\boxed{0}, \\fbox{1}, then \\boxed{"), c, F.lit("} holds")),
+        F.concat(F.lit("\\fbox{\\frac{"), c, F.lit("}{2}}.")),
+        F.concat(F.lit("\\boxed{3} but \\boxed "), c, F.lit(" or {"), p, F.lit("}}")),
+        F.concat(F.lit("\\boxed{"), c, F.lit(" and \\boxed{ open")),
+        c,
+    ]
+    text = F.element_at(F.array(*forms), (k % 5 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", M.box_column(text).alias("box"), M.boxed_column(text).alias("boxed"))
 
 
-@R.add("SELECT o_orderkey, CASE WHEN o_orderkey%4=3 THEN NULL ELSE o_orderkey%4<>1 END AS correct FROM orders")
+@R.add(
+    """WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS k, (o_orderkey%3)::DOUBLE AS e, o_orderkey%8 AS form FROM orders),
+places AS (SELECT *, unnest([2.0, 3.0, 7.5]) AS x FROM o)
+SELECT o_orderkey, CASE WHEN form=7 THEN NULL WHEN form=6 THEN false ELSE bool_and(abs(CASE form WHEN 0 THEN (x+k)*(x+k) - (x*x+2*k*x+k*k+e) WHEN 1 THEN (x+k)*(x-k) - (x*x-k*k-e) WHEN 2 THEN (x*x-k*k)/(x-k-0.0) - (x+k+e)
+ WHEN 3 THEN sqrt(3*k*k) - (k+e)*sqrt(3) WHEN 4 THEN k/(k+1) - (1-1/(k+1+e)) ELSE 1/(sqrt(k)+sqrt(k+1)) - (sqrt(k+1+e)-sqrt(k)) END) < 1e-7) END AS correct
+FROM places WHERE x<>k GROUP BY o_orderkey, form"""
+)
 def tx17_exact_equality(spark, sf):
-    k = F.col("o_orderkey")
-    gold = F.format_string(r"\frac{%d}{2}", k)
-    given = F.when(k % 4 == 0, F.format_string("%d/4", k * 2)).when(k % 4 == 1, F.format_string("%d", k + 1)).when(k % 4 == 2, F.format_string("%d.0", (k / 2).cast("bigint"))).otherwise(F.lit("x+1"))
-    return table(spark, sf, "orders").select("o_orderkey", M.same_answer_column(given, gold).alias("correct"))
+    """Identities in the customer's number, of which two in three are spoilt; three letters are never read, a logarithm stays open."""
+    k, e, form = F.col("o_custkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 8
+    square = k * k
+    pairs = [
+        (F.format_string("(x+%d)^2", k), F.format_string("x^2+2*%d x+%d", k, square + e)),
+        (F.format_string("(x+%d)(x-%d)", k, k), F.format_string("x^2-%d", square + e)),
+        (F.format_string("(x^2-%d)/(x-%d)", square, k), F.format_string("%d+x", k + e)),
+        (F.format_string("sqrt(%d)", square * 3), F.format_string("%dsqrt(3)", k + e)),
+        (F.format_string("%d/%d", k, k + 1), F.format_string("1-1/%d", k + 1 + e)),
+        (F.format_string("1/(sqrt(%d)+sqrt(%d))", k, k + 1), F.format_string("sqrt(%d)-sqrt(%d)", k + 1 + e, k)),
+        (F.format_string("x+y+z+%d", k), F.format_string("z+y+x+%d", k)),
+        (F.format_string("ln(%d)", square), F.format_string("2ln(%d)", k)),
+    ]
+    given, gold = (F.element_at(F.array(*side), (form + 1).cast("int")) for side in zip(*pairs, strict=True))
+    return table(spark, sf, "orders").select("o_orderkey", A.same_expression_column(given, gold).alias("correct"))
 
 
 def orders(spark, sf):
