@@ -16,7 +16,7 @@ def test_last_boxed():
     ("given", "gold", "want"),
     [
         ("0.5", r"\frac{1}{2}", True), ("1,000", "1000", True), ("1 1/2", "3/2", True), ("(1, 2/4)", "(1,0.5)", True), ("(1,2)", "[1,2]", False), ("2", "3", False),
-        (r"\text{Paris}", "paris", True), ("x+1", "1+x", True), ("2pi", "3pi", False), ("ln(4)", "2ln(2)", None), (None, "1", False), ("1/0", "2", None), ("-3", "-6/2", True),
+        (r"\text{Paris}", "paris", True), ("x+1", "1+x", True), ("2pi", "3pi", False), ("ln(4)", "2ln(2)", None), (None, "1", False), ("1/0", "2", False), ("-3", "-6/2", True),
     ],
 )
 def test_same_answer(given, gold, want):
