@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .languages import Profiles, likely_language
+from .sentences import let, marked_sentences, split_sentences, word_tokens
+
 
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
@@ -97,11 +100,6 @@ def filled(parts: Column) -> Column:
     return F.filter(parts, lambda p: trimmed(p) != "")
 
 
-def sentences(text: Column) -> Column:
-    """What ends with full stops, question or exclamation marks, and a last part without any; blanks around are cut."""
-    return F.transform(filled(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), 0)), trimmed)
-
-
 def plain_words(text: Column) -> Column:
     """Runs of letters, digits and underscores, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
@@ -114,14 +112,42 @@ def enclosed_parts(text: Column, separator: str) -> Column:
     return F.when(~F.array_contains(inner, ""), inner)
 
 
-def every(parts: Column, holds) -> Column:
-    """All of them, and there is one."""
-    return (F.size(parts) > 0) & F.forall(parts, holds)
+def all_sentences(text: Column, holds) -> Column:
+    """Whether `holds` of each sentence, of which none may be blank; so it does if there is none."""
+    return F.forall(marked_sentences(text), lambda s: (s != "") & F.coalesce(holds(s), F.lit(False)))
 
 
 def wrapped_pairs(ws: Column) -> Column:
-    pair = lambda i: F.get(ws, i).like("<<%") & F.get(ws, i + 1).like("%>>")
-    return (F.size(ws) > 1) & F.forall(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 2, F.lit(0))), lambda i: i % 2 == 0), pair)
+    """Every whole pair of words stands between double angles; a single last word may stand alone."""
+    odd = F.zip_with(ws, F.slice(ws, 2, 2**30), lambda a, b: b.isNull() | (a.like("<<%") & b.like("%>>")))
+    return F.forall(F.filter(odd, lambda _, i: i % 2 == 0), lambda x: x)
+
+
+def hyphened_sentences(text: Column) -> Column:
+    """What stands between hyphens are the sentences of the text that has blanks instead, one by one, as far as both go."""
+    same = F.zip_with(F.split(text, "-", -1), marked_sentences(F.replace(text, F.lit("-"), F.lit(" "))), lambda s, gold: s.isNull() | gold.isNull() | ((s == gold) & (trimmed(s) == s)))
+    return F.forall(same, lambda x: x)
+
+
+def highlights(text: Column) -> Column:
+    """Stretches between single or double asterisks that hold more than blanks."""
+    some = lambda pattern: F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), 0), lambda h: trimmed(F.replace(h, F.lit("*"), F.lit(""))) != ""))
+    return some(r"\*[^\n\*]*\*") + some(r"\*\*[^\n\*]*\*\*")
+
+
+def upper_words(ws: Column) -> Column:
+    return F.filter(ws, lambda w: (w == F.upper(w)) & (w != F.lower(w)))
+
+
+def composed(text: Column, n_sent: int, n_words: int) -> Column:
+    """Three parts, each of `n_sent` sentences of `n_words` words and marks; so no part is blank."""
+    sized = lambda p: let(marked_sentences(p), lambda ss: (F.size(ss) == n_sent) & F.forall(ss, lambda s: F.size(word_tokens(s)) == n_words))
+    return let(F.split(text, r"\s?\*\*\*\s?", -1), lambda ps: (F.size(ps) == 3) & F.forall(ps, sized))
+
+
+def token_at(text: Column, n: int, m: int) -> Column:
+    """The m-th word or mark of the n-th sentence."""
+    return F.get(word_tokens(F.get(marked_sentences(text), F.lit(n - 1))), F.lit(m - 1))
 
 
 def apart_letters(ws: Column) -> Column:
@@ -131,13 +157,10 @@ def apart_letters(ws: Column) -> Column:
 
 
 def first_of_paragraph(text: Column, paragraphs: int, nth: int, word: str) -> Column:
-    ps = filled(F.split(text, r"\n\n"))
-    return (F.size(ps) == paragraphs) & F.coalesce(F.get(plain_words(F.get(ps, F.lit(nth - 1))), F.lit(0)) == word.lower(), F.lit(False))
-
-
-def tokens(text: Column) -> Column:
-    """Words and single marks, as written."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), 0)
+    """There are `paragraphs` that aren't blank, and the `nth` of all, blank ones counted, begins with the word, up to a mark."""
+    ps = F.split(text, r"\n\n", -1)
+    first = F.regexp_replace(F.regexp_extract(trimmed(F.get(ps, F.lit(nth - 1))), r"^\S+", 0), "^'*\"*", "")
+    return (F.size(filled(ps)) == paragraphs) & F.coalesce((first != "") & (F.lower(F.regexp_extract(first, r"^[^.,?!'\"]*", 0)) == word.lower()), F.lit(False))
 
 
 def detected_language(text: Column, known: dict[str, list[str]]) -> Column:
@@ -151,6 +174,12 @@ def detected_language(text: Column, known: dict[str, list[str]]) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
+def in_language(text: Column, language: str, known: Profiles | dict | None = None) -> Column:
+    """Whether the text is in the language, by learned profiles or by common words; undecided ones count as following."""
+    told = likely_language(text, known) if isinstance(known, Profiles) else detected_language(text, known or COMMON_WORDS)
+    return F.coalesce(told == language, F.lit(True))
+
+
 def repeated_phrase(text: Column, phrase: str, n: int) -> Column:
     """`n` passages run from the phrase's first to its last word, each as long as the phrase and with one other word at most;
     the last of them has one."""
@@ -183,7 +212,7 @@ PREDICATES = {
     "detectable_content:postscript": lambda t, marker="P.S.": F.lower(t).rlike(POSTSCRIPTS.get(marker, marker.lower())),
     "detectable_format:number_bullet_lists": lambda t, n: count(t, r"(?m)^\s*\*[^\*].*$") + count(t, r"(?m)^\s*-.*$") == n,
     "detectable_format:constrained_response": lambda t, options: F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(t, o)),
-    "detectable_format:number_highlighted_sections": lambda t, n: count(t, r"\*[^\n\*]+\*") >= n,
+    "detectable_format:number_highlighted_sections": lambda t, n: highlights(t) >= n,
     "detectable_format:title": lambda t: t.rlike(r"<<[^\n]*[^\s<>][^\n]*>>"),
     "combination:repeat_prompt": lambda t, prompt: F.startswith(F.lower(trimmed(t)), F.lower(trimmed(prompt))),
     "startend:end_checker": lambda t, phrase: F.endswith(F.lower(F.trim(trimmed(t), F.lit('"'))), F.lit(phrase.strip().lower())),
@@ -201,32 +230,31 @@ PREDICATES = {
     "count:lowercase_counting": lambda t, n: count(t, r"\b[a-z]+\b") <= n,
     "letters:letter_counting": lambda t, relation, n: compares(count(t, "[a-zA-Z]"), relation, n),
     "keywords:palindrome": lambda t: F.exists(words(t), lambda w: w == F.reverse(w)),
-    "length_constraints:number_sentences": lambda t, relation, n: compares(F.size(sentences(t)), relation, n),
+    "length_constraints:number_sentences": lambda t, relation, n, known=None: compares(F.size(split_sentences(t, known)), relation, n),
     "length_constraints:nth_paragraph_first_word": first_of_paragraph,
     "detectable_format:multiple_sections": lambda t, splitter, n: count(t, rf"\s?{splitter}\s?[0-9]+\s?") >= n,
     "detectable_format:json_format": lambda t: F.try_parse_json(trimmed(F.regexp_replace(trimmed(t), r"(?i)^```(json)?|```$", ""))).isNotNull(),
     "combination:two_responses": lambda t: F.coalesce((F.size(enclosed_parts(t, r"\*{6}")) == 2) & (F.size(F.array_distinct(enclosed_parts(t, r"\*{6}"))) == 2), F.lit(False)),
-    "change_case:capital_word_frequency": lambda t, relation, n: compares(F.size(F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: (w == F.upper(w)) & (w != F.lower(w)))), relation, n),
-    "change_case:english_capital": lambda t: (t == F.upper(t)) & (t != F.lower(t)),
-    "change_case:english_lowercase": lambda t: (t == F.lower(t)) & (t != F.upper(t)),
+    "change_case:capital_word_frequency": lambda t, relation, n: compares(F.size(upper_words(word_tokens(t))), relation, n),
+    "change_case:english_capital": lambda t, known=None: (t == F.upper(t)) & (t != F.lower(t)) & in_language(t, "en", known),
+    "change_case:english_lowercase": lambda t, known=None: (t == F.lower(t)) & (t != F.upper(t)) & in_language(t, "en", known),
     "new:copy_span_idx": lambda t, prompt, start, end: F.lower(trimmed(t)) == F.lit(prompt[start:end].strip().lower()),
-    "detectable_format:sentence_hyphens": lambda t: F.forall(F.filter(sentences(t), lambda s, i: i > 0), lambda s: s.like("-%")) & ~t.rlike(r"[.!?]\s+-|-\s"),
+    "detectable_format:sentence_hyphens": hyphened_sentences,
     "keywords:no_adjacent_consecutive": lambda t: apart_letters(words(t)),
     "keywords:word_count_different_numbers": lambda t, keyword, relation, n: compares(count(F.lower(t), keyword.lower()), relation, n),
     "paragraphs:paragraphs": lambda t: F.coalesce(F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == 2, F.lit(False)),
-    "first_word:first_word_sent": lambda t, word: every(sentences(t), lambda s: F.coalesce(F.get(plain_words(s), F.lit(0)) == word.lower(), F.lit(False))),
-    "last_word:last_word_sent": lambda t, word: every(sentences(t), lambda s: F.coalesce(F.try_element_at(plain_words(s), F.lit(-1)) == word.lower(), F.lit(False))),
+    "first_word:first_word_sent": lambda t, word: all_sentences(t, lambda s: F.lower(F.get(words(s), F.lit(0))) == word.lower()),
+    "last_word:last_word_sent": lambda t, word: all_sentences(t, lambda s: F.regexp_replace(F.lower(F.try_element_at(words(s), F.lit(-1))), r"[^\p{L}\p{N}_\s]", "") == word.lower()),
     "detectable_format:bigram_wrapping": lambda t: wrapped_pairs(words(t)),
     "copy:copying_simple": lambda t, prompt: F.lower(trimmed(t)) == F.lower(trimmed(prompt)),
     "copy:copying_multiple": lambda t, prompt, n: (F.size(F.split(t, r"\*{6}", -1)) == n) & F.forall(F.split(t, r"\*{6}", -1), lambda p: F.lower(trimmed(p)) == F.lower(trimmed(prompt))),
     "letters:letter_counting2": lambda t, letter, relation, n: compares(F.length(t) - F.length(F.replace(F.lower(t), F.lit(letter.lower()), F.lit(""))), relation, n),
-    "count:counting_composition": lambda t, n_sent, n_words: F.coalesce((F.size(enclosed_parts(t, r"\s?\*\*\*\s?")) == 3) & F.forall(
-        enclosed_parts(t, r"\s?\*\*\*\s?"), lambda p: (F.size(sentences(p)) == n_sent) & F.forall(sentences(p), lambda s: F.size(plain_words(s)) == n_words)), F.lit(False)),
-    "count:count_unique": lambda t: F.size(tokens(t)) == F.size(F.array_distinct(tokens(t))),
+    "count:counting_composition": composed,
+    "count:count_unique": lambda t: let(word_tokens(t), lambda ws: F.size(ws) == F.size(F.array_distinct(ws))),
     "count:count_increment_word": lambda t, keyword1, keyword2: (count(F.lower(t), keyword1.lower()) == 1) & (count(F.lower(t), keyword2.lower()) == 2),
-    "keywords:keyword_specific_position": lambda t, keyword, n, m: F.coalesce(F.get(tokens(F.get(sentences(t), F.lit(n - 1))), F.lit(m - 1)) == keyword, F.lit(False)),
-    "keywords:start_end": lambda t: F.coalesce((F.size(tokens(t)) > 1) & (F.lower(F.get(tokens(t), F.lit(0))) == F.lower(F.try_element_at(tokens(t), F.lit(-1)))), F.lit(False)),
-    "language:response_language": lambda t, language, known=None: F.coalesce(detected_language(t, known or COMMON_WORDS) == language, F.lit(True)),
+    "keywords:keyword_specific_position": lambda t, keyword, n, m: F.coalesce(token_at(t, n, m) == keyword, F.lit(False)),
+    "keywords:start_end": lambda t: let(word_tokens(t), lambda ws: F.coalesce((F.size(ws) > 1) & (F.lower(F.get(ws, F.lit(0))) == F.lower(F.try_element_at(ws, F.lit(-1)))), F.lit(False))),
+    "language:response_language": lambda t, language, known=None: in_language(t, language, known),
     "copy:repeat_phrase": repeated_phrase,
 }
 

@@ -30,7 +30,7 @@ CASES = [
     ("count:count_unique", {}, "The the end", True),
     ("count:count_unique", {}, "a, b, c", False),
     ("keywords:keyword_specific_position", {"keyword": "Key", "n": 1, "m": 2}, "a key b.", False),
-    ("keywords:keyword_specific_position", {"keyword": "Key", "n": 2, "m": 3}, "x. a , Key.", True),
+    ("keywords:keyword_specific_position", {"keyword": "Key", "n": 2, "m": 3}, "xx. a , Key.", True),
     ("startend:quotation", {}, ' "quoted"\n', True),
     ("startend:quotation", {}, '"', False),
     ("startend:end_checker", {"phrase": "The end."}, 'So "it was the END."\n\t', True),
