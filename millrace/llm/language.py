@@ -13,6 +13,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,31 +52,29 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit_machine(x: np.ndarray, positive: np.ndarray, rounds: int = 120, c: float = 20.0) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine: squared hinge with Nesterov's momentum. Both
-    sides weigh the same whatever their numbers."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def fit_machine(x: np.ndarray, positive: np.ndarray, taking: np.ndarray | None = None, rounds: int = 120, c: float = 20.0) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine on the rows of `x` that `taking` marks: squared hinge with Nesterov's
+    momentum. Both sides weigh the same whatever their numbers. `x` is read where it lies, never copied."""
+    taking = np.ones(len(x), bool) if taking is None else taking
     y = np.where(positive, 1.0, -1.0)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-    w = v = np.zeros(x.shape[1])
+    weight = np.where(positive, 0.5 / max(1, (positive & taking).sum()), 0.5 / max(1, (~positive & taking).sum())) * taking
+    w = v = np.zeros(x.shape[1] + 1)
     step = 1 / (1 + 4 * c)
     for t in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * c * (x.T @ (weight * y * short)))
+        short = np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1]))
+        pull = weight * y * short
+        new = v - step * (v - 2 * c * np.append(pull.astype(x.dtype) @ x, pull.sum()))
         v, w = new + t / (t + 3) * (new - w), new
     return w
 
 
 class Contest:
-    """One-versus-one machines among `names`; a share of votes for each, by squashed margins."""
+    """One-versus-one machines among `names`, on the rows of `x` that carry one of them; a share of votes for each, by squashed margins."""
 
     def __init__(self, x: np.ndarray, label: np.ndarray, names: list[str]):
         self.names = names
         self.pairs = list(combinations(range(len(names)), 2))
-        self.w = []
-        for i, j in self.pairs:
-            rows = (label == names[i]) | (label == names[j])
-            self.w.append(fit_machine(x[rows], label[rows] == names[i]))
+        self.w = [fit_machine(x, label == names[i], (label == names[i]) | (label == names[j])) for i, j in self.pairs]
 
     def shares(self, x: np.ndarray) -> np.ndarray:
         if len(self.names) == 1:
@@ -92,7 +92,7 @@ class LanguageModel:
         family = np.array([FAMILY_OF.get(lang, lang) for lang in langs], dtype=object)
         self.families = sorted(set(family))
         self.outer = Contest(x, family, self.families) if self.families else None
-        self.inner = {f: Contest(x[family == f], langs[family == f], sorted(set(langs[family == f]))) for f in self.families}
+        self.inner = {f: Contest(x, langs, sorted(set(langs[family == f]))) for f in self.families}
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         outer = self.outer.shares(x)
@@ -130,9 +130,16 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
     # Repeated rows share their draw; one of them is enough, so what is drawn doesn't depend on the order of tasks.
     drawn = known.filter(draw < share[F.col("lang")]).groupBy(draw.alias("draw"), "lang").agg(F.min("text").alias("text"))
     rows = drawn.select("lang", "text").mapInPandas(featured, schema)
-    got = rows.limit(int(1.5 * per_language * len(counts)) + 100).toPandas().sort_values(["lang", "f"])
-    x = np.array([np.frombuffer(f, dtype="<f4") for f in got["f"]], dtype=float).reshape(-1, 1 << BITS)
-    return LanguageModel(x, got["lang"].to_numpy(dtype=object))
+    got = rows.limit(int(1.5 * per_language * len(counts)) + 100).toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("lang", "ascending"), ("f", "ascending")])).combine_chunks()
+    langs, x = np.array(got["lang"].to_pylist(), dtype=object), np.zeros((got.num_rows, 1 << BITS), dtype="<f4")
+    for k, f in enumerate(got["f"]):
+        x[k] = np.frombuffer(f.as_buffer(), dtype="<f4")
+    del got
+    model = LanguageModel(x, langs)
+    del x
+    pa.default_memory_pool().release_unused()  # the sample is large beside what the driver holds otherwise
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
