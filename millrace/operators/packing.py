@@ -11,7 +11,9 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .lineage import cut
 from .ranking import numbered_by
 
 
@@ -40,24 +42,35 @@ def first_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def differencing(lengths: list[int], k: int) -> list[list[int]]:
-    """k parts by the largest differencing method: the two states with the widest spread are merged, the heaviest
-    part of one with the lightest of the other. Ties go to the lower first index."""
-    if len(lengths) < k:
-        raise ValueError("fewer items than parts")
-    heap = []
-    for i, n in enumerate(lengths):
-        parts = [(n, [i])] + [(0, [])] * (k - 1)
-        heapq.heappush(heap, (-n, i, parts))
+class _Widest:
+    """Order of states in the heap: the widest spread first, then the one whose heaviest part is greater."""
+
+    __slots__ = ("parts",)
+
+    def __init__(self, parts: list[tuple]) -> None:
+        self.parts = sorted(parts, reverse=True)
+
+    def __lt__(self, other: _Widest) -> bool:
+        mine, theirs = (s.parts[0][0] - s.parts[-1][0] for s in (self, other))
+        return mine > theirs if mine != theirs else self.parts[0] > other.parts[0]
+
+
+def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
+    """k parts by the largest differencing method, heaviest first: the two states of the widest spread are merged, the heaviest part of
+    one with the lightest of the other. Parts compare by their sum, then their number of items, then the items (index and
+    length) in the order in which they came together. With `equal_size` states begin with k items each, in order of
+    length, so parts have equally many; a number of items that k doesn't divide is an error."""
+    if equal_size and len(lengths) % k:
+        raise ValueError(f"{len(lengths)} items can't make {k} parts of one size")
+    by_length = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    each = k if equal_size else 1
+    single = [(lengths[i], 1, ((i, lengths[i]),)) for i in by_length]
+    heap = [_Widest(single[at : at + each] + [(0, 0, ())] * (k - each)) for at in range(0, len(single), each)]
+    heapq.heapify(heap)
     while len(heap) > 1:
-        _, i, a = heapq.heappop(heap)
-        _, j, b = heapq.heappop(heap)
-        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda s: (-s[0], s[1]))
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], min(i, j), merged))
-    parts = [sorted(p) for _, p in heap[0][2]]
-    for empty in (p for p in parts if not p):  # zero lengths can leave a part without items
-        empty.append(max(parts, key=len).pop())
-    return sorted(parts)
+        one, two = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, _Widest([tuple(x + y for x, y in zip(p, q, strict=True)) for p, q in zip(one.parts, reversed(two.parts), strict=True)]))
+    return [[i for i, _ in items] for _, _, items in heap[0].parts] if heap else [[] for _ in range(k)]
 
 
 def greedy(lengths: list[int], k: int) -> list[list[int]]:
@@ -71,35 +84,38 @@ def greedy(lengths: list[int], k: int) -> list[list[int]]:
 
 
 def split_bin(items: list[int], lengths: list[int]) -> tuple[list[int], list[int]]:
-    """Longest first, each to the lighter half."""
-    a, b, x, y = [], [], 0, 0
-    for i in sorted(items, key=lambda i: (-lengths[i], i)):
-        if x <= y:
-            a.append(i)
-            x += lengths[i]
-        else:
-            b.append(i)
-            y += lengths[i]
-    return sorted(a), sorted(b)
+    """Longest first (of equal ones the earlier), each to the lighter half, the first at a tie; halves keep that order."""
+    halves, totals = ([], []), [0, 0]
+    for i in sorted(items, key=lambda i: -lengths[i]):
+        h = int(totals[0] > totals[1])
+        halves[h].append(i)
+        totals[h] += lengths[i]
+    return halves
 
 
 def expanded(bins: list[list[int]], count: int, lengths: list[int]) -> list[list[int]]:
-    """The heaviest bin of two or more items is split until there are `count`."""
+    """The heaviest bin of two or more items (the last of equal ones) is split until there are `count`, or none is left to split. The first
+    half takes its place, the second goes to the end."""
     bins = [list(b) for b in bins]
-    while len(bins) < count:
-        many = [k for k, b in enumerate(bins) if len(b) > 1]
-        if not many:
-            raise ValueError("too few items")
-        k = max(many, key=lambda k: (sum(lengths[i] for i in bins[k]), -k))
-        bins[k : k + 1] = split_bin(bins[k], lengths)
+    heap = [(-sum(lengths[i] for i in b), -k) for k, b in enumerate(bins) if len(b) > 1]
+    heapq.heapify(heap)
+    while len(bins) < count and heap:
+        k = -heapq.heappop(heap)[1]
+        bins[k], other = split_bin(bins[k], lengths)
+        bins.append(other)
+        for at in (k, len(bins) - 1):
+            if len(bins[at]) > 1:
+                heapq.heappush(heap, (-sum(lengths[i] for i in bins[at]), -at))
     return bins
 
 
-def balanced(lengths: list[int], k: int) -> list[list[int]]:
-    """k parts by differencing, checked: all items once, no part empty, each part sorted."""
-    parts = differencing(lengths, k)
-    if sorted(i for p in parts for i in p) != list(range(len(lengths))) or not all(parts):
-        raise ValueError("the parts don't hold every item once")
+def balanced(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
+    """k parts by differencing, each in order of its items. Fewer items than parts, and a part without items, are errors."""
+    if len(lengths) < k:
+        raise ValueError(f"{len(lengths)} items are fewer than {k} parts")
+    parts = [sorted(p) for p in differencing(lengths, k, equal_size)]
+    if not all(parts):
+        raise ValueError("a part has no item")
     return parts
 
 
@@ -116,47 +132,53 @@ def chunked(sizes: list[int], limit: int) -> list[list[int]]:
     return chunks
 
 
-def dealt_bins(lengths: list[int], bins: list[list[int]], ranks: int) -> list[int]:
-    """The rank of each bin: as many bins for each, by differencing their weights over rounds of one bin a rank."""
-    weight = sorted(range(len(bins)), key=lambda b: (-sum(lengths[i] for i in bins[b]), b))
-    totals, rank = [0] * ranks, [0] * len(bins)
-    for at in range(0, len(weight), ranks):  # the heaviest bin of a round goes to the lightest rank so far
-        for b, r in zip(weight[at : at + ranks], sorted(range(ranks), key=lambda r: (totals[r], r))):
-            rank[b] = r
-            totals[r] += sum(lengths[i] for i in bins[b])
-    return rank
-
-
-def micro_batches(lengths: list[int], weights: list[float], ranks: int, most: int, mode: str, size: int) -> list[list[int]]:
-    """dynamic: first fit by length, split until the bins are a multiple of the ranks; balanced: as many bins as that, with
-    their weights (operations) evened by differencing; fixed: `size` neighbours each."""
+def micro_batches(lengths: list[int], weights: list[float], most: int, mode: str, size: int) -> list[list[int]]:
+    """dynamic: first fit by length; balanced: as many bins as the tokens fill at least, their weights (operations) evened by
+    differencing, which doesn't hold them to `most`; fixed: `size` neighbours each."""
     if mode == "fixed":
         return [list(range(at, min(at + size, len(lengths)))) for at in range(0, len(lengths), size)]
-    bins = first_fit(lengths, most)
-    want = -(-len(bins) // ranks) * ranks
-    if want > len(lengths):
-        return bins
-    return expanded(bins, want, lengths) if mode == "dynamic" else balanced([round(w) for w in weights], want)
+    if mode == "dynamic":
+        return first_fit(lengths, most)
+    count = max(1, -(-sum(lengths) // most))
+    return balanced(weights, count) if count < len(lengths) else [[i] for i in range(len(lengths))]
 
 
-def packed_steps(df: DataFrame, step: str, order: str, length: str, ranks: int, most: int, mode: str = "dynamic", size: int = 8, weight: str | None = None) -> DataFrame:
-    """(step, order, micro_batch, rank, place) of each sample by `micro_batches`; every rank gets as many bins, the heaviest
-    bin of each round the lightest rank, and `place` counts the samples of a rank."""
+def aligned(bins: list[list[int]], lengths: list[int], multiple: int, splits: bool) -> list[list[int]]:
+    """As many bins as a multiple of `multiple`. Where that takes more, the heaviest are split, if they may be; else it is an error."""
+    count = max(1, -(-len(bins) // multiple)) * multiple
+    grown = expanded(bins, count, lengths) if splits else bins
+    if len(grown) != count:
+        raise ValueError(f"{len(lengths)} samples in {len(grown)} micro-batches, {count} are needed")
+    return grown
+
+
+def dealt_bins(weights: list[float], ranks: int, even: bool) -> list[list[int]]:
+    """The bins of each rank, as many for each: by differencing their weights, or in turn."""
+    return balanced(weights, ranks, equal_size=True) if even else [list(range(r, len(weights), ranks)) for r in range(ranks)]
+
+
+def step_plan(lengths: list[int], weights: list[float], ranks: int, most: int, mode: str, size: int, group: int, even: bool) -> list[tuple[int, int, int]]:
+    """(micro_batch, rank, place) of each sample of a step: bins by `micro_batches`, as many as a multiple of ranks times `group`, dealt
+    to the ranks. `place` counts a rank's samples micro-batch by micro-batch. A step with fewer samples than ranks is an error."""
+    if len(lengths) < ranks:
+        raise ValueError(f"{len(lengths)} samples are fewer than {ranks} ranks")
+    bins = aligned(micro_batches(lengths, weights, most, mode, size), lengths, ranks * group, mode != "fixed")
+    out: list = [None] * len(lengths)
+    for r, own in enumerate(dealt_bins([sum(weights[i] for i in b) for b in bins], ranks, even)):
+        for place, (b, i) in enumerate((b, i) for b in own for i in bins[b]):
+            out[i] = (b, r, place)
+    return out
+
+
+def packed_steps(
+    df: DataFrame, step: str, order: str, length: str, ranks: int, most: int, mode: str = "dynamic", size: int = 8, weight: str | None = None, group: int = 1, even: bool = True
+) -> DataFrame:
+    """(step, order, micro_batch, rank, place) of each sample by `step_plan`; `weight` (operations, else the length) is what is evened."""
 
     @F.pandas_udf("array<struct<micro_batch:int,rank:int,place:int>>")
     def plan(lengths: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for n, w in zip(lengths, weights):
-            n = [int(x) for x in n]
-            bins = micro_batches(n, [float(x) for x in w], ranks, most, mode, size)
-            rank, bin_of, place = dealt_bins(n, bins, ranks), {i: b for b, items in enumerate(bins) for i in items}, [0] * ranks
-            rows = []
-            for i in range(len(n)):
-                r = rank[bin_of[i]]
-                rows.append({"micro_batch": bin_of[i], "rank": r, "place": place[r]})
-                place[r] += 1
-            out.append(rows)
-        return pd.Series(out)
+        made = [step_plan([int(x) for x in n], list(w), ranks, most, mode, size, group, even) for n, w in zip(lengths, weights, strict=True)]
+        return pd.Series([[dict(zip(("micro_batch", "rank", "place"), x, strict=True)) for x in rows] for rows in made])
 
     g = _by_step(df, step, order, length, weight or length)
     zipped = F.explode(F.arrays_zip(F.col("s.__order").alias("o"), plan("s.__length", "s.__weight").alias("p"))).alias("e")
@@ -211,3 +233,13 @@ def forward_flops(tokens: Column, hidden: int, layers: int, ffn: int, vocabulary
     """Projections, causal attention and the output layer of a dense decoder, two operations a weight."""
     linear = 2 * layers * (4 * hidden * hidden + 3 * hidden * ffn) + 2 * hidden * vocabulary
     return tokens * float(linear) + 2.0 * layers * hidden * tokens * tokens
+
+
+def training_schedule(df: DataFrame, rollout: str, position: str, length: str, rollouts_a_step: int, ranks: int, most: int, **how) -> DataFrame:
+    """(step, rollout, position, micro_batch, rank, place) of each sample that is trained: steps of whole rollouts by first occurrence,
+    in which samples stand rollout by rollout, packed and dealt by `packed_steps`. Fewer rollouts than one step are an error."""
+    staged = cut(steps(df.select(rollout, position, length), rollout, position, rollouts_a_step))
+    if staged.isEmpty():
+        raise ValueError("there are fewer rollouts than a step takes")
+    first = F.min(position).over(Window.partitionBy("step", rollout))
+    return packed_steps(staged.withColumn("order", F.struct(first.alias("first"), F.col(rollout), F.col(position))), "step", "order", length, ranks, most, **how).select("step", f"order.{rollout}", f"order.{position}", "micro_batch", "rank", "place")

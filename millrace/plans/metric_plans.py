@@ -251,14 +251,24 @@ def pk3_first_fit(spark, sf):
     return P.grouped_plan(lengths(spark, sf), "l_orderkey", "pos", "length", lambda n: P.first_fit(n, 60))
 
 
-@R.add("WITH g AS (SELECT l_orderkey, count(*) AS n, max(l_quantity::INT) AS a, min(l_quantity::INT) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, 2::BIGINT AS parts, a-b AS spread FROM g WHERE n=2")
-def pk4_differencing(spark, sf):
-    """Two parts of two items each hold one; larger orders are compared with brute force in the tests."""
+def spreads(spark, sf, fits: str, equal_size: bool):
+    """How far two parts lie apart, by order."""
     df = lengths(spark, sf)
-    two = df.groupBy("l_orderkey").count().filter("count = 2").select("l_orderkey")
-    plan = P.grouped_plan(df.join(two, "l_orderkey"), "l_orderkey", "pos", "length", lambda n: P.balanced(n, 2))
-    g = plan.join(df, ["l_orderkey", "pos"]).groupBy("l_orderkey", "part").agg(F.sum("length").alias("n"))
-    return g.groupBy("l_orderkey").agg(F.count("*").alias("parts"), (F.max("n") - F.min("n")).cast("int").alias("spread"))
+    some = df.groupBy("l_orderkey").count().filter(fits).select("l_orderkey")
+    plan = P.grouped_plan(df.join(some, "l_orderkey"), "l_orderkey", "pos", "length", lambda n: P.balanced(n, 2, equal_size))
+    g = plan.join(df, ["l_orderkey", "pos"]).groupBy("l_orderkey", "part").agg(F.sum("length").alias("n"), F.count("*").alias("items"))
+    return g.groupBy("l_orderkey").agg(F.min("items").alias("fewest"), F.count("*").alias("parts"), (F.max("n") - F.min("n")).cast("int").alias("spread"))
+
+
+#: Two parts lie apart by what is left when the two widest spreads are always replaced by their difference.
+DIFFERENCES = """d AS (SELECT o, list_reverse_sort(g) AS g FROM g UNION ALL SELECT o, list_reverse_sort(list_append(g[3:], g[1]-g[2])) FROM d WHERE len(g)>1),
+spread AS (SELECT o, g[1]::INT AS spread FROM d WHERE len(g)=1)"""
+
+
+@R.add(f"WITH RECURSIVE g AS (SELECT l_orderkey AS o, list(l_quantity::INT) AS g FROM lineitem GROUP BY 1 HAVING count(*)>=2), {DIFFERENCES} SELECT o AS l_orderkey, 2::BIGINT AS parts, spread FROM spread")
+def pk4_differencing(spark, sf):
+    """The two parts of each order; which items they hold is compared with a plain version in the tests."""
+    return spreads(spark, sf, "count >= 2", False).drop("fewest")
 
 
 @R.add(
@@ -270,25 +280,35 @@ def pk5_greedy(spark, sf):
     return P.grouped_plan(lengths(spark, sf), "l_orderkey", "pos", "length", lambda n: P.greedy(n, 2))
 
 
-@R.add("SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY 1 HAVING count(*)>=2")
+@R.add(
+    f"""WITH RECURSIVE g AS (SELECT o, list(n-before) AS g FROM (SELECT o, n, lag(n) OVER (PARTITION BY o ORDER BY k) AS before, k FROM (SELECT l_orderkey AS o, l_quantity::INT AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS k, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) WHERE c%2=0) WHERE k%2=0 GROUP BY 1),
+{DIFFERENCES} SELECT o AS l_orderkey, (SELECT count(*)//2 FROM lineitem WHERE l_orderkey=o) AS fewest, spread FROM spread"""
+)
 def pk6_balanced_parts(spark, sf):
-    """Every item lies in one of two parts that aren't empty."""
-    df = lengths(spark, sf)
-    many = df.groupBy("l_orderkey").count().filter("count >= 2").select("l_orderkey")
-    plan = P.grouped_plan(df.join(many, "l_orderkey"), "l_orderkey", "pos", "length", lambda n: P.balanced(n, 2))
-    return plan.groupBy("l_orderkey").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("items")).filter("parts = 2").select("l_orderkey", "items")
+    """Two parts of equally many items: neighbours by length differ first, then differences of these."""
+    return spreads(spark, sf, "count % 2 = 0", True).drop("parts")
+
 
+#: Halves of a bin: longest first, each to the lighter.
+HALVES = """{name} AS (SELECT o, k, line, n, n AS a, 0 AS b, 0 AS half FROM {of} WHERE k=1
+UNION ALL SELECT l.o, l.k, l.line, l.n, CASE WHEN a<=b THEN a+l.n ELSE a END, CASE WHEN a<=b THEN b ELSE b+l.n END, CASE WHEN a<=b THEN 0 ELSE 1 END FROM {name} p JOIN {of} l ON l.o=p.o AND l.k=p.k+1)"""
+LINES = "lines AS (SELECT l_orderkey AS o, (l_partkey*100000+l_suppkey*10+l_linenumber)*100+l_quantity::INT AS line, l_quantity::INT AS n FROM lineitem), l AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n DESC, line) AS k FROM lines)"
+SPLIT = f"WITH RECURSIVE {LINES}, {HALVES.format(name='p', of='l')}"
 
-@R.add()
+
+@R.add(f"{SPLIT} SELECT o AS l_orderkey, line AS pos, half::INT AS part FROM p")
 def pk7_split_bins(spark, sf):
     return P.grouped_plan(lengths(spark, sf), "l_orderkey", "pos", "length", lambda n: [p for p in P.split_bin(list(range(len(n))), n) if p])
 
 
-@R.add("SELECT l_orderkey, least(3, count(*)) AS bins FROM lineitem GROUP BY 1")
+@R.add(
+    f"""{SPLIT}, bins AS (SELECT o, half, sum(n) AS total, count(*) AS items FROM p GROUP BY ALL), heavy AS (SELECT o, arg_max(half, total*2+half) AS half FROM bins WHERE items>1 GROUP BY 1),
+m AS (SELECT p.o, p.line, p.n, row_number() OVER (PARTITION BY p.o ORDER BY p.n DESC, p.k) AS k FROM p JOIN heavy USING (o, half)), {HALVES.format(name='q', of='m')}
+SELECT p.o AS l_orderkey, p.line AS pos, (CASE WHEN q.half=1 THEN 2 ELSE p.half END)::INT AS part FROM p LEFT JOIN q ON q.o=p.o AND q.line=p.line"""
+)
 def pk8_expanded_bins(spark, sf):
-    grown = lambda n: P.expanded([list(range(len(n)))], min(3, len(n)), n)
-    plan = P.grouped_plan(lengths(spark, sf), "l_orderkey", "pos", "length", grown)
-    return plan.groupBy("l_orderkey").agg(F.count_distinct("part").alias("bins"))
+    """One bin an order, split into two and the heavier of these again, as far as they hold several items."""
+    return P.grouped_plan(lengths(spark, sf), "l_orderkey", "pos", "length", lambda n: P.expanded([list(range(len(n)))], 3, n))
 
 
 @R.add("SELECT o_orderkey, list_transform(range(0,5), lambda i: ((i-o_orderkey)*3%5+5)%5)::INT[] AS inverse FROM orders")
@@ -297,14 +317,14 @@ def pk9_inverse_permutation(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", P.inverse_permutation(turn).alias("inverse"))
 
 
-@R.add("SELECT event_id//64 AS step, count(*) AS samples, sum((abs(value)*10+1)::DECIMAL(38,10)::INT) - sum((abs(value)*10+1)::DECIMAL(38,10)::INT) AS lost FROM events GROUP BY 1")
+@R.add("SELECT event_id//64 AS step, (event_id%64)//4%4 AS rank, list(event_id ORDER BY event_id) AS events, list((event_id%64)//4 ORDER BY event_id)::INT[] AS micro_batch FROM events WHERE event_id < (SELECT count(*)//64*64 FROM events) GROUP BY 1, 2")
 def pk10_per_rank(spark, sf):
-    """All samples of a step are sent, each to one rank."""
+    """What each rank is sent of the whole steps: micro-batches of four neighbours, dealt in turn."""
     e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 64).alias("step"), "event_id", (F.abs("value") * 10 + 1).cast("int").alias("length"))
-    sent = P.per_rank(P.packed_steps(e, "step", "event_id", "length", 4, 4096), e, ["step", "event_id"])
-    g = sent.select("step", F.explode("length").alias("n")).groupBy("step").agg(F.count("*").alias("samples"), F.sum("n").alias("n"))
-    whole = e.groupBy("step").agg(F.sum("length").alias("all"))
-    return g.join(whole, "step").select("step", "samples", (F.col("all") - F.col("n")).alias("lost"))
+    whole = e.join(e.groupBy("step").count().filter("count = 64").select("step"), "step")
+    plan = P.packed_steps(whole, "step", "event_id", "length", 4, 4096, mode="fixed", size=4, even=False)
+    sent = P.per_rank(plan, whole.withColumn("id", F.col("event_id")), ["step", "event_id"])
+    return sent.select("step", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("events"), "micro_batch")
 
 
 @R.add(

@@ -16,8 +16,10 @@ from ..operators.containment import contained_items
 from ..operators.geometry import principal_angles
 from ..operators.lineage import fresh_folder
 from ..operators.trajectories import TURN
+from ..sources import queue as Q
 from ..sources import records as D
 from ..sources import rollouts as S
+from ..streaming import buffers as U
 from ..streaming import groups as B
 from ..streaming import rollouts as L
 from .base import TOKENS, Registry, r6, table, tokens
@@ -56,6 +58,35 @@ def st3_drained_buffer(spark, sf):
     return out.groupBy("user_id").agg(F.count("*").alias("complete")).join(each, "user_id")
 
 
+WAIT_MS = 4 * 3600 * 1000
+
+
+@R.add(
+    f"""WITH g AS (SELECT user_id, count(*)::INT AS n, round(avg(value),6) AS reward_mean, min(ts) AS first_time, max(ts) AS last_time FROM events GROUP BY 1)
+SELECT user_id, n, reward_mean, epoch_us(first_time) AS first_us, epoch_us(last_time) AS last_us, n<12 AS timed_out FROM g WHERE n>=12 OR epoch_ms(last_time)+{WAIT_MS} <= (SELECT epoch_ms(max(ts)) FROM events)-60000"""
+)
+def st2_groups_with_meta(spark, sf):
+    """Users with 12 events leave whole, others once the watermark, a minute behind, has passed their last event by the waiting time."""
+    U.use_rocksdb(spark)
+    stream = streamed(spark, sf, "events").select("user_id", "event_id", F.col("value").alias("reward"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 minute")
+    out = collected(spark, U.buffered_groups(stream, "user_id", 12, WAIT_MS))
+    return out.select("user_id", "n", r6(F.col("reward_mean"), "reward_mean"), F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "timed_out")
+
+
+@R.add("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def sc21_record_queue(spark, sf):
+    """Orders are written to a queue, streamed from there into another, and read back from that."""
+    place = fresh_folder(spark, "queue")
+    spark.dataSource.register(Q.RecordQueue)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for part in range(3):
+        o.filter(F.pmod("o_orderkey", F.lit(3)) == part).write.format("record_queue").mode("append").save(f"{place}/in")
+    stream = spark.readStream.format("record_queue").option("path", f"{place}/in").load().select("record")
+    stream.writeStream.format("record_queue").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    r = F.from_json("record", "o_orderkey bigint, o_custkey bigint, o_orderstatus string").alias("r")
+    return Q.queue_records(spark, f"{place}/out").select(r).select("r.*")
+
+
 def groups_taken(spark, sf, which: str) -> DataFrame:
     place = fresh_folder(spark, "stream")
     o = streamed(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, "aborted").otherwise("completed").alias("status"))

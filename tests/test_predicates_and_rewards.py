@@ -133,8 +133,8 @@ def test_estimators_and_their_errors(spark):
 def test_packing_modes(spark):
     rows = [(0, i, n) for i, n in enumerate([9, 9, 4, 4, 4, 4, 1, 1, 8, 8, 2, 2])]
     df = spark.createDataFrame(rows, "step int, k int, n int")
-    for mode, bins in (("dynamic", 6), ("balanced", 6), ("fixed", 3)):
-        got = P.packed_steps(df, "step", "k", "n", 2, 10, mode=mode, size=4).collect()
+    for mode, bins in (("dynamic", 6), ("balanced", 6), ("fixed", 4)):
+        got = P.packed_steps(df, "step", "k", "n", 2, 10, mode=mode, size=3).collect()
         by = {b: sum(rows[r["k"]][2] for r in got if r["micro_batch"] == b) for b in {r["micro_batch"] for r in got}}
         assert len(by) == bins and len(got) == 12
         if mode == "balanced":
