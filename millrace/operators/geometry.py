@@ -72,48 +72,122 @@ def _square(group: pd.DataFrame) -> np.ndarray:
     return m
 
 
+#: What `described` says of a spectrum; s95 is the singular value that 95 % don't exceed.
+SPECTRUM = """rank_99 int, rank_99_censored boolean, spectral_norm double, stable_rank double, entropy double, captured_share double,
+regularized_s95_to_s5 double, singular_value_log_spread double, orthogonality_error double, residual double, method string"""
+
+
+def described(values: np.ndarray, energy: float, method: str, fourth: float | None = None, dimension: int = 0, residual: float | None = None, eps: float = 1e-6) -> dict:
+    """Of squared singular values, all or the largest: the rank that holds 99 % of the energy (one more than there are values, and
+    censored, if they don't), spectral norm, stable rank, entropy (what isn't captured counts as one part), the share that
+    is captured, how far the values spread, and how far the matrix is from orthogonal, given the sum of fourth powers."""
+    held = np.sort(np.maximum(values, 0.0))[::-1]
+    total, sums = max(energy, 0.0), np.cumsum(held)
+    singular = np.sqrt(held)
+    top = float(singular[0]) if len(held) else 0.0
+    reached = np.flatnonzero(sums >= 0.99 * total * (1 - 1e-12)) if total > 0 else np.array([])
+    shares = np.append(held, max(total - float(held.sum()), 0.0)) / total if total > 0 else np.array([])
+    shares = shares[shares > 1e-15]
+    s5, s95 = np.quantile(singular, [0.05, 0.95]) if len(held) else (0.0, 0.0)
+    off = None if fourth is None else (max(fourth - 2 * total + dimension, 0.0) / max(dimension, 1)) ** 0.5
+    return {
+        "rank_99": 0 if total == 0 else int(reached[0]) + 1 if len(reached) else len(held) + 1, "rank_99_censored": bool(total > 0 and not len(reached)),
+        "spectral_norm": top, "stable_rank": total / top**2 if top else None, "entropy": float(-(shares * np.log(shares)).sum()), "captured_share": min(1.0, float(held.sum()) / total) if total else None,
+        "regularized_s95_to_s5": float(s95 / max(s5, eps * s95)) if s95 else None, "singular_value_log_spread": float(np.log(top / max(float(singular[-1]), eps * top))) if top else None,
+        "orthogonality_error": off, "residual": residual, "method": method,
+    }
+
+
+def products_with(df: DataFrame, key: str, row: str, blocks: dict) -> dict:
+    """For each matrix A, given as rows, A'A times its block of columns. A task adds up before it sends, a row for each column of A, and
+    what comes to the driver is as large as the blocks."""
+    sent = df.sparkSession.sparkContext.broadcast(blocks)
+    width = next(iter(blocks.values())).shape[1] if blocks else 0
+
+    def add(frames):
+        held: dict = {}
+        for f in frames:
+            for k, rows in f.groupby(key):
+                for at in range(0, len(rows), 1024):
+                    a = np.stack(rows[row].iloc[at : at + 1024].to_numpy()).astype(float)
+                    held[k] = held.get(k, 0.0) + a.T @ (a @ sent.value[k])
+        for k, m in held.items():
+            yield pd.DataFrame({key: k, "i": np.arange(len(m)), "v": list(m)})
+
+    kind = dict(df.dtypes)[key]
+    sums = df.select(key, row).mapInPandas(add, f"{key} {kind}, i int, v array<double>").groupBy(key, "i").agg(*[F.sum(F.col("v")[j]).alias(f"c{j}") for j in range(width)])
+    out = {k: np.zeros_like(b) for k, b in blocks.items()}
+    got = sums.toPandas()
+    for k, rows in got.groupby(key):
+        out[k][rows["i"].to_numpy()] = rows[[f"c{j}" for j in range(width)]].to_numpy()
+    sent.unpersist()
+    return out
+
+
+def leading_spectra(df: DataFrame, key: str, row: str, shapes: dict, rank: int, seed: int, rounds: int = 8, within: float = 1e-6, probes: int = 8) -> dict:
+    """By matrix the leading squared singular values, their largest residual beside the first, and an estimate of the sum of the fourth powers of all.
+
+    Block subspace iteration: a block of `rank` columns is multiplied by A'A once a round, until all residuals are under `within` or
+    `rounds` are over. One more product with `probes` random signs estimates the fourth powers."""
+    rng, found = np.random.default_rng(seed), {}
+    blocks = {k: np.linalg.qr(rng.choice([-1.0, 1.0], size=(n, max(1, min(rank, m, n)))))[0] for k, (m, n) in shapes.items()}
+    width = max((b.shape[1] for b in blocks.values()), default=0)
+    pad = lambda b: np.hstack([b, np.zeros((len(b), width - b.shape[1]))])
+    left = dict(blocks)
+    for _ in range(rounds):
+        images = products_with(df.filter(F.col(key).isin(*left)), key, row, {k: pad(b) for k, b in left.items()})
+        for k in list(left):
+            b, image = left[k], images[k][:, : left[k].shape[1]]
+            values, turn = np.linalg.eigh(b.T @ image)
+            off = np.linalg.norm(image @ turn - b @ turn * values, axis=0).max() / max(values.max(), 1e-300)
+            found[k] = (values, float(off))
+            left[k] = np.linalg.qr(image)[0]
+            if off <= within:
+                del left[k]
+        if not left:
+            break
+    signs = {k: rng.choice([-1.0, 1.0], size=(n, probes)) for k, (_, n) in shapes.items()}
+    fourth = products_with(df, key, row, signs)
+    return {k: (*found[k], float((fourth[k] ** 2).sum() / probes)) for k in shapes}
+
+
 def matrix_diagnostics(df: DataFrame, key: str, row: str, method: str = "exact", rank: int = 32, seed: int = 0) -> DataFrame:
-    """Of matrices given as rows: variation of row and column norms, spectral norm, stable rank, the rank that holds 99 %
-    of the energy, and spectral entropy. The spectrum is exact at any width, of which one task holds the square in numbers,
-    unless `method` is "sketch": then it is that of the rows projected on `rank` random signs, a lower bound for the energy
-    with its tail as one part."""
-    wide = 0 if method == "exact" else df.select(F.max(F.size(row)).alias("n")).first()["n"] or 0
-    exact, spec = method == "exact", "rank_99 int, spectral_norm double, stable_rank double, entropy double, method string"
+    """Of matrices given as rows: variation of row and column norms, and the spectrum as `described` says.
+
+    "exact" decomposes the square of the columns, which one task holds for each matrix; "blocks" finds the `rank` leading values by
+    `leading_spectra`, for any width of which `rank` columns fit on the driver; "sketch" projects rows on `rank` random
+    signs, in one job. Rows without a key or with values that aren't finite are left out or an error."""
+    known = df.filter(F.col(key).isNotNull()).select(key, F.transform(row, finite).alias(row))
     kind = dict(df.dtypes)[key]
-    norms = df.groupBy(key).agg(
-        F.count("*").alias("rows"), F.max(F.size(row)).alias("columns"),
-        coefficient_of_variation(F.sqrt(F.aggregate(row, F.lit(0.0), lambda s, v: s + v * v))).alias("row_norm_cv"), F.sum(F.aggregate(row, F.lit(0.0), lambda s, v: s + v * v)).alias("__energy"),
-    )
-    across = df.select(key, F.posexplode(row).alias("c", "v")).groupBy(key, "c").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    energy = F.aggregate(row, F.lit(0.0), lambda s, v: s + v * v)
+    norms = known.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.size(row)).alias("columns"), coefficient_of_variation(F.sqrt(energy)).alias("row_norm_cv"), F.sum(energy).alias("__energy"))
+    across = known.select(key, F.posexplode(row).alias("c", "v")).groupBy(key, "c").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     norms = norms.join(across.groupBy(key).agg(coefficient_of_variation("n").alias("column_norm_cv")), key)
+    fields = ["__energy", "rows", "columns"]
 
-    def describe(k, values: np.ndarray, total: float, method: str) -> pd.DataFrame:
-        energy = np.sort(np.maximum(values, 0.0))[::-1]
-        top = float(energy[0]) if len(energy) else 0.0
-        held = np.cumsum(energy)
-        reached = np.flatnonzero(held >= 0.99 * total * (1 - 1e-12))
-        shares = np.append(energy, max(total - held[-1], 0.0)) / total if total > 0 else np.array([])
-        shares = shares[shares > 1e-15]
-        entropy = float(-(shares * np.log(shares)).sum())
-        found = 0 if total == 0 else int(reached[0]) + 1 if len(reached) else len(energy) + 1
-        return pd.DataFrame({key: [k], "rank_99": [found], "spectral_norm": [top**0.5], "stable_rank": [total / top if top else None], "entropy": [entropy], "method": [method]})
-
-    if exact:
+    if method == "exact":
 
         def decompose(group: pd.DataFrame) -> pd.DataFrame:
-            m = _square(group)
-            return describe(group[key].iloc[0], np.linalg.eigvalsh(m), float(np.trace(m)), "exact")
-
-        found = summed_products(df, key, row, row).groupBy(key).applyInPandas(decompose, f"{key} {kind}, {spec}")
+            m, rows, columns = _square(group), int(group["rows"].iloc[0]), int(group["columns"].iloc[0])
+            values = np.sort(np.linalg.eigvalsh(m))[::-1][: min(rows, columns)]
+            return pd.DataFrame([{key: group[key].iloc[0]} | described(values, float(np.trace(m)), "exact", float((m**2).sum()), min(rows, columns), 0.0)])
+
+        found = summed_products(known, key, row, row).join(norms.select(key, *fields), key).groupBy(key).applyInPandas(decompose, f"{key} {kind}, {SPECTRUM}")
+    elif method == "blocks":
+        sizes = {r[key]: r for r in norms.select(key, *fields).collect()}  # one row a matrix
+        spectra = leading_spectra(known, key, row, {k: (r["rows"], r["columns"]) for k, r in sizes.items()}, rank, seed)
+        rows = [{key: k} | described(values, sizes[k]["__energy"], "blocks", fourth, min(sizes[k]["rows"], sizes[k]["columns"]), off) for k, (values, off, fourth) in spectra.items()]
+        names = [c.split()[0] for c in SPECTRUM.split(",")]
+        found = df.sparkSession.createDataFrame([tuple(r[c] for c in [key, *names]) for r in rows], f"{key} {kind}, {SPECTRUM}")
     else:
+        wide = known.select(F.max(F.size(row)).alias("n")).first()["n"] or 0
 
         @F.pandas_udf("array<double>")
         def projected(rows: pd.Series) -> pd.Series:
             signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(wide, rank))
             return pd.Series([np.asarray(r, dtype=float) @ signs[: len(r)] for r in rows])
 
-        both = df.select(key, row, projected(row).alias("__p")).withColumn("__row", F.concat(F.col("__p"), F.col(row)))
-        energy = norms.select(key, "__energy")
+        both = known.select(key, row, projected(row).alias("__p")).withColumn("__row", F.concat(F.col("__p"), F.col(row)))
 
         def sketch(group: pd.DataFrame) -> pd.DataFrame:
             m = _square(group)
@@ -121,9 +195,9 @@ def matrix_diagnostics(df: DataFrame, key: str, row: str, method: str = "exact",
             w, v = np.linalg.eigh(gram)
             keep = w > max(w.max(), 0.0) * 1e-12
             part = (v[:, keep] / np.sqrt(w[keep])).T @ cross
-            return describe(group[key].iloc[0], np.linalg.svd(part, compute_uv=False) ** 2, float(group["__energy"].iloc[0]), "sketch")
+            return pd.DataFrame([{key: group[key].iloc[0]} | described(np.linalg.svd(part, compute_uv=False) ** 2, float(group["__energy"].iloc[0]), "sketch")])
 
-        found = summed_products(both, key, "__p", "__row").join(energy, key).groupBy(key).applyInPandas(sketch, f"{key} {kind}, {spec}")
+        found = summed_products(both, key, "__p", "__row").join(norms.select(key, *fields), key).groupBy(key).applyInPandas(sketch, f"{key} {kind}, {SPECTRUM}")
     return norms.drop("__energy").join(found, key)
 
 

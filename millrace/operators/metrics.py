@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 import pandas as pd
@@ -131,14 +133,58 @@ def nested_spans(events: DataFrame, trace: str, order: str, kind: str, span: str
     return events.select(trace, order, kind, span).groupBy(trace).applyInPandas(fold, f"{trace} {kinds[trace]}, {span} {kinds[span]}, parent {kinds[span]}")
 
 
-def update_support(df: DataFrame, key: str, update: str, changed: str, window: int) -> DataFrame:
-    """Of each update's set of changed coordinates: their number, the overlap with the update before (Jaccard), and how many
-    different ones the last `window` updates changed."""
-    by = Window.partitionBy(key).orderBy(update)
-    before = F.lag(changed).over(by)
-    both, either = F.size(F.array_intersect(changed, before)), F.size(F.array_union(changed, before))
-    recent = F.size(F.array_distinct(F.flatten(F.collect_list(changed).over(by.rowsBetween(-(window - 1), 0)))))
-    return df.select(key, update, F.size(changed).alias("changed"), F.when(before.isNotNull(), F.coalesce(F.try_divide(both, either), F.lit(1.0))).alias("jaccard"), recent.alias("recent"))
+def sampled_places(views: DataFrame, size: int) -> DataFrame:
+    """`views` (view, numel) with `taken` and the start and stride of the coordinates that are drawn of each: start + j * stride, modulo
+    numel, for j under `taken`. Both come from a hash of the view's name; the stride has no divisor in common with numel."""
+    digest = F.md5(F.col("view").cast("string"))
+    part = lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") % F.col("numel")
+
+    @F.pandas_udf("bigint")
+    def coprime(stride: pd.Series, numel: pd.Series) -> pd.Series:
+        out = []
+        for s, n in zip(stride, numel, strict=True):
+            s = int(s) or 1
+            while math.gcd(s, int(n)) != 1:
+                s = (s + 1) % int(n) or 1
+            out.append(s)
+        return pd.Series(out)
+
+    return views.filter("numel > 0").withColumn("taken", F.least("numel", F.lit(size)).cast("bigint")).withColumn("start", part(0)).withColumn("stride", coprime(part(1), F.col("numel")))
+
+
+def update_support(deltas: DataFrame, views: DataFrame, size: int, window: int) -> DataFrame:
+    """By group and update, how the set of changed coordinates moves: sample_count and the population it stands for, the share that changed,
+    the Jaccard overlap with the update before (null without one, 1 if neither changed anything), the mean frequency of change in the
+    last `window` updates, the share that never changed in them, and whether the history goes on from the update before.
+
+    `deltas` has (view, update, offset, values): the coordinates from `offset` on; a view may come in any number of such pieces. `views` has
+    (view, numel, groups). Of each view `size` coordinates are followed, which weigh as all of it. After a gap in the updates of
+    a view its history begins anew. Pieces are cut to the drawn coordinates in the scan, so what is shuffled grows with `size`."""
+    drawn = sampled_places(views, size)
+    # Where coordinate c stands among the drawn ones: (c - start) / stride, as a product with the inverse of the stride.
+    places = drawn.select("view", "groups", "numel", "taken", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("taken") - 1), lambda j: ((F.col("start") + j.cast("decimal(38,0)") * F.col("stride")) % F.col("numel")).cast("bigint"))).alias("coordinate"))
+    by_view = places.groupBy("view").agg(F.array_sort(F.collect_list("coordinate")).alias("wanted"))  # `size` numbers a view
+    here = F.filter("wanted", lambda c: (c >= F.col("offset")) & (c < F.col("offset") + F.size("values")))
+    changes = deltas.join(F.broadcast(by_view), "view").select("view", "update", F.explode(F.transform(here, lambda c: F.struct(c.alias("coordinate"), (F.get("values", (c - F.col("offset")).cast("int")) != 0).alias("changed")))).alias("c")).select("view", "update", "c.*")
+    updates = deltas.select("view", "update").distinct()
+    before = F.lag("update").over(Window.partitionBy("view").orderBy("update"))
+    updates = updates.withColumn("broken", before.isNotNull() & (before != F.col("update") - 1))
+    updates = updates.withColumn("run", F.count_if("broken").over(Window.partitionBy("view").orderBy("update")))
+    along = Window.partitionBy("view", "coordinate", "run").orderBy("update")
+    recent = along.rowsBetween(-(window - 1), 0)
+    told = changes.join(updates, ["view", "update"]).select(
+        "view", "update", "changed", "broken", F.lag("changed").over(along).alias("previous"), F.avg(F.col("changed").cast("double")).over(recent).alias("frequency"), (~F.bool_or("changed").over(recent)).alias("never")
+    )
+    weight = F.col("numel") / F.col("taken")
+    rows = told.join(F.broadcast(drawn.select("view", "groups", weight.alias("w"))), "view").withColumn("group", F.explode("groups"))
+    weighed = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
+    known, both, either = F.col("previous").isNotNull(), F.col("previous") & F.col("changed"), F.col("previous") | F.col("changed")
+    g = rows.groupBy("group", "update").agg(
+        F.count("*").alias("sample_count"), F.sum("w").alias("population"), (weighed(F.col("changed")) / F.sum("w")).alias("changed_share"), weighed(known).alias("__known"), weighed(both).alias("__both"), weighed(either).alias("__either"),
+        (F.sum(F.col("w") * F.col("frequency")) / F.sum("w")).alias("window_frequency"), (weighed(F.col("never")) / F.sum("w")).alias("never_changed_share"), (~F.bool_or("broken")).alias("contiguous"),
+    )
+    jaccard = F.when(F.col("__known") > 0, F.when(F.col("__either") > 0, F.col("__both") / F.nullif("__either", F.lit(0.0))).otherwise(1.0))
+    return g.select("group", "update", "sample_count", "population", "changed_share", jaccard.alias("jaccard"), "window_frequency", "never_changed_share", "contiguous")
 
 
 def rollout_prompts(rollout: Column, batch: int, prompts_per_epoch: int, steps_per_epoch: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import metrics as M
 from ..operators import packing as P
@@ -143,15 +144,26 @@ def wn15_nested_spans(spark, sf):
 
 
 @R.add(
-    """WITH u AS (SELECT label AS key, vec_id AS update, list_filter(range(0,len(embedding)), lambda i: embedding[i+1]>0) AS c FROM embeddings),
-w AS (SELECT *, lag(c) OVER o AS b, list(c) OVER (PARTITION BY key ORDER BY update ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l FROM u WINDOW o AS (PARTITION BY key ORDER BY update))
-SELECT key, update, len(c)::INT AS changed, CASE WHEN b IS NOT NULL THEN round(len(list_intersect(c,b))/len(list_distinct(list_concat(c,b))),6) END AS jaccard, len(list_distinct(flatten(l)))::INT AS recent FROM w"""
+    """WITH e AS (SELECT label AS view, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+u AS (SELECT view, (k+k//7)::BIGINT AS update, embedding FROM e), v AS (SELECT view, max(len(embedding))::BIGINT AS numel, md5(view::VARCHAR) AS d FROM u GROUP BY 1),
+s AS (SELECT view, numel, ('0x'||d[1:8])::BIGINT%numel AS start, CASE WHEN ('0x'||d[9:16])::BIGINT%numel=0 THEN 1 ELSE ('0x'||d[9:16])::BIGINT%numel END AS stride FROM v),
+p AS (SELECT view, numel, unnest(range(0,16)) AS j, start, stride+(1-stride%2) AS stride FROM s),
+c AS (SELECT p.view, p.j, u.update, u.embedding[((start+j*stride)%numel+1)::INT]>0 AS changed, numel/16.0 AS w FROM p JOIN u USING (view)),
+g AS (SELECT *, update-dense_rank() OVER (PARTITION BY view ORDER BY update) AS run FROM c),
+t AS (SELECT *, lag(changed) OVER (PARTITION BY view, j, run ORDER BY update) AS previous, avg(changed::INT) OVER r AS frequency, NOT bool_or(changed) OVER r AS never, update>1 AND lag(update) OVER (PARTITION BY view, j, run ORDER BY update) IS NULL AS broken
+ FROM g WINDOW r AS (PARTITION BY view, j, run ORDER BY update ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, unnest(['global','odd'||(view%2)]) AS "group" FROM t)
+SELECT "group", update, count(*) AS sample_count, round(sum(w),9) AS population, round(sum(w*changed::INT)/sum(w),9) AS changed_share,
+ CASE WHEN count(previous)>0 THEN round(CASE WHEN sum(w*(previous OR changed)::INT)>0 THEN sum(w*(previous AND changed)::INT)/sum(w*(previous OR changed)::INT) ELSE 1 END,9) END AS jaccard,
+ round(sum(w*frequency)/sum(w),9) AS window_frequency, round(sum(w*never::INT)/sum(w),9) AS never_changed_share, NOT bool_or(broken) AS contiguous FROM x GROUP BY ALL"""
 )
 def wn18_update_support(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("update"), "embedding")
-    changed = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.get("embedding", i) > 0)
-    s = M.update_support(e.withColumn("c", changed), "key", "update", "c", 3)
-    return s.select("key", "update", "changed", r6(F.col("jaccard"), "jaccard"), "recent")
+    """Vectors of a label are updates of a view, in order, of which every eighth is missing; positive components are changes."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    e = table(spark, sf, "embeddings").withColumn("k", k).select(F.col("label").alias("view"), (F.col("k") + F.floor(F.col("k") / 7)).alias("update"), F.lit(0).cast("bigint").alias("offset"), F.transform("embedding", lambda x: F.when(x > 0, x).otherwise(0.0)).alias("values"))
+    views = e.groupBy("view").agg(F.max(F.size("values")).cast("bigint").alias("numel")).withColumn("groups", F.array(F.lit("global"), F.concat(F.lit("odd"), F.col("view") % 2)))
+    s = M.update_support(e, views, 16, 4)
+    return s.select("group", "update", "sample_count", *[F.round(c, 9).alias(c) for c in ("population", "changed_share", "jaccard", "window_frequency", "never_changed_share")], "contiguous")
 
 
 @R.add("SELECT event_id, least(32, 100-(event_id%4)*32)::BIGINT AS prompts, event_id*32*8//64 AS updates FROM events")
