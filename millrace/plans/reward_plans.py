@@ -8,6 +8,7 @@ from ..functions import advantages as A
 from ..functions import rewards as W
 from ..functions import samples as P
 from ..functions import tokens as T
+from ..operators.generation import group_rewards, sampled_rows
 from ..operators.scores import routed_rewards
 from .base import TOKENS, Registry, r6, table, tokens
 from .token_plans import digest, digested
@@ -238,3 +239,28 @@ def tx32_kernel_category(spark, sf):
     n = F.col("p_partkey") % 3
     name = F.when(n == 0, F.concat(F.lit("xGEMM_"), F.col("p_name"))).when(n == 1, "layer_norm").otherwise("zzz")
     return table(spark, sf, "part").groupBy(P.kernel_category(name).alias("category")).agg(F.count("*").alias("n"))
+
+
+@R.add(
+    """WITH s AS (SELECT conv_id, turn, text, string_split(text, '. ') AS answers FROM conversations WHERE role='user'),
+n AS (SELECT *, unnest(range(0,3)) AS k FROM s)
+SELECT conv_id AS group_index, text AS prompt, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k)-1 AS index, k::INT AS k, answers[(k%len(answers)+1)::INT] AS response, 'completed' AS status FROM n"""
+)
+def sc23_sampled_rows(spark, sf):
+    """Each user's turn becomes three samples, its sentences being the stored answers."""
+    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("answers", F.split("text", r"\. ", -1))
+    return sampled_rows(c, "conv_id", "turn", "text", "answers", 3)
+
+
+@R.add(
+    """WITH g AS (SELECT l_orderkey, l_linenumber, l_returnflag AS response, CASE WHEN l_orderkey%2=0 THEN 'N' ELSE 'R' END AS label, ['agreement','length_rank','surprise'][l_orderkey%3+1] AS scorer, l_shipdate FROM lineitem),
+r AS (SELECT *, repeat(response, l_linenumber) AS said FROM g)
+SELECT l_orderkey, l_linenumber, scorer, round(CASE scorer WHEN 'agreement' THEN count(*) OVER (PARTITION BY l_orderkey, response)/count(*) OVER (PARTITION BY l_orderkey) WHEN 'surprise' THEN CASE WHEN response=label THEN 1-avg((response=label)::INT) OVER (PARTITION BY l_orderkey) ELSE 0 END
+ ELSE coalesce((rank() OVER (PARTITION BY l_orderkey ORDER BY length(response))-1)/nullif(count(*) OVER (PARTITION BY l_orderkey)-1,0),0) END,6) AS reward FROM r"""
+)
+def tx34_group_reward(spark, sf):
+    """Lines of an order are a group whose order number names the scorer."""
+    g = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("response"), F.when(F.col("l_orderkey") % 2 == 0, "N").otherwise("R").alias("label"))
+    names = F.array(*map(F.lit, ["agreement", "length_rank", "surprise"]))
+    g = g.withColumn("scorer", F.get(names, (F.col("l_orderkey") % 3).cast("int")))
+    return group_rewards(g, "l_orderkey", "scorer", "response", "label").select("l_orderkey", "l_linenumber", "scorer", r6(F.col("reward"), "reward"))
