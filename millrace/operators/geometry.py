@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_quantiles
+
 
 def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit("not finite")).cast("double")).otherwise(value)
@@ -36,12 +38,12 @@ def scoped_changes(df: DataFrame, checkpoint: str, operator: str, before: str, a
     quartiles of the relative change."""
     norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
     ratio = F.col(delta) / F.nullif(F.col(before), F.lit(0))
-    g = df.withColumn("scope", F.explode(F.array(F.lit("global"), F.concat(F.lit("operator/"), operator)))).groupBy(checkpoint, "scope")
-    g = g.agg(F.count("*").alias("matrices"), norm(before).alias("before"), norm(after).alias("after"), norm(delta).alias("delta"), F.percentile(ratio, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    scoped = df.withColumn("scope", F.explode(F.array(F.lit("global"), F.concat(F.lit("operator/"), operator)))).withColumn("__ratio", ratio)
+    g = with_quantiles(scoped, [checkpoint, "scope"], "__ratio", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, F.count("*").alias("matrices"), norm(before).alias("before"), norm(after).alias("after"), norm(delta).alias("delta"))
     share = lambda n: F.coalesce(F.try_divide(n, F.nullif(F.col("before"), F.lit(0.0))), F.lit(0.0))
     return g.select(
         checkpoint, "scope", "matrices", "before", "after", "delta", share(F.col("after") - F.col("before")).alias("norm_change"), share(F.col("delta")).alias("relative_change"),
-        F.col("q")[1].alias("median_change"), (F.col("q")[2] - F.col("q")[0]).alias("iqr_change"),
+        F.col("q2").alias("median_change"), (F.col("q3") - F.col("q1")).alias("iqr_change"),
     )
 
 

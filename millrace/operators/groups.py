@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import numbered_by, running_max
+from .ranking import numbered_by, running_max, with_quantiles
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom; 1.96 beyond.
 T95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.16, 2.145, 2.131, 2.12, 2.11, 2.101, 2.093, 2.086, 2.08, 2.074, 2.069, 2.064, 2.06, 2.056, 2.052, 2.048, 2.045]
@@ -59,12 +59,13 @@ def pass_rates(df: DataFrame, group: str, reward: str, ks: list[int]) -> DataFra
     return g.select(each.alias("e")).select("e.*").groupBy("k").agg(F.avg("p").alias("pass_at_k"), F.count("p").alias("groups"))
 
 
-def reward_statistics(value: str) -> list[Column]:
+def reward_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, deviation, extremes, tenths and share of passes of each group."""
     x = F.col(value)
-    return [
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *[F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90)], F.avg(F.when(x == 1, 1.0).otherwise(0.0)).alias("pass_rate"),
-    ]
+    return with_quantiles(
+        df, keys, value, {f"p{q}": q / 100 for q in (10, 50, 90)},
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(F.when(x == 1, 1.0).otherwise(0.0)).alias("pass_rate"),
+    )
 
 
 def estimates(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as T
 from .groups import estimates, pass_rates
-from .ranking import numbered_by
+from .ranking import exact_quantiles, in_ranges, numbered_by, running_sum, with_quantiles
 
 FINITE = float("inf")
 
@@ -30,14 +30,16 @@ def prefix_cache(cached: Column, prompt: Column) -> list[Column]:
     return [F.coalesce(F.try_divide(F.sum(cached), F.sum(prompt)), F.lit(0.0)).alias("hit_rate"), (F.sum(cached) / F.count("*")).alias("cached_per_sample")]
 
 
-def statistics_of(value: Column) -> list[Column]:
-    return [F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min")]
+def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, median and extremes of each group."""
+    v = F.col(value)
+    return with_quantiles(df, keys, value, {"median": 0.5}, F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"))
 
 
 def attribute_statistics(df: DataFrame, attributes: str, by: list[str] | None = None) -> DataFrame:
     """Mean, median, extremes and count of each key of a map over its finite values."""
     each = df.select(*(by or []), F.explode(attributes).alias("key", "value")).filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != FINITE))
-    return each.groupBy(*(by or []), "key").agg(F.count("*").alias("n"), *statistics_of(F.col("value")))
+    return statistics(each, [*(by or []), "key"], "value")
 
 
 def column_means(df: DataFrame, leave_out: list[str], correct: Column | None = None) -> DataFrame:
@@ -225,15 +227,14 @@ def budget_decision(gains: DataFrame, by: list[str], gain: str, slope_low: str,
 
 def kept_or_filled(df: DataFrame, order: str, keep: str, target: int) -> DataFrame:
     """Which groups are used: kept ones in order, and dropped ones only as far as too few are left to reach `target`; those
-    asked for beyond it are surplus. One row a group, at most a few times the target of a batch."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    total = F.count("*").over(Window.partitionBy(F.lit(0)))
-    remaining = total - F.row_number().over(w)
-    have = F.count_if(F.col(keep)).over(w)
-    short = ~F.col(keep) & (have + remaining < target)
-    used = F.sum(F.when(F.col(keep) | short, 1).otherwise(0)).over(w)
-    state = F.when((F.col(keep) | short) & (used <= target), F.when(F.col(keep), "kept").otherwise("filled")).when(F.col(keep), "surplus").otherwise("dropped")
-    return df.withColumn("state", state)
+    asked for beyond it are surplus. Any number of rows; what lies before a row comes from sums over ranges of the order."""
+    rows = in_ranges(df, order)
+    have = running_sum(rows, F.col(keep).cast("bigint"), "__have", order)
+    left = running_sum(have, F.lit(1).cast("bigint"), "__n", order, total="__all")
+    asked = left.withColumn("__asked", F.col(keep) | (F.col("__have") + F.col("__all") - F.col("__n") < target))
+    used = running_sum(asked, F.col("__asked").cast("bigint"), "__used", order)
+    state = F.when(F.col("__asked") & (F.col("__used") <= target), F.when(F.col(keep), "kept").otherwise("filled")).when(F.col(keep), "surplus").otherwise("dropped")
+    return used.select(*df.columns, state.alias("state"))
 
 
 def routed_rows(df: DataFrame, dataset: str, routes: dict[str, tuple[str, str]]) -> DataFrame:
@@ -322,22 +323,6 @@ def smallest_hashes(df: DataFrame, branch: str, hashed: Column, key: str, count:
     return df.withColumn("__r", r).filter(F.col("__r") <= count).drop("__r")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """(keys, a column for each of `qs`): exact quantiles, interpolated between neighbours. Rows are numbered within value
-    ranges, so no task holds a whole group, however many different values it has; nulls don't count."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("__size"))
-    placed = numbered_by(rows, "__at", "__v", within=keys).join(n, keys)
-    out = []
-    for name, q in qs.items():
-        want = (F.col("__size") - 1) * F.lit(q)
-        low = F.max(F.when(F.col("__at") == F.floor(want), F.col("__v")))
-        high = F.max(F.when(F.col("__at") == F.ceil(want), F.col("__v")))
-        part = F.max(want - F.floor(want))
-        out.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(*keys).agg(*out)
-
-
 def median_and_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return q.select(*keys, "median", (F.col("q3") - F.col("q1")).alias("iqr"))

@@ -29,7 +29,7 @@ def epoch_order(df: DataFrame, position: str, seed: int, epoch: int) -> DataFram
     """`df` in the order of one epoch, with `epoch_pos` from 0."""
     keyed = df.withColumn("__key", keyed_hash(position, seed=seed + epoch))
     keyed = keyed.withColumn(PART, F.shiftright("__key", 48))  # hashes are even, so their leading bits are ranges of equal counts
-    return numbered_by(keyed, "epoch_pos", "__key", [position]).drop("__key")
+    return numbered_by(keyed, "epoch_pos", "__key", [position]).drop("__key", PART)
 
 
 def fanned_out(df: DataFrame, position: str, copies: int) -> DataFrame:
@@ -136,6 +136,9 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 1024)
     import pandas as pd
 
     spark, found = docs.sparkSession, []
+    none = spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int")
+    docs = docs.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    queries = queries.filter(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
     rows = queries.orderBy("query_id").toLocalIterator()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     while some := [r for _, r in zip(range(block), rows)]:
@@ -144,7 +147,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = 1024)
         best = docs.select("doc_id", "vector").mapInPandas(_partial_top_k(sent, k, np, pd), "query_id bigint, doc_id bigint, score double")
         found.append(cut(best.withColumn("rank", rank).filter(F.col("rank") <= k)))
         sent.destroy()
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def _partial_top_k(sent, k, np, pd):

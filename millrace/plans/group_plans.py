@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import groups as G
+from ..operators.ranking import with_quantiles
 from ..operators import metrics as M
 from .base import SAMPLES, Registry, r6, samples, table
 
@@ -78,7 +79,7 @@ STATS = "count(score) AS \"count\", round(avg(score),6) AS mean, round(stddev_po
 @R.add(f"WITH {SAMPLES} SELECT coalesce(source_name,'all') AS source, {STATS} FROM samples GROUP BY GROUPING SETS ((source_name),())")
 def ag7_reward_statistics(spark, sf):
     df = samples(spark, sf)
-    g = df.groupingSets([[F.col("source_name")], []], F.col("source_name")).agg(*G.reward_statistics("score"))
+    g = G.reward_statistics(df, ["source_name"], "score").unionByName(G.reward_statistics(df, [], "score").withColumn("source_name", F.lit(None).cast("string")))
     return g.select(F.coalesce("source_name", F.lit("all")).alias("source"), "count", *[r6(F.col(c), c) for c in ("mean", "std")], "min", "max", *[r6(F.col(c), c) for c in ("p10", "p50", "p90", "pass_rate")])
 
 
@@ -88,7 +89,9 @@ round(quantile_cont(response_length,0.95),6) AS p95, round(quantile_cont(respons
 )
 def ag4_rollout_summary(spark, sf):
     n = F.col("response_length")
-    return samples(spark, sf).agg(r6(F.avg(n), "mean"), r6(F.median(n), "median"), F.max(n).alias("max"), F.min(n).alias("min"), *[r6(F.percentile(n, F.lit(q / 100)), f"p{q}") for q in (90, 95, 99)], r6(F.avg((F.col("status") == "truncated").cast("int")), "truncated"))
+    shares = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    g = with_quantiles(samples(spark, sf), [], "response_length", shares, r6(F.avg(n), "mean"), F.max(n).alias("max"), F.min(n).alias("min"), r6(F.avg((F.col("status") == "truncated").cast("int")), "truncated"))
+    return g.select("mean", "max", "min", "truncated", *[r6(F.col(c), c) for c in shares])
 
 
 @R.add(

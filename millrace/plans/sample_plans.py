@@ -91,14 +91,14 @@ def pf24_masked_partial(spark, sf):
 
 @R.add(f"WITH {SAMPLES} SELECT source_name, avg(response_length) AS mean, median(response_length) AS median, max(response_length) AS max, min(response_length) AS min FROM samples GROUP BY 1")
 def ag1_statistics(spark, sf):
-    return samples(spark, sf).groupBy("source_name").agg(*M.statistics_of(F.col("response_length")))
+    return M.statistics(samples(spark, sf), ["source_name"], "response_length").drop("n")
 
 
 @R.add(f"WITH {SAMPLES} SELECT source_name, round(avg(reward),6) AS mean, round(stddev_pop(reward),6) AS std, quantile_cont(reward,0.5) AS p50, round(avg((reward=1)::INT),6) AS pass_rate FROM samples GROUP BY 1")
 def ag6_reward_statistics(spark, sf):
     from ..operators.groups import reward_statistics
 
-    g = samples(spark, sf).groupBy("source_name").agg(*reward_statistics("reward"))
+    g = reward_statistics(samples(spark, sf), ["source_name"], "reward")
     return g.select("source_name", r6(F.col("mean"), "mean"), r6(F.col("std"), "std"), "p50", r6(F.col("pass_rate"), "pass_rate"))
 
 
