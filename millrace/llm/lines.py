@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import ROW, joined_to_counted, numbered, release, written
 
+
 def here() -> Column:
     return F.struct("doc", "at")
 
@@ -128,6 +129,21 @@ def repeated_runs(rows: DataFrame, min_chars: int = 0) -> DataFrame:
     return runs
 
 
+def copied_stretches(rows: DataFrame) -> DataFrame:
+    """Copies (doc, first_line, lines) whose overlaps make up the maximal repeated runs with an earlier source, as a written table.
+
+    Every line of a run but the last begins a copy of two lines or more, so the copies at powers of two overlap from the first
+    line of a run to its last, and never reach beyond it. Which lines a run takes away therefore needs no interval
+    between the powers, as the length of each run by itself does (`repeated_runs`)."""
+    lines = written(lines_of(rows, offsets=False), "lines")
+    levels = suffix_levels(lines)
+    later = [x.filter(here() != F.col("first")).select("doc", F.col("at").alias("first_line"), F.lit(1 << k).alias("lines")) for k, x in enumerate(levels)]
+    longest = reduce(DataFrame.unionAll, later).groupBy("doc", "first_line").agg(F.max("lines").alias("lines"))
+    found = written(longest, "stretches", levels[0].rows)
+    release(lines, *levels)
+    return found
+
+
 def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     """All columns of `docs`, text without its later copies, with n_lines, n_removed (lines) and removed, the
     deleted stretches as (first_line, lines) in order.
@@ -140,7 +156,8 @@ def dedup_lines(docs: DataFrame, min_chars: int | None = 20) -> DataFrame:
     named n_lines, n_removed or removed are replaced, one named __row is left out.
     """
     rows = numbered(docs).drop("n_lines", "n_removed", "removed")
-    runs = repeated_runs(rows.select("doc_id", "text", ROW), min_chars or 0)
+    slim = rows.select("doc_id", "text", ROW)
+    runs = copied_stretches(slim) if min_chars is None else repeated_runs(slim, min_chars)
     along = Window.partitionBy("doc").orderBy("first_line", "lines")
     joins = F.col("first_line") < F.col("reach") if min_chars is None else F.col("first_line") <= F.col("reach")
     cover = runs.select("doc", "first_line", "lines", F.max(F.col("first_line") + F.col("lines")).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
