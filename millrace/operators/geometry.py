@@ -204,12 +204,25 @@ def matrix_diagnostics(df: DataFrame, key: str, row: str, method: str = "exact",
 
 
 def principal_angles(df: DataFrame, key: str, reference: str, trained: str) -> DataFrame:
-    """Angles in degrees between the spaces that two sets of orthonormal columns span, given row by row."""
+    """Angles in degrees between the spaces that two sets of columns span, given row by row; columns needn't be orthonormal, and those
+    that depend on others count for nothing. Tasks send sums of products of all columns; a space of no dimension gives nulls."""
     kind = dict(df.dtypes)[key]
+    both = df.select(key, F.size(reference).alias("__n"), F.concat(reference, trained).alias("__row"))
+    widths = both.groupBy(key).agg(F.max("__n").alias("__n"))
+
+    def root(m: np.ndarray) -> np.ndarray:
+        """Turns columns with products `m` into orthonormal ones."""
+        w, v = np.linalg.eigh(m)
+        keep = w > max(w.max(initial=0.0), 0.0) * 1e-12
+        return v[:, keep] / np.sqrt(w[keep])
 
     def angles(group: pd.DataFrame) -> pd.DataFrame:
-        a = np.degrees(np.arccos(np.clip(np.linalg.svd(_square(group), compute_uv=False), 0.0, 1.0)))
+        m, n = _square(group), int(group["__n"].iloc[0])
+        cosines = np.linalg.svd(root(m[:n, :n]).T @ m[:n, n:] @ root(m[n:, n:]), compute_uv=False)
+        a = np.degrees(np.arccos(np.clip(cosines, 0.0, 1.0)))
         sin = np.sin(np.radians(a))
-        return pd.DataFrame({key: [group[key].iloc[0]], "mean_deg": [a.mean()], "median_deg": [np.median(a)], "p95_deg": [np.quantile(a, 0.95)], "max_deg": [a.max()], "rms_sin": [(sin**2).mean() ** 0.5]})
+        told = (a.mean(), np.median(a), np.quantile(a, 0.95), a.max(), (sin**2).mean() ** 0.5) if len(a) else (None,) * 5
+        return pd.DataFrame([(group[key].iloc[0], *told)], columns=[key, "mean_deg", "median_deg", "p95_deg", "max_deg", "rms_sin"])
 
-    return summed_products(df, key, reference, trained).groupBy(key).applyInPandas(angles, f"{key} {kind}, mean_deg double, median_deg double, p95_deg double, max_deg double, rms_sin double")
+    sums = summed_products(both, key, "__row", "__row").join(widths, key)
+    return sums.groupBy(key).applyInPandas(angles, f"{key} {kind}, mean_deg double, median_deg double, p95_deg double, max_deg double, rms_sin double")

@@ -52,13 +52,18 @@ def ta36_distilled_masks(spark, sf):
     return counted(said(spark, sf), C.distilled_mask(m, m))
 
 
-@R.add("SELECT o_orderkey, CASE WHEN o_orderkey%4=0 THEN 'clean' WHEN o_orderkey%4=1 AND o_custkey%3<2 THEN 'realign' ELSE 'fork' END AS kind FROM orders")
+@R.add(
+    """WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS held, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS output FROM lineitem GROUP BY 1),
+p AS (SELECT *, len(held)//2 AS start, list_transform(held, lambda x, i: CASE WHEN x%11=0 THEN -x ELSE x END)||[-1] AS prompt FROM l),
+c AS (SELECT *, coalesce(list_position(list_transform(held, lambda x, i: x=prompt[i]), false), len(held)+1)-1 AS same FROM p)
+SELECT l_orderkey, CASE WHEN same=len(held) THEN 'clean' WHEN same>=start AND len(output)<6 THEN 'realign' ELSE 'fork' END AS kind FROM c"""
+)
 def ta40_drift_kind(spark, sf):
-    o = table(spark, sf, "orders")
-    ids = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    prompt = F.when(F.col("o_orderkey") % 4 == 0, ids(1, 2, 3, 4, 5)).when(F.col("o_orderkey") % 4 == 1, ids(1, 2, 3, 9)).otherwise(ids(1, 9, 3, 4))
-    output = F.array_repeat(F.lit(7), (F.col("o_custkey") % 3).cast("int"))
-    return o.select("o_orderkey", J.drift_kind(ids(1, 2, 3, 4), F.lit(2), prompt, output, 2).alias("kind"))
+    """Parts of an order as held tokens, of which the prompt changes every eleventh; the later half is the last response."""
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", c))), lambda x: x[c])
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(of("l_partkey").alias("held"), of("l_suppkey").alias("output"))
+    prompt = F.concat(F.transform("held", lambda x: F.when(x % 11 == 0, -x).otherwise(x)), F.array(F.lit(-1).cast("bigint")))
+    return o.select("l_orderkey", J.drift_kind(F.col("held"), F.floor(F.size("held") / 2).cast("int"), prompt, F.col("output"), 6).alias("kind"))
 
 
 @R.add("SELECT conv_id, 0 AS \"row\", (2*count(*))::INT AS n, count(*)::INT AS trained FROM conversations GROUP BY conv_id")

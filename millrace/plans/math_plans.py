@@ -116,12 +116,16 @@ def tx23_answer_score(spark, sf):
     return orders(spark, sf).select("o_orderkey", W.answer_score(text, F.col("k").cast("string")).alias("s")).select("o_orderkey", "s.*")
 
 
-@R.add("SELECT o_orderkey, o_orderkey%4<2 AS valid FROM orders")
+@R.add("SELECT doc_id, NOT regexp_matches(CASE WHEN contains(text,'ing') THEN regexp_extract(text,'^[^.]*') ELSE '' END,'\\S') AND NOT (length(text)%5=0) AS valid FROM documents")
 def tx4_tag_sequence(spark, sf):
-    think, more = "<think>a</think>", "<search>b</search> <information>c</information>\n<think>d</think>"
-    bodies = [think + "<answer>e</answer> ", think + more * 3 + "<answer>e</answer>", think + "loose" + more + "<answer>e</answer>", think + more]
-    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("k") % 4 + 1).cast("int"))
-    return orders(spark, sf).select("o_orderkey", W.valid_tag_sequence(F.concat(F.lit("<|im_start|>assistant\n"), body)).alias("valid"))
+    """Whole texts as thoughts, with as many searches between as their length says; a first sentence that stands outside of all tags, or
+    a missing answer, spoils them."""
+    text, n = F.col("text"), F.length("text")
+    more = F.concat(F.lit(" <search>b</search>\n<information>"), text, F.lit("</information><think>c</think> "))
+    outside = F.when(F.contains("text", F.lit("ing")), F.regexp_extract("text", "^[^.]*", 0)).otherwise(F.lit(""))
+    end = F.when(n % 5 == 0, F.lit("")).otherwise(F.lit("<answer>d</answer>\n"))
+    body = F.concat(F.lit("no one <|im_start|>assistant\n<think>"), text, F.lit("</think>"), F.repeat(more, (n % 3).cast("int")), outside, end)
+    return table(spark, sf, "documents").select("doc_id", W.valid_tag_sequence(body).alias("valid"))
 
 
 @R.add("SELECT o_orderkey, round(CASE WHEN o_orderkey%2=0 THEN 1.0::DOUBLE ELSE least(-0.6::DOUBLE, -1.0::DOUBLE+(o_orderkey%20-2)/2.0::DOUBLE*0.1::DOUBLE) END,6) AS reward FROM orders")

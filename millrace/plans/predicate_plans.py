@@ -9,6 +9,7 @@ from ..functions import languages as L
 from ..functions import sentences as S
 from ..functions import text as T
 from .base import Registry, table
+from .text_plans import NORM
 
 R = Registry()
 WORDS = "regexp_extract_all(lower({t}),'[\\p{{L}}\\p{{N}}_]+')"
@@ -166,9 +167,20 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@R.add("SELECT doc_id, doc_id%2=1 AS matches FROM documents")
+def with_next(spark, sf):
+    """Documents with the text of the next one."""
+    d = docs(spark, sf).select("doc_id", "text")
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+
+
+NEXT_ONE = "n AS (SELECT d.doc_id, d.text, e.text AS other FROM documents d JOIN documents e ON e.doc_id=d.doc_id+1)"
+
+
+@R.add(f"WITH {NEXT_ONE} SELECT doc_id, {NORM.format('other')}={NORM.format(odd('text'))} OR {NORM.format('text')}={NORM.format(odd('text'))} AS matches FROM n".replace("ELSE text END", "ELSE text||' the same' END"))
 def tx3_exact_match(spark, sf):
-    return docs(spark, sf).select("doc_id", T.exact_match(either(F.lit("The  Cat!"), F.lit("cats")), F.array(F.lit("dog"), F.lit("a cat"))).alias("matches"))
+    """Whole texts against the next document and themselves with an article and marks; those of even ids have two words more."""
+    said = F.concat(F.lit("The "), either(F.col("text"), F.concat(F.col("text"), F.lit(" the same"))), F.lit("!"))
+    return with_next(spark, sf).select("doc_id", T.exact_match(said, F.array("other", F.concat(F.lit("an "), "text", F.lit(" ?!")))).alias("matches"))
 
 
 @R.add("SELECT doc_id, CASE WHEN doc_id%2=1 THEN source END AS answer FROM documents")
@@ -183,16 +195,25 @@ def tx6_information_blocks(spark, sf):
     return docs(spark, sf).filter("source IS NOT NULL").select("doc_id", F.transform(T.information_blocks(t), T.trimmed).alias("blocks"))
 
 
-@R.add("SELECT doc_id, doc_id%2=1 AS found FROM documents")
+MIDDLE = "array_to_string(list_filter(regexp_split_to_array({t},'\\s+'), lambda w: w<>'')[3:6],' ')"
+
+
+@R.add(f"WITH {NEXT_ONE} SELECT doc_id, contains({NORM.format('text')}, {NORM.format(MIDDLE.format(t='other'))}) OR contains({NORM.format('text')}, {NORM.format(odd(MIDDLE.format(t='text'))).replace('ELSE text END', 'ELSE source_of END')}) AS found FROM (SELECT *, 'no such answer' AS source_of FROM n)")
 def tx7_retrieved(spark, sf):
-    t = either(F.lit("<information>It is the Red Cat.</information>"), F.lit("the red cat"))
-    return docs(spark, sf).select("doc_id", T.retrieved(t, F.array(F.lit("red cat"))).alias("found"))
+    """Four words from the middle of the next document, and of the text itself where ids are odd, in the whole text as retrieved."""
+    four = lambda c: F.array_join(F.slice(T.words(F.regexp_replace(c, r"\s+", " ")), 3, 4), " ")
+    golds = F.array(four("other"), either(four("text"), F.lit("no such answer")))
+    return with_next(spark, sf).select("doc_id", T.retrieved(F.concat(F.lit("<information>"), F.col("text"), F.lit("</information>")), golds).alias("found"))
 
 
-@R.add("SELECT doc_id, [1.0::DOUBLE, 0.8::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE][doc_id%6+1] AS score FROM documents")
+@R.add(
+    """WITH t AS (SELECT doc_id, contains(text,' the ') AS right_, NOT contains(text,'!') AS formed, contains(text,'ing') AS seen, contains(text,'.') AS given FROM documents)
+SELECT doc_id, round((CASE WHEN right_ AND formed THEN 1.0 WHEN right_ THEN 0.8 WHEN formed THEN CASE WHEN seen THEN 0.3 ELSE 0.2 END WHEN given THEN 0.1 ELSE 0.0 END)::DOUBLE,6) AS score FROM t"""
+)
 def tx8_score_ladder(spark, sf):
-    k = F.col("doc_id") % 6
-    score = T.structured_score(k < 2, k.isin(0, 2, 3), k == 2, k < 5, 0.2, 0.1, 0.1)
+    """What whole texts hold stands for being right, well formed, retrieved and answered."""
+    holds = lambda what: F.contains("text", F.lit(what))
+    score = T.structured_score(holds(" the "), ~holds("!"), holds("ing"), holds("."), 0.2, 0.1, 0.1)
     return docs(spark, sf).select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -201,17 +222,25 @@ def tx9_without_reasoning(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.without_reasoning(F.concat(F.lit("a</think>b</think> "), F.col("text")))).alias("rest"))
 
 
-@R.add("SELECT doc_id, substr('ABCD', (doc_id%4+1)::INT, 1) AS letter FROM documents")
+@R.add(
+    """WITH t AS (SELECT doc_id, text||CASE length(text)%4 WHEN 0 THEN ' the Answer is ('||l||')' WHEN 1 THEN ' so ('||l||')' WHEN 2 THEN ' B or '||l ELSE '' END AS t FROM (SELECT *, substr('ABCD', (length(text)//4%4+1)::INT, 1) AS l FROM documents))
+SELECT doc_id, coalesce(nullif(upper(regexp_extract(t,'(?i)answer\\s*(?:is|:)?\\s*\\(?([ABCD])\\b',1)),''), nullif(regexp_extract(t,'\\(([ABCD])\\)',1),''), regexp_extract_all(t,'\\b([ABCD])\\b',1)[-1]) AS letter FROM t"""
+)
 def tx10_choice_letter(spark, sf):
-    letter = F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1))
-    return docs(spark, sf).select("doc_id", T.choice_letter(F.concat(F.lit("So (B)? The answer is ("), letter, F.lit(")."))).alias("letter"))
+    """Whole texts with an answer behind them, told in one of three ways or not at all; where and which follows from the length."""
+    n = F.length("text")
+    letter = F.substring(F.lit("ABCD"), (F.floor(n / 4) % 4 + 1).cast("int"), F.lit(1))
+    tail = F.when(n % 4 == 0, F.concat(F.lit(" the Answer is ("), letter, F.lit(")"))).when(n % 4 == 1, F.concat(F.lit(" so ("), letter, F.lit(")"))).when(n % 4 == 2, F.concat(F.lit(" B or "), letter)).otherwise(F.lit(""))
+    return docs(spark, sf).select("doc_id", T.choice_letter(F.concat("text", tail)).alias("letter"))
 
 
-@R.add("SELECT doc_id, doc_id%2 AS length FROM documents")
+@R.add("SELECT doc_id, CASE WHEN length(text)%3<>1 THEN md5(translate(text,'{}','()')||'{x}') END AS held FROM documents")
 def tx13_unwrapped_box(spark, sf):
+    """Whole texts in a box that holds another pair of braces; in every third the box is of the other kind."""
     from ..functions.math_answers import boxed_column
 
-    return docs(spark, sf).select("doc_id", F.length(boxed_column(either(F.lit(r"\boxed{7}"), F.lit(r"\boxed{}")))).cast("bigint").alias("length"))
+    kind = F.when(F.length("text") % 3 == 1, r"\fbox{").otherwise(r"\boxed{")
+    return docs(spark, sf).select("doc_id", F.md5(boxed_column(F.concat(F.lit("so "), kind, F.translate("text", "{}", "()"), F.lit("{x}} it is")))).alias("held"))
 
 
 @R.add("SELECT doc_id, md5(lower(trim(regexp_replace(text,'\\s+',' ','g')))) AS collapsed FROM documents")
@@ -225,7 +254,15 @@ def tx31_fenced_python(spark, sf):
     return docs(spark, sf).select("doc_id", T.fenced_python(t).alias("code"))
 
 
-@R.add("SELECT doc_id, doc_id%2=1 AS loose FROM documents")
+LOOSE = "(regexp_matches({v},'\\S') AND NOT contains({v},','))"
+
+
+@R.add(
+    f"""WITH t AS (SELECT doc_id, CASE WHEN length(text)%2=1 THEN e'Well, so:\\n'||replace(text,',','') ELSE text END AS t FROM documents), l AS (SELECT doc_id, t, string_split(t,e'\\n') AS p FROM t),
+v AS (SELECT doc_id, unnest([t, array_to_string(p[2:],e'\\n'), array_to_string(p[:len(p)-1],e'\\n'), array_to_string(p[2:len(p)-1],e'\\n')]) AS v FROM l)
+SELECT doc_id, bool_or({LOOSE.format(v="v")} OR {LOOSE.format(v="replace(v,'*','')")}) AS loose FROM v GROUP BY 1"""
+)
 def tx37_loose_following(spark, sf):
-    t = either(F.lit("Sure, here:\n*all is well*"), F.lit("a, b\nc, d\ne, f"))
+    """Whole texts without commas: half of them lose theirs but for a line before."""
+    t = F.when(F.length("text") % 2 == 1, F.concat(F.lit("Well, so:\n"), F.replace("text", F.lit(","), F.lit("")))).otherwise(F.col("text"))
     return docs(spark, sf).select("doc_id", T.follows_loosely(t, [("punctuation:no_comma", {})]).alias("loose"))

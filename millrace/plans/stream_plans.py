@@ -265,18 +265,20 @@ def ex5_config_violations(spark, sf):
 # pieces that had no query of their own
 
 
-@R.add("SELECT label, 90.0::DOUBLE AS max_deg, 90.0::DOUBLE AS mean_deg FROM embeddings GROUP BY 1")
+@R.add(
+    """WITH s AS (SELECT label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE] AS a, [embedding[3]::DOUBLE+0.5*embedding[1], embedding[4]::DOUBLE-0.3*embedding[2]] AS b FROM embeddings),
+g AS (SELECT label, sum(a[1]*a[1]) AS p, sum(a[1]*a[2]) AS q, sum(a[2]*a[2]) AS r, sum(b[1]*b[1]) AS u, sum(b[1]*b[2]) AS v, sum(b[2]*b[2]) AS w, sum(a[1]*b[1]) AS c11, sum(a[1]*b[2]) AS c12, sum(a[2]*b[1]) AS c21, sum(a[2]*b[2]) AS c22 FROM s GROUP BY 1),
+h AS (SELECT *, p*r-q*q AS da, u*w-v*v AS db FROM g),
+m AS (SELECT label, (r*c11-q*c21)/da AS x11, (r*c12-q*c22)/da AS x12, (p*c21-q*c11)/da AS x21, (p*c22-q*c12)/da AS x22, (w*c11-v*c12)/db AS y11, (u*c12-v*c11)/db AS y12, (w*c21-v*c22)/db AS y21, (u*c22-v*c21)/db AS y22 FROM h),
+t AS (SELECT label, x11*y11+x12*y12+x21*y21+x22*y22 AS trace, (x11*x22-x12*x21)*(y11*y22-y12*y21) AS det FROM m),
+l AS (SELECT label, degrees(acos(sqrt(least(1, (trace+sqrt(greatest(0,trace*trace-4*det)))/2)))) AS near, degrees(acos(sqrt(greatest(0, (trace-sqrt(greatest(0,trace*trace-4*det)))/2)))) AS far FROM t)
+SELECT label, round(far,4) AS max_deg, round((near+far)/2,4) AS mean_deg FROM l"""
+)
 def ex2_principal_angles(spark, sf):
-    """Of two coordinate planes that share no axis."""
-    e = table(spark, sf, "embeddings").withColumn("k", F.row_number().over(_by_label()) - 1).filter("k < 4")
-    axis = lambda a: F.array(*[F.when(F.col("k") == a + i, 1.0).otherwise(0.0) for i in (0, 1)])
-    return principal_angles(e.select("label", axis(0).alias("a"), axis(2).alias("b")), "label", "a", "b").select("label", r6(F.col("max_deg"), "max_deg"), r6(F.col("mean_deg"), "mean_deg"))
-
-
-def _by_label():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("label").orderBy("vec_id")
+    """Of the planes that two pairs of components span over all vectors of a label."""
+    e = F.col("embedding").cast("array<double>")
+    columns = F.array(e[0], e[1]).alias("a"), F.array(e[2] + 0.5 * e[0], e[3] - 0.3 * e[1]).alias("b")
+    return principal_angles(table(spark, sf, "embeddings").select("label", *columns), "label", "a", "b").select("label", F.round("max_deg", 4).alias("max_deg"), F.round("mean_deg", 4).alias("mean_deg"))
 
 
 @R.add(

@@ -76,3 +76,16 @@ def test_support_weighs_by_parameters(spark):
     r = got["global", 1]
     assert r.sample_count == 4 and r.population == pytest.approx(110) and r.changed_share == pytest.approx(100 / 110)
     assert got["a", 1].population == pytest.approx(100)
+
+
+def test_angles_between_any_spaces(spark):
+    from millrace.operators.geometry import principal_angles
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 3)), rng.normal(size=(40, 4))
+    a[:, 2] = a[:, 0] - 2 * a[:, 1]  # a plane, told by three columns
+    rows = [("k", a[i].tolist(), b[i].tolist()) for i in range(40)]
+    r = principal_angles(spark.createDataFrame(rows, "k string, a array<double>, b array<double>").repartition(3), "k", "a", "b").first()
+    qa, qb = np.linalg.qr(a[:, :2])[0], np.linalg.qr(b)[0]
+    want = np.degrees(np.arccos(np.linalg.svd(qa.T @ qb, compute_uv=False)))
+    assert r.max_deg == pytest.approx(want.max(), abs=1e-6) and r.mean_deg == pytest.approx(want.mean(), abs=1e-6)
