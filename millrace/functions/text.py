@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +71,20 @@ def prompt_hash(text: Column) -> Column:
     return F.sha2(collapsed(text), 256)
 
 
+def compatible(text: Column) -> Column:
+    """The text in the compatibility form of Unicode (NFKC). Texts of plain ASCII, which it never changes, stay out of the Python worker's way."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, form(F.when(other, text))).otherwise(text)
+
+
 def fingerprint(text: Column) -> Column:
-    """Lower-case letters and digits alone."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    """Letters and digits alone, in lower case, after compatibility forms (ligatures, circled and wide ones) have become plain."""
+    return F.regexp_replace(F.lower(compatible(text)), r"[^\p{L}\p{N}]", "")
 
 
 def fenced_python(text: Column) -> Column:

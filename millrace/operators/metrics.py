@@ -237,6 +237,22 @@ def kept_or_filled(df: DataFrame, order: str, keep: str, target: int) -> DataFra
     return used.select(*df.columns, state.alias("state"))
 
 
+def cumulative_counters(df: DataFrame, step: str, counts: dict[str, Column], after: dict[str, int] | None = None) -> DataFrame:
+    """`df` with each of `counts` summed up to and with each row, by `step`. `after` is the last record that was written: its `step` and
+    its sums, from which the sums go on. A step that comes twice, or not after that record, is an error."""
+    last = (after or {}).get(step)
+    seen = df.groupBy(step).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.min(step).alias("least")).first()
+    if (seen["most"] or 0) > 1:
+        raise ValueError(f"a {step} comes twice")
+    if last is not None and seen["least"] is not None and seen["least"] <= last:
+        raise ValueError(f"the record ends at {step} {last}, {seen['least']} is a replay")
+    rows = in_ranges(df, step)
+    for name, value in counts.items():
+        rows = running_sum(rows, value, name, step)
+        rows = rows.withColumn(name, F.col(name) + (after or {}).get(name, 0))
+    return rows.select(*df.columns, *counts)
+
+
 def routed_rows(df: DataFrame, dataset: str, routes: dict[str, tuple[str, str]]) -> DataFrame:
     """`df` with its `task` and an instruction before the prompt, by dataset; rows of unknown datasets go."""
     pairs = [F.lit(x) for k, (task, _) in routes.items() for x in (k, task)]

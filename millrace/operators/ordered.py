@@ -24,6 +24,23 @@ def three_in_a_row(df: DataFrame, keys: list[str], order: str, value: str, limit
     return df.withColumn("__bad", bad).groupBy(*keys).agg(F.coalesce(F.bool_or("__bad"), F.lit(False)).alias("unstable"))
 
 
+def run_faults(train: DataFrame, evals: DataFrame, runs: DataFrame, run: str, limit: float) -> DataFrame:
+    """(run, faults, stable) of each of `runs` (run, updates: how many it should have, null if it isn't complete).
+
+    `train` has (run, step, norm, clipped), `evals` (run, step, score). Faults, in order: incomplete; score_not_finite; final_missing, if no finite
+    score stands at the last update; norm_not_finite, of which a missing norm is one; three_norms, if three finite norms in a
+    row exceed the limit; clipped, if over half of the steps that tell it were clipped."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    scores = evals.join(runs, run).filter(F.col("score").isNotNull()).groupBy(run).agg(F.bool_or(~finite("score")).alias("odd"), F.bool_or(finite("score") & (F.col("step") == F.col("updates"))).alias("final"))
+    high = three_in_a_row(train.filter(finite("norm")), [run], "step", "norm", limit).withColumnRenamed("unstable", "high")
+    steps = train.groupBy(run).agg(F.bool_or(~finite("norm")).alias("broken"), F.avg(F.col("clipped").cast("double")).alias("share"))
+    all_of = runs.join(scores, run, "left").join(steps, run, "left").join(high, run, "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rules = {"incomplete": F.col("updates").isNull(), "score_not_finite": no(F.col("odd")), "final_missing": ~no(F.col("final")), "norm_not_finite": no(F.col("broken")), "three_norms": no(F.col("high")), "clipped": no(F.col("share") > 0.5)}
+    faults = F.filter(F.array(*[F.when(holds, F.lit(name)) for name, holds in rules.items()]), lambda x: x.isNotNull())
+    return all_of.select(run, faults.alias("faults"), (F.size(faults) == 0).alias("stable"))
+
+
 def forgetting(df: DataFrame, task: str, order: str, score: str) -> DataFrame:
     """First score, best so far, how far below the best, and how far above the first."""
     w = Window.partitionBy(task).orderBy(order)

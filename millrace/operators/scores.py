@@ -13,17 +13,19 @@ from ..functions.text import normalize_answer, trimmed, words
 
 
 def token_f1_rows(df: DataFrame, key: str, prediction: str, gold: str) -> DataFrame:
-    """(key, f1): multiset overlap of normalised words, whole texts of any length; `key` tells the rows apart.
+    """(key, f1, precision, recall): multiset overlap of normalised words, whole texts of any length; `key` tells the rows apart.
 
-    Words are counted before they are shuffled. yes, no and noanswer must agree exactly; without overlap the score is 0."""
+    Words are counted before they are shuffled. yes, no and noanswer must agree exactly; without overlap all are 0."""
     bare = df.select(key, normalize_answer(F.col(prediction)).alias("p"), normalize_answer(F.col(gold)).alias("g"))
     each = lambda c, n: bare.select(key, F.explode(words(F.col(c))).alias("w"), F.lit(n).alias("side"))
     counts = each("p", 0).unionByName(each("g", 1)).groupBy(key, "w").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    total = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("same"), F.sum(F.col("a") + F.col("b")).alias("n"))
+    total = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("same"), F.sum("a").alias("said"), F.sum("b").alias("wanted"))
     fixed = F.array(F.lit("yes"), F.lit("no"), F.lit("noanswer"))
     clash = bare.select(key, ((F.col("p") != F.col("g")) & (F.array_contains(fixed, F.col("p")) | F.array_contains(fixed, F.col("g")))).alias("clash"))
-    f1 = F.when(F.col("clash"), 0.0).otherwise(F.coalesce(2.0 * F.col("same") / F.col("n"), F.lit(0.0)))
-    return clash.join(total, key, "left").select(key, f1.alias("f1"))
+    share = lambda x: F.when(F.col("clash"), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+    same = F.col("same").cast("double")
+    parts = [share(F.try_divide(2.0 * same, F.col("said") + F.col("wanted"))).alias("f1"), share(F.try_divide(same, F.col("said"))).alias("precision"), share(F.try_divide(same, F.col("wanted"))).alias("recall")]
+    return clash.join(total, key, "left").select(key, *parts)
 
 
 def routed_rewards(df: DataFrame, kind: str, response: str, label: str, observed: Column | None = None, scorers: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:

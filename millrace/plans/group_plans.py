@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import conversion as V
 from ..operators import groups as G
 from ..operators.ranking import with_quantiles
 from ..operators import metrics as M
@@ -169,3 +170,37 @@ def ag35_median_and_iqr(spark, sf):
 def td2_filled_rollout_ids(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") * 2).alias("rollout_id"))
     return G.filled_ids(o, "o_orderkey", "rollout_id")
+
+
+@R.add(
+    """WITH p AS (SELECT o_orderkey, o_totalprice/1000 AS reward, row_number() OVER (ORDER BY o_orderkey)-1 AS place, count(*) OVER () AS n FROM orders), b AS (SELECT * FROM p WHERE place < n//4*4),
+blocks AS (SELECT o_orderkey, (reward-avg(reward) OVER w)/(stddev_samp(reward) OVER w+1e-6) AS v FROM b WINDOW w AS (PARTITION BY place//4)), whole AS (SELECT o_orderkey, reward-avg(reward) OVER () AS v FROM p)
+SELECT o_orderkey, round(blocks.v,6) AS blocks, round(whole.v,6) AS whole FROM blocks JOIN whole USING (o_orderkey)"""
+)
+def td1_block_rewards(spark, sf):
+    """Orders in blocks of four that fill the batch, and all of them as one group, since their number doesn't fit, without a deviation."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("reward"))
+    n = o.count()
+    first = o.orderBy("o_orderkey").limit(n // 4 * 4)
+    blocks = V.block_rewards(first, "o_orderkey", "reward", "grpo", 4, n // 4, name="blocks").drop("reward")
+    whole = V.block_rewards(o, "o_orderkey", "reward", "reinforce_plus_plus_baseline", 4, n, name="whole").drop("reward")
+    return blocks.join(whole, "o_orderkey").select("o_orderkey", r6(F.col("blocks"), "blocks"), r6(F.col("whole"), "whole"))
+
+
+@R.add(
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey%3<>0 THEN o_custkey*2 END AS rollout_id, (o_orderkey%6)::INT AS n, o_orderstatus, o_totalprice, o_orderkey%4=0 AS gone, o_orderkey%2=0 AS has, o_orderkey%10=1 AS told FROM orders),
+u AS (SELECT DISTINCT rollout_id AS v FROM o WHERE rollout_id IS NOT NULL), free AS (SELECT r AS v, row_number() OVER (ORDER BY r) AS k FROM range((SELECT 2*max(o_custkey)+2*count(*) FROM orders)) t(r) WHERE r NOT IN (SELECT v FROM u)),
+m AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM o WHERE rollout_id IS NULL), f AS (SELECT o.*, coalesce(o.rollout_id, free.v) AS rid FROM o LEFT JOIN m USING (o_orderkey) LEFT JOIN free ON free.k=m.k),
+g AS (SELECT *, CASE WHEN gone THEN 0 WHEN has THEN n//2 ELSE n END AS taken FROM f)
+SELECT o_orderkey, rid AS rollout_id, taken::BIGINT AS taken, (o_orderstatus='F')::INT AS truncated, sum(taken) OVER (PARTITION BY rid)::BIGINT AS rollout_mask_sum, round(CASE WHEN told THEN 7.5 ELSE o_totalprice END,2) AS raw_reward FROM g"""
+)
+def td2_training_columns(spark, sf):
+    """Orders as samples of customers' rollouts: every third has no id, every second its own mask, every fourth is removed."""
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 6).cast("int")
+    half = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= F.floor(n / 2)).cast("int"))
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 3 != 0, F.col("o_custkey") * 2).alias("rollout_id"), n.alias("response_length"), F.when(k % 2 == 0, F.slice(half, F.lit(1), n)).alias("loss_mask"), (k % 4 == 0).alias("remove_sample"),
+        F.when(F.col("o_orderstatus") == "F", "truncated").otherwise("completed").alias("status"), F.when(k % 10 == 1, F.create_map(F.lit("raw_reward"), F.lit("7.5"))).alias("metadata"), F.col("o_totalprice").alias("reward"),
+    )
+    taken = F.aggregate("loss_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return V.training_columns(o, "o_orderkey").select("o_orderkey", "rollout_id", taken.alias("taken"), "truncated", "rollout_mask_sum", F.round("raw_reward", 2).alias("raw_reward"))

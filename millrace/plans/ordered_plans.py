@@ -29,6 +29,25 @@ def wn3_three_in_a_row(spark, sf):
     return O.three_in_a_row(curve(spark, sf), ["run"], "step", "score", 400000)
 
 
+@R.add(
+    """WITH t AS (SELECT user_id AS run, event_id AS step, CASE WHEN event_id%401=0 THEN 'nan'::DOUBLE WHEN event_id%307=0 THEN NULL ELSE value END AS norm, value>40 AS clipped FROM events),
+r AS (SELECT user_id AS run, CASE WHEN user_id%7<>0 THEN max(event_id) END AS updates FROM events GROUP BY 1), e AS (SELECT user_id AS run, event_id AS step, CASE WHEN event_id%211=0 THEN 'inf'::DOUBLE ELSE value END AS score FROM events WHERE event_id%5<>0),
+f AS (SELECT *, least(norm, lead(norm) OVER w, lead(norm,2) OVER w) AS low, lead(norm,2) OVER w AS third FROM t WHERE norm IS NOT NULL AND isfinite(norm) WINDOW w AS (PARTITION BY run ORDER BY step)),
+h AS (SELECT run, bool_or(low>30 AND third IS NOT NULL) AS high FROM f GROUP BY 1), s AS (SELECT run, bool_or(norm IS NULL OR NOT isfinite(norm)) AS broken, avg(clipped::INT) AS share FROM t GROUP BY 1),
+c AS (SELECT run, bool_or(NOT isfinite(score)) AS odd, bool_or(isfinite(score) AND step=updates) AS final FROM e JOIN r USING (run) GROUP BY 1)
+SELECT run, list_filter([CASE WHEN updates IS NULL THEN 'incomplete' END, CASE WHEN odd THEN 'score_not_finite' END, CASE WHEN final IS NOT TRUE THEN 'final_missing' END, CASE WHEN broken THEN 'norm_not_finite' END, CASE WHEN high THEN 'three_norms' END, CASE WHEN share>0.5 THEN 'clipped' END], lambda x: x IS NOT NULL) AS faults
+FROM r LEFT JOIN c USING (run) LEFT JOIN s USING (run) LEFT JOIN h USING (run)"""
+)
+def wn3_run_faults(spark, sf):
+    """Users as runs: values are norms and scores, of which some are missing or not finite; every seventh run isn't complete."""
+    e, k = table(spark, sf, "events").withColumnRenamed("user_id", "run").withColumnRenamed("event_id", "step"), F.col("step")
+    odd = lambda n, x: F.when(k % n == 0, F.lit(x).cast("double"))
+    train = e.select("run", "step", odd(401, "nan").when(k % 307 == 0, F.lit(None)).otherwise(F.col("value")).alias("norm"), (F.col("value") > 40).cast("int").alias("clipped"))
+    evals = e.filter(k % 5 != 0).select("run", "step", odd(211, "inf").otherwise(F.col("value")).alias("score"))
+    runs = e.groupBy("run").agg(F.max("step").alias("last")).select("run", F.when(F.col("run") % 7 != 0, F.col("last")).alias("updates"))
+    return O.run_faults(train, evals, runs, "run", 30.0).select("run", "faults")
+
+
 @R.add(f"WITH {CURVE}, l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM curve) SELECT run, round(regr_slope(score, step),3) AS slope, round(max(score) FILTER (k=1) - max(score) FILTER (k=3),3) AS gain FROM l WHERE k<=3 GROUP BY 1")
 def wn4_slope_of_last_three(spark, sf):
     k = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("step")))

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from ..functions import samples as P
 from ..functions import tokens as T
 from ..operators import metrics as M
-from ..operators.ranking import running_sum
 from .base import SAMPLES, TOKENS, Registry, r6, samples, table, tokens
 
 R = Registry()
@@ -119,8 +118,8 @@ def ag19_merged_means(spark, sf):
 @R.add("SELECT event_id, (count(*) OVER (ORDER BY event_id))::BIGINT AS prompts, sum(user_id) OVER (ORDER BY event_id)::BIGINT AS tokens FROM events")
 def ag28_cumulative_counters(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id")
-    counted = running_sum(e, F.lit(1).cast("bigint"), "prompts", "event_id")
-    return running_sum(counted, F.col("user_id"), "tokens", "event_id").select("event_id", "prompts", "tokens")
+    counts = {"prompts": F.lit(1).cast("bigint"), "tokens": F.col("user_id")}
+    return M.cumulative_counters(e, "event_id", counts).drop("user_id")
 
 
 @R.add("SELECT CASE WHEN p_name LIKE '%a%' THEN 'with a' ELSE 'other' END AS category, count(*) AS n, round(sum(p_retailprice),2) AS total FROM (SELECT lower(p_name) AS p_name, p_retailprice FROM part) GROUP BY 1")

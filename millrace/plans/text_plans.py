@@ -25,13 +25,13 @@ def tx1_normalized_answer(spark, sf):
     f"""WITH h AS (SELECT d.doc_id, {NORM.format('d.text')} AS p, {NORM.format('e.text')} AS g FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1),
 a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(p,' ')) AS w FROM h) WHERE w<>'' GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(g,' ')) AS w FROM h) WHERE w<>'' GROUP BY ALL),
 s AS (SELECT a.doc_id, sum(least(a.n,b.n)) AS same FROM a JOIN b ON a.doc_id=b.doc_id AND a.w=b.w GROUP BY 1), na AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY 1), nb AS (SELECT doc_id, sum(n) AS n FROM b GROUP BY 1)
-SELECT h.doc_id, round(CASE WHEN p<>g AND (p IN ('yes','no','noanswer') OR g IN ('yes','no','noanswer')) OR same IS NULL THEN 0.0 ELSE 2.0*same/(na.n+nb.n) END,6) AS f1 FROM h LEFT JOIN s USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)"""
+SELECT h.doc_id, round(CASE WHEN p<>g AND (p IN ('yes','no','noanswer') OR g IN ('yes','no','noanswer')) OR same IS NULL THEN 0.0 ELSE 2.0*same/(na.n+nb.n) END,6) AS f1, round(CASE WHEN p<>g AND (p IN ('yes','no','noanswer') OR g IN ('yes','no','noanswer')) OR same IS NULL THEN 0.0 ELSE same/na.n END,6) AS precision, round(CASE WHEN p<>g AND (p IN ('yes','no','noanswer') OR g IN ('yes','no','noanswer')) OR same IS NULL THEN 0.0 ELSE same/nb.n END,6) AS recall FROM h LEFT JOIN s USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)"""
 )
 def tx2_token_f1(spark, sf):
     """Each document against the next one, whole texts."""
     d = docs(spark, sf)
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("gold"))
-    return token_f1_rows(d.join(after, "doc_id"), "doc_id", "text", "gold").select("doc_id", r6(F.col("f1"), "f1"))
+    return token_f1_rows(d.join(after, "doc_id"), "doc_id", "text", "gold").select("doc_id", *[r6(F.col(c), c) for c in ("f1", "precision", "recall")])
 
 
 @R.add("SELECT doc_id, sha256(lower(trim(regexp_replace(text,'\\s+',' ','g')))) AS hash FROM documents")

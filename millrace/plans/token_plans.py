@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..operators.conversion import batch_normalised
 from .base import TOKENS, Registry, r6, tokens
 
 R = Registry()
@@ -123,6 +124,17 @@ def ta14_sequence_weights(spark, sf):
     return digest(tokens(spark, sf), T.importance_weights(F.col("logp"), F.col("old"), F.col("mask"), "sequence", "truncate", high=2.0)[0])
 
 
+@R.add(
+    f"""WITH {TOKENS}, s AS (SELECT vec_id, exp(greatest(least(sum((logp-old)*mask),20.0),-20.0)) AS w, sum(mask) AS n FROM tok GROUP BY vec_id), t AS (SELECT *, least(w,2.0) AS v FROM s),
+m AS (SELECT avg(v*n/greatest(n,1)) AS mean FROM t) SELECT vec_id, round(v*n/mean,6) AS normalised FROM t, m"""
+)
+def ta14_batch_normalised(spark, sf):
+    """Weights of sequences over their mean in the batch, added up over each sequence's tokens."""
+    t = tokens(spark, sf)
+    w = t.select("vec_id", "mask", T.importance_weights(F.col("logp"), F.col("old"), F.col("mask"), "sequence", "truncate", high=2.0)[0].alias("w"))
+    return batch_normalised(w, "w", "mask", "sequence").select("vec_id", r6(T.total(F.zip_with("w", "mask", lambda x, m: x * m)), "normalised"))
+
+
 @R.add(f"WITH {TOKENS} SELECT vec_id, round(sum(x*mask),6) AS masked_sum, round(sum(x*mask)/greatest(sum(mask),1.0),6) AS masked_mean, round(coalesce(min(x) FILTER (mask>0),0.0),6) AS masked_min, round(coalesce(max(x) FILTER (mask>0),0.0),6) AS masked_max FROM tok GROUP BY vec_id")
 def ta15_masked_reductions(spark, sf):
     x, m = F.col("x"), F.col("mask")
