@@ -108,11 +108,48 @@ def span_depths(spans: DataFrame) -> DataFrame:
     return spans.select("span").join(ended, "span", "left").select("span", F.coalesce("hops", F.lit(0)).alias("depth"))
 
 
+#: Levels of the tree of buckets: 2^40 of them.
+LEVELS = 40
+
+
+def covering_nodes(first: Column, last: Column) -> Column:
+    """The fewest nodes (level, at) of a binary tree over buckets that cover the buckets from `first` to `last` exactly: two a level at most."""
+
+    def nodes(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k)
+        low, high = F.ceil(first / size), F.floor((last + 1) / size)
+        left = F.when((low < high) & (low % 2 != 0), F.struct(k.alias("level"), low.cast("bigint").alias("at")))
+        right = F.when((low < high) & (high % 2 != 0), F.struct(k.alias("level"), (high - 1).cast("bigint").alias("at")))
+        return F.array(left, F.when(right["at"] == left["at"], F.lit(None)).otherwise(right))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), nodes)), lambda n: n.isNotNull())
+
+
 def overlapping(gaps: DataFrame, ops: DataFrame, width: float) -> DataFrame:
-    """Each gap (gap_id, from, to) with the first op (pos, name, start, stop) that overlaps it. Both sides are cut
-    into buckets of `width`, so the join is on equal buckets and not all pairs."""
-    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    g = gaps.withColumn("bucket", cut("from", "to"))
-    o = ops.withColumn("bucket", cut("start", "stop"))
-    hit = g.join(o, "bucket").filter((F.col("start") < F.col("to")) & (F.col("stop") > F.col("from")))
+    """Each gap (gap_id, from, to) with the first op (pos, name, start, stop) that overlaps it.
+
+    Times are cut into buckets of `width`, and either side is laid on the fewest nodes of a tree over them, so an interval of any length
+    is a few rows. Two intervals share a bucket exactly if a node of one lies on or above a node of the other; nodes above are
+    looked up only at levels at which the other side has some."""
+    sides = []
+    for df, a, b in ((gaps, "from", "to"), (ops, "start", "stop")):
+        bucket = lambda c: F.floor(F.col(c) / width).cast("double")
+        sides.append(df.withColumn("node", F.explode(covering_nodes(bucket(a), bucket(b)))))
+    levels = [sorted(r["level"] for r in side.select("node.level").distinct().collect()) for side in sides]
+
+    def raised(side: DataFrame, at: list[int], above: bool) -> DataFrame:
+        """Rows with the nodes on or above their own (only above: `above`) at the levels `at`."""
+        up = F.filter(F.array(*[F.lit(k) for k in at]) if at else F.expr("cast(array() AS array<int>)"), lambda k: k > F.col("node.level") if above else k >= F.col("node.level"))
+        return side.withColumn("k", F.explode(up)).withColumn("key", F.struct(F.col("k").alias("level"), F.floor(F.col("node.at") / F.pow(F.lit(2.0), F.col("k") - F.col("node.level"))).cast("bigint").alias("at"))).drop("node", "k")
+
+    own = [side.withColumnRenamed("node", "key") for side in sides]
+    near = raised(sides[0], levels[1], above=True).join(own[1], "key").unionByName(own[0].join(raised(sides[1], levels[0], above=False), "key"))
+    hit = near.filter((F.col("start") < F.col("to")) & (F.col("stop") > F.col("from")))
     return hit.groupBy("gap_id").agg(F.min_by("name", "pos").alias("name"))
+
+
+def longest_gaps(gaps: DataFrame, ops: DataFrame, width: float, most: int = 15) -> DataFrame:
+    """The `most` longest gaps (gap_id, from, to), each with its length and the first op that overlaps it, if one does; of equal ones
+    the smaller gap_id."""
+    top = gaps.withColumn("gap", F.col("to") - F.col("from")).orderBy(F.desc("gap"), "gap_id").limit(most)
+    return top.join(overlapping(top.select("gap_id", "from", "to"), ops, width), "gap_id", "left").select("gap_id", "gap", "name")

@@ -150,6 +150,20 @@ def jn9_gap_to_first_op(spark, sf):
     return O.overlapping(gaps, ops, 600.0)
 
 
+@R.add(
+    """WITH t AS (SELECT event_id, event_type, epoch_ms(ts)/1000.0 AS s, value FROM events), g AS (SELECT event_id AS gap_id, s-abs(value)*10 AS a, s+abs(value)*90 AS b FROM t WHERE event_id%5=0),
+o AS (SELECT event_id AS pos, event_type AS name, s, s+abs(value)*(CASE WHEN event_id%97=1 THEN 1000 ELSE 3 END) AS e FROM t WHERE event_id%5<>0), top AS (SELECT * FROM g ORDER BY b-a DESC, gap_id LIMIT 15)
+SELECT gap_id, round(any_value(b-a),3) AS gap, arg_min(name,pos) AS name FROM top LEFT JOIN o ON s<b AND e>a GROUP BY 1"""
+)
+def jn9_longest_gaps(spark, sf):
+    """Gaps and ops of very different lengths around each event."""
+    e, v = table(spark, sf, "events").withColumn("s", F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0), F.abs("value")
+    gaps = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("gap_id"), (F.col("s") - v * 10).alias("from"), (F.col("s") + v * 90).alias("to"))
+    long = F.when(F.col("event_id") % 97 == 1, 1000).otherwise(3)
+    ops = e.filter("event_id % 5 <> 0").select(F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.col("s").alias("start"), (F.col("s") + v * long).alias("stop"))
+    return O.longest_gaps(gaps, ops, 60.0).select("gap_id", F.round("gap", 3).alias("gap"), "name")
+
+
 @R.add(
     """WITH r AS (SELECT o_orderpriority AS arm, o_custkey%50 AS seed, o_orderstatus AS task, avg(o_totalprice) AS v FROM orders GROUP BY ALL)
 SELECT a.arm, a.task, count(*) AS pairs, round(avg(a.v-b.v),3) AS effect FROM r a JOIN r b ON b.arm='1-URGENT' AND a.arm<>'1-URGENT' AND a.task=b.task AND a.seed=b.seed GROUP BY ALL"""
