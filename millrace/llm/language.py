@@ -13,8 +13,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,16 +128,12 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
     # Repeated rows share their draw; one of them is enough, so what is drawn doesn't depend on the order of tasks.
     drawn = known.filter(draw < share[F.col("lang")]).groupBy(draw.alias("draw"), "lang").agg(F.min("text").alias("text"))
     rows = drawn.select("lang", "text").mapInPandas(featured, schema)
-    got = rows.limit(int(1.5 * per_language * len(counts)) + 100).toArrow()
-    got = got.take(pc.sort_indices(got, sort_keys=[("lang", "ascending"), ("f", "ascending")])).combine_chunks()
-    langs, x = np.array(got["lang"].to_pylist(), dtype=object), np.zeros((got.num_rows, 1 << BITS), dtype="<f4")
-    for k, f in enumerate(got["f"]):
-        x[k] = np.frombuffer(f.as_buffer(), dtype="<f4")
-    del got
-    model = LanguageModel(x, langs)
-    del x
-    pa.default_memory_pool().release_unused()  # the sample is large beside what the driver holds otherwise
-    return model
+    got = sorted(map(tuple, rows.limit(int(1.5 * per_language * len(counts)) + 100).collect()))
+    langs, x = np.array([lang for lang, _ in got], dtype=object), np.zeros((len(got), 1 << BITS), dtype="<f4")
+    for k, (_, f) in enumerate(got):
+        x[k] = np.frombuffer(f, dtype="<f4")
+        got[k] = None  # each vector is held once
+    return LanguageModel(x, langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

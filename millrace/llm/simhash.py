@@ -160,16 +160,15 @@ def subtrees(counts: np.ndarray, block_rows: int) -> np.ndarray:
     return depth
 
 
-def partners(depth: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (low, high) of subtrees, given by their first prefix, that differ in at most `within` of the bits that both fix."""
-    first = np.arange(len(depth)) >> (PREFIX_BITS - depth) << (PREFIX_BITS - depth)
-    flips = [0, *[sum(1 << k for k in ks) for r in range(1, within + 1) for ks in combinations(range(PREFIX_BITS), r)]]
-    pairs = []
-    for flip in flips:  # any two prefixes of theirs that differ in so few bits show that a pair is near
-        other = first[np.arange(len(depth)) ^ flip]
-        pairs.append(np.unique(np.minimum(first, other) << PREFIX_BITS | np.maximum(first, other)))
-    code = np.unique(np.concatenate(pairs))
-    return code >> PREFIX_BITS, code & ((1 << PREFIX_BITS) - 1)
+def partners(trees: DataFrame, depths: list[int], within: int) -> DataFrame:
+    """Pairs (walk, low, high) of subtrees (walk, own, depth), each given by its first prefix, that differ in at most `within` of the bits that
+    both fix. Every subtree looks up the prefixes with so few bits flipped among those that are as deep or less deep."""
+    flips = [(d, sum(1 << k for k in ks)) for d in depths for r in range(within + 1) for ks in combinations(range(PREFIX_BITS - d, PREFIX_BITS), r)]
+    flips = trees.sparkSession.createDataFrame(flips, "at int, flip int")  # some hundred for each of at most 17 depths
+    start = F.col("own").bitwiseAND(F.expr(f"shiftleft(-1, {PREFIX_BITS} - at)")).bitwiseXOR(F.col("flip"))
+    asked = trees.join(F.broadcast(flips), F.col("at") <= F.col("depth")).select("walk", "own", F.col("at").alias("depth"), start.cast("int").alias("other"))
+    met = asked.join(trees.select("walk", "depth", F.col("own").alias("other")), ["walk", "depth", "other"])
+    return met.select("walk", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).distinct()
 
 
 def linked_nodes(nodes: DataFrame, budget: int = 4, walks: int = 3, block_rows: int = 1 << 17) -> DataFrame:
@@ -184,21 +183,21 @@ def linked_nodes(nodes: DataFrame, budget: int = 4, walks: int = 3, block_rows:
     counts = np.zeros((walks, 1 << bits), dtype=np.int64)
     seen = placed.groupBy("walk", "prefix").count().toArrow().to_pandas()
     counts[seen["walk"], seen["prefix"]] = seen["count"]
-    trees, meets = [], []
+    parts = []
     for walk in range(walks):
-        depth = subtrees(counts[walk], block_rows)
         used = np.flatnonzero(counts[walk])
-        first = used >> (bits - depth[used]) << (bits - depth[used])
-        trees.append(pd.DataFrame({"walk": walk, "prefix": used, "own": first, "depth": depth[used]}))
-        low, high = partners(depth, within)
-        some = np.isin(low, first) & np.isin(high, first)
-        low, high = low[some], high[some]
-        meets += [pd.DataFrame({"walk": walk, "own": x, "low": low, "high": high}) for x in (low, high)]
-    spark = nodes.sparkSession
-    trees = spark.createDataFrame(pa.Table.from_pandas(pd.concat(trees).astype("int32"), preserve_index=False))
-    meets = spark.createDataFrame(pa.Table.from_pandas(pd.concat(meets).drop_duplicates().astype("int32"), preserve_index=False))
-    own = placed.join(F.broadcast(trees), ["walk", "prefix"])  # both have at most walks * 2^16 prefixes
-    pairs = own.join(F.broadcast(meets), ["walk", "own"]).select("node", "fp", "walk", "low", "high", "own", "depth")
+        depth = subtrees(counts[walk], block_rows)[used]
+        own, at = np.unique(used >> (bits - depth) << (bits - depth), return_index=True)
+        parts.append(pd.DataFrame({"walk": walk, "own": own, "depth": depth[at]}))
+    parts = pd.concat(parts).astype("int32")
+    depths = sorted(map(int, parts["depth"].unique()))
+    trees = nodes.sparkSession.createDataFrame(pa.Table.from_pandas(parts, preserve_index=False))
+    meets = written(partners(trees, depths, within), "meets", len(parts))
+    meets = meets.select("walk", F.col("low").alias("own"), "low", "high").unionByName(meets.filter("low <> high").select("walk", F.col("high").alias("own"), "low", "high"))
+    at_depth = placed.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))) if depths else placed.withColumn("depth", F.lit(0))
+    at_depth = at_depth.withColumn("own", F.col("prefix").bitwiseAND(F.expr(f"shiftleft(-1, {bits} - depth)")))
+    own = at_depth.join(F.broadcast(trees), ["walk", "depth", "own"])  # at most walks * 2^16 subtrees, one of them holds a prefix
+    pairs = own.join(meets, ["walk", "own"]).select("node", "fp", "walk", "low", "high", "own", "depth")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         turn, low, high = (int(group[c].iloc[0]) for c in ("walk", "low", "high"))
