@@ -85,6 +85,23 @@ def source_cursor(requests: DataFrame, source: str, order: str, lengths: DataFra
     return numbered.withColumn("epoch", F.floor(F.col("__n") / F.col("__size"))).withColumn("position", F.pmod("__n", "__size")).drop("__n", "__size")
 
 
+def source_prompts(requests: DataFrame, source: str, order: str, prompts: DataFrame, prompt: str, seed: int, shuffle: bool = True, strict: bool = False) -> DataFrame:
+    """`requests` with their epoch, their position in it and the `prompt` that stands there, of `prompts` (`source`, `prompt`).
+
+    Each source goes through its prompts in an order of its own, the first time as they are, or with `shuffle` by a hash with the seed
+    and the epoch, anew for each. When a source has given all, its next epoch begins; with `strict` that is an error. Requests
+    of sources without prompts go. Prompts are numbered for the epochs that are asked for, within ranges of their order."""
+    lengths = prompts.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("length"))
+    asked = source_cursor(requests, source, order, lengths)
+    if strict:
+        asked = asked.withColumn("epoch", F.when(F.col("epoch") > 0, F.raise_error(F.concat(F.lit("all prompts of "), F.col(source).cast("string"), F.lit(" were given"))).cast("bigint")).otherwise(F.col("epoch")))
+    asked = cut(asked)
+    epochs = asked.select(source, "epoch").distinct()
+    turn = F.md5(F.concat_ws(":", (F.lit(seed) + F.col("epoch")).cast("string"), F.col(prompt).cast("string"))) if shuffle else F.lit("")
+    dealt = numbered_by(prompts.select(source, prompt).join(epochs, source).withColumn("__turn", turn), "position", "__turn", [prompt], [source, "epoch"]).drop("__turn")
+    return asked.join(dealt, [source, "epoch", "position"])
+
+
 def balanced_subset(df: DataFrame, stratum: str, key: str, count: int, seed: int) -> DataFrame:
     """`count` rows, taken in turn from each stratum in hash order."""
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(keyed_hash(key, seed=seed), key))

@@ -45,6 +45,19 @@ def sl10_source_cursor(spark, sf):
     return S.source_cursor(e, "event_type", "event_id", lengths).select("event_id", "epoch", "position")
 
 
+@R.add(
+    """WITH p AS (SELECT o_orderstatus AS source, o_orderkey FROM orders WHERE o_orderkey%10=0), l AS (SELECT source, count(*) AS length FROM p GROUP BY 1),
+r AS (SELECT o_orderkey AS request, o_orderstatus AS source, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)-1 AS n FROM orders), c AS (SELECT request, source, n//length AS epoch, n%length AS position FROM r JOIN l USING (source)),
+e AS (SELECT DISTINCT source, epoch FROM c), d AS (SELECT source, epoch, o_orderkey AS prompt, row_number() OVER (PARTITION BY source, epoch ORDER BY md5((11+epoch)||':'||o_orderkey), o_orderkey)-1 AS position FROM p JOIN e USING (source))
+SELECT request, source, epoch, position, prompt FROM c JOIN d USING (source, epoch, position)"""
+)
+def sl10_reshuffled_source(spark, sf):
+    """Every order asks its status for a prompt, of which each status has a tenth, so about ten epochs are drawn."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_orderstatus").alias("source"))
+    prompts = o.filter("request % 10 = 0").select("source", F.col("request").alias("prompt"))
+    return S.source_prompts(o, "source", "request", prompts, "prompt", 11).select("request", "source", "epoch", "position", "prompt")
+
+
 @R.add(f"SELECT CASE WHEN {hashed(7, 'event_id')}/1152921504606846976.0 < 0.75 THEN 'math' ELSE 'code' END AS source, count(*) AS n FROM events GROUP BY 1")
 def sl4_weighted_mixture(spark, sf):
     source = S.chosen_source({"math": 3.0, "code": 1.0, "none": 0.0}, S.draw("event_id", seed=7))

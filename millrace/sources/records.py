@@ -7,6 +7,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 from pyspark.sql.window import Window
 
 from ..operators.lineage import cut
@@ -54,6 +55,25 @@ def json_safe(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
+def json_safe_deep(value: Column, kind: DataType) -> Column:
+    """`value` of the type `kind` with null for NaN and infinities at any depth of structs, arrays and values of maps; keys of maps are texts."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return json_safe(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: json_safe_deep(x, kind.elementType))
+    if isinstance(kind, MapType):
+        keyed = F.transform_keys(value, lambda k, _: k.cast("string"))
+        return F.transform_values(keyed, lambda _, v: json_safe_deep(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[json_safe_deep(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def json_safe_rows(df: DataFrame) -> DataFrame:
+    """All columns of `df` by `json_safe_deep`."""
+    return df.select(*[json_safe_deep(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def compact_metadata(metadata: Column, heavy: list[str], most: int = 8192) -> tuple[Column, Column]:
     """A map without heavy keys and values of over `most` characters, and the hash of the whole."""
     kept = F.map_filter(metadata, lambda k, v: ~k.isin(heavy) & (F.length(v) <= most))
