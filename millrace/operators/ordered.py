@@ -76,12 +76,24 @@ def batches(df: DataFrame, keys: list[str], order: list[str], size: int, value:
     return g.filter(F.col("__n") == size).drop("__n")
 
 
-def newest_groups(df: DataFrame, group: str, time: str, n: int) -> DataFrame:
-    """The rows of the `n` groups with the latest row; a missing time counts as the earliest."""
-    top = df.groupBy(group).agg(F.max(time).alias("__t")).orderBy(F.desc_nulls_last("__t"), group).limit(n)
+def newest_groups(df: DataFrame, group: str, time: str | Column, n: int, *nested: Column) -> DataFrame:
+    """The rows of the `n` groups with the latest row, the smaller group of equal ones. A row without a `time` of its own takes the first
+    of the `nested` ones that isn't null; one without any counts as the earliest."""
+    at = F.coalesce(F.col(time) if isinstance(time, str) else time, *nested)
+    top = df.groupBy(group).agg(F.max(at).alias("__t")).orderBy(F.desc_nulls_last("__t"), group).limit(n)
     return df.join(top.select(group), group, "left_semi")
 
 
+def paired_effects(df: DataFrame, arm: str, base: str, pair: list[str], by: list[str], value: str, order: str) -> DataFrame:
+    """(arm, by, pairs, effect): the mean difference of each arm from the arm `base`, over what both have under equal `by` and `pair`. Of rows with
+    the same arm, `by` and `pair` the last by `order` counts; what only one arm has makes no pair, and null values none either."""
+    keys = [*by, *pair]
+    last = df.groupBy(arm, *keys).agg(F.max_by(value, order).alias("v")).filter(F.col("v").isNotNull())
+    other = last.filter(F.col(arm) == base).select(*keys, F.col("v").alias("base"))
+    both = last.filter(F.col(arm) != base).join(other, keys)
+    return both.groupBy(arm, *by).agg(F.count("*").alias("pairs"), F.avg(F.col("v") - F.col("base")).alias("effect"))
+
+
 def runs_of_ones(df: DataFrame, key: str, mask: Column) -> DataFrame:
     """Maximal runs of 1 in a mask: key, start (from 0), length."""
     d = df.select(key, F.posexplode(mask).alias("i", "m")).filter("m = 1")

@@ -89,9 +89,13 @@ def wn9_batches_of_three(spark, sf):
     return O.batches(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], 3, "value").select("user_id", F.col("batch").cast("bigint").alias("batch"), r6(F.col("total"), "total"))
 
 
-@R.add("WITH t AS (SELECT user_id FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 5) SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM t)")
+@R.add("WITH e AS (SELECT event_id, user_id, CASE WHEN event_id%3<>0 THEN epoch_us(ts) WHEN event_id%2=0 THEN epoch_us(ts)+json_extract(props,'$.k')::BIGINT*86400000000 END AS t FROM events), t AS (SELECT user_id FROM e GROUP BY 1 ORDER BY max(t) DESC NULLS LAST, user_id LIMIT 5) SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM t)")
 def wn14_newest_groups(spark, sf):
-    return O.newest_groups(table(spark, sf, "events"), "user_id", "ts", 5).select("event_id", "user_id")
+    """Every third event has no time of its own; half of these have one that their properties tell, so many days later."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    told = F.when(k % 2 == 0, micros + F.get_json_object("props", "$.k").cast("bigint") * 86_400_000_000)
+    return O.newest_groups(e, "user_id", F.when(k % 3 != 0, micros), 5, told).select("event_id", "user_id")
 
 
 @R.add("WITH x AS (SELECT vec_id, generate_subscripts(embedding,1)-1 AS i, unnest(embedding) AS v FROM embeddings), h AS (SELECT vec_id, i, i-row_number() OVER (PARTITION BY vec_id ORDER BY i) AS run FROM x WHERE v>0) SELECT vec_id, min(i)::INT AS start, count(*) AS length FROM h GROUP BY vec_id, run")
@@ -165,14 +169,14 @@ def jn9_longest_gaps(spark, sf):
 
 
 @R.add(
-    """WITH r AS (SELECT o_orderpriority AS arm, o_custkey%50 AS seed, o_orderstatus AS task, avg(o_totalprice) AS v FROM orders GROUP BY ALL)
+    """WITH r AS (SELECT o_orderpriority AS arm, o_custkey%50 AS seed, o_orderstatus AS task, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY ALL)
 SELECT a.arm, a.task, count(*) AS pairs, round(avg(a.v-b.v),3) AS effect FROM r a JOIN r b ON b.arm='1-URGENT' AND a.arm<>'1-URGENT' AND a.task=b.task AND a.seed=b.seed GROUP BY ALL"""
 )
 def jn1_paired_effects(spark, sf):
-    o = table(spark, sf, "orders")
-    r = o.groupBy(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 50).alias("seed"), F.col("o_orderstatus").alias("task")).agg(F.avg("o_totalprice").alias("v"))
-    base = r.filter("arm = '1-URGENT'").select("seed", "task", F.col("v").alias("base"))
-    return r.filter("arm <> '1-URGENT'").join(base, ["seed", "task"]).groupBy("arm", "task").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("v") - F.col("base")), 3).alias("effect"))
+    """Priorities as arms, customers as seeds; of several orders the last counts."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 50).alias("seed"), F.col("o_orderstatus").alias("task"), "o_totalprice", "o_orderkey")
+    e = O.paired_effects(o, "arm", "1-URGENT", ["seed"], ["task"], "o_totalprice", "o_orderkey")
+    return e.select("arm", "task", "pairs", F.round("effect", 3).alias("effect"))
 
 
 @R.add("WITH r AS (SELECT DISTINCT o_orderpriority AS arm, o_custkey AS seed FROM orders) SELECT seed FROM r GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
