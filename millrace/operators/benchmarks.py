@@ -76,3 +76,27 @@ def violations(df: DataFrame, run: str, rules: dict[str, Column]) -> DataFrame:
     """(run, message) of every rule that a run breaks; a rule that is null is broken."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for m, ok in rules.items()]), lambda m: m.isNotNull())
     return df.select(run, F.explode(broken).alias("message")).distinct()
+
+
+def run_errors(runs: DataFrame, events: DataFrame, declared: DataFrame, required: list[str]) -> DataFrame:
+    """(run, message) of everything that is wrong with `runs` (run, status, fields as a map of texts) and their `events` (run, stream, step, digest,
+    a number that tells a row's content), of which `declared` (run, stream, rows, digest) says what there should be.
+
+    Required fields that are missing or empty; a status other than complete; streams that were declared and have no row, or have rows and
+    weren't declared; another number of rows, or another sum of digests, than declared; steps that come twice, and gaps between
+    steps. Events of runs that aren't listed don't count. Rows are counted by step before anything is joined."""
+    fields = F.explode(F.array(*map(F.lit, required))) if required else F.explode(F.expr("cast(array() AS array<string>)"))
+    told = F.coalesce(F.try_element_at("fields", F.col("field")), F.lit(""))
+    missing = runs.select("run", "fields", fields.alias("field")).filter(F.trim(told) == "").select("run", F.concat(F.lit("missing "), "field").alias("message"))
+    status = runs.filter(~F.col("status").eqNullSafe(F.lit("complete"))).select("run", F.concat(F.lit("status is "), F.coalesce("status", F.lit("missing"))).alias("message"))
+    steps = events.groupBy("run", "stream", "step").agg(F.count("*").alias("n"), F.sum("digest").alias("d"))
+    found = steps.groupBy("run", "stream").agg(F.sum("n").alias("found"), F.max("n").alias("most"), F.count("*").alias("steps"), (F.max("step") - F.min("step") + 1).alias("span"), F.sum("d").alias("is"))
+    both = declared.withColumnRenamed("digest", "should").join(found, ["run", "stream"], "full").join(runs.select("run"), "run", "left_semi")
+    say = lambda holds, *text: F.when(holds, F.concat(*[F.lit(t) if isinstance(t, str) and t not in ("rows", "found") else F.col(t).cast("string") for t in text]))
+    there, asked = F.col("found").isNotNull(), F.col("rows").isNotNull()
+    messages = F.array(
+        say(~there, "no rows"), say(~asked, "not declared"), say(there & asked & (F.col("found") != F.col("rows")), "found", " rows, ", "rows", " are declared"),
+        say(there & asked & ~F.col("is").eqNullSafe(F.col("should")), "digest differs"), say(there & (F.col("most") > 1), "steps repeat"), say(there & (F.col("steps") < F.col("span")), "steps have gaps"),
+    )
+    streams = both.select("run", "stream", F.explode(F.filter(messages, lambda m: m.isNotNull())).alias("m")).select("run", F.concat("stream", F.lit(": "), "m").alias("message"))
+    return missing.unionByName(status).unionByName(streams)

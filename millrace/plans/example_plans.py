@@ -154,3 +154,23 @@ def ex18_changed_positions(spark, sf):
 @R.add("SELECT o_orderkey, unnest(list_filter(['large price', 'open'], lambda m: (m='large price' AND o_totalprice>=200000) OR (m='open' AND o_orderstatus='O'))) AS message FROM orders")
 def ex3_violations(spark, sf):
     return B.violations(table(spark, sf, "orders"), "o_orderkey", {"large price": F.col("o_totalprice") < 200000, "open": F.col("o_orderstatus") != "O"})
+
+
+@R.add(
+    """WITH r AS (SELECT o_orderkey AS run, CASE WHEN o_orderstatus='F' THEN 'complete' WHEN o_orderkey%5=0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey%3<>0 THEN o_orderpriority ELSE ' ' END AS seed FROM orders),
+s AS (SELECT l_orderkey AS run, l_linestatus AS stream, l_linenumber AS step, count(*) AS n, sum(l_partkey) AS d FROM lineitem GROUP BY ALL), f AS (SELECT run, stream, sum(n) AS found, max(n) AS most, count(*) AS steps, max(step)-min(step)+1 AS span, sum(d) AS is_ FROM s GROUP BY ALL),
+d AS (SELECT o_orderkey AS run, 'O' AS stream, o_orderkey%4+1 AS "rows", (SELECT sum(l_partkey) FROM lineitem WHERE l_orderkey=o_orderkey AND l_linestatus='O')+o_orderkey%2 AS should FROM orders),
+b AS (SELECT coalesce(d.run, f.run) AS run, coalesce(d.stream, f.stream) AS stream, "rows", should, found, most, steps, span, is_ FROM d FULL JOIN f ON f.run=d.run AND f.stream=d.stream),
+m AS (SELECT run, stream, unnest(list_filter([CASE WHEN found IS NULL THEN 'no rows' END, CASE WHEN "rows" IS NULL THEN 'not declared' END, CASE WHEN found<>"rows" THEN found||' rows, '||"rows"||' are declared' END,
+ CASE WHEN found IS NOT NULL AND "rows" IS NOT NULL AND is_ IS DISTINCT FROM should THEN 'digest differs' END, CASE WHEN most>1 THEN 'steps repeat' END, CASE WHEN steps<span THEN 'steps have gaps' END], lambda x: x IS NOT NULL)) AS m FROM b WHERE run IN (SELECT run FROM r))
+SELECT run, stream||': '||m AS message FROM m UNION ALL SELECT run, 'missing seed' FROM r WHERE trim(seed)='' UNION ALL SELECT run, 'missing model' FROM r UNION ALL SELECT run, 'status is '||coalesce(status,'missing') FROM r WHERE status IS DISTINCT FROM 'complete'"""
+)
+def ex3_run_errors(spark, sf):
+    """Orders as runs and their lines as events in two streams, of which only open lines were declared, most of them wrongly."""
+    o, l, k = table(spark, sf, "orders"), table(spark, sf, "lineitem"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(k % 5 != 0, F.col("o_orderstatus"))
+    runs = o.select(k.alias("run"), status.alias("status"), F.create_map(F.lit("seed"), F.when(k % 3 != 0, F.col("o_orderpriority")).otherwise(" ")).alias("fields"))
+    events = l.select(F.col("l_orderkey").alias("run"), F.col("l_linestatus").alias("stream"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("digest"))
+    sums = events.filter("stream = 'O'").groupBy("run").agg(F.sum("digest").alias("d"))
+    declared = o.join(sums, F.col("run") == k, "left").select(k.alias("run"), F.lit("O").alias("stream"), (k % 4 + 1).alias("rows"), (F.col("d") + k % 2).alias("digest"))
+    return B.run_errors(runs, events, declared, ["seed", "model"])
