@@ -120,13 +120,8 @@ class Index:
         cover = np.bincount(dense, minlength=len(i) + 1) - np.bincount(upto[dense], minlength=len(i) + 1)
         i = i[np.cumsum(cover)[:-1] > 0]
         lo, hi = np.searchsorted(self.codes, g[i], side="left"), np.searchsorted(self.codes, g[i], side="right")
-        n = hi - lo
-        i, at = np.repeat(i, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        seg, diagonal = self.owner[at], i - self.offset[at]
         width = 2 * int(self.edits.max()) + 2
-        band = np.concatenate([diagonal // width * 2, (diagonal - width // 2) // width * 2 + 1])  # each diagonal is in two bands
-        key = np.concatenate([seg, seg]) * (1 << 32) + (band + (1 << 30))
-        key, count = np.unique(key, return_counts=True)
+        key, count = self.counted(i, lo, hi - lo, width)
         seg, band = key >> 32, (key & 0xFFFFFFFF) - (1 << 30)
         ok = count >= self.need[seg]
         seg, band = seg[ok], band[ok]
@@ -134,7 +129,11 @@ class Index:
         if not len(seg):
             return
         exact, slack = set(), int(self.edits.max())
+        early = np.argsort(first, kind="stable")
+        seg, first = seg[early], first[early]
         for x, f in zip(seg.tolist(), first.tolist(), strict=True):  # whole segments without an edit need no alignment
+            if self.item[x] in exact:  # the earliest is known
+                continue
             lo = max(0, f - slack)
             at = c[lo : f + width + slack + len(self.chars[x])].tobytes().find(self.chars[x].tobytes())
             if at >= 0 and at % 4 == 0:
@@ -143,6 +142,31 @@ class Index:
         rest = np.array([self.item[x] not in exact for x in seg], dtype=bool)
         yield from self.aligned(c, seg[rest], first[rest], width)
 
+    def counted(self, i: np.ndarray, lo: np.ndarray, n: np.ndarray, width: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(key, count): how many q-grams a segment shares with the text in each band of diagonals; `i` are places of the text whose q-grams
+        stand `n` times in the index, from `lo` on.
+
+        About `most` hits are laid out at a time and added up by segment and band, so q-grams that very many items share take time
+        but no memory."""
+        upto, keys, counts, held = np.cumsum(n), [], [], 0
+        cuts = np.unique(np.searchsorted(upto, np.arange(most, int(upto[-1]) + most, most))) + 1 if len(n) else []
+        start = 0
+        for stop in [*cuts, len(n)]:
+            some = slice(start, stop)
+            start = stop
+            m = n[some]
+            if not m.sum():
+                continue
+            at = np.repeat(lo[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            seg, diagonal = self.owner[at], np.repeat(i[some], m) - self.offset[at]
+            band = np.concatenate([diagonal // width * 2, (diagonal - width // 2) // width * 2 + 1])  # each diagonal is in two bands
+            key, count = np.unique(np.concatenate([seg, seg]) * (1 << 32) + (band + (1 << 30)), return_counts=True)
+            keys, counts, held = [*keys, key], [*counts, count], held + len(key)
+            if len(keys) > 1 and held > most:
+                keys, counts = ([x] for x in _added(keys, counts))
+                held = len(keys[0])
+        return _added(keys, counts) if keys else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
     def aligned(self, c: np.ndarray, seg: np.ndarray, first: np.ndarray, width: int, most: int = 512) -> Iterator[tuple[int, int, int, int]]:
         """Banded alignments of segments `seg` whose diagonals start in [first, first + width), all at once."""
         for at in range(0, len(seg), most):
@@ -153,6 +177,12 @@ class Index:
                     yield self.item[x], int(a), int(b), int(d)
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(where, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
 def banded(c: np.ndarray, parts: list[np.ndarray], first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least edits that turn each part into a stretch of `c` along diagonals first to first + width: the
     distance, and the stretch. Column w of row j stands for the prefix of c that ends at first + w + j."""
