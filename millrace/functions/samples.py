@@ -70,12 +70,43 @@ def teacher_tail(logprobs: Column, n: Column) -> Column:
 
 
 # Parts of kernel names and their categories, in order of precedence.
-KERNELS = [("nccl", "communication"), ("gemm", "matmul"), ("attention", "attention"), ("norm", "normalisation"), ("memcpy", "memory")]
-
-
-def kernel_category(name: Column, ladder: list[tuple[str, str]] = KERNELS) -> Column:
-    """The category of the first part that the name holds, whatever its case."""
-    out = F.when(F.contains(F.lower(name), F.lit(ladder[0][0])), ladder[0][1])
-    for part, category in ladder[1:]:
-        out = out.when(F.contains(F.lower(name), F.lit(part)), category)
-    return out.otherwise("other")
+# Categories of kernels in the order in which they are tried, and the parts that a name of each holds: all of one entry,
+# which are joined by "+".
+KERNELS = [
+    ("NCCL Communication", ["nccl"]),
+    ("DeepEP Dispatch (MoE)", ["deep_ep+dispatch"]),
+    ("DeepEP Combine (MoE)", ["deep_ep+combine"]),
+    ("DeepEP Buffer Clean", ["deep_ep+clean"]),
+    ("DeepEP (other)", ["deep_ep"]),
+    ("Flash Attention", ["flash+attn"]),
+    ("Sparse Attention (MLA)", ["sparse_attn"]),
+    ("Paged MQA/MLA Logits", ["paged_mqa"]),
+    ("Attention (other)", ["attention", "fmha"]),
+    ("DeepGEMM (FP8)", ["deep_gemm", "sm90_fp8_gemm"]),
+    ("NvJet GEMM", ["nvjet"]),
+    ("GEMM/MatMul (other)", ["gemm", "cutlass", "matmul", "cublas"]),
+    ("TopK / MoE Routing", ["topk"]),
+    ("Quantization (FP8)", ["quant"]),
+    ("Normalization", ["norm"]),
+    ("Fused/Triton Kernels", ["triton", "fused"]),
+    ("Elementwise Ops", ["elementwise"]),
+    ("Reduce/Softmax", ["reduce", "softmax"]),
+    ("Embedding", ["embedding"]),
+    ("Memory Ops", ["memcpy", "memset"]),
+    ("Index/Gather/Scatter", ["index", "scatter", "gather"]),
+    ("Concat/Cat", ["cat+batched"]),
+]
+
+
+def kernel_category(name: Column, ladder: list[tuple[str, list[str]]] = KERNELS, other: str = "Other Compute") -> Column:
+    """The first category of which the name holds all parts of an entry, whatever their case."""
+    said, out = F.lower(name), F.when(F.lit(False), other)
+    for category, entries in ladder:
+        holds = F.lit(False)
+        for entry in entries:
+            parts = F.lit(True)
+            for part in entry.split("+"):
+                parts = parts & F.contains(said, F.lit(part))
+            holds = holds | parts
+        out = out.when(holds, category)
+    return out.otherwise(other)

@@ -234,11 +234,20 @@ def pf15_effective_length(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", T.effective_length(mask, F.lit(9)).alias("length"))
 
 
-@R.add("SELECT CASE WHEN contains(n,'gemm') THEN 'matmul' WHEN contains(n,'norm') THEN 'normalisation' ELSE 'other' END AS category, count(*) AS n FROM (SELECT CASE WHEN p_partkey%3=0 THEN 'xGEMM_'||p_name WHEN p_partkey%3=1 THEN 'layer_norm' ELSE 'zzz' END AS raw, lower(raw) AS n FROM part) GROUP BY 1")
+#: Names of kernels, dealt to the parts in turn, and what each is.
+SOME_KERNELS = {
+    "ncclDevKernel_AllReduce": "NCCL Communication", "deep_ep::intranode::dispatch": "DeepEP Dispatch (MoE)", "deep_ep::Cached_notify": "DeepEP (other)", "flash_fwd_splitkv_attn": "Flash Attention", "cudnn_FMHA_bprop": "Attention (other)",
+    "sm90_fp8_gemm_1d2d": "DeepGEMM (FP8)", "ampere_bf16_GEMM_relu": "GEMM/MatMul (other)", "per_token_group_quant_8bit": "Quantization (FP8)", "fused_add_rmsnorm": "Normalization", "triton_poi_fused_cat_1": "Fused/Triton Kernels",
+    "vectorized_elementwise_kernel": "Elementwise Ops", "CatArrayBatchedCopy": "Concat/Cat", "indexSelectSmallIndex": "Index/Gather/Scatter", "radixSortKVInPlace": "Other Compute",
+}
+
+
+@R.add(f"WITH k AS (SELECT [{','.join(repr(k) for k in SOME_KERNELS)}] AS names, [{','.join(repr(k) for k in SOME_KERNELS.values())}] AS kinds) SELECT kinds[p_partkey%len(names)+1] AS category, count(*) AS n, sum(p_size)::BIGINT AS size FROM part, k GROUP BY 1")
 def tx32_kernel_category(spark, sf):
-    n = F.col("p_partkey") % 3
-    name = F.when(n == 0, F.concat(F.lit("xGEMM_"), F.col("p_name"))).when(n == 1, "layer_norm").otherwise("zzz")
-    return table(spark, sf, "part").groupBy(P.kernel_category(name).alias("category")).agg(F.count("*").alias("n"))
+    """Each part runs one of some kernels, under a name that its own name follows in brackets of a template."""
+    names = F.array(*map(F.lit, SOME_KERNELS))
+    kernel = F.concat(F.get(names, (F.col("p_partkey") % len(SOME_KERNELS)).cast("int")), F.lit("<"), F.regexp_replace("p_name", "[A-Za-z]", "0"), F.lit(">"))
+    return table(spark, sf, "part").groupBy(P.kernel_category(kernel).alias("category")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
 
 
 @R.add(

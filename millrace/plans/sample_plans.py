@@ -124,7 +124,7 @@ def ag28_cumulative_counters(spark, sf):
 
 @R.add("SELECT CASE WHEN p_name LIKE '%a%' THEN 'with a' ELSE 'other' END AS category, count(*) AS n, round(sum(p_retailprice),2) AS total FROM (SELECT lower(p_name) AS p_name, p_retailprice FROM part) GROUP BY 1")
 def ag33_time_by_category(spark, sf):
-    p = table(spark, sf, "part").groupBy(P.kernel_category(F.col("p_name"), [("a", "with a")]).alias("category"))
+    p = table(spark, sf, "part").groupBy(P.kernel_category(F.col("p_name"), [("with a", ["a"])], "other").alias("category"))
     return p.agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
