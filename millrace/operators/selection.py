@@ -4,7 +4,7 @@ made without a driver; they keep the contract of a seeded shuffle, not its order
 from __future__ import annotations
 
 from functools import reduce
-from math import gcd
+from math import gcd, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,18 +181,81 @@ def _partial_top_k(sent, k, np, pd):
     return best
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query_id, text) against (doc_id, text): idf * tf / (tf + k1 * (1 - b + b * length / mean)), words lower-cased."""
-    words = lambda df, i: df.select(i, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("word"))
-    q = words(queries, "query_id").distinct()
-    said = words(docs, "doc_id")
-    length = said.groupBy("doc_id").agg(F.count("*").alias("length"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    tf = said.join(q.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    s = tf.join(df, "word").join(length, "doc_id").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = s.withColumn("w", idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
-    scored = s.join(q, "word").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block: int = 1024) -> DataFrame:
+    """(query_id, text) against (doc_id, text): the sum over common words of idf * tf / (tf + k1 * (1 - b + b * length / mean)), words
+    lower-cased, rounded to nine places to rank; ties to the smaller doc_id. Null texts have no word.
+
+    Texts are read twice: for how many documents hold each word of the queries, of which a task sends one row a word, and for the scores,
+    of which a task sends its best `k` of each query, with ties. So neither words of documents nor pairs are shuffled. Each
+    `block` queries, which are broadcast, take one reading of their own."""
+    spark = docs.sparkSession
+    text = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    asked = queries.filter(F.col("text").isNotNull()).select("query_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("words"))
+    found, rows = [], asked.orderBy("query_id").toLocalIterator()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    while some := [r for _, r in zip(range(block), rows)]:
+        vocabulary = {w: i for i, w in enumerate(sorted({w for r in some for w in r["words"]}))}
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in some], [[vocabulary[w] for w in r["words"]] for r in some], vocabulary))
+        counts = text.mapInPandas(_document_counts(sent), "word int, n bigint, words bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # a row a word
+        whole = next((r for r in counts if r["word"] == -1), None)
+        if whole is not None and whole["words"] and vocabulary:
+            held = {r["word"]: r["n"] for r in counts}
+            idf = [log(1 + (whole["n"] - held.get(i, 0) + 0.5) / (held.get(i, 0) + 0.5)) for i in range(len(vocabulary))]
+            best = text.mapInPandas(_best_documents(sent, idf, whole["words"] / whole["n"], k, k1, b), "query_id bigint, doc_id bigint, score double")
+            found.append(cut(best.withColumn("rank", rank).filter(F.col("rank") <= k)))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int"))
+
+
+def _document_counts(sent):
+    """Of a task: for each word of the queries how many documents hold it, and under -1 the documents with words and all their words."""
+    import re
+
+    import pandas as pd
+
+    def count(frames):
+        vocabulary, held = sent.value[2], {}
+        docs = words = 0
+        for f in frames:
+            for t in f["text"]:
+                said = re.findall(r"\w+", t)
+                docs, words = docs + bool(said), words + len(said)
+                for w in set(said) & vocabulary.keys():
+                    held[vocabulary[w]] = held.get(vocabulary[w], 0) + 1
+        yield pd.DataFrame({"word": [-1, *held], "n": [docs, *held.values()], "words": [words] + [0] * len(held)})
+
+    return count
+
+
+def _best_documents(sent, idf: list[float], mean: float, k: int, k1: float, b: float):
+    """Of each batch of a task: the best `k` documents of each query, and what ties with the last of them."""
+    import re
+
+    import numpy as np
+    import pandas as pd
+
+    def best(frames):
+        ids, asked, vocabulary = sent.value
+        ids = np.array(ids)
+        # For each word the queries that ask for it, one after the other.
+        pairs = np.array([(w, q) for q, ws in enumerate(asked) for w in ws], dtype=np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        query, upto = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
+        for f in frames:
+            for at in range(0, len(f), 512):
+                part = f.iloc[at : at + 512]
+                score = np.zeros((len(part), len(ids)))
+                for d, t in enumerate(part["text"]):
+                    said, tf = re.findall(r"\w+", t), {}
+                    for w in said:
+                        if (i := vocabulary.get(w)) is not None:
+                            tf[i] = tf.get(i, 0) + 1
+                    for i, n in tf.items():
+                        score[d, query[upto[i] : upto[i + 1]]] += idf[i] * n / (n + k1 * (1 - b + b * len(said) / mean))
+                shown = np.round(score, 9)
+                few = min(k, len(part))
+                least = np.partition(shown, len(part) - few, axis=0)[len(part) - few]
+                d, q = np.nonzero((shown >= least) & (score > 0))
+                yield pd.DataFrame({"query_id": ids[q], "doc_id": part["doc_id"].to_numpy()[d], "score": score[d, q]})
+
+    return best
