@@ -94,7 +94,7 @@ def sc2_path_slice(spark, sf):
     return S.sliced(table(spark, sf, "documents").select("doc_id"), "doc_id", 10, -5)
 
 
-@R.add("WITH n AS (SELECT count(*) AS n, (count(*)*0.15)::INT AS k FROM documents) SELECT doc_id FROM documents, n WHERE doc_id < k//2 OR doc_id >= n-(k+1)//2")
+@R.add("WITH n AS (SELECT count(*) AS n, floor(count(*)*0.15::DOUBLE)::BIGINT AS k FROM documents) SELECT doc_id FROM documents, n WHERE k=0 OR doc_id < k//2 OR doc_id >= n-(k+1)//2")
 def sc12_head_and_tail(spark, sf):
     return S.head_and_tail(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.15)
 
