@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sentences import let
+
 
 def contained_items(docs: DataFrame, items: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, item_id) where the item's text lies in the document's. The first `size` words of an item, its first and
@@ -14,8 +16,10 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5) -> DataFra
     w = F.split("text", " ")
     long = items.filter(F.size(w) >= size + 2)
     keyed = long.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(w, 2, size), " ").alias("key"))
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))).alias("key"))
+    # The words of a text are split once, and each run is put together from its places: the work grows with the text, not with its square.
+    starts = lambda ws: F.when(F.size(ws) >= size, F.sequence(F.lit(0), F.size(ws) - size)).otherwise(F.array().cast("array<int>"))
+    run = lambda ws, i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(size)])
+    runs = docs.select("doc_id", F.explode(let(w, lambda ws: F.array_distinct(F.transform(starts(ws), lambda i: run(ws, i))))).alias("key"))
     short = items.filter(F.size(w) < size + 2)
     inner = short.filter(F.size(w) >= 3).select("item_id", F.col("text").alias("item"), F.element_at(F.array_sort(F.slice(w, 2, F.size(w) - 2), lambda a, b: F.length(a) - F.length(b)), -1).alias("key"))
     whole = docs.select("doc_id", F.explode(F.array_distinct(w)).alias("key"))
