@@ -30,14 +30,17 @@ def tx12_last_boxed(spark, sf):
 
 
 @R.add(
-    """WITH o AS (SELECT o_orderkey, o_custkey::DOUBLE AS k, (o_orderkey%3)::DOUBLE AS e, o_orderkey%8 AS form FROM orders),
-places AS (SELECT *, unnest([2.0, 3.0, 7.5]) AS x FROM o)
-SELECT o_orderkey, CASE WHEN form=7 THEN NULL WHEN form=6 THEN false ELSE bool_and(abs(CASE form WHEN 0 THEN (x+k)*(x+k) - (x*x+2*k*x+k*k+e) WHEN 1 THEN (x+k)*(x-k) - (x*x-k*k-e) WHEN 2 THEN (x*x-k*k)/(x-k-0.0) - (x+k+e)
- WHEN 3 THEN sqrt(3*k*k) - (k+e)*sqrt(3) WHEN 4 THEN k/(k+1) - (1-1/(k+1+e)) ELSE 1/(sqrt(k)+sqrt(k+1)) - (sqrt(k+1+e)-sqrt(k)) END) < 1e-7) END AS correct
-FROM places WHERE x<>k GROUP BY o_orderkey, form"""
+    """WITH o AS (SELECT o_orderkey, o_custkey::HUGEINT AS k, (o_orderkey%3)::HUGEINT AS e, o_orderkey%8 AS form FROM orders),
+places AS (SELECT *, unnest([4, 6, 15])::HUGEINT AS x FROM o)
+SELECT o_orderkey, CASE WHEN form=7 THEN NULL WHEN form=6 THEN false ELSE bool_and(CASE form WHEN 0 THEN (x+2*k)*(x+2*k) = x*x+4*k*x+4*(k*k+e) WHEN 1 THEN (x+2*k)*(x-2*k) = x*x-4*(k*k+e) WHEN 2 THEN x*x-4*k*k = (x-2*k)*(x+2*(k+e))
+ WHEN 3 THEN 3*k*k = 3*(k+e)*(k+e) WHEN 4 THEN k*(k+1+e) = (k+1)*(k+e) ELSE k+1 = k+1+e END) END AS correct
+FROM places WHERE x<>2*k GROUP BY o_orderkey, form"""
 )
 def tx17_exact_equality(spark, sf):
-    """Identities in the customer's number, of which two in three are spoilt; three letters are never read, a logarithm stays open."""
+    """Identities in the customer's number, of which two in three are spoilt; three letters are never read, a logarithm stays open.
+
+    Its SQL compares in whole numbers, at x = 2, 3 and 7.5 taken twice, fractions multiplied out and roots squared (1/(sqrt(k)+sqrt(k+1)) is
+    sqrt(k+1)-sqrt(k)), since doubles can't tell the sides apart where numbers are large."""
     k, e, form = F.col("o_custkey"), F.col("o_orderkey") % 3, F.col("o_orderkey") % 8
     square = k * k
     pairs = [
