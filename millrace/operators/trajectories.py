@@ -4,14 +4,19 @@ A session is one agent's work and so a bounded group; sessions are spread over t
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.tokens import common_prefix
 
 #: What a turn is, beside its session and number.
 TURN = "prompt array<struct<role:string,content:string>>, response string, prompt_ids array<int>, output_ids array<int>, logprobs array<double>, finish_reason string, tool_call boolean, ill_formed boolean"
+#: Sessions that a task holds as Python objects at a time.
+SESSIONS = 256
 
 
 def drift_kind(held: Column, last_start: Column, prompt_ids: Column, output_ids: Column, threshold: int = 1024) -> Column:
@@ -108,19 +113,34 @@ def session_rows(turns: list[dict], threshold: int = 1024, most: int = 0) -> lis
 def training_rows(turns: DataFrame, session: str, number: str, threshold: int = 1024, most: int = 0) -> DataFrame:
     """`turns` holds `session`, `number` and the columns of TURN. The rows of all sessions; a reward is joined by session
     and belongs to every row in full. Null arrays are empty; a turn without a prompt is left out."""
-    kind = dict(turns.dtypes)[session]
-    names = [c.split()[0] for c in TURN.split(", ")]
-    kept = turns.select(session, number, *[F.col(n).cast(t) for n, t in (c.split(" ", 1) for c in TURN.split(", "))])
-    columns = ["row", "tokens", "response_length", "loss_mask", "logprobs", "truncated", "use_tool", "ill_formed"]
+    whole = turns.groupBy(session).agg(F.collect_list(F.struct(F.col(number).alias("number"), *turn_columns(turns))).alias("turns"))
+    return built_rows(whole, session, threshold, most)
+
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda v: [] if v is None else list(v)
-        rows = []
-        for r in group.sort_values(number).to_dict("records"):
-            rows.append({n: plain(r[n]) if n in ("prompt", "prompt_ids", "output_ids", "logprobs") else r[n] for n in names})
-        out = pd.DataFrame(session_rows(rows, threshold, most), columns=columns)
-        out.insert(0, session, group[session].iloc[0] if len(group) else None)
-        return out
-
-    schema = f"{session} {kind}, row int, tokens array<int>, response_length int, loss_mask array<int>, logprobs array<double>, truncated boolean, use_tool boolean, ill_formed boolean"
-    return kept.groupBy(session).applyInPandas(build, schema)
+def turn_columns(of) -> list[Column]:
+    """The columns of TURN, of a DataFrame or of a struct."""
+    return [of[n].cast(t).alias(n) for n, t in (c.split(" ", 1) for c in TURN.split(", "))]
+
+
+def built_rows(sessions: DataFrame, session: str, threshold: int = 1024, most: int = 0) -> DataFrame:
+    """The training rows of `sessions`, which hold one row each: `session` and `turns`, an array of structs of `number` and TURN in any order."""
+    kind = dict(sessions.dtypes)[session]
+    arrays = ("prompt", "prompt_ids", "output_ids", "logprobs")
+    columns = ["row", "tokens", "response_length", "loss_mask", "logprobs", "truncated", "use_tool", "ill_formed"]
+    out = f"{session} {kind}, row int, tokens array<int>, response_length int, loss_mask array<int>, logprobs array<double>, truncated boolean, use_tool boolean, ill_formed boolean"
+    schema = to_arrow_schema(sessions.sparkSession.createDataFrame([], out).schema)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SESSIONS):
+                made: list[dict] = []
+                for one in batch.slice(at, SESSIONS).to_pylist():
+                    turns = sorted(one["turns"], key=lambda t: (t["number"] is None, t["number"]))
+                    for t in turns:
+                        for n in arrays:
+                            t[n] = t[n] or []
+                    made += [{session: one[session]} | r for r in session_rows(turns, threshold, most)]
+                if made:
+                    yield pa.RecordBatch.from_pylist([{c: r[c] for c in (session, *columns)} for r in made], schema=schema)
+
+    return sessions.select(session, "turns").mapInArrow(build, out)

@@ -44,6 +44,13 @@ def collected(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+def left(spark, stream: DataFrame, sink) -> DataFrame:
+    """What a sink of groups, made by `sink` for a folder, lets go."""
+    place = fresh_folder(spark, "stream")
+    ran(stream, sink(place), place)
+    return spark.read.parquet(f"{place}/out")
+
+
 @R.add("SELECT event_type, count(*)//4 AS complete, (count(*)//4)*4 AS members FROM events GROUP BY 1")
 def st1_complete_groups(spark, sf):
     out = collected(spark, B.complete_groups(streamed(spark, sf, "events").select("event_type", "event_id"), "event_type", 4, "event_id"))
@@ -118,7 +125,7 @@ def st8_folded_chunks(spark, sf):
         F.floor(F.col("event_id") / 4).alias("request_id"), (F.col("event_id") % 4).cast("int").alias("seq"), F.col("event_type").alias("text"),
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("metadata"), F.when(F.col("event_id") % 4 == 3, "stop").alias("finish_reason"),
     )
-    return collected(spark, L.folded_chunks(e)).select("request_id", "text", F.col("chunks").cast("int").alias("chunks"), F.col("metadata")["user"].alias("last"))
+    return left(spark, e, L.whole_answers).select("request_id", "text", F.col("chunks").cast("int").alias("chunks"), F.col("metadata")["user"].alias("last"))
 
 
 @R.add("SELECT a.event_id//2 AS span, epoch_us(b.ts)-epoch_us(a.ts) AS micros FROM events a JOIN events b ON b.event_id=a.event_id+1 AND a.event_id%2=0 WHERE b.ts>=a.ts AND b.ts<=a.ts+INTERVAL 1 HOUR")
@@ -137,12 +144,12 @@ def st10_committed_metrics(spark, sf):
 
 @R.add("SELECT event_id, 0 AS row, [event_id::INT%7, 9] AS tokens, 1 AS response_length FROM events WHERE event_id%3=0")
 def st11_finished_sessions(spark, sf):
-    """One turn a session; those that don't end stay in state."""
+    """One turn a session; those that don't end are carried on."""
     p = F.array((F.col("event_id") % 7).cast("int"))
     turn = [F.array(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content"))), F.lit("a"), p, F.array(F.lit(9)), F.array(F.lit(-1.0)), F.lit("stop"), F.lit(False), F.lit(False)]
     names = [c.split()[0] for c in TURN.split(", ")]
     e = streamed(spark, sf, "events").select("event_id", F.lit(1).alias("number"), *[c.alias(n) for c, n in zip(turn, names)], (F.col("event_id") % 3 == 0).alias("ended"))
-    return collected(spark, L.finished_sessions(e, "event_id", "number", "ended")).select("event_id", "row", "tokens", "response_length")
+    return left(spark, e, lambda place: L.ended_sessions(place, "event_id", "number", "ended")).select("event_id", "row", "tokens", "response_length")
 
 
 # sources and sinks

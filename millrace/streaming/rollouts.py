@@ -6,14 +6,14 @@ a batch that is run again replaces itself."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.trajectories import TURN, session_rows
+from ..operators.trajectories import TURN, built_rows, session_rows, turn_columns
 
 
 def take_groups(path: str, group: str, arrival: str, target: int, status: str | None = None):
@@ -39,6 +39,53 @@ def take_groups(path: str, group: str, arrival: str, target: int, status: str |
     return write
 
 
+def leaving_groups(path: str, key: str, done: Column, leave: Callable[[DataFrame], DataFrame]):
+    """For foreachBatch: rows wait in `carry` until `done`, an aggregate over all rows of their key, holds; then the key leaves. `leave`
+    makes of one row a key (key, `rows` as an array of structs) what goes to `out`. For streams without timers: keys are
+    grouped and read as a whole, where a state operator calls Python for each of them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        rows = batch
+        if batch_id > 0:
+            held = f"{key} {dict(batch.dtypes)[key]}, rows array<{batch.schema.simpleString()}>"
+            rows = spark.read.schema(held).parquet(f"{path}/groups/batch={batch_id - 1}/done=false").select(F.inline("rows")).unionByName(rows)
+        groups = rows.groupBy(key).agg(F.collect_list(F.struct(*batch.columns)).alias("rows"), F.coalesce(done, F.lit(False)).alias("done"))
+        # Both folders exist, even if no key goes there.
+        none = spark.createDataFrame([(False,), (True,)], "done boolean").select(F.lit(None).cast(dict(batch.dtypes)[key]).alias(key), F.lit(None).cast(f"array<{batch.schema.simpleString()}>").alias("rows"), "done")
+        groups.unionByName(none).write.mode("overwrite").partitionBy("done").parquet(f"{path}/groups/batch={batch_id}")
+        whole = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, rows array<{batch.schema.simpleString()}>").parquet(f"{path}/groups/batch={batch_id}/done=true")
+        leave(whole.filter("rows is not null")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    return write
+
+
+def whole_answers(path: str, key: str = "request_id"):
+    """For foreachBatch: chunks (key, seq, text, metadata as a map, finish_reason) become one row an answer, as by `folded_chunks`, once the last and
+    all before it have come."""
+
+    def fold(groups: DataFrame) -> DataFrame:
+        parts = F.transform("rows", lambda r: F.struct(r["seq"].alias("seq"), F.coalesce(r["text"], F.lit("")).alias("text"), F.map_entries(r["metadata"]).alias("metadata"), r["finish_reason"].alias("finish_reason")))
+        g = groups.select(key, F.array_sort(parts).alias("c"))
+        entries = F.flatten(F.transform("c", lambda c: F.coalesce(c["metadata"], F.expr("array()"))))
+        g = g.withColumn("e", F.reverse(entries)).withColumn("k", F.transform("e", lambda e: e["key"]))
+        last = F.map_from_entries(F.filter("e", lambda e, i: F.array_position("k", e["key"]) == i + 1))  # the first from the end
+        reason = F.get(F.filter("c", lambda c: c["finish_reason"].isNotNull()), F.lit(0))["finish_reason"]
+        return g.select(key, F.array_join(F.transform("c", lambda c: c["text"]), "").alias("text"), last.alias("metadata"), reason.alias("finish_reason"), F.size("c").alias("chunks"))
+
+    return leaving_groups(path, key, F.count("*") > F.min(F.when(F.col("finish_reason").isNotNull(), F.col("seq"))), fold)
+
+
+def ended_sessions(path: str, session: str, number: str, ended: str, threshold: int = 1024):
+    """For foreachBatch: the training rows of each session, as by `finished_sessions`, once one of its turns says that it has ended."""
+
+    def leave(groups: DataFrame) -> DataFrame:
+        turns = groups.select(session, F.transform("rows", lambda r: F.struct(r[number].alias("number"), *turn_columns(r))).alias("turns"))
+        return built_rows(turns, session, threshold).select(session, "row", "tokens", "response_length", "loss_mask")
+
+    return leaving_groups(path, session, F.bool_or(F.coalesce(F.col(ended), F.lit(False))), leave)
+
+
 def waiting(wait_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 

@@ -45,6 +45,17 @@ def test_chunks_fold_into_answers(spark, tmp_path):
     assert [(r["request_id"], r["text"], r["metadata"], r["finish_reason"], r["chunks"]) for r in got] == [("a", "xyz", {"k": "3", "m": "4"}, "stop", 3)]
 
 
+def test_whole_answers_leave_and_others_are_carried(spark, tmp_path):
+    rows = [(0, "a", 0, "x", {"k": "1"}, None), (1, "b", 0, "p", None, None), (2, "a", 2, "z", {"k": "3"}, "stop"), (3, "a", 1, "y", {"k": "2", "m": "4"}, None), (4, "b", 1, "q", {}, None), (5, None, 0, None, None, "length")]
+    df = spark.createDataFrame(rows, "at int, request_id string, seq int, text string, metadata map<string,string>, finish_reason string")
+    out = str(tmp_path / "out")
+    run(files(df, tmp_path / "in", 6), B.whole_answers(out), tmp_path / "state")
+    got = {r["request_id"]: tuple(r)[1:] for r in spark.read.parquet(f"{out}/out").collect()}
+    assert got == {"a": ("xyz", {"k": "3", "m": "4"}, "stop", 3, 3), None: ("", {}, "length", 1, 5)}
+    carried = spark.read.parquet(f"{out}/groups/batch=5/done=false").filter("rows is not null").collect()
+    assert [(r["request_id"], len(r["rows"])) for r in carried] == [("b", 2)]
+
+
 def test_spans_join(spark, tmp_path):
     t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     starts = spark.createDataFrame([(1, t(0)), (2, t(5)), (3, t(9))], "span int, ts timestamp")
@@ -73,3 +84,13 @@ def test_sessions_leave_when_they_end(spark, tmp_path):
     run(B.finished_sessions(files(df, tmp_path / "in", 3), "s", "n", "ended"), lambda batch, i: got.extend(batch.collect()), tmp_path / "state")
     assert [(r["s"], r["tokens"], r["loss_mask"]) for r in got] == [("s", [1, 2, 5, 6], [1, 0, 1])]
     assert J.training_rows(df.filter("s = 's'"), "s", "n").first()["tokens"] == [1, 2, 5, 6]
+
+
+def test_ended_sessions_leave_and_others_are_carried(spark, tmp_path):
+    u, a = ("user", "q"), ("assistant", "a")
+    turns = [(0, "s", 1, [u], "a", [1], [2], [-1.0], "stop", False, False, False), (1, "t", 1, [u], "b", [1], [3], None, "stop", False, False, None), (2, "s", 2, [u, a, u], "c", [1, 2, 5], [6], None, "stop", False, False, True), (3, "s", 1, [u], "d", [1], [9], None, "stop", False, False, True)]
+    df = spark.createDataFrame(turns, "at int, s string, n int, " + J.TURN + ", ended boolean")
+    out = str(tmp_path / "out")
+    run(files(df, tmp_path / "in", 4), B.ended_sessions(out, "s", "n", "ended"), tmp_path / "state")
+    got = sorted((r["batch"], r["s"], r["tokens"], r["loss_mask"]) for r in spark.read.parquet(f"{out}/out").collect())
+    assert got == [(2, "s", [1, 2, 5, 6], [1, 0, 1]), (3, "s", [1, 9], [1])]  # what comes later begins anew
