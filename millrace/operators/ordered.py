@@ -134,7 +134,9 @@ def covering_nodes(first: Column, last: Column) -> Column:
         right = F.when((low < high) & (high % 2 != 0), F.struct(k.alias("level"), (high - 1).cast("bigint").alias("at")))
         return F.array(left, F.when(right["at"] == left["at"], F.lit(None)).otherwise(right))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), nodes)), lambda n: n.isNotNull())
+    size = last - first + 1
+    highest = F.when(size >= 1, F.least(F.lit(LEVELS), F.floor(F.log2(size)).cast("int") + 1))  # no node is larger than what it covers
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), highest), nodes)), lambda n: n.isNotNull())
 
 
 def overlapping(gaps: DataFrame, ops: DataFrame, width: float) -> DataFrame:
@@ -162,6 +164,8 @@ def overlapping(gaps: DataFrame, ops: DataFrame, width: float) -> DataFrame:
 
 def longest_gaps(gaps: DataFrame, ops: DataFrame, width: float, most: int = 15) -> DataFrame:
     """The `most` longest gaps (gap_id, from, to), each with its length and the first op that overlaps it, if one does; of equal ones
-    the smaller gap_id."""
+    the smaller gap_id. They are few, so every op is held against them where it lies; `width` isn't needed for that."""
     top = gaps.withColumn("gap", F.col("to") - F.col("from")).orderBy(F.desc("gap"), "gap_id").limit(most)
-    return top.join(overlapping(top.select("gap_id", "from", "to"), ops, width), "gap_id", "left").select("gap_id", "gap", "name")
+    hit = ops.join(F.broadcast(top.select("gap_id", "from", "to")), (F.col("start") < F.col("to")) & (F.col("stop") > F.col("from")))  # `most` rows
+    first = hit.groupBy("gap_id").agg(F.min_by("name", "pos").alias("name"))
+    return top.join(first, "gap_id", "left").select("gap_id", "gap", "name")

@@ -146,7 +146,7 @@ def jn12_span_depths(spark, sf):
     return O.span_depths(table(spark, sf, "events").select(F.col("event_id").alias("span"), p.cast("bigint").alias("parent")))
 
 
-@R.add("WITH g AS (SELECT event_id AS gap_id, epoch_ms(ts)/1000.0 AS a, epoch_ms(ts)/1000.0+30 AS b FROM events WHERE event_id%5=0), o AS (SELECT event_id AS pos, event_type AS name, epoch_ms(ts)/1000.0 AS s, epoch_ms(ts)/1000.0+600 AS e FROM events WHERE event_id%5<>0) SELECT gap_id, arg_min(name,pos) AS name FROM g JOIN o ON s<b AND e>a GROUP BY 1")
+@R.add("WITH g AS (SELECT event_id AS gap_id, epoch_ms(ts)/1000.0 AS a, epoch_ms(ts)/1000.0+30 AS b FROM events WHERE event_id%5=0), o AS (SELECT event_id AS pos, event_type AS name, epoch_ms(ts)/1000.0 AS s, epoch_ms(ts)/1000.0+600 AS e FROM events WHERE event_id%5<>0) SELECT gap_id, arg_min_null(name,pos) AS name FROM g JOIN o ON s<b AND e>a GROUP BY 1")
 def jn9_gap_to_first_op(spark, sf):
     e = table(spark, sf, "events").withColumn("s", F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0)
     gaps = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("gap_id"), F.col("s").alias("from"), (F.col("s") + 30).alias("to"))
