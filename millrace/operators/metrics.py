@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import tokens as T
@@ -116,23 +118,41 @@ def stream_utilisation(events: DataFrame, stream: str, start: str, stop: str) ->
     return g.withColumn("utilisation", F.coalesce(F.try_divide("busy", "span"), F.lit(0.0)))
 
 
-def nested_spans(events: DataFrame, trace: str, order: str, kind: str, span: str) -> DataFrame:
-    """Spans with the span that was open when they began, by list order: trace, span, parent. A trace is one group."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        open_, rows = [], []
-        for what, name in zip(group.sort_values(order)[kind], group.sort_values(order)[span]):
-            if what == "start":
-                rows.append((group[trace].iloc[0], name, open_[-1] if open_ else None))
-                open_.append(name)
-            elif name in open_:
-                open_.reverse()
-                open_.remove(name)
-                open_.reverse()
-        return pd.DataFrame(rows, columns=[trace, span, "parent"])
+#: Traces that a task holds as Python objects at a time.
+TRACES = 256
+
 
+def nested_spans(events: DataFrame, trace: str, order: str, kind: str, span: str) -> DataFrame:
+    """Spans with the span that was open when they began, by list order: trace, span, parent. A trace is one group, and many of them
+    are folded in one call."""
     kinds = dict(events.dtypes)
-    return events.select(trace, order, kind, span).groupBy(trace).applyInPandas(fold, f"{trace} {kinds[trace]}, {span} {kinds[span]}, parent {kinds[span]}")
+    schema = pa.schema([("trace", to_arrow_schema(events.select(trace).schema).field(0).type), ("span", to_arrow_schema(events.select(span).schema).field(0).type), ("parent", to_arrow_schema(events.select(span).schema).field(0).type)])
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        open_: list[list] = []  # [span, whether it is open]
+        of: dict = {}
+        out = []
+        for r in sorted(rows, key=lambda r: (r["at"] is None, r["at"])):
+            name = r["span"]
+            if r["kind"] == "start":
+                while open_ and not open_[-1][1]:
+                    open_.pop()
+                out.append((name, open_[-1][0] if open_ else None))
+                open_.append([name, True])
+                of.setdefault(name, []).append(open_[-1])
+            elif of.get(name):
+                of[name].pop()[1] = False
+        return out
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TRACES):
+                made = [(g["trace"], *x) for g in batch.slice(at, TRACES).to_pylist() for x in fold(g["events"])]
+                columns = zip(*made, strict=True) if made else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    whole = events.groupBy(F.col(trace).alias("trace")).agg(F.collect_list(F.struct(F.col(order).alias("at"), F.col(kind).alias("kind"), F.col(span).alias("span"))).alias("events"))
+    return whole.mapInArrow(folded, f"trace {kinds[trace]}, span {kinds[span]}, parent {kinds[span]}").toDF(trace, span, "parent")
 
 
 def sampled_places(views: DataFrame, size: int) -> DataFrame:

@@ -7,10 +7,12 @@ independent and spread over the cluster.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .lineage import cut
@@ -175,14 +177,40 @@ def packed_steps(
 ) -> DataFrame:
     """(step, order, micro_batch, rank, place) of each sample by `step_plan`; `weight` (operations, else the length) is what is evened."""
 
-    @F.pandas_udf("array<struct<micro_batch:int,rank:int,place:int>>")
-    def plan(lengths: pd.Series, weights: pd.Series) -> pd.Series:
-        made = [step_plan([int(x) for x in n], list(w), ranks, most, mode, size, group, even) for n, w in zip(lengths, weights, strict=True)]
-        return pd.Series([[dict(zip(("micro_batch", "rank", "place"), x, strict=True)) for x in rows] for rows in made])
+    def made(lengths: list, weights: list) -> list[tuple]:
+        return step_plan([int(x) for x in lengths], weights, ranks, most, mode, size, group, even)
 
-    g = _by_step(df, step, order, length, weight or length)
-    zipped = F.explode(F.arrays_zip(F.col("s.__order").alias("o"), plan("s.__length", "s.__weight").alias("p"))).alias("e")
-    return g.select(step, zipped).select(step, F.col("e.o").alias(order), "e.p.*")
+    return _planned(_by_step(df, step, order, length, weight or length), step, order, made, ["micro_batch", "rank", "place"])
+
+
+#: Samples of which a task holds the plans as Python objects at a time.
+HELD = 1 << 16
+
+
+def _planned(g: DataFrame, step: str, order: str, made: Callable[[list, list], list[tuple]], names: list[str]) -> DataFrame:
+    """(step, order, and numbers by `names`) of each sample of the rows of `_by_step`; plans leave a task by pieces of HELD samples."""
+    first = g.select(F.col(step).alias("step"), F.col("s.__order").alias("order"), F.col("s.__length").alias("length"), F.col("s.__weight").alias("weight"))
+    spread = first.select("step", F.explode("order").alias("order"), *[F.lit(0).alias(n) for n in names])
+    schema = to_arrow_schema(spread.schema)
+
+    def piece(batch: pa.RecordBatch, start: int, numbers: list[list[tuple]]) -> pa.RecordBatch:
+        own = batch.slice(start, len(numbers))
+        steps = own.column(0).take(pa.array([i for i, found in enumerate(numbers) for _ in found], pa.int64()))
+        columns = [[x[k] for found in numbers for x in found] for k in range(len(names))]
+        arrays = [steps.cast(schema.field(0).type), own.column(1).flatten().cast(schema.field(1).type), *[pa.array(c, pa.int32()) for c in columns]]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, numbers = 0, 0, []
+            for i in range(batch.num_rows):
+                numbers.append(made(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()))
+                held += len(numbers[-1])
+                if held >= HELD or i + 1 == batch.num_rows:
+                    yield piece(batch, start, numbers)
+                    start, held, numbers = i + 1, 0, []
+
+    return first.mapInArrow(plan, spread.schema).toDF(step, order, *names)
 
 
 def _by_step(df: DataFrame, step: str, order: str, length: str, weight: str) -> DataFrame:
@@ -191,20 +219,15 @@ def _by_step(df: DataFrame, step: str, order: str, length: str, weight: str) ->
     return df.groupBy(step).agg(F.array_sort(F.collect_list(one)).alias("s"))
 
 
-def grouped_plan(df: DataFrame, step: str, order: str, length: str, make, name: str = "part") -> DataFrame:
-    """(step, order, `name`) by a plan over the lengths of each step, such as `first_fit`, `balanced`, `greedy` or `chunked`."""
+def grouped_plan(df: DataFrame, step: str, order: str, length: str, make, name: str = "part", sized: bool = False) -> DataFrame:
+    """(step, order, `name`) by a plan over the lengths of each step, such as `first_fit`, `balanced`, `greedy` or `chunked`; with the
+    length, a whole number, if `sized`."""
 
-    @F.pandas_udf("array<int>")
-    def plan(lengths: pd.Series) -> pd.Series:
-        out = []
-        for n in lengths:
-            part = {i: k for k, items in enumerate(make([int(x) for x in n])) for i in items}
-            out.append([part[i] for i in range(len(n))])
-        return pd.Series(out)
+    def made(lengths: list, _: list) -> list[tuple]:
+        part = {i: k for k, items in enumerate(make([int(x) for x in lengths])) for i in items}
+        return [(part[i], n) if sized else (part[i],) for i, n in enumerate(lengths)]
 
-    g = _by_step(df, step, order, length, length)
-    zipped = F.explode(F.arrays_zip(F.col("s.__order").alias("o"), plan("s.__length").alias("p"))).alias("e")
-    return g.select(step, zipped).select(step, F.col("e.o").alias(order), F.col("e.p").alias(name))
+    return _planned(_by_step(df, step, order, length, length), step, order, made, [name, length] if sized else [name])
 
 
 def per_rank(assigned: DataFrame, rows: DataFrame, keys: list[str], step: str = "step") -> DataFrame:

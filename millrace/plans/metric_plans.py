@@ -266,9 +266,9 @@ def pk3_first_fit(spark, sf):
 def spreads(spark, sf, fits: str, equal_size: bool):
     """How far two parts lie apart, by order."""
     df = lengths(spark, sf)
-    some = df.groupBy("l_orderkey").count().filter(fits).select("l_orderkey")
-    plan = P.grouped_plan(df.join(some, "l_orderkey"), "l_orderkey", "pos", "length", lambda n: P.balanced(n, 2, equal_size))
-    g = plan.join(df, ["l_orderkey", "pos"]).groupBy("l_orderkey", "part").agg(F.sum("length").alias("n"), F.count("*").alias("items"))
+    some = df.withColumn("count", F.count("*").over(Window.partitionBy("l_orderkey"))).filter(fits)
+    plan = P.grouped_plan(some, "l_orderkey", "pos", "length", lambda n: P.balanced(n, 2, equal_size), sized=True)
+    g = plan.groupBy("l_orderkey", "part").agg(F.sum("length").alias("n"), F.count("*").alias("items"))
     return g.groupBy("l_orderkey").agg(F.min("items").alias("fewest"), F.count("*").alias("parts"), (F.max("n") - F.min("n")).cast("int").alias("spread"))
 
 

@@ -1,7 +1,7 @@
 """A group buffer with typed list state, timers and time-to-live: whole groups leave with what is known of them.
 
-Rows are appended to the state of their group one by one and read only when the group leaves, so a batch costs what it brings and
-not what waits. State must be kept by RocksDB (`use_rocksdb`)."""
+Rows of a batch are appended to the state of their group in one call and read only when the group leaves, so a batch costs what it brings and
+not what waits; a group that one batch makes whole leaves without passing through state. State must be kept by RocksDB (`use_rocksdb`)."""
 
 from __future__ import annotations
 
@@ -33,34 +33,43 @@ class GroupBuffer(StatefulProcessor):
         self.count = handle.getValueState("count", "n int, last_ms bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last = self.count.get() if self.count.exists() else (0, 0)
+        waited = self.count.exists()
+        n, last = self.count.get() if waited else (0, 0)
+        fresh: list[tuple] = []
         for frame in rows:
-            for row in frame[self.fields].itertuples(index=False, name=None):
-                self.rows.appendValue(tuple(_plain(v) for v in row))
-            n += len(frame)
+            fresh += [tuple(_plain(v) for v in row) for row in frame[self.fields].itertuples(index=False, name=None)]
             if self.by_event:
                 last = max(last, int(frame[self.time].max().timestamp() * 1000))
+        n += len(fresh)
         if not self.by_event:
             last = timerValues.getCurrentProcessingTimeInMs()
-        self._forget_timers()
+        if waited:
+            self._forget_timers()
         if n >= self.size:
-            yield self._leaving(key, False)
+            held = (list(self.rows.get()) if waited else []) + fresh
+            if waited:
+                self._forget()
+            yield self._leaving(key, held, False)
         else:
+            self.rows.appendList(fresh)
             self.count.update((n, last))
             self.handle.registerTimer(last + self.wait_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.rows.exists():
-            yield self._leaving(key, True)
+            held = list(self.rows.get())
+            self._forget()
+            yield self._leaving(key, held, True)
 
     def _forget_timers(self) -> None:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
 
-    def _leaving(self, key, timed_out: bool) -> pd.DataFrame:
-        held = list(self.rows.get())
+    def _forget(self) -> None:
         self.rows.clear()
         self.count.clear()
+
+    def _leaving(self, key, held: list[tuple], timed_out: bool) -> pd.DataFrame:
         reward, time = self.fields.index(self.reward), self.fields.index(self.time)
         rewards, times = [r[reward] for r in held if r[reward] is not None], [r[time] for r in held if r[time] is not None]
         return pd.DataFrame({
