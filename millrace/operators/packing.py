@@ -44,17 +44,11 @@ def first_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-class _Widest:
-    """Order of states in the heap: the widest spread first, then the one whose heaviest part is greater."""
-
-    __slots__ = ("parts",)
-
-    def __init__(self, parts: list[tuple]) -> None:
-        self.parts = sorted(parts, reverse=True)
-
-    def __lt__(self, other: _Widest) -> bool:
-        mine, theirs = (s.parts[0][0] - s.parts[-1][0] for s in (self, other))
-        return mine > theirs if mine != theirs else self.parts[0] > other.parts[0]
+def _widest(parts: list[tuple]) -> tuple:
+    """A state in the heap, its parts heaviest first: the widest spread comes first, then the one whose heaviest part is greater."""
+    parts.sort(reverse=True)
+    total, count, items = parts[0]
+    return parts[-1][0] - total, -total, -count, [(-i, -n) for i, n in items], parts
 
 
 def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
@@ -67,12 +61,13 @@ def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[l
     by_length = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
     each = k if equal_size else 1
     single = [(lengths[i], 1, ((i, lengths[i]),)) for i in by_length]
-    heap = [_Widest(single[at : at + each] + [(0, 0, ())] * (k - each)) for at in range(0, len(single), each)]
+    heap = [_widest(single[at : at + each] + [(0, 0, ())] * (k - each)) for at in range(0, len(single), each)]
     heapq.heapify(heap)
     while len(heap) > 1:
         one, two = heapq.heappop(heap), heapq.heappop(heap)
-        heapq.heappush(heap, _Widest([tuple(x + y for x, y in zip(p, q, strict=True)) for p, q in zip(one.parts, reversed(two.parts), strict=True)]))
-    return [[i for i, _ in items] for _, _, items in heap[0].parts] if heap else [[] for _ in range(k)]
+        other = two[4]
+        heapq.heappush(heap, _widest([(p[0] + q[0], p[1] + q[1], p[2] + q[2]) for p, q in zip(one[4], reversed(other), strict=True)]))
+    return [[i for i, _ in items] for _, _, items in heap[0][4]] if heap else [[] for _ in range(k)]
 
 
 def greedy(lengths: list[int], k: int) -> list[list[int]]:
