@@ -70,6 +70,8 @@ def ta40_drift_kind(spark, sf):
 def ta41_training_rows(spark, sf):
     """A session each conversation: every turn is answered by one token, and each prompt continues all before."""
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    # Numbers of turns are small, what is made of them isn't: they are dealt to as many tasks as the session has, not to one.
+    t = t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     t = t.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).withColumn("i", F.col("i").cast("int"))
     message = lambda k: F.struct(F.when(k % 2 == 1, "user").otherwise("assistant").alias("role"), k.cast("string").alias("content"))
     turns = t.select(
