@@ -35,21 +35,22 @@ def sampled_rows(stored: DataFrame, group: str, order: str, prompt: str, respons
 
 
 class Within:
-    """Windows of a group: the whole, and its rows that are alike in something."""
+    """Windows of a group, all along one order of its rows (by the length of their response, then itself), so that a single sort serves
+    them all: the whole, the rows of the same response, and those up to the same length."""
 
-    def __init__(self, group: str) -> None:
-        self.group, self.whole = group, Window.partitionBy(group)
-
-    def alike(self, *by: Column) -> Window:
-        return Window.partitionBy(self.group, *by)
+    def __init__(self, group: str, response: str, length: str) -> None:
+        ordered = Window.partitionBy(group).orderBy(length, response)
+        self.whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        self.alike = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+        self.by_length = Window.partitionBy(group).orderBy(length)
 
 
 #: Scorers of groups by name: from response, label and the group's windows to a number.
 GROUP_SCORERS: dict[str, Callable[[Column, Column, Within], Column]] = {
     # The share of the group that gives the same answer.
-    "agreement": lambda r, g, w: F.count("*").over(w.alike(r)) / F.count("*").over(w.whole),
+    "agreement": lambda r, g, w: F.count("*").over(w.alike) / F.count("*").over(w.whole),
     # How many of the group are shorter, from 0 to 1; alone it is 0.
-    "length_rank": lambda r, g, w: F.coalesce(F.try_divide(F.rank().over(w.whole.orderBy(F.length(r))) - 1, F.count("*").over(w.whole) - 1), F.lit(0.0)),
+    "length_rank": lambda r, g, w: F.coalesce(F.try_divide(F.rank().over(w.by_length) - 1, F.count("*").over(w.whole) - 1), F.lit(0.0)),
     # Right answers, less the share of the group that has them: what everybody knows earns nothing.
     "surprise": lambda r, g, w: F.when(r == g, 1.0 - F.avg((r == g).cast("double")).over(w.whole)).otherwise(0.0),
 }
@@ -58,8 +59,8 @@ GROUP_SCORERS: dict[str, Callable[[Column, Column, Within], Column]] = {
 def group_rewards(df: DataFrame, group: str, name: str, response: str, label: str, scorers: dict[str, Callable[[Column, Column, Within], Column]] | None = None) -> DataFrame:
     """`df` with `reward`, which the scorer that the row itself names makes of its whole group. Null responses count as empty ones. A group
     is a bounded number of samples. An unknown or missing name is an error."""
-    within, r, g = Within(group), F.col("__response"), F.col(label)
-    ready = df.withColumn("__response", F.coalesce(response, F.lit("")))
+    within, r, g = Within(group, "__response", "__length"), F.col("__response"), F.col(label)
+    ready = df.withColumn("__response", F.coalesce(response, F.lit(""))).withColumn("__length", F.length("__response"))
     known = scorers or GROUP_SCORERS
     scored = ready.withColumns({f"__{k}": score(r, g, within).cast("double") for k, score in known.items()})
     reward = F.when(F.lit(False), 0.0)

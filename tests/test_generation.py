@@ -24,3 +24,10 @@ def test_rewards_of_groups(spark):
     for name in ("'poetry'", "cast(null as string)"):
         with pytest.raises(Exception, match="no scorer of groups"):
             group_rewards(df.selectExpr("g", f"{name} AS name", "r", "gold"), "g", "name", "r", "gold").collect()
+
+
+def test_one_sort_serves_all_scorers_of_a_group(spark):
+    df = spark.createDataFrame([(1, "agreement", "x", "x")], "g int, name string, r string, gold string")
+    plan = group_rewards(df, "g", "name", "r", "gold")._jdf.queryExecution().sparkPlan().toString()
+    full = group_rewards(df, "g", "name", "r", "gold")._jdf.queryExecution().executedPlan().toString()
+    assert full.count("- Sort [") == 1 and full.count("Exchange ") == 1 and plan.count("Window [") == 2
