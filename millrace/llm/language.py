@@ -8,6 +8,7 @@ labelled rows; everything else runs over all rows in Spark tasks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -123,16 +124,20 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"lang": frame["lang"], "f": [features(t).astype("<f4").tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"lang": frame["lang"], "f": [zlib.compress(features(t).astype("<f4").tobytes(), 1) for t in frame["text"]]})
 
+    # Vectors travel and wait compressed, since the driver's JVM holds all of them at once, several times over.
     # Repeated rows share their draw; one of them is enough, so what is drawn doesn't depend on the order of tasks.
     drawn = known.filter(draw < share[F.col("lang")]).groupBy(draw.alias("draw"), "lang").agg(F.min("text").alias("text"))
     rows = drawn.select("lang", "text").mapInPandas(featured, schema)
     got = sorted(map(tuple, rows.limit(int(1.5 * per_language * len(counts)) + 100).collect()))
     langs, x = np.array([lang for lang, _ in got], dtype=object), np.zeros((len(got), 1 << BITS), dtype="<f4")
     for k, (_, f) in enumerate(got):
-        x[k] = np.frombuffer(f, dtype="<f4")
+        x[k] = np.frombuffer(zlib.decompress(f), dtype="<f4")
         got[k] = None  # each vector is held once
+    for lang in counts:  # in the order of the vectors themselves
+        own = np.flatnonzero(langs == lang)
+        x[own] = x[sorted(own, key=lambda k: x[k].tobytes())]
     return LanguageModel(x, langs)
 
 
