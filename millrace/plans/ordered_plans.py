@@ -146,9 +146,15 @@ def jn12_span_depths(spark, sf):
     return O.span_depths(table(spark, sf, "events").select(F.col("event_id").alias("span"), p.cast("bigint").alias("parent")))
 
 
+def rounded_seconds(ts):
+    """Seconds in whole milliseconds, halves away from 1970, as `epoch_ms` of SQL has them; `unix_millis` cuts off what is below one."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.call_function("div", F.when(micros < 0, micros - 500).otherwise(micros + 500), F.lit(1000)) / 1000.0
+
+
 @R.add("WITH g AS (SELECT event_id AS gap_id, epoch_ms(ts)/1000.0 AS a, epoch_ms(ts)/1000.0+30 AS b FROM events WHERE event_id%5=0), o AS (SELECT event_id AS pos, event_type AS name, epoch_ms(ts)/1000.0 AS s, epoch_ms(ts)/1000.0+600 AS e FROM events WHERE event_id%5<>0) SELECT gap_id, arg_min_null(name,pos) AS name FROM g JOIN o ON s<b AND e>a GROUP BY 1")
 def jn9_gap_to_first_op(spark, sf):
-    e = table(spark, sf, "events").withColumn("s", F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0)
+    e = table(spark, sf, "events").withColumn("s", rounded_seconds("ts"))
     gaps = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("gap_id"), F.col("s").alias("from"), (F.col("s") + 30).alias("to"))
     ops = e.filter("event_id % 5 <> 0").select(F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.col("s").alias("start"), (F.col("s") + 600).alias("stop"))
     return O.overlapping(gaps, ops, 600.0)
@@ -161,7 +167,7 @@ SELECT gap_id, round(any_value(b-a),3) AS gap, arg_min(name,pos) AS name FROM to
 )
 def jn9_longest_gaps(spark, sf):
     """Gaps and ops of very different lengths around each event."""
-    e, v = table(spark, sf, "events").withColumn("s", F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0), F.abs("value")
+    e, v = table(spark, sf, "events").withColumn("s", rounded_seconds("ts")), F.abs("value")
     gaps = e.filter("event_id % 5 = 0").select(F.col("event_id").alias("gap_id"), (F.col("s") - v * 10).alias("from"), (F.col("s") + v * 90).alias("to"))
     long = F.when(F.col("event_id") % 97 == 1, 1000).otherwise(3)
     ops = e.filter("event_id % 5 <> 0").select(F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.col("s").alias("start"), (F.col("s") + v * long).alias("stop"))
