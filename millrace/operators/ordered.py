@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .lineage import cut
@@ -139,27 +144,126 @@ def covering_nodes(first: Column, last: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), highest), nodes)), lambda n: n.isNotNull())
 
 
+#: Rows that a range of times is made for, and how many ranges there are at most: the driver holds a number for each pair of them.
+RANGE_ROWS, MOST_RANGES = 1 << 17, 512
+
+
+def time_bounds(gaps: DataFrame, ops: DataFrame) -> np.ndarray:
+    """Where ranges of times begin, by what is found in all ends of intervals. A time that many share is a range by itself."""
+    ends = gaps.select(F.explode(F.array("from", "to")).alias("t")).unionAll(ops.select(F.explode(F.array("start", "stop")).alias("t")))
+    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    n, found = ends.filter(F.abs("t") < float("inf")).agg(F.count("*"), F.percentile_approx("t", shares, 10 * MOST_RANGES)).first()
+    tasks = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, max(n // 2 // RANGE_ROWS, min(tasks, n // 2 // 4096)) + 1)
+    starts, times = np.unique([found[i * MOST_RANGES // ranges - 1] for i in range(1, ranges)], return_counts=True) if n else (np.empty(0), np.empty(0, int))
+    return np.unique(np.concatenate([starts, np.nextafter(starts[times > 1], np.inf)]))
+
+
+def first_hits(start: np.ndarray, stop: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each (low, high) the first place with start < high and stop > low, or how many places there are.
+
+    The places that start before `high` are a prefix by start, so a few blocks of 1, 2, 4, ... of them; in each, sorted by stop, those beyond
+    `low` are a prefix again, of which the least place is known."""
+    n, out = len(start), np.full(len(low), len(start))
+    by_start, rank = np.argsort(start, kind="stable"), np.empty(n, np.int64)
+    rank[np.argsort(-stop, kind="stable")] = np.arange(n)
+    until, beyond = np.searchsorted(start[by_start], high, "left"), n - np.searchsorted(np.sort(stop), low, "right")
+    levels = max(n - 1, 0).bit_length() + 1
+    keys = np.full(1 << (levels - 1), n << 32 | n)
+    keys[:n] = rank[by_start] << 32 | by_start
+    for k in range(levels):
+        keys = np.sort(keys.reshape(-1, 1 << k), axis=1, kind="stable")
+        own = np.flatnonzero(until >> k & 1)
+        if len(own):
+            block = until[own] >> (k + 1) << 1
+            ranks = ((keys >> 32) + np.arange(len(keys))[:, None] * (n + 1)).ravel()
+            held = np.searchsorted(ranks, block * (n + 1) + beyond[own], "left") - (block << k)
+            least, some = np.minimum.accumulate(keys & 0xFFFFFFFF, axis=1), held > 0
+            out[own[some]] = np.minimum(out[own[some]], least[block[some], held[some] - 1])
+    return out
+
+
 def overlapping(gaps: DataFrame, ops: DataFrame, width: float) -> DataFrame:
-    """Each gap (gap_id, from, to) with the first op (pos, name, start, stop) that overlaps it.
-
-    Times are cut into buckets of `width`, and either side is laid on the fewest nodes of a tree over them, so an interval of any length
-    is a few rows. Two intervals share a bucket exactly if a node of one lies on or above a node of the other; nodes above are
-    looked up only at levels at which the other side has some."""
-    sides = []
-    for df, a, b in ((gaps, "from", "to"), (ops, "start", "stop")):
-        bucket = lambda c: F.floor(F.col(c) / width).cast("double")
-        sides.append(df.withColumn("node", F.explode(covering_nodes(bucket(a), bucket(b)))))
-    levels = [sorted(r["level"] for r in side.select("node.level").distinct().collect()) for side in sides]
-
-    def raised(side: DataFrame, at: list[int], above: bool) -> DataFrame:
-        """Rows with the nodes on or above their own (only above: `above`) at the levels `at`."""
-        up = F.filter(F.array(*[F.lit(k) for k in at]) if at else F.expr("cast(array() AS array<int>)"), lambda k: k > F.col("node.level") if above else k >= F.col("node.level"))
-        return side.withColumn("k", F.explode(up)).withColumn("key", F.struct(F.col("k").alias("level"), F.floor(F.col("node.at") / F.pow(F.lit(2.0), F.col("k") - F.col("node.level"))).cast("bigint").alias("at"))).drop("node", "k")
-
-    own = [side.withColumnRenamed("node", "key") for side in sides]
-    near = raised(sides[0], levels[1], above=True).join(own[1], "key").unionByName(own[0].join(raised(sides[1], levels[0], above=False), "key"))
-    hit = near.filter((F.col("start") < F.col("to")) & (F.col("stop") > F.col("from")))
-    return hit.groupBy("gap_id").agg(F.min_by("name", "pos").alias("name"))
+    """Each gap (gap_id, from, to) with the first op (pos, name, start, stop) that overlaps it; `width` isn't needed.
+
+    No pair is made. Times are dealt into ranges, and an op can meet a gap (start < to, stop > from) in three ways only. It starts in the range
+    in which the gap ends, or stops in that in which the gap begins: either side goes to the two ranges of its ends, and a task finds the
+    first op of each gap there. Or its start lies in a lower range than `to` and its stop in a higher one than `from`: for that the
+    first op of each pair of ranges is enough, which the driver holds. In a range of one time no end lies below another."""
+    gaps = gaps.select("gap_id", F.col("from").cast("double").alias("from"), F.col("to").cast("double").alias("to")).dropna(subset=["from", "to"])
+    ops = ops.select("pos", "name", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop")).dropna(subset=["start", "stop"])
+    bounds = time_bounds(gaps, ops)
+    ranges = len(bounds) + 1
+    point = np.concatenate([[False], bounds[1:] == np.nextafter(bounds[:-1], np.inf), [False]]) if ranges > 1 else np.array([False])
+    first_op, gap_id = ([T.StructField(f.name, f.dataType) for f in x.schema] for x in (ops.select("pos", "name"), gaps.select("gap_id")))  # either may be null in a row
+    by_pos = [("pos", "ascending")]
+
+    def ends(batch, x: str, y: str) -> tuple[np.ndarray, ...]:
+        x, y = (batch[c].to_numpy(zero_copy_only=False) for c in (x, y))
+        return x, y, np.searchsorted(bounds, x, "right"), np.searchsorted(bounds, y, "right")
+
+    def firsts(found: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found, by_pos, null_placement="at_end"))
+        return found.take(pa.array(np.unique(found["cell"].to_numpy(), return_index=True)[1]))
+
+    def of_pairs(batches):
+        held = []
+        for batch in batches:
+            _, _, p, q = ends(batch, "start", "stop")
+            held.append(firsts(pa.table({"cell": p * ranges + q, "pos": batch["pos"], "name": batch["name"]})))
+            if sum(map(len, held)) > 1 << 18 and len(held) > 1:
+                held = [firsts(pa.concat_tables(held))]
+        if held:
+            yield from firsts(pa.concat_tables(held)).to_batches()
+
+    first = F.min_by(F.struct("pos", "name"), F.struct(F.col("pos").isNull(), "pos")).alias("f")
+    pairs = ops.mapInArrow(of_pairs, T.StructType([T.StructField("cell", T.LongType()), *first_op])).groupBy("cell").agg(first).select("cell", "f.*").toArrow()  # one row for each pair of ranges
+    pairs = pairs.take(pc.sort_indices(pairs, by_pos, null_placement="at_end"))
+    least = np.full((ranges + 1, ranges + 1), len(pairs), np.int32)
+    least[1 + pairs["cell"].to_numpy() // ranges, pairs["cell"].to_numpy() % ranges] = np.arange(len(pairs))
+    # [p, q]: the first of all that start in ranges before p and stop in ranges after q.
+    least = np.minimum.accumulate(np.minimum.accumulate(least, axis=0)[:, ::-1], axis=1)[:, ::-1][:-1, 1:]
+    used, place = np.unique(least, return_inverse=True)
+    known, place = pairs.select(["pos", "name"]).take(pa.array(used[used < len(pairs)])), place.reshape(least.shape).astype(np.int32)
+
+    # An op is of kind 0, a gap of kind 1, or 2 with the first op that its pair of ranges knows.
+    shape = T.StructType([T.StructField("range", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), *first_op, *gap_id])
+    names = to_arrow_schema(shape)
+
+    def rows(columns: list) -> pa.RecordBatch:
+        flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(flat, names, strict=True)], schema=names)
+
+    def dealt_ops(batches):
+        for batch in batches:
+            x, y, p, q = ends(batch, "start", "stop")
+            one, two = np.flatnonzero(~point[p]), np.flatnonzero(~point[q] & (p != q))
+            at = np.concatenate([one, two])
+            yield rows([np.concatenate([p[one], q[two]]), np.zeros(len(at)), x[at], y[at], batch["pos"].take(pa.array(at)), batch["name"].take(pa.array(at)), pa.nulls(len(at), names.field("gap_id").type)])
+
+    def dealt_gaps(batches):
+        for batch in batches:
+            x, y, p, q = ends(batch, "to", "from")
+            best = place[p, q]
+            some = best < len(known)
+            one, two = np.flatnonzero(~point[p] | some), np.flatnonzero(~point[q] & (p != q))
+            at = np.concatenate([one, two])
+            to = np.concatenate([np.where(point[p], -1 - np.arange(len(p)) % 1024, p)[one], q[two]])  # below 0 no op waits
+            kinds = np.concatenate([np.where(some[one], 2, 1), np.ones(len(two))])
+            best = pa.array(np.concatenate([best[one], np.zeros(len(two), np.int32)]), mask=kinds == 1)
+            yield rows([to, kinds, x[at], y[at], known["pos"].take(best), known["name"].take(best), batch["gap_id"].take(pa.array(at))])
+
+    def met(table: pa.Table) -> pa.Table:
+        gap = pc.greater(table["kind"], 0)
+        ops, gaps = table.filter(pc.invert(gap)), table.filter(gap)
+        ops = ops.take(pc.sort_indices(ops, by_pos, null_placement="at_end"))
+        hit = first_hits(ops["x"].to_numpy(), ops["y"].to_numpy(), gaps["y"].to_numpy(), gaps["x"].to_numpy())
+        own = np.flatnonzero(hit < len(ops))
+        here = pa.table([gaps["gap_id"].take(pa.array(own)), *(ops[c].take(pa.array(hit[own])) for c in ("pos", "name"))], names=["gap_id", "pos", "name"])
+        return pa.concat_tables([gaps.filter(pc.equal(gaps["kind"], 2)).select(["gap_id", "pos", "name"]), here])
+
+    dealt = gaps.mapInArrow(dealt_gaps, shape).unionAll(ops.mapInArrow(dealt_ops, shape))
+    return dealt.groupBy("range").applyInArrow(met, T.StructType([*gap_id, *first_op])).groupBy("gap_id").agg(F.min_by("name", "pos").alias("name"))
 
 
 def longest_gaps(gaps: DataFrame, ops: DataFrame, width: float, most: int = 15) -> DataFrame:
